@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import packing, tokens
+from . import language, media, packing, quality, tokens
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -23,6 +23,28 @@ def _documents(spark: SparkSession, sf_dir: str, *columns: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet").select(*columns)
 
 
+@_query
+def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The language of all documents, learned from those whose crc32 remainder isn't 2."""
+    docs = _documents(spark, sf_dir, "doc_id", "text", "lang")
+    model = language.learn(docs.filter(language.remainder("doc_id", 4) != 2))
+    kept = docs.select(F.struct("doc_id", (language.remainder("doc_id", 4) == 2).alias("held_out")).alias("row"), "text")
+    return language.predict(kept, model, "row").select("row.*", "lang_pred", "score")
+
+
+@_query
+def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counts, base rule and verdict of all documents."""
+    found = quality.judged(_documents(spark, sf_dir, "doc_id", "text"))
+    return found.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "quality")
+
+
+@_query
+def op5_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents stored as JPEG images and read back."""
+    return media.media_features(_documents(spark, sf_dir, "doc_id", "text"))
+
+
 @_query
 def op8_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pieces of all documents, packed into sequences of at most 4096 tokens."""
