@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import language, media, packing, quality, tokens
+from . import language, media, packing, quality, scoring, tokens
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -32,6 +32,16 @@ def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.predict(kept, model, "row").select("row.*", "lang_pred", "score")
 
 
+@_query
+def op3_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Base and model log probabilities of all documents, learned from those whose crc32 remainder isn't 1."""
+    docs = _documents(spark, sf_dir, "doc_id", "text")
+    held_out = language.remainder("doc_id", 5) == 1
+    model = scoring.Model(docs.filter(~held_out))
+    kept = docs.select(F.struct("doc_id", held_out.alias("held_out")).alias("row"), "text")
+    return scoring.scores(kept, model, "row").select("row.*", "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
 @_query
 def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Counts, base rule and verdict of all documents."""
