@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import language, media, packing, quality, scoring, tokens
+from . import language, media, mixing, packing, quality, scoring, tokens, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -23,6 +23,41 @@ def _documents(spark: SparkSession, sf_dir: str, *columns: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet").select(*columns)
 
 
+@_query
+def op1_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What a mix of 150% of all words takes of each document."""
+    rows = mixing.sized(_documents(spark, sf_dir, "doc_id", "source", "text"))
+    return mixing.mix(rows, mixing.repeating((3, 1, 2)), 1.5, 2.0).select(F.col("key").alias("doc_id"), "size", "source_size", "target", "taken")
+
+
+ORACLES["op1_source_mixing"] = r"""
+WITH sized AS (
+  SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::BIGINT AS size,
+         substr(md5(coalesce(doc_id::VARCHAR, 'text ' || md5(text), 'none')), 1, 15) AS hash
+  FROM documents),
+sources AS (
+  SELECT source, sum(size)::DOUBLE AS s, (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 AS turn FROM sized GROUP BY source),
+weighed AS (
+  SELECT source, s, 2 * s AS cap, CASE turn WHEN 0 THEN 3 WHEN 1 THEN 1 ELSE 2 END::DOUBLE AS w FROM sources),
+ranked AS (
+  SELECT *, row_number() OVER o AS k, sum(cap) OVER o - cap AS caps_before, sum(w) OVER () - (sum(w) OVER o - w) AS w_left
+  FROM weighed WINDOW o AS (ORDER BY cap / w, source NULLS LAST ROWS UNBOUNDED PRECEDING)),
+levels AS (
+  SELECT *, (1.5::DOUBLE * (SELECT sum(s) FROM sources) - caps_before) / w_left AS each FROM ranked),
+stop AS (SELECT min(k) AS k FROM levels WHERE each * w <= cap),
+aimed AS (
+  SELECT l.source, l.s, CASE WHEN stop.k IS NULL OR l.k < stop.k THEN l.cap ELSE (SELECT each FROM levels m WHERE m.k = stop.k) * l.w END AS target
+  FROM levels l, stop),
+laid AS (
+  SELECT d.*, a.s, a.target, CASE WHEN a.s > 0 THEN floor(a.target / a.s) ELSE 0 END AS passes,
+         sum(d.size) OVER (PARTITION BY d.source ORDER BY d.hash) AS upto, sum(d.size) OVER (PARTITION BY d.source, d.hash) AS own
+  FROM sized d JOIN aimed a ON d.source IS NOT DISTINCT FROM a.source)
+SELECT doc_id, size, s::BIGINT AS source_size, target,
+       (size * (passes + CASE WHEN target - passes * s > 0 AND (upto <= target - passes * s OR upto - (target - passes * s) < (target - passes * s) - (upto - own)) THEN 1 ELSE 0 END))::BIGINT AS taken
+FROM laid
+"""
+
+
 @_query
 def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The language of all documents, learned from those whose crc32 remainder isn't 2."""
@@ -67,3 +102,21 @@ def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Token counts of all documents."""
     counts = tokens.token_counts(_documents(spark, sf_dir, "doc_id", "text"), public_tokenizers.path("byte_bpe_50k.json"))
     return counts.withColumn("over_limit", F.col("n_tokens") > 512)
+
+
+@_query
+def op7_warc_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All pages written as WARC archives and read back through the index."""
+    capture = warc.write(spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", "url", "html"))
+    return warc.read(spark, capture).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+ORACLES["op7_warc_index"] = """
+WITH p AS (
+  SELECT page_id, coalesce(strlen(html), 0)::BIGINT AS payload_bytes, sha1(coalesce(html, '')) AS payload_digest FROM pages),
+g AS (SELECT *, max(page_id) OVER (PARTITION BY payload_digest, payload_bytes) AS response FROM p)
+SELECT page_id, payload_bytes, payload_digest,
+       CASE WHEN payload_bytes >= 1000 AND page_id IS DISTINCT FROM response AND response IS NOT NULL THEN 'revisit' ELSE 'response' END AS record_type,
+       CASE WHEN payload_bytes >= 1000 AND page_id IS DISTINCT FROM response THEN response END AS refers_to
+FROM g
+"""
