@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import jaccard, language, media, mixing, packing, quality, scoring, tokens, warc
+from . import jaccard, language, lines, media, mixing, packing, quality, scoring, tokens, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -126,3 +126,45 @@ SELECT page_id, payload_bytes, payload_digest,
        CASE WHEN payload_bytes >= 1000 AND page_id IS DISTINCT FROM response THEN response END AS refers_to
 FROM g
 """
+
+
+@_query
+def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents without the lines that have an earlier equal or near one."""
+    return lines.deduplicated(_documents(spark, sf_dir, "doc_id", "text")).select("doc_id", "text", "n_lines", "n_dropped")
+
+
+# Candidates share the characters before or after their middle, as lines within one edit do; then the places where they
+# differ are counted (equal lengths), or the longer one without the character at the first difference is compared.
+ORACLES["op10_line_dedup"] = """
+WITH split AS (
+  SELECT doc_id, u.pos - 1 AS pos, string_split(text, chr(10))[u.pos] AS line
+  FROM documents, LATERAL (SELECT unnest(range(1, len(string_split(text, chr(10))) + 1)) AS pos) u
+  WHERE text IS NOT NULL),
+seen AS (SELECT * FROM split WHERE regexp_matches(line, '[^\\x00-\\x20\\x7f]')),
+uniq AS (SELECT line, length(line) AS n, min(row(doc_id, pos)) AS first FROM seen GROUP BY line),
+cand AS (SELECT * FROM uniq WHERE n >= 20),
+keys AS (
+  SELECT line, n, first, m, 0 AS side, left(line, (m // 2)::BIGINT) AS k FROM cand, LATERAL (SELECT unnest([n, n - 1]) AS m) x
+  UNION ALL
+  SELECT line, n, first, m, 1 AS side, right(line, (m - m // 2)::BIGINT) AS k FROM cand, LATERAL (SELECT unnest([n, n - 1]) AS m) x),
+pairs AS (
+  SELECT DISTINCT a.line AS a, b.line AS b, a.first AS fa, b.first AS fb, a.n AS na, b.n AS nb
+  FROM keys a JOIN keys b ON a.m = b.m AND a.side = b.side AND a.k = b.k AND a.line <> b.line AND b.first < a.first AND abs(a.n - b.n) <= 1),
+said AS (
+  SELECT *, CASE WHEN na >= nb THEN a ELSE b END AS x, CASE WHEN na >= nb THEN b ELSE a END AS y FROM pairs),
+chars AS (SELECT *, string_split(x, '') AS xs, string_split(y, '') AS ys FROM said),
+diff AS (SELECT *, list_filter(range(1, len(ys) + 1), lambda i: xs[i] <> ys[i]) AS d FROM chars),
+near AS (
+  SELECT a, fb FROM diff
+  WHERE CASE WHEN na = nb THEN len(d) = 1
+             WHEN len(d) = 0 THEN true
+             ELSE left(x, d[1] - 1) || substr(x, d[1] + 1) = y END),
+other AS (SELECT a AS line, min(fb) AS fb FROM near GROUP BY a),
+bounds AS (SELECT u.line, least(u.first, coalesce(o.fb, u.first)) AS earliest FROM uniq u LEFT JOIN other o USING (line)),
+marked AS (
+  SELECT s.doc_id, s.pos, s.line, b.earliest IS NOT NULL AND b.earliest < row(s.doc_id, s.pos) AS gone
+  FROM split s LEFT JOIN bounds b ON s.line = b.line AND regexp_matches(s.line, '[^\\x00-\\x20\\x7f]'))
+SELECT doc_id, coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (NOT gone), '') AS text, count(*) AS n_lines, count(*) FILTER (gone) AS n_dropped
+FROM marked GROUP BY doc_id
+"""
