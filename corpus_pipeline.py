@@ -1,11 +1,73 @@
-"""A corpus pipeline out of the training-text operators."""
+"""A corpus pipeline out of the training-text operators: language ID, line dedup, near-duplicate removal, source mixing,
+packing. Every stage takes all that the one before kept; its result is written as Parquet and read again.
 
-STAGES = []
+All stages but the last return the columns of documents (doc_id, text, lang, source, n_chars). Empty tables pass through.
+"""
+
+from __future__ import annotations
+
+import public_tokenizers
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from pagewright.llm import common, jaccard, language, lines, mixing, packing
+
+#: A text of so many characters that is like no learned language to this cosine at least is rejected.
+LEAST_SCORE, SCORED_CHARS = 0.25, 200
+
+
+def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Without documents that have no language: null or letterless texts, and longer ones that are like no learned language.
+
+    The languages are learned from the stage's own labelled documents; a text's label has no part in its verdict."""
+    model = language.learn(docs)
+    found = language.predict(docs.select(F.struct(*docs.columns).alias("row"), "text"), model, "row")
+    far = (F.col("score") < LEAST_SCORE) & (F.char_length("row.text") >= SCORED_CHARS)
+    return found.filter((F.col("lang_pred") != language.UNKNOWN) & ~far).select("row.*")
+
+
+def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Without lines that have an earlier equal or near one, and without documents that have no line left."""
+    found = lines.deduplicated(docs).filter(F.col("text").rlike(lines.VISIBLE))
+    return found.withColumn("n_chars", F.char_length("text").cast("long")).select(*docs.columns)
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each group of near-duplicates the document with the smallest id (rows equal in id and text stay together)."""
+    key = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"), F.xxhash64("text").alias("text"))
+    keyed = docs.select("*", key.alias("key"))
+    kept = jaccard.linked(keyed, "key").filter("key = component_id").select("key").distinct()
+    return keyed.join(kept, "key", "left_semi").select(*docs.columns)
+
+
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents as often as the mix takes them: 150% of all words, sources weighted 3, 1, 2 in turn, twice at most."""
+    shares = mixing.plan(mixing.sized(docs), mixing.repeating((3, 1, 2)), 1.5, 2.0)
+    taken = mixing.with_copies(docs.withColumn("hash", mixing.hash60("doc_id", "text")), shares)
+    copies = F.array_repeat(F.lit(0), F.col("copies").cast("int"))
+    return taken.withColumn("copy", F.explode(copies)).select(*docs.columns)
+
+
+def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of at most 4096 tokens, packed into sequences."""
+    return packing.pack(packing.cut_documents(docs.select("doc_id", "text"), public_tokenizers.path("word_bpe_49k.json")))
+
+
+STAGES = [
+    ("language_id", language_id),
+    ("line_dedup", line_dedup),
+    ("near_duplicates", near_duplicates),
+    ("mix_sources", mix_sources),
+    ("pack", pack),
+]
+
+#: Stages 1, 3 and 5 can't be said in SQL; they are tested against brute force.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The stages over documents."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
-    return docs
+    for name, stage in STAGES[:-1]:
+        docs = common.stored(stage(spark, docs, sf_dir), name)
+    return STAGES[-1][1](spark, docs, sf_dir)

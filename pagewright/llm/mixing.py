@@ -98,19 +98,28 @@ def _thresholds(rows: DataFrame, shares: list[Share]) -> None:
     assert wide ** LEVELS == 1 << 60
 
 
-def mix(rows: DataFrame, weigh: Callable[[list], dict], share: float = 1.5, most: float = 2.0) -> DataFrame:
-    """rows of ``sized`` plus source_size, target and taken (words the mix takes of a row, repeats counted).
-
-    weigh: from the list of sources to their weights."""
+def plan(rows: DataFrame, weigh: Callable[[list], dict], share: float = 1.5, most: float = 2.0) -> list[Share]:
+    """The share of each source, from rows of ``sized``. weigh: from the list of sources to their weights."""
     sizes = {r.source: r.size for r in rows.groupBy("source").agg(F.sum("size").alias("size")).collect()}
     shares = []
     for source, target in targets(sizes, weigh(list(sizes)), share, most).items():
         passes = math.floor(target / sizes[source]) if sizes[source] else 0
         shares.append(Share(source, sizes[source], target, passes, target - passes * sizes[source] if sizes[source] else 0.0))
     _thresholds(rows, shares)
-    table = rows.sparkSession.createDataFrame([(s.source, s.size, s.target, s.passes, s.threshold) for s in shares], "of string, source_size long, target double, passes long, threshold long")
-    copies = F.col("passes") + (F.col("hash") < F.col("threshold")).cast("long")
-    return rows.join(F.broadcast(table), F.col("source").eqNullSafe(F.col("of"))).select("key", "source", "size", "hash", "source_size", "target", (F.col("size") * copies).alias("taken"), copies.alias("copies"))
+    return shares
+
+
+def with_copies(rows: DataFrame, shares: list[Share], source: str = "source", hash_column: str = "hash") -> DataFrame:
+    """rows plus source_size, target and copies (how often the mix takes a row)."""
+    schema = "__of string, source_size long, target double, __passes long, __threshold long"
+    table = rows.sparkSession.createDataFrame([(s.source, s.size, s.target, s.passes, s.threshold) for s in shares], schema)
+    copies = F.col("__passes") + (F.col(hash_column) < F.col("__threshold")).cast("long")
+    return rows.join(F.broadcast(table), F.col(source).cast("string").eqNullSafe(F.col("__of"))).withColumn("copies", copies).drop("__of", "__passes", "__threshold")
+
+
+def mix(rows: DataFrame, weigh: Callable[[list], dict], share: float = 1.5, most: float = 2.0) -> DataFrame:
+    """rows of ``sized`` plus source_size, target, copies and taken (words the mix takes of a row, repeats counted)."""
+    return with_copies(rows, plan(rows, weigh, share, most)).withColumn("taken", F.col("size") * F.col("copies"))
 
 
 def repeating(weights: tuple[float, ...] = (3, 1, 2)) -> Callable[[list], dict]:
