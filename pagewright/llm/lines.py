@@ -27,6 +27,8 @@ from . import common
 LEAST_CHARS = 20
 SEGMENTS = 3
 SEGMENT_CHARS = 2048
+#: Counted bytes of a table that may be broadcast; a larger one is joined by a shuffle.
+BROADCAST_BYTES = 48 << 20
 VISIBLE = r"[^\x00-\x20\x7f]"
 
 
@@ -56,56 +58,70 @@ def _cut(lines: DataFrame) -> DataFrame:
     return both.withColumn("outside", outside).drop("n")
 
 
-def near_earlier(lines: DataFrame) -> DataFrame:
-    """(id, other): the earliest place of a different line within one edit, where that is before the line's own.
+def _bounded(table: DataFrame, row_bytes: int, most_bytes: int) -> DataFrame:
+    """A stored table with a broadcast hint if its counted rows are within a bound."""
+    return F.broadcast(table) if table.count() * row_bytes <= most_bytes else table
 
-    lines: (id, line, length, place), each id once. Every key group is only aggregated, never paired: lines that lack the
-    same character of equal length are all near to each other, so the earliest stands for them; and the line that is equal
+
+def near_earliest(lines: DataFrame, broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
+    """(id, other): the earliest place of a different line within one edit, for lines that have one.
+
+    lines: occurrences (id, line, length, place). Key groups are only aggregated, never paired: lines that lack the same
+    character of equal length are all near to each other, so the two earliest stand for them; and the line that is equal
     to others without a character is one line."""
     keys = _cut(lines)
     shared = keys.select("outside", F.xxhash64("id").alias("h")).groupBy("outside").agg(F.min("h").alias("low"), F.max("h").alias("high")).filter("low <> high").select("outside")
     shared = common.stored(shared, "outside")
+    if shared.count() * 8 <= broadcast_bytes:
+        near = keys.join(F.broadcast(shared), "outside", "left_semi")
+    else:  # lines are shuffled once, not once a key: first to those with a shared key
+        wanted = keys.select("outside", "id").join(shared, "outside", "left_semi").select("id").distinct()
+        near = _cut(lines.join(wanted, "id", "left_semi")).join(shared, "outside", "left_semi")
+    # the occurrences of a line are one from here on
     inner = F.substr("line", F.col("start") + 1, F.col("end") - F.col("start"))
-    longer = F.col("length") > F.col("shorter")
-    near = keys.join(shared, "outside", "left_semi").select("id", "place", "outside", longer.alias("longer"), inner.alias("inner"))
+    near = near.select("id", "line", "place", "outside", (F.col("length") > F.col("shorter")).alias("longer"), inner.alias("inner"))
+    near = near.groupBy("id", "outside", "longer").agg(F.min("place").alias("place"), F.first("line").alias("line"), F.first("inner").alias("inner"))
+    near = common.stored(near, "open")
     size = F.char_length("inner")
-    at = near.withColumn("i", F.explode(F.sequence(F.when(F.col("longer"), 1).otherwise(0), size)))
+    at = near.select("id", "place", "outside", "longer", "inner", F.explode(F.sequence(F.when(F.col("longer"), 1).otherwise(0), size)).alias("i"))
     variant = F.when(F.col("i") == 0, F.col("inner")).otherwise(F.concat(F.substr("inner", F.lit(1), F.col("i") - 1), F.substr("inner", F.col("i") + 1, size)))
     # i tells changed characters apart by position; a left-out one meets the line without it wherever it was
     where = F.when(F.col("longer"), 0).otherwise(F.col("i"))
     kind = F.when(F.col("longer"), 1).when(F.col("i") == 0, 2).otherwise(0)
     variants = common.stored(at.select("id", "place", kind.alias("kind"), F.xxhash64("outside", where, variant).alias("variant")), "variants")
     own = F.struct("place", "id")
+    many = variants.groupBy("variant").agg(F.min("id").alias("low"), F.max("id").alias("high")).filter("low <> high").select("variant")
+    variants = common.stored(variants.join(_bounded(common.stored(many, "many"), 8, broadcast_bytes), "variant", "left_semi"), "shared")
     groups = variants.groupBy("variant").agg(
-        F.min(own).alias("any"), F.min(F.when(F.col("kind") == 1, own)).alias("long"), F.min(F.when(F.col("kind") == 2, own)).alias("short"), F.max(own).alias("last")
-    ).filter("any.id <> last.id")
-    other = F.when(F.col("kind") == 0, F.col("any")).when(F.col("kind") == 1, F.col("short")).otherwise(F.col("long"))
-    found = variants.join(groups, "variant").select("id", "place", other.alias("other")).filter(F.col("other.place") < F.col("place"))
+        F.min(F.when(F.col("kind") == 1, own)).alias("long"), F.min(F.when(F.col("kind") == 2, own)).alias("short"), F.min(F.when(F.col("kind") == 0, own)).alias("first")
+    )
+    other = F.when(F.col("kind") == 0, F.col("first")).when(F.col("kind") == 1, F.col("short")).otherwise(F.col("long"))
+    found = variants.join(groups, "variant").select("id", other.alias("other")).filter(F.col("other").isNotNull() & (F.col("other.id") != F.col("id")))
     found = found.select("id", F.col("other.id").alias("other_id"), F.col("other.place").alias("other")).distinct()
-    texts = lines.select("id", "line")
+    texts = near.groupBy("id").agg(F.first("line").alias("line"))
     said = found.join(texts.withColumnRenamed("line", "left"), "id").join(texts.select(F.col("id").alias("other_id"), F.col("line").alias("right")), "other_id")
     return said.filter(F.levenshtein("left", "right", 1) == 1).groupBy("id").agg(F.min("other").alias("other"))
 
 
-def dropped(docs: DataFrame, key: str = "doc_id", text: str = "text", least_chars: int = LEAST_CHARS) -> DataFrame:
-    """(none, key, text, gone): line numbers that go, for each document (by key and text hash) that loses any."""
+def dropped(docs: DataFrame, key: str = "doc_id", text: str = "text", least_chars: int = LEAST_CHARS, broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
+    """(key, text, gone): line numbers that go, for each document (by key and text hash) that loses any."""
     split = _split(docs, key, text).filter(F.col("line").rlike(VISIBLE)).withColumn("id", F.unhex(F.md5("line")))
-    first = split.groupBy("id").agg(F.min("place").alias("first"), F.max("place").alias("last"))
-    first = common.stored(first, "lines")
+    twice = split.groupBy("id").agg(F.min("place").alias("first"), F.max("place").alias("last")).filter(F.col("first") < F.col("last")).select("id", "first")
     long_ones = split.withColumn("length", F.char_length("line")).filter(F.col("length") >= least_chars)
-    unique = common.stored(long_ones.groupBy("id", "length").agg(F.first("line").alias("line"), F.min("place").alias("place")), "texts")
-    other = common.stored(near_earlier(unique), "near")
-    # lines of which some occurrence goes: one that occurs twice, or has an earlier near line
-    bounds = first.join(other, "id", "left").withColumn("earliest", F.least("first", "other"))
-    bounds = bounds.filter((F.col("first") < F.col("last")) | (F.col("earliest") < F.col("first"))).select("id", "earliest")
-    gone = split.select("id", "place").join(bounds, "id").filter(F.col("earliest") < F.col("place"))
-    return gone.groupBy("place.none", "place.key", "place.text").agg(F.array_sort(F.collect_set("place.at")).alias("gone"))
+    other = near_earliest(long_ones, broadcast_bytes)
+    # lines that occur twice or have a near line, and the earliest place of either
+    bounds = common.stored(twice.join(other, "id", "full_outer").select("id", F.least("first", "other").alias("earliest")), "bounds")
+    gone = split.select("id", "place").join(_bounded(bounds, 100, broadcast_bytes), "id").filter(F.col("earliest") < F.col("place"))
+    return gone.groupBy("place.none", "place.key", "place.text").agg(F.array_sort(F.collect_set("place.at")).alias("gone")).drop("none")
 
 
-def deduplicated(docs: DataFrame, key: str = "doc_id", text: str = "text", least_chars: int = LEAST_CHARS) -> DataFrame:
+def deduplicated(docs: DataFrame, key: str = "doc_id", text: str = "text", least_chars: int = LEAST_CHARS, broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
     """docs with the text's remaining lines, and n_lines and n_dropped."""
-    gone = dropped(docs.select(key, text), key, text, least_chars).select(F.col("key").alias("__key"), F.col("text").alias("__text"), F.col("gone").alias("__gone"))
-    joined = docs.join(gone, F.col(key).eqNullSafe(F.col("__key")) & (F.xxhash64(text) == F.col("__text")), "left")
+    gone = dropped(docs.select(key, text), key, text, least_chars, broadcast_bytes)
+    gone = common.stored(gone.select(F.col("key").alias("__key"), F.col("text").alias("__text"), F.col("gone").alias("__gone")), "gone")
+    numbers = gone.agg(F.sum(F.size("__gone") + 16)).first()[0] or 0
+    small = F.broadcast(gone) if numbers * 4 <= broadcast_bytes else gone
+    joined = docs.join(small, F.col(key).eqNullSafe(F.col("__key")) & (F.xxhash64(text) == F.col("__text")), "left")
     lines = F.split(F.col(text), "\n", -1)
     left = F.when(F.col("__gone").isNull(), F.col(text)).otherwise(F.array_join(F.filter(lines, lambda x, i: ~F.array_contains(F.col("__gone"), i)), "\n"))
     out = joined.withColumn("__left", left).withColumn("n_lines", F.coalesce(F.size(lines), F.lit(0)).cast("long")).withColumn("n_dropped", F.coalesce(F.size("__gone"), F.lit(0)).cast("long"))
