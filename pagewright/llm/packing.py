@@ -12,6 +12,7 @@ Null text is an empty document (its end id only). Repeated rows are packed each
 from __future__ import annotations
 
 import functools
+import re
 import zlib
 from collections.abc import Iterator
 
@@ -25,44 +26,68 @@ from . import common
 
 CAPACITY = 4096
 SHARD_PIECES = 40_000
-CACHE = 300_000
+#: Entries at which a worker's cache of words or pre-tokens is dropped.
+CACHE = 600_000
 
 
-@functools.lru_cache(2)
-def _tokenizer(path: str):
-    from tokenizers import Tokenizer
+#: Words that need no library to be cut: letters of Latin-1 (composed, lower-cased letter by letter), then marks.
+_SIMPLE = re.compile(r"([A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+)([.,;:?!#*$%&|]*)").fullmatch
 
-    return Tokenizer.from_file(path)
+
+class _Kept(dict):
+    """Values by key, made when first asked for; dropped at CACHE entries."""
+
+    def __init__(self, make):
+        self.make = make
+
+    def __missing__(self, key):
+        if len(self) >= CACHE:
+            self.clear()
+        found = self[key] = self.make(key)
+        return found
 
 
 class Ids:
-    """Ids of a text as little-endian 32-bit bytes, by way of a cache of its words.
+    """Ids of a text as little-endian 32-bit bytes, by way of caches of its words and of their pre-tokens.
 
-    For tokenizers that drop white space: no token spans it, so the ids of a text are those of its words in turn."""
+    For byte-level tokenizers that drop white space: no token spans it, so the ids of a text are those of its words in
+    turn. Simple words are cut into pre-tokens here, others by the library, and every pre-token into ids by its model."""
 
     def __init__(self, path: str):
-        self.library, self.known = _tokenizer(path), {}
+        from tokenizers import Tokenizer
+
+        self.library = Tokenizer.from_file(path)
+        self.specials = [t.content for t in self.library.get_added_tokens_decoder().values()]
+        letters = [chr(x) for x in range(0xFF + 1) if chr(x).isalpha()]
+        self.byte_level = str.maketrans({x: "".join(p for p, _ in self.library.pre_tokenizer.pre_tokenize_str(x)) for x in letters})
+        self.words = _Kept(self.word)
+        self.part = _Kept(lambda pre_token: np.array([t.id for t in self.library.model.tokenize(pre_token)], "<u4").tobytes()).__getitem__
+
+    def word(self, raw: bytes) -> bytes:
+        word = raw.decode()
+        if simple := _SIMPLE(word):
+            letters, marks = simple.groups()
+            own = self.part(letters.lower().translate(self.byte_level))
+            return own + self.part(marks) if marks else own
+        if any(x in word for x in self.specials):
+            return np.array(self.library.encode(word, add_special_tokens=False).ids, "<u4").tobytes()
+        plain = self.library.normalizer.normalize_str(word) if self.library.normalizer else word
+        return b"".join(self.part(p) for p, _ in self.library.pre_tokenizer.pre_tokenize_str(plain))
 
     def all(self, texts: list[bytes]) -> list[bytes]:
-        words = [x.split() for x in texts]
-        if len(self.known) > CACHE:
-            self.known.clear()
-        known = self.known
-        new = list({w for own in words for w in own if w not in known})
-        for i in range(0, len(new), 20_000):
-            part = new[i : i + 20_000]
-            for word, got in zip(part, self.library.encode_batch_fast([w.decode() for w in part], add_special_tokens=False), strict=True):
-                known[word] = np.array(got.ids, "<u4").tobytes()
-        return [b"".join(map(known.__getitem__, own)) for own in words]
+        of = self.words.__getitem__
+        return [b"".join(map(of, x.split())) for x in texts]
+
+
+@functools.lru_cache(1)
+def _ids(path: str) -> Ids:
+    """One for all tasks of a worker."""
+    return Ids(path)
 
 
 def _pieces(path: str, end_id: int, capacity: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        # the library's own threads would compete with the executor's other tasks
-        import os
-
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        ids, end, wide = Ids(path), np.array([end_id], "<u4").tobytes(), 4 * capacity
+        ids, end, wide = _ids(path), np.array([end_id], "<u4").tobytes(), 4 * capacity
         for batch in common.slices(batches, 1):
             rows: list[tuple] = []
             for at, raw in enumerate(ids.all(common.byte_values(batch.column(1)))):
