@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pagewright.functions import pages as P
 from pagewright.operators import histogram, image
 from pagewright.plans.registry import query
-from pagewright.plans.text_queries import read
+from pagewright.plans.text_queries import read, spread
 
 GRAY_SQL = "gray AS (SELECT vec_id, u.i - 1 AS i, greatest(0, least(255, floor((embedding[u.i]::DOUBLE + 0.5) * 255)))::INT AS v FROM embeddings, LATERAL (SELECT unnest(range(1, len(embedding) + 1)) AS i) u)"
 OTSU_SQL = f"""{GRAY_SQL},
@@ -95,7 +95,7 @@ def text_pages(spark, sf_dir):
                 yield pd.DataFrame({"page_id": [row.doc_id], "h": [page.shape[0]], "w": [page.shape[1]], "data": [page.tobytes()]})
 
     docs = read(spark, sf_dir, "documents").filter("text IS NOT NULL").select("doc_id", "text")
-    return docs.repartition(4 * spark.sparkContext.defaultParallelism, "doc_id").mapInPandas(draw, "page_id long, h int, w int, data binary")
+    return spread(docs, "doc_id").mapInPandas(draw, "page_id long, h int, w int, data binary")
 
 
 def _digest(pages):

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pagewright.functions import pages as P
 from pagewright.operators import layout, models
 from pagewright.plans.registry import query
-from pagewright.plans.text_queries import read
+from pagewright.plans.text_queries import read, spread
 
 BOX_SQL = """
 boxes AS (
@@ -102,7 +102,7 @@ def profile(spark, sf_dir):
 
 def raster(spark, sf_dir):
     """(doc_id, y, x, v): a pixel per character; spaces are white."""
-    lines = read(spark, sf_dir, "documents").select("doc_id", F.posexplode(F.split("text", "\n", -1)).alias("y", "line"))
+    lines = spread(read(spark, sf_dir, "documents").select("doc_id", "text"), "doc_id").select("doc_id", F.posexplode(F.split("text", "\n", -1)).alias("y", "line"))
     pixels = lines.select("doc_id", "y", F.char_length("line").alias("w"), F.posexplode(F.split("line", "")).alias("x", "c")).filter("c <> ''")
     return pixels.select("doc_id", "y", "x", "w", F.when(F.col("c") == " ", 255).otherwise(0).alias("v"))
 

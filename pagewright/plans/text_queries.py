@@ -28,6 +28,13 @@ def repaired(text):
     return F.translate(text, "c0", "eo")
 
 
+def spread(rows: DataFrame, key: str) -> DataFrame:
+    """Rows dealt out before work that is heavy per row, where the scan has fewer partitions than the cluster has cores (a
+    table in one file is one partition); else as they are."""
+    cores = rows.sparkSession.sparkContext.defaultParallelism
+    return rows.repartition(4 * cores, key) if rows.rdd.getNumPartitions() < cores else rows
+
+
 def predictions(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(truth, raw, corrected) pages: labelled documents are the truth; two of three pages are partly repaired."""
     docs = read(spark, sf_dir, "documents").select(F.col("doc_id").alias("page_id"), "text")
@@ -41,7 +48,7 @@ def ascii_lines(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame,
     """The same by line instead of document, ASCII characters only: the twin's distance counts bytes."""
 
     def lines(docs: DataFrame) -> DataFrame:
-        own = docs.select("page_id", F.posexplode(F.split("text", "\n", -1)).alias("n", "line"))
+        own = spread(docs, "page_id").select("page_id", F.posexplode(F.split("text", "\n", -1)).alias("n", "line"))
         return own.select(F.format_string("%d_%d", "page_id", "n").alias("page_id"), F.regexp_replace("line", r"[^\x00-\x7F]", "").alias("text"))
 
     return tuple(map(lines, predictions(spark, sf_dir)))
@@ -98,7 +105,7 @@ def split_lines(spark, sf_dir):
 
 @query("cer_lines", f"WITH {LINES_SQL} SELECT printf('%d_%d', doc_id, n) AS page_id, round(cer_raw, 9) AS cer_raw, round(cer_corrected, 9) AS cer_corrected FROM rates")
 def cer_lines(spark, sf_dir):
-    pages = evaluate.per_page(*ascii_lines(spark, sf_dir), metrics=("cer",), short=True)
+    pages = evaluate.per_page(*ascii_lines(spark, sf_dir), metrics=("cer",))
     return pages.select("page_id", F.round("cer_raw", 9).alias("cer_raw"), F.round("cer_corrected", 9).alias("cer_corrected"))
 
 
@@ -106,12 +113,12 @@ def cer_lines(spark, sf_dir):
 SELECT count(*) AS evaluated, (SELECT count(*) FROM lines) AS total_processed, round(avg(cer_raw), 9) AS cer_raw_mean, round(avg(cer_corrected), 9) AS cer_corrected_mean FROM rates""")
 def cer_report_lines(spark, sf_dir):
     truth, raw, corrected = ascii_lines(spark, sf_dir)
-    return evaluate.report(evaluate.per_page(truth, raw, corrected, metrics=("cer",), short=True), raw, 9)
+    return evaluate.report(evaluate.per_page(truth, raw, corrected, metrics=("cer",)), raw, 9)
 
 
 @query("accuracy_ext", f"WITH {LINES_SQL} SELECT doc_id, round(avg(1 - cer_raw), 9) AS accuracy_raw, round(avg(1 - cer_corrected), 9) AS accuracy_corrected FROM rates GROUP BY doc_id")
 def accuracy_ext(spark, sf_dir):
-    pages = evaluate.per_page(*ascii_lines(spark, sf_dir), metrics=("cer",), short=True)
+    pages = evaluate.per_page(*ascii_lines(spark, sf_dir), metrics=("cer",))
     doc = F.split_part("page_id", F.lit("_"), F.lit(1)).cast("long").alias("doc_id")
     return pages.groupBy(doc).agg(*(F.round(F.avg(T.accuracy(F.col(f"cer_{s}"))), 9).alias(f"accuracy_{s}") for s in ("raw", "corrected")))
 
@@ -120,19 +127,14 @@ def accuracy_ext(spark, sf_dir):
 def eval_per_page(spark, sf_dir):
     """Character and word error rates of whole documents, by bit-parallel distances."""
     truth, raw, corrected = predictions(spark, sf_dir)
-    return evaluate.per_page(spread(spark, truth), raw, corrected)
-
-
-def spread(spark, pages):
-    """A single file is one partition: deal pages out before work that is heavy per row."""
-    return pages.repartition(4 * spark.sparkContext.defaultParallelism, "page_id")
+    return evaluate.per_page(spread(truth, "page_id"), raw, corrected)
 
 
 @query("eval_report")
 def eval_report(spark, sf_dir):
     """The flagship: coverage and mean error rates over all documents."""
     truth, raw, corrected = predictions(spark, sf_dir)
-    return evaluate.report(evaluate.per_page(spread(spark, truth), raw, corrected), raw, 9)
+    return evaluate.report(evaluate.per_page(spread(truth, "page_id"), raw, corrected), raw, 9)
 
 
 @query("wer_lines")
@@ -247,7 +249,7 @@ def rate_limited(spark, sf_dir):
 
 @query("unified_diffs")
 def unified_diffs(spark, sf_dir):
-    docs = read(spark, sf_dir, "documents").repartition(spark.sparkContext.defaultParallelism, "doc_id")
+    docs = spread(read(spark, sf_dir, "documents"), "doc_id")
     return docs.select("doc_id", T.unified_diff(noisy("text"), repaired(noisy("text"))).alias("diff"))
 
 
