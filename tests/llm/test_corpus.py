@@ -93,6 +93,7 @@ def corpus(seed):
                 own[rng.randrange(size)] = word()
             rows.append(" ".join(own).upper() if k % 5 == 0 else "\n".join(own))
     rows += rng.sample(rows, 30) + ["", None, "one", "One", "one two three", "a b c d e", "  \t"]
+    rows += ["u v w x y z q", "u v w x y z q extra", "u v w x y z q extra more"]
     rng.shuffle(rows)
     return [*enumerate(rows), (None, rows[0]), (None, "alone without any id at all"), (3, rows[3])]
 
@@ -104,24 +105,29 @@ def test_jaccard(spark, seed, at, most):
     assert sorted(map(tuple, jaccard.linked(docs, frequent_at=at, broadcast_bytes=most).collect()), key=repr) == slow_components(rows)
 
 
+def test_jaccard_by_blocks(spark, monkeypatch):
+    monkeypatch.setattr(jaccard, "BLOCK_SETS", 5)
+    rows = corpus(5)
+    assert sorted(map(tuple, jaccard.linked(spark.createDataFrame(rows, "doc_id long, text string")).collect()), key=repr) == slow_components(rows)
+
+
 def test_jaccard_of_nothing(spark):
     assert jaccard.linked(spark.createDataFrame([], "doc_id long, text string")).count() == 0
     assert [tuple(r) for r in jaccard.linked(spark.createDataFrame([(1, None)], "doc_id long, text string")).collect()] == [(1, 0, 1)]
 
 
 @settings(max_examples=300, deadline=None)
-@given(st.integers(4, 60), st.integers(0, 20), st.integers(0, 20), st.floats(0, 1), st.integers(0, 10**6))
+@given(st.integers(1, 60), st.integers(0, 20), st.integers(0, 20), st.floats(0, 1), st.integers(0, 10**6))
 def test_similar_sets_share_an_entry(n, out, more, share, seed):
     rng = np.random.default_rng(seed)
     a = np.unique(rng.integers(0, 1 << 62, n).astype(np.uint64))
     b = np.unique(np.r_[rng.permutation(a)[min(out, n - 1) :], rng.integers(0, 1 << 62, more).astype(np.uint64)])
     both = len(np.intersect1d(a, b))
     frequent = lambda x: (x >> np.uint64(3)) % np.uint64(1000) < np.uint64(int(1000 * share))
-    if 100 * both >= 75 * (len(a) + len(b) - both) and min(len(a), len(b)) > 3:
-        if jaccard.slack(len(a)) and jaccard.slack(len(b)):
-            assert len(np.intersect1d(jaccard.entries(a, frequent(a)), jaccard.entries(b, frequent(b))))
-    bits = [np.frombuffer(jaccard.bitmap(x), np.uint8) for x in (a, b)]
-    assert jaccard.most_common(len(a), len(b), *bits) >= both
+    if 100 * both >= 75 * (len(a) + len(b) - both) and len(a) + len(b) > 2 * both:
+        assert len(np.intersect1d(jaccard.entries(a, frequent(a)), jaccard.entries(b, frequent(b))))
+    similar = 100 * both >= 75 * (len(a) + len(b) - both)
+    assert len(jaccard.joining_links([a, b], np.zeros(2, int))) == similar == len(jaccard.joining_links([a, b], np.arange(2)))
 
 
 def test_components(spark):

@@ -1,5 +1,6 @@
 """Every stage, judged on its own input."""
 
+import random
 from collections import Counter
 
 import pytest
@@ -12,7 +13,10 @@ COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 @pytest.fixture(scope="module")
 def docs(spark):
-    say = lambda i, words: " ".join(words[(i * k + k) % len(words)] + str(i * k % 7).translate(str.maketrans("0123456", "abcdefg")) for k in range(1, 70))
+    def say(i, words):
+        rng = random.Random(i)
+        return " ".join(rng.choice(words) + "".join(rng.choices("abcdefg", k=3)) for _ in range(70))
+
     one, two = ["karo", "milu", "tena", "sora", "lino"], ["gruschel", "pfint", "zwack", "schnurz"]
     rows = [(i, say(i, one if i % 2 else two), "aa" if i % 2 else "bb", f"s{i % 3}") for i in range(60)]
     rows += [(100, rows[7][1], "aa", "s1"), (101, rows[8][1].replace(" ", "\n", 1) + " ende", "bb", None), (102, None, None, "s0"), (103, "123 !!", "aa", "s0"), (104, rows[9][1] + "\nAnd one line that stands here alone\n" + rows[10][1], None, "s1"), (None, say(71, one), "aa", "s2")]
