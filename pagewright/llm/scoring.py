@@ -3,7 +3,9 @@
 Tokens are words (A-Z lower-cased; runs of anything but U+0020 and U+0009-000D) and one end of text, which is also the
 context of the first word. The filter holds counts of all words and of all word pairs seen twice or more, quantised to
 level 1 + floor(log_1.5(count)): every level from 1 up to its own is a member, and probing upwards until the first miss
-gives the level back. It is built in slices by hash, each where its n-grams' counts meet, and broadcast. The probability
+gives the level back. It is built in slices by hash, each where its n-grams' counts meet, with 10 to 20 bits a member at
+every size. A filter within filter_bytes is broadcast; beyond, the documents' n-grams are sent to their slices and the
+levels come back, which gives the same scores. The probability
 of w after v is (count(v, w) + M * p(w)) / (count(v) + M), with p(w) = (count(w) + 0.5) / (N + 0.5 * (V + 1)), all counts
 from the filter. The base score has p(w) alone, with exact counts.
 
@@ -13,6 +15,7 @@ nothing learned every token is unknown (N = V = 0).
 
 from __future__ import annotations
 
+import uuid
 import zlib
 from collections import Counter
 from collections.abc import Iterator
@@ -32,7 +35,7 @@ LEAST_PAIR = 2
 MASS = 5000.0  # M
 PROBES = 4
 BITS = 10  # of the filter for each member, before rounding up to a power of two
-#: Bytes of the filter that may be broadcast: a larger one is folded in half until it fits, so it loses no member.
+#: Bytes of the filter that may be broadcast; the n-grams are sent to the slices of a larger one.
 FILTER_BYTES = 256 << 20
 #: Bytes of exact (hash, count) pairs that may be broadcast; a larger vocabulary is joined by a shuffle.
 BROADCAST_BYTES = 96 << 20
@@ -56,9 +59,13 @@ class Flat:
         self.hashes = np.array([xxhash.xxh64_intdigest(w, _SEED) for w in self.words], np.uint64)
 
     def pairs(self) -> np.ndarray:
-        """A hash for each token with the one before it; the end of text stands before the first."""
-        before = np.r_[0, self.at[:-1]]  # the token before a text is an end, too
-        return pair_keys(self.hashes[before], self.hashes[self.at])
+        return pairs_of(self.hashes, self.at)
+
+
+def pairs_of(hashes: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """A hash for each token with the one before it; the end of text stands before the first."""
+    before = np.r_[0, at[:-1]]  # the token before a text is an end, too
+    return pair_keys(hashes[before], hashes[at])
 
 
 def pair_keys(first: np.ndarray, second: np.ndarray) -> np.ndarray:
@@ -213,7 +220,8 @@ def _merged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 class Model:
-    """words: (word, hash, times), in the shared folder; filter: the log-frequency Bloom filter; N and V."""
+    """words: (word, hash, times) and slices: (shard, bits) of the log-frequency Bloom filter, in the shared folder; filter:
+    the whole of it, or None where it is larger than filter_bytes; N and V."""
 
     def __init__(self, docs: DataFrame, text: str = "text", filter_bytes: int = FILTER_BYTES):
         spark = docs.sparkSession
@@ -223,11 +231,11 @@ class Model:
         self.words = made.filter(F.col("word").isNotNull()).select("word", "hash", "times")
         size, self.total, self.distinct = made.agg(F.sum(F.octet_length("bits")), F.sum("times"), F.count("word")).first()
         self.total = self.total or 0
-        times = 0
-        while (size or 0) >> times > filter_bytes:
-            times += 1
-        slices: dict[int, bytes] = {r.shard: fold(bytes(r.bits), times) for r in made.filter(F.col("shard").isNotNull()).select("shard", "bits").toLocalIterator()}
-        self.filter = Filter([slices.get(i, bytes(8)) for i in range(n)] if slices else [])
+        self.n, self.slices = n, made.filter(F.col("shard").isNotNull()).select("shard", "bits")
+        self.filter = None
+        if (size or 0) <= filter_bytes:
+            slices: dict[int, bytes] = {r.shard: bytes(r.bits) for r in self.slices.toLocalIterator()}
+            self.filter = Filter([slices.get(i, bytes(8)) for i in range(n)] if slices else [])
 
     def exact(self, most: int) -> tuple[np.ndarray, np.ndarray] | None:
         """Sorted hashes and counts of the words, if they fit and no two words share a hash."""
@@ -240,30 +248,103 @@ class Model:
         return None if (hashes[1:] == hashes[:-1]).any() else (hashes, times[order])
 
 
+_SCORE_SCHEMA = "n_tokens long, score double, n_known long, base_score double"
+
+
+def _measures(ids: pa.Array, sizes: np.ndarray, at: np.ndarray, hashes: np.ndarray, levels, held) -> pa.RecordBatch:
+    """The scores of some texts (as in Flat); levels: of an array of keys."""
+    _, exact, total, distinct = held
+    floor, n = total + 0.5 * (distinct + 1), len(sizes)
+    owner = np.repeat(np.arange(n), sizes)
+    about = ESTIMATES[levels(word_keys(hashes))]
+    context = about[np.r_[0, at[:-1]]]
+    both = np.minimum(ESTIMATES[levels(pairs_of(hashes, at))], context)
+    chance = (both + MASS * (about[at] + 0.5) / floor) / (context + MASS)
+    columns = [pa.array(sizes), pa.array(np.bincount(owner, np.log10(chance), n))]
+    if exact is not None:
+        known, times = exact
+        place = np.minimum(np.searchsorted(known, hashes), max(0, len(known) - 1))
+        count = np.where(known[place] == hashes, times[place], 0) if len(known) else np.zeros(len(hashes), np.int64)
+        columns += [pa.array(np.bincount(owner, count[at] > 0, n).astype(np.int64)), pa.array(np.bincount(owner, np.log10((count + 0.5) / floor)[at], n))]
+    else:
+        columns += [pa.nulls(n, pa.int64()), pa.nulls(n, pa.float64())]
+    return pa.record_batch([ids, *columns], ["id", "n_tokens", "score", "n_known", "base_score"])
+
+
 def _scored(held):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        filt, exact, total, distinct = held.value
-        floor = total + 0.5 * (distinct + 1)
         for batch in common.slices(batches, 1):
-            flat, n = Flat(common.byte_values(batch.column(1))), batch.num_rows
-            about = ESTIMATES[filt.levels(word_keys(flat.hashes))]
-            after = np.r_[0, flat.at[:-1]]
-            context = about[after]
-            both = np.minimum(ESTIMATES[filt.levels(flat.pairs())], context)
-            chance = (both + MASS * (about[flat.at] + 0.5) / floor) / (context + MASS)
-            columns = [pa.array(flat.sizes), pa.array(np.bincount(flat.owner, np.log10(chance), n))]
-            if exact is not None:
-                hashes, times = exact
-                at = np.minimum(np.searchsorted(hashes, flat.hashes), max(0, len(hashes) - 1))
-                count = np.where(hashes[at] == flat.hashes, times[at], 0) if len(hashes) else np.zeros(len(flat.words), np.int64)
-                columns += [pa.array(np.bincount(flat.owner, count[flat.at] > 0, n).astype(np.int64)), pa.array(np.bincount(flat.owner, np.log10((count + 0.5) / floor)[flat.at], n))]
+            flat = Flat(common.byte_values(batch.column(1)))
+            yield _measures(batch.column(0), flat.sizes, flat.at, flat.hashes, held.value[0].levels, held.value)
+
+    return run
+
+
+def _keys_of(hashes: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """The distinct keys of words and pairs, sorted and so by shard, too."""
+    return np.unique(np.r_[word_keys(hashes), pairs_of(hashes, at)])
+
+
+def _asked(n: int):
+    """Texts in parts: a row with a part's tokens (shard -1), and its distinct keys in a row for each shard."""
+    names = ["part", "shard", "ids", "sizes", "at", "hashes", "keys"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in common.slices(batches, 1):
+            flat = Flat(common.byte_values(batch.column(1)))
+            keys = _keys_of(flat.hashes, flat.at)
+            cuts = np.searchsorted(shard_of(keys, n), np.arange(n + 1))
+            to = np.flatnonzero(cuts[1:] > cuts[:-1]).tolist()
+            none = [None] * len(to)
+            ids = pa.ListArray.from_arrays(pa.array([0] + [batch.num_rows] * (len(to) + 1), pa.int32()), batch.column(0))
+            tokens = ([x, *none] for x in (flat.sizes.astype("<i8").tobytes(), zlib.compress(flat.at.astype("<u4").tobytes(), 1), flat.hashes.tobytes()))
+            sent = [None, *(keys[cuts[s] : cuts[s + 1]].tobytes() for s in to)]
+            yield pa.record_batch([pa.array([uuid.uuid4().hex] * (len(to) + 1)), pa.array([-1, *to], pa.int32()), ids, *(pa.array(x, pa.binary()) for x in (*tokens, sent))], names)
+
+    return run
+
+
+def _answered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The levels of keys, by their shard's slice, which comes first."""
+    own = {}
+    for batch in batches:
+        for row in batch.to_pylist():
+            if row["part"] is None:
+                own = {row["shard"]: Filter([row["bits"]])}
             else:
-                columns += [pa.nulls(n, pa.int64()), pa.nulls(n, pa.float64())]
-            yield pa.record_batch([batch.column(0), *columns], ["id", "n_tokens", "score", "n_known", "base_score"])
+                levels = own.get(row["shard"], Filter([])).levels(np.frombuffer(row["keys"], np.uint64))
+                packed = zlib.compress(levels.astype("<u2").tobytes(), 1)
+                yield pa.record_batch([pa.array([row["part"]]), pa.array([row["shard"]], pa.int32()), pa.array([packed], pa.binary())], ["part", "shard", "levels"])
+
+
+def _put_together(held):
+    def run(table: pa.Table) -> pa.Table:
+        table = table.sort_by("shard")  # the part's tokens first
+        sizes, at, hashes = (table[c][0].as_py() for c in ("sizes", "at", "hashes"))
+        sizes, at, hashes = np.frombuffer(sizes, "<i8"), np.frombuffer(zlib.decompress(at), "<u4").astype(np.int64), np.frombuffer(hashes, np.uint64)
+        keys = _keys_of(hashes, at)
+        found = np.concatenate([np.frombuffer(zlib.decompress(x), "<u2") for x in table["levels"].to_pylist()[1:]]).astype(np.int64)
+        ids = table["ids"].chunk(0)[0].values
+        return pa.Table.from_batches([_measures(ids, sizes, at, hashes, lambda x: found[np.searchsorted(keys, x)], held.value)])
 
     return run
 
 
+def model_scores(rows: DataFrame, model: Model, kind: str, held) -> DataFrame:
+    """(id, n_tokens, score, n_known, base_score) of rows (id, text)."""
+    if model.filter is not None:
+        return rows.mapInArrow(_scored(held), f"id {kind}, {_SCORE_SCHEMA}")
+    # parts have random names, so they are stored before they are read twice
+    asked = common.stored(rows.mapInArrow(_asked(model.n), f"part string, shard int, ids array<{kind}>, sizes binary, at binary, hashes binary, keys binary"), "asked")
+    sent = asked.filter("shard >= 0").select("shard", "part", "keys", F.lit(None).cast("binary").alias("bits"))
+    slices = model.slices.select("shard", F.lit(None).cast("string").alias("part"), F.lit(None).cast("binary").alias("keys"), "bits")
+    met = sent.unionByName(slices).repartitionById(model.n, F.col("shard")).sortWithinPartitions(F.col("part").asc_nulls_first())
+    found = met.mapInArrow(_answered, "part string, shard int, levels binary")
+    tokens = asked.filter("shard = -1").select("part", "shard", "ids", "sizes", "at", "hashes")
+    parts = tokens.unionByName(found, allowMissingColumns=True)
+    return parts.groupBy("part").applyInArrow(_put_together(held), f"id {kind}, {_SCORE_SCHEMA}")
+
+
 def _frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in common.slices(batches, 1, 1 << 20):
         keys, words, times = [], [], []
@@ -280,18 +361,18 @@ def scores(docs: DataFrame, model: Model, key: str = "doc_id", text: str = "text
     """(key, n_tokens, n_known, train_tokens, base_score, score) of each row.
 
     Exact counts are broadcast as (hash, count) arrays if their measured size is within broadcast_bytes; otherwise the
-    documents' word frequencies are shuffled to the model's words. Both give equal results."""
+    documents' word frequencies are shuffled to the model's words. The model's filter is broadcast or asked by slices.
+    All give equal results."""
     kind = docs.schema[key].dataType.simpleString()
     exact = model.exact(broadcast_bytes)
     held = docs.sparkSession.sparkContext.broadcast((model.filter, exact, model.total, model.distinct))
-    schema = "n_tokens long, score double, n_known long, base_score double"
     if exact is not None:
-        found = docs.select(F.col(key).alias("id"), F.col(text)).mapInArrow(_scored(held), f"id {kind}, {schema}")
+        found = model_scores(docs.select(F.col(key).alias("id"), F.col(text)), model, kind, held)
     else:
         full = F.coalesce(F.col(text), F.lit(""))
         row = F.struct(F.col(key).alias("id"), F.concat(F.md5(full), F.octet_length(full)).alias("text_key"))
         keyed = docs.select(row.alias("row"), full.alias("body"))
-        first = keyed.mapInArrow(_scored(held), f"id struct<id: {kind}, text_key: string>, {schema}").select("id.*", "n_tokens", "score")
+        first = model_scores(keyed, model, f"struct<id: {kind}, text_key: string>", held).select("id.*", "n_tokens", "score")
         parts = keyed.select("row.text_key", "body").mapInArrow(_frequencies, "key string, word string, tf long").groupBy("key", "word").agg(F.max("tf").alias("tf"))
         floor = model.total + 0.5 * (model.distinct + 1)
         joined = parts.join(model.words.select("word", "times"), "word", "left")

@@ -263,6 +263,18 @@ def test_scoring(spark, odd, most):
     assert blank.total == 0 and scoring.scores(docs, blank, broadcast_bytes=most).first().n_known == 0
 
 
+@pytest.mark.parametrize("most", [scoring.BROADCAST_BYTES, 0])
+def test_scores_do_not_depend_on_filter_bytes(spark, odd, most):
+    rng = random.Random(9)
+    texts = [" ".join(f"w{int(rng.paretovariate(0.7)) % 5000}" for _ in range(rng.randrange(120))) for _ in range(400)]
+    docs = odd.select("doc_id", "text").unionByName(spark.createDataFrame([(1000 + i, t) for i, t in enumerate(texts)], "doc_id long, text string")).repartition(3)
+    whole, dealt = (scoring.Model(docs.filter("doc_id % 5 <> 1"), filter_bytes=size) for size in (scoring.FILTER_BYTES, 64))
+    assert dealt.filter is None and whole.filter is not None
+    got = [sorted(map(tuple, scoring.scores(docs, m, broadcast_bytes=most).select("doc_id", "n_tokens", "n_known", "score").collect()), key=repr) for m in (whole, dealt)]
+    assert len(got[0]) == len(ODD) + len(texts) and got[0] == got[1]
+    assert scoring.scores(empty(docs), dealt, broadcast_bytes=most).count() == 0
+
+
 def test_filter():
     rng = np.random.default_rng(3)
     keys, counts = rng.integers(0, 1 << 63, 5000).astype(np.uint64), rng.integers(1, 3000, 5000)
