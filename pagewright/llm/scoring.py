@@ -1,13 +1,13 @@
 """Language-model scoring with a log-frequency Bloom filter.
 
 Tokens are words (A-Z lower-cased; runs of anything but U+0020 and U+0009-000D) and one end of text, which is also the
-context of the first word. The filter holds counts of all words and of all word pairs seen twice or more, quantised to
-level 1 + floor(log_1.5(count)): every level from 1 up to its own is a member, and probing upwards until the first miss
-gives the level back. It is built in slices by hash, each where its n-grams' counts meet, with 10 to 20 bits a member at
-every size. A filter within filter_bytes is broadcast; beyond, the documents' n-grams are sent to their slices and the
-levels come back, which gives the same scores. The probability
-of w after v is (count(v, w) + M * p(w)) / (count(v) + M), with p(w) = (count(w) + 0.5) / (N + 0.5 * (V + 1)), all counts
-from the filter. The base score has p(w) alone, with exact counts.
+context of the first word. The filter holds counts of all words and of all word pairs, quantised to level
+1 + floor(log_1.5(count)): every level from 1 up to its own is a member, and probing upwards until the first miss gives
+the level back. It is built in slices by hash, each where its n-grams' counts meet, with 10 to 20 bits a member at every
+size. A filter within filter_bytes is broadcast; beyond, the documents' n-grams are sent to their slices and the levels
+come back, which gives the same scores. The probability of w after v is (count(v, w) + M * p(w)) / (count(v) + M), with
+p(w) = (count(w) + 0.5) / (N + 0.5 * (V + 1)), all counts from the filter. The base score has p(w) alone, with exact
+counts.
 
 Null text is empty: its end token only. Repeated rows are scored each for itself; an empty table gives an empty one; with
 nothing learned every token is unknown (N = V = 0).
@@ -31,7 +31,6 @@ from . import common
 
 END = b"\n"  # can't be a word
 BASE = 1.5  # of the quantiser
-LEAST_PAIR = 2
 MASS = 5000.0  # M
 PROBES = 4
 BITS = 10  # of the filter for each member, before rounding up to a power of two
@@ -209,10 +208,9 @@ def _merged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     key, inverse = np.unique(np.concatenate(keys), return_inverse=True)
     total = np.bincount(inverse, weights=np.concatenate(times), minlength=len(key)).astype(np.int64)
     del keys, times, inverse
-    often = total >= LEAST_PAIR
     own = list(words)
     hashes, counts = np.array([xxhash.xxh64_intdigest(w, _SEED) for w in own], np.uint64), np.fromiter(words.values(), np.int64, len(own))
-    bits = slice_bits(np.r_[word_keys(hashes), key[often]], level_of(np.r_[counts, total[often]]))
+    bits = slice_bits(np.r_[word_keys(hashes), key], level_of(np.r_[counts, total]))
     for i in range(0, len(own), 100_000):
         part = own[i : i + 100_000]
         yield pa.record_batch([pa.array([w.decode() for w in part], pa.string()), pa.array(hashes[i : i + 100_000]).view(pa.int64()), pa.array(counts[i : i + 100_000]), pa.nulls(len(part), pa.int32()), pa.nulls(len(part), pa.binary())], names)

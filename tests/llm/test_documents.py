@@ -263,6 +263,19 @@ def test_scoring(spark, odd, most):
     assert blank.total == 0 and scoring.scores(docs, blank, broadcast_bytes=most).first().n_known == 0
 
 
+def test_pairs_seen_once_count(spark):
+    train = [(1, "alpha beta"), (2, "gamma delta")]
+    model = scoring.Model(spark.createDataFrame(train, "doc_id long, text string"))
+    words = Counter(w for _, t in train for w in [*t.split(), "\n"])
+    pairs = Counter(p for _, t in train for p in zip(["\n", *t.split()], [*t.split(), "\n"], strict=True))
+    texts = {1: "alpha beta", 3: "alpha delta"}
+    floor = 6 + 0.5 * 6
+    for r in scoring.scores(spark.createDataFrame(list(texts.items()), "doc_id long, text string"), model).collect():
+        own = texts[r.doc_id].split()
+        chances = [(pairs[v, w] + scoring.MASS * (words[w] + 0.5) / floor) / (words[v] + scoring.MASS) for v, w in zip(["\n", *own], [*own, "\n"], strict=True)]
+        assert r.score == pytest.approx(sum(map(math.log10, chances)), rel=1e-9)
+
+
 @pytest.mark.parametrize("most", [scoring.BROADCAST_BYTES, 0])
 def test_scores_do_not_depend_on_filter_bytes(spark, odd, most):
     rng = random.Random(9)
