@@ -125,7 +125,7 @@ _SHARD_SCHEMA = "shard int, values binary, other binary"
 
 
 def _census(n: int, words: int, percent: int):
-    """Counts of the lower half of the hash range (prefixes go by hash from below), each set once a task."""
+    """How many sets each shingle is in, each set once a task."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, size, seen = [], 0, set()
@@ -133,12 +133,11 @@ def _census(n: int, words: int, percent: int):
             for own in sets_of(common.byte_values(batch.column(0)), words) if batch is not None else ():
                 if can_link(len(own), percent) and (node := node_of(own)) not in seen:
                     seen.add(node)
-                    half = own[: np.searchsorted(own, np.uint64(1 << 63))]
-                    held.append(half)
-                    size += len(half)
+                    held.append(own)
+                    size += len(own)
             if held and (batch is None or size > _HELD):
                 values, times = np.unique(np.concatenate(held) >> np.uint64(16), return_counts=True)
-                yield _shard_batch(list(_dealt(values, times.astype("<u4"), 47, n, True)))
+                yield _shard_batch(list(_dealt(values, times.astype("<u4"), 48, n, True)))
                 held, size = [], 0
 
     return run
@@ -177,15 +176,14 @@ def _marked(shift: int):
 
 
 class Frequent:
-    """A bitmap over the lower half of the hash range: whether a shingle may be frequent. Others count as rare."""
+    """A bitmap over the hash range: whether a shingle may be frequent."""
 
     def __init__(self, raw: np.ndarray, shift: int):
         self.raw, self.shift = raw, shift
 
     def mask(self, hashes: np.ndarray) -> np.ndarray:
-        low = hashes < np.uint64(1 << 63)
-        at = np.where(low, hashes >> np.uint64(16 + self.shift), 0)
-        return low & ((self.raw[at >> np.uint64(3)] >> (at & np.uint64(7)).astype(np.uint8)) & 1 > 0)
+        at = hashes >> np.uint64(16 + self.shift)
+        return (self.raw[at >> np.uint64(3)] >> (at & np.uint64(7)).astype(np.uint8)) & 1 > 0
 
 
 def frequent_shingles(texts: DataFrame, words: int, percent: int, least: int, most_bytes: int) -> Frequent:
@@ -197,10 +195,10 @@ def frequent_shingles(texts: DataFrame, words: int, percent: int, least: int, mo
     total = table.agg(F.sum("n")).first()[0] or 0
     bits = min(max(16, math.ceil(math.log2(10 * total + 1))), int(math.log2(8 * most_bytes)))
     raw = np.zeros(1 << (bits - 3), np.uint8)
-    for row in table.mapInArrow(_marked(47 - bits), "begin long, bits binary").toLocalIterator():
+    for row in table.mapInArrow(_marked(48 - bits), "begin long, bits binary").toLocalIterator():
         part = np.frombuffer(row.bits, np.uint8)
         raw[row.begin : row.begin + len(part)] |= part
-    return Frequent(raw, 47 - bits)
+    return Frequent(raw, 48 - bits)
 
 
 def entries(own: np.ndarray, is_frequent: np.ndarray, percent: int = PERCENT) -> np.ndarray:

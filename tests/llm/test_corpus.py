@@ -111,6 +111,20 @@ def test_jaccard_by_blocks(spark, monkeypatch):
     assert sorted(map(tuple, jaccard.linked(spark.createDataFrame(rows, "doc_id long, text string")).collect()), key=repr) == slow_components(rows)
 
 
+def test_jaccard_of_frequent_shingles(spark):
+    rng = random.Random(12)
+    base = ["".join(rng.choice("abcdefgh") for _ in range(6)) for _ in range(150)]
+    rows = [(i, " ".join([*base[:i], "changed", *base[i + 1 :]] if i % 2 else base)) for i in range(40, 60)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    frequent = jaccard.frequent_shingles(docs.select("text"), jaccard.WORDS, jaccard.PERCENT, 2, jaccard.BROADCAST_BYTES)
+    whole, changed = jaccard.sets_of([rows[0][1].encode(), rows[11][1].encode()])
+    found = [jaccard.entries(x, frequent.mask(x)) for x in (whole, changed)]
+    assert frequent.mask(whole).all() and len(whole) > 100
+    assert not np.isin(found[0], whole).any()  # pairs only
+    assert len(np.intersect1d(*found))
+    assert sorted(map(tuple, jaccard.linked(docs).collect()), key=repr) == slow_components(rows)
+
+
 def test_jaccard_of_nothing(spark):
     assert jaccard.linked(spark.createDataFrame([], "doc_id long, text string")).count() == 0
     assert [tuple(r) for r in jaccard.linked(spark.createDataFrame([(1, None)], "doc_id long, text string")).collect()] == [(1, 0, 1)]
