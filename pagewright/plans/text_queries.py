@@ -44,16 +44,21 @@ def predictions(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame,
     return truth, raw, corrected
 
 
-def ascii_lines(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """The same by line instead of document, ASCII characters only: the twin's distance counts bytes."""
+def whole_lines(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """The same by line instead of document."""
 
     def lines(docs: DataFrame) -> DataFrame:
         own = spread(docs, "page_id").select("page_id", F.posexplode(F.split("text", "\n", -1)).alias("n", "line"))
-        return own.select(F.format_string("%d_%d", "page_id", "n").alias("page_id"), F.regexp_replace("line", r"[^\x00-\x7F]", "").alias("text"))
+        return own.select(F.format_string("%d_%d", "page_id", "n").alias("page_id"), F.col("line").alias("text"))
 
     return tuple(map(lines, predictions(spark, sf_dir)))
 
 
+def ascii_lines(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Their ASCII characters only, for queries with a twin: the twin's distance counts bytes."""
+    return tuple(docs.withColumn("text", F.regexp_replace("text", r"[^\x00-\x7F]", "")) for docs in whole_lines(spark, sf_dir))
+
+
 LINES_SQL = r"""
 docs AS (SELECT doc_id, text FROM documents WHERE text IS NOT NULL),
 lines AS (
@@ -103,24 +108,51 @@ def split_lines(spark, sf_dir):
     return read(spark, sf_dir, "documents").select("doc_id", F.posexplode(T.split_lines(F.col("text"))).alias("n", "line"))
 
 
+def line_rates(truth: DataFrame, raw: DataFrame, corrected: DataFrame, metric: str) -> DataFrame:
+    pages = evaluate.per_page(truth, raw, corrected, metrics=(metric,))
+    return pages.select("page_id", *(F.round(f"{metric}_{s}", 9).alias(f"{metric}_{s}") for s in ("raw", "corrected")))
+
+
+def line_report(truth: DataFrame, raw: DataFrame, corrected: DataFrame) -> DataFrame:
+    return evaluate.report(evaluate.per_page(truth, raw, corrected, metrics=("cer",)), raw, 9)
+
+
+def line_accuracy(truth: DataFrame, raw: DataFrame, corrected: DataFrame) -> DataFrame:
+    """Mean accuracy of a document's lines."""
+    pages = evaluate.per_page(truth, raw, corrected, metrics=("cer",))
+    doc = F.split_part("page_id", F.lit("_"), F.lit(1)).cast("long").alias("doc_id")
+    return pages.groupBy(doc).agg(*(F.round(F.avg(T.accuracy(F.col(f"cer_{s}"))), 9).alias(f"accuracy_{s}") for s in ("raw", "corrected")))
+
+
 @query("cer_lines", f"WITH {LINES_SQL} SELECT printf('%d_%d', doc_id, n) AS page_id, round(cer_raw, 9) AS cer_raw, round(cer_corrected, 9) AS cer_corrected FROM rates")
 def cer_lines(spark, sf_dir):
-    pages = evaluate.per_page(*ascii_lines(spark, sf_dir), metrics=("cer",))
-    return pages.select("page_id", F.round("cer_raw", 9).alias("cer_raw"), F.round("cer_corrected", 9).alias("cer_corrected"))
+    return line_rates(*ascii_lines(spark, sf_dir), "cer")
+
+
+@query("cer_lines_whole")
+def cer_lines_whole(spark, sf_dir):
+    return line_rates(*whole_lines(spark, sf_dir), "cer")
 
 
 @query("cer_report_lines", f"""WITH {LINES_SQL}
 SELECT count(*) AS evaluated, (SELECT count(*) FROM lines) AS total_processed, round(avg(cer_raw), 9) AS cer_raw_mean, round(avg(cer_corrected), 9) AS cer_corrected_mean FROM rates""")
 def cer_report_lines(spark, sf_dir):
-    truth, raw, corrected = ascii_lines(spark, sf_dir)
-    return evaluate.report(evaluate.per_page(truth, raw, corrected, metrics=("cer",)), raw, 9)
+    return line_report(*ascii_lines(spark, sf_dir))
+
+
+@query("cer_report_lines_whole")
+def cer_report_lines_whole(spark, sf_dir):
+    return line_report(*whole_lines(spark, sf_dir))
 
 
 @query("accuracy_ext", f"WITH {LINES_SQL} SELECT doc_id, round(avg(1 - cer_raw), 9) AS accuracy_raw, round(avg(1 - cer_corrected), 9) AS accuracy_corrected FROM rates GROUP BY doc_id")
 def accuracy_ext(spark, sf_dir):
-    pages = evaluate.per_page(*ascii_lines(spark, sf_dir), metrics=("cer",))
-    doc = F.split_part("page_id", F.lit("_"), F.lit(1)).cast("long").alias("doc_id")
-    return pages.groupBy(doc).agg(*(F.round(F.avg(T.accuracy(F.col(f"cer_{s}"))), 9).alias(f"accuracy_{s}") for s in ("raw", "corrected")))
+    return line_accuracy(*ascii_lines(spark, sf_dir))
+
+
+@query("accuracy_ext_whole")
+def accuracy_ext_whole(spark, sf_dir):
+    return line_accuracy(*whole_lines(spark, sf_dir))
 
 
 @query("eval_per_page")
@@ -139,8 +171,7 @@ def eval_report(spark, sf_dir):
 
 @query("wer_lines")
 def wer_lines(spark, sf_dir):
-    pages = evaluate.per_page(*ascii_lines(spark, sf_dir), metrics=("wer",))
-    return pages.select("page_id", F.round("wer_raw", 9).alias("wer_raw"), F.round("wer_corrected", 9).alias("wer_corrected"))
+    return line_rates(*whole_lines(spark, sf_dir), "wer")
 
 
 @query("eval_no_ground_truth", "SELECT true AS skipped, 'no ground truth' AS reason, 0::BIGINT AS evaluated, count(*) AS total_processed FROM documents")

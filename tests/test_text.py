@@ -62,3 +62,28 @@ def test_diff():
 
 def test_page_end(spark):
     assert spark.createDataFrame([("  x \n\n",)], "t string").select(T.page_terminated(F.col("t"))).first()[0] == "x\n"
+
+
+def test_line_rates_are_of_whole_lines(spark, tmp_path):
+    from pagewright.plans.registry import QUERIES
+
+    texts = {1: "sea één noise\nÜberseße  nose \n日本 one", 2: "éso\n\nno", 3: "nés sonné", 4: "unlabelled é"}
+    spark.createDataFrame(list(texts.items()), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(i,) for i in (1, 2, 3)], "doc_id long").write.parquet(f"{tmp_path}/labels.parquet")
+    noisy, repaired, fold = str.maketrans("eosn", "c05u"), str.maketrans("c0", "eo"), lambda t: " ".join(t.split())
+    cer, wer = {}, {}
+    for i in (1, 2, 3):
+        for n, line in enumerate(texts[i].split("\n")):
+            raw = line.translate(noisy)
+            truth, *read = (fold(x) for x in (line, raw, raw.translate(repaired)))
+            for rates, cut in ((cer, str), (wer, str.split)):
+                found = [slow_distance(cut(truth), cut(x)) / len(cut(truth)) if truth else None for x in read]
+                rates[f"{i}_{n}"] = (found[0], found[1] if i % 3 else None)
+    rows = lambda name: {r[0]: pytest.approx(tuple(r)[1:], abs=1e-8) for r in QUERIES[name](spark, str(tmp_path)).collect()}
+    mean = lambda values: sum(own) / len(own) if (own := [x for x in values if x is not None]) else None
+    assert cer == rows("cer_lines_whole") and wer == rows("wer_lines")
+    own = {i: [v for k, v in cer.items() if k.startswith(f"{i}_")] for i in (1, 2, 3)}
+    assert {i: tuple(mean(None if v[s] is None else 1 - v[s] for v in x) for s in (0, 1)) for i, x in own.items()} == rows("accuracy_ext_whole")
+    report = QUERIES["cer_report_lines_whole"](spark, str(tmp_path)).first()
+    assert (report.evaluated, report.total_processed) == (7, 8)
+    assert (report.cer_raw_mean, report.cer_corrected_mean) == pytest.approx(tuple(mean(v[s] for v in cer.values()) for s in (0, 1)), abs=1e-8)
