@@ -33,11 +33,13 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near-duplicates the document with the smallest id (rows equal in id and text stay together)."""
+    """Of each group of near-duplicates the document with the smallest id; of rows equal in id and text, one."""
     key = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"), F.xxhash64("text").alias("text"))
     keyed = docs.select("*", key.alias("key"))
     kept = jaccard.linked(keyed, "key").filter("key = component_id").select("key").distinct()
-    return keyed.join(kept, "key", "left_semi").select(*docs.columns)
+    rest = F.struct(*(c for c in docs.columns if c not in ("doc_id", "text")))
+    one = keyed.join(kept, "key", "left_semi").groupBy("doc_id", "text").agg(F.min(rest).alias("rest"))
+    return one.select("doc_id", "text", "rest.*").select(*docs.columns)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -39,6 +39,13 @@ def test_stages(spark, docs):
     assert set(mixed) <= set(near) and max(mixed.values()) <= 2 and set(packed) == set(mixed)
 
 
+def test_one_of_equal_rows_stays(spark):
+    text, other = "one two three four five six seven", "eight nine ten eleven twelve and more"
+    rows = [(None, text, "aa", "s1", 33), (None, text, "aa", "s0", 33), (5, other, "aa", "s0", 37), (5, other, "aa", "s0", 37), (6, "alone " * 9, None, None, 54)]
+    found = corpus_pipeline.near_duplicates(spark, spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long"), "")
+    assert found.columns == COLUMNS and sorted(map(tuple, found.collect()), key=repr) == sorted([rows[1], rows[2], rows[4]], key=repr)
+
+
 def test_empty(spark, docs):
     now = docs.filter("false")
     for name, stage in corpus_pipeline.STAGES:
