@@ -1,4 +1,7 @@
-"""Connected components of a link table, by alternating large and small stars, each a pair of aggregation and join."""
+"""Connected components of a link table, by alternating large and small stars, each a pair of aggregation and join.
+
+The aggregate is written before it is joined: so a node with very many links is summed by partial sums, and the join, which
+has a shuffle of its own, can split it (adaptive skew joins)."""
 
 from __future__ import annotations
 
@@ -11,13 +14,13 @@ from . import common
 def _large(edges: DataFrame) -> DataFrame:
     """Every node links its larger neighbours to the smallest of itself and its neighbours."""
     both = edges.select("u", "v").unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    least = both.groupBy("u").agg(F.min("v").alias("m")).withColumn("m", F.least("u", "m"))
+    least = common.stored(both.groupBy("u").agg(F.min("v").alias("m")).withColumn("m", F.least("u", "m")), "least")
     return both.filter("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
 
 
 def _small(edges: DataFrame) -> DataFrame:
     """Every node links itself and its smaller neighbours to the smallest of these. Edges point from larger to smaller."""
-    least = edges.groupBy("u").agg(F.min("v").alias("m"))
+    least = common.stored(edges.groupBy("u").agg(F.min("v").alias("m")), "least")
     moved = edges.join(least, "u").filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
     return moved.unionByName(least.select("u", F.col("m").alias("v"))).distinct()
 
@@ -27,7 +30,7 @@ def components(links: DataFrame) -> DataFrame:
     edges = common.stored(links.filter("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "edges")
     seen = None
     while True:
-        edges = common.stored(_small(_large(edges)), "edges")
+        edges = common.stored(_small(common.stored(_large(edges), "edges")), "edges")
         # done when nothing moves: the same edges twice
         now = tuple(edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
         if now == seen or not now[0]:

@@ -4,24 +4,28 @@ A document is the set of its distinct 5-word shingles, as 64-bit hashes (two dif
 share a hash with probability about 1e-14). Documents with equal sets are one node of the link graph (by a 64-bit hash of
 the set). Two nodes link when 100 * intersection >= 75 * union.
 
-Shingles are ordered: rare before frequent (in ``frequent_at`` sets or more), each by hash. What is frequent is told by a
-broadcast bitmap of bounded size, in which a few rare ones count as frequent, too. A set may miss at most
-slack = n - ceil(0.75 n) of its shingles in a similar set. So if its prefix holds slack + 1 rare shingles, a similar set's
-prefix shares one of them, and each is indexed alone. A set with fewer rare ones extends its prefix into the frequent ones,
-which are dealt by hash to groups: a group of g frequent shingles in the prefix is sure to give a common pair once more
-than one of them is matched, so it counts g - 1; the prefix ends when rare ones and groups count slack + 1, and all pairs
-within a group are indexed. The number of groups follows the size: a set is indexed with the groups of its size class and
-of the next smaller one, so two sets of similar size always share a scheme. Sets of 1 or 2 shingles are similar to equal
-sets only.
-
-Sets that share an index entry are candidates, and all that candidates reach is a cluster: every link lies within one. A
-cluster's sets are brought together by blocks of similar size, each with itself and with the next. There sets
-are compared while they aren't in one component yet: first by size, then by bitmaps (where these differ in so many bits
-that the sets can't be similar, they aren't), then in full. Only the links that join components come out, so neither
-entries nor pairs are ever multiplied out as rows. Any choice of frequent shingles gives equal results.
+Shingles are ordered by class, each class by hash: lone ones (in one set), rare ones, frequent ones (in ``frequent_at`` sets
+or more). The class is told by two broadcast bitmaps of bounded size, in which a few count as more frequent than they are.
+A set may miss at most slack = n - ceil(0.75 n) of its shingles in a similar set. So if its prefix holds slack + 1 lone or
+rare shingles, a similar set's prefix shares one of them: rare ones are indexed alone, lone ones can't be shared and need no
+entry, and a set whose prefix is lone ones only is similar to no other. A set with fewer of both extends its prefix into the
+frequent ones, which are dealt by hash to groups: a group of g frequent shingles in the prefix is sure to give a common pair
+once more than one of them is matched, so it counts g - 1; the prefix ends when single ones and groups count slack + 1, and
+all pairs within a group are indexed. The number of groups follows the size: a set is indexed with the groups of its size
+class and of the next smaller one, so two sets of similar size always share a scheme. Sets of 1 or 2 shingles are similar to
+equal sets only.
+
+Sets that share an index entry are candidates; each is verified in full. An entry's sets aren't paired with each other at
+once: first all meet one of them, the hub, and verified links are contracted to components. An entry whose sets are in one
+component then is done, so a group of copies costs a comparison a set, whatever its size. What is left, entries with sets in
+several components, is brought together by what such entries chain: a chain's sets, with their entries, go to a block, or
+to blocks of similar size that meet in pairs where there are too many for one. There two sets are compared if they share an
+entry and aren't in one component yet: first by size, then by bitmaps (where these differ in so many bits that the sets
+can't be similar, they aren't), then in full. So pairs that may be similar but aren't are never rows. Only links that join
+components come out, not all links. Any choice of classes and blocks gives equal results.
 
 Null or wordless text has an empty set, linked with nothing. A null key is no candidate for a component's smallest key
-(null if all are). Repeated rows get equal results; an empty table gives an empty one.
+(null if all are). Repeated rows get equal results; an empty table gives an empty one. Extra columns of docs don't matter.
 """
 
 from __future__ import annotations
@@ -42,10 +46,11 @@ from .components import components
 
 WORDS = 5
 PERCENT = 75
-FREQUENT_AT = 2
-#: Bytes of candidate nodes that may be broadcast, and of the bitmap of frequent shingles at most.
-BROADCAST_BYTES = 32 << 20
-#: A block of a cluster: so many sets and shingles at most, about.
+#: Sets that a frequent shingle is in, at least.
+FREQUENT_AT = 4
+#: Bytes of each of the two bitmaps of shingles at most.
+BITMAP_BYTES = 32 << 20
+#: A block of a chain: so many sets and shingles at most, about.
 BLOCK_SETS, BLOCK_SHINGLES = 4096, 4_000_000
 _HELD = 2_000_000
 _SEED = 11
@@ -107,43 +112,46 @@ def _values(raw: bytes) -> np.ndarray:
     return np.frombuffer(raw, "<u8", offset=1)
 
 
-def _dealt(values: np.ndarray, other: np.ndarray, bits: int, n: int, packed: bool) -> Iterator[tuple[int, bytes, bytes]]:
-    """Sorted numbers of so many bits, and what goes with each, by shards of equal ranges."""
+def _dealt(values: np.ndarray, other: np.ndarray, bits: int, n: int) -> Iterator[tuple[int, bytes, bytes]]:
+    """Sorted numbers of so many bits, and what goes with each (packed), by shards of equal ranges."""
     shard = (values * np.uint64(n) >> np.uint64(bits)).astype(np.int64)
     cuts = np.searchsorted(shard, np.arange(n + 1))
     for s in np.flatnonzero(cuts[1:] > cuts[:-1]).tolist():
-        part = other[cuts[s] : cuts[s + 1]].tobytes()
-        yield s, _ascending(values[cuts[s] : cuts[s + 1]]), zlib.compress(part, 1) if packed else part
+        yield s, _ascending(values[cuts[s] : cuts[s + 1]]), zlib.compress(other[cuts[s] : cuts[s + 1]].tobytes(), 1)
 
 
-def _shard_batch(rows: list[tuple[int, bytes, bytes]]) -> pa.RecordBatch:
-    shard, values, other = zip(*rows, strict=True)
-    return pa.record_batch([pa.array(shard, pa.int32()), pa.array(values, pa.binary()), pa.array(other, pa.binary())], ["shard", "values", "other"])
+_CENSUS = ("shard", "values", "other")
 
 
-_SHARD_SCHEMA = "shard int, values binary, other binary"
-
-
-def _census(n: int, words: int, percent: int):
-    """How many sets each shingle is in, each set once a task."""
+def _surveyed(n: int, words: int, percent: int, kind: str):
+    """Each row's id, size and node; and by shard, how many sets each shingle is in, each set once a task."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, size, seen = [], 0, set()
-        for batch in [*common.slices(batches, 0), None]:
-            for own in sets_of(common.byte_values(batch.column(0)), words) if batch is not None else ():
-                if can_link(len(own), percent) and (node := node_of(own)) not in seen:
-                    seen.add(node)
-                    held.append(own)
-                    size += len(own)
+        held, size, seen, id_type = [], 0, set(), None
+        for batch in [*common.slices(batches, 1), None]:
+            if batch is not None:
+                sets = sets_of(common.byte_values(batch.column(1)), words)
+                nodes = [node_of(x) if len(x) else None for x in sets]
+                ids, id_type, none = batch.column(0), batch.column(0).type, len(sets)
+                yield pa.record_batch([ids, pa.array([len(x) for x in sets], pa.int64()), pa.array(nodes, pa.int64()), pa.nulls(none, pa.int32()), pa.nulls(none, pa.binary()), pa.nulls(none, pa.binary())], ["id", "n_shingles", "node", *_CENSUS])
+                for node, own in zip(nodes, sets, strict=True):
+                    if can_link(len(own), percent) and node not in seen:
+                        seen.add(node)
+                        held.append(own)
+                        size += len(own)
             if held and (batch is None or size > _HELD):
                 values, times = np.unique(np.concatenate(held) >> np.uint64(16), return_counts=True)
-                yield _shard_batch(list(_dealt(values, times.astype("<u4"), 48, n, True)))
+                shard, steps, other = zip(*_dealt(values, times.astype("<u4"), 48, n), strict=True)
+                none = len(shard)
+                yield pa.record_batch([pa.nulls(none, id_type), pa.nulls(none, pa.int64()), pa.nulls(none, pa.int64()), pa.array(shard, pa.int32()), pa.array(steps, pa.binary()), pa.array(other, pa.binary())], ["id", "n_shingles", "node", *_CENSUS])
                 held, size = [], 0
 
     return run
 
 
-def _often(least: int):
+def _often(least: tuple[int, ...]):
+    """Of a shard, the shingles that are in so many sets or more, for each of ``least``."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         values, times = [], []
         for batch in batches:
@@ -152,10 +160,12 @@ def _often(least: int):
                 times.append(np.frombuffer(zlib.decompress(t), "<u4"))
         if values:
             value, at = np.unique(np.concatenate(values), return_inverse=True)
-            often = value[np.bincount(at, np.concatenate(times)) >= least]
-            for i in range(0, len(often), 1 << 20):
-                part = often[i : i + (1 << 20)]
-                yield pa.record_batch([pa.array([_ascending(part)], pa.binary()), pa.array([len(part)], pa.int64())], ["values", "n"])
+            total = np.bincount(at, np.concatenate(times))
+            for bound in least:
+                often = value[total >= bound]
+                for i in range(0, len(often), 1 << 20):
+                    part = often[i : i + (1 << 20)]
+                    yield pa.record_batch([pa.array([bound], pa.int64()), pa.array([_ascending(part)], pa.binary()), pa.array([len(part)], pa.int64())], ["least", "values", "n"])
 
     return run
 
@@ -175,41 +185,51 @@ def _marked(shift: int):
     return run
 
 
-class Frequent:
-    """A bitmap over the hash range: whether a shingle may be frequent."""
+class Bitmap:
+    """Over the hash range: which shingles may be in so many sets."""
 
-    def __init__(self, raw: np.ndarray, shift: int):
-        self.raw, self.shift = raw, shift
+    def __init__(self, table: DataFrame, most_bytes: int):
+        total = table.agg(F.sum("n")).first()[0] or 0
+        bits = min(max(16, math.ceil(math.log2(10 * total + 1))), int(math.log2(8 * most_bytes)))
+        self.shift, self.raw = 48 - bits, np.zeros(1 << max(0, bits - 3), np.uint8)
+        for row in table.mapInArrow(_marked(self.shift), "begin long, bits binary").toLocalIterator():
+            part = np.frombuffer(row.bits, np.uint8)
+            self.raw[row.begin : row.begin + len(part)] |= part
 
     def mask(self, hashes: np.ndarray) -> np.ndarray:
         at = hashes >> np.uint64(16 + self.shift)
         return (self.raw[at >> np.uint64(3)] >> (at & np.uint64(7)).astype(np.uint8)) & 1 > 0
 
 
-def frequent_shingles(texts: DataFrame, words: int, percent: int, least: int, most_bytes: int) -> Frequent:
-    """Shingles in ``least`` sets or more, at ten bits for each but at most most_bytes together: beyond that more rare ones
-    count as frequent, which changes the entries but not the result."""
-    n = common.shards(texts.sparkSession)
-    sent = texts.mapInArrow(_census(n, words, percent), _SHARD_SCHEMA)
-    table = common.stored(sent.repartitionById(n, F.col("shard")).mapInArrow(_often(least), "values binary, n long"), "frequent")
-    total = table.agg(F.sum("n")).first()[0] or 0
-    bits = min(max(16, math.ceil(math.log2(10 * total + 1))), int(math.log2(8 * most_bytes)))
-    raw = np.zeros(1 << (bits - 3), np.uint8)
-    for row in table.mapInArrow(_marked(48 - bits), "begin long, bits binary").toLocalIterator():
-        part = np.frombuffer(row.bits, np.uint8)
-        raw[row.begin : row.begin + len(part)] |= part
-    return Frequent(raw, 48 - bits)
+LONE, RARE, FREQUENT = 0, 1, 2
+
+
+class Classes:
+    """The class of shingles, from the census: at ten bits for each that isn't lone, but most_bytes a bitmap at most. Beyond
+    that more count as frequent, which changes the entries (one a shingle at most, about) but not the result."""
+
+    def __init__(self, census: DataFrame, frequent_at: int, most_bytes: int):
+        n, least = common.shards(census.sparkSession), (2, max(2, frequent_at))
+        sent = census.repartitionById(n, F.col("shard"))
+        table = common.stored(sent.mapInArrow(_often(least), "least long, values binary, n long"), "often")
+        self.shared, self.frequent = (Bitmap(table.filter(F.col("least") == bound), most_bytes) for bound in least)
 
+    def of(self, hashes: np.ndarray) -> np.ndarray:
+        shared = self.shared.mask(hashes)
+        return shared.astype(np.int8) + (shared & self.frequent.mask(hashes))
 
-def entries(own: np.ndarray, is_frequent: np.ndarray, percent: int = PERCENT) -> np.ndarray:
-    """The index entries of a set (sorted hashes)."""
+
+def entries(own: np.ndarray, kind: np.ndarray, percent: int = PERCENT) -> np.ndarray:
+    """The index entries of a set (sorted hashes, and the class of each)."""
     if not can_link(len(own), percent):
         return own[:0]
-    need = slack(len(own), percent) + 1
-    rare = own[~is_frequent]
+    need = slack(len(own), percent) + 1 - int((kind == LONE).sum())
+    if need <= 0:
+        return own[:0]
+    rare = own[kind == RARE]
     if len(rare) >= need:
         return rare[:need]
-    often, found = own[is_frequent], [rare]
+    often, found = own[kind == FREQUENT], [rare]
     ratio = math.log(100 / percent)
     size_class = int(math.log(len(own)) / ratio + 1e-9)
     for scheme in (size_class, size_class - 1):
@@ -226,93 +246,49 @@ def entries(own: np.ndarray, is_frequent: np.ndarray, percent: int = PERCENT) ->
             if not len(both):
                 break
             found.append(common.mixed(token[both] * _ODD[0] + common.mixed(token[both + apart]) + np.uint64(scheme * int(_ODD[5]) % (1 << 64))))
-    return np.concatenate(found)
+    return np.unique(np.concatenate(found))
 
 
-def _indexed(n: int, words: int, percent: int, frequent):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        often, held, nodes, size, seen = frequent.value, [], [], 0, set()
-        for batch in [*common.slices(batches, 0), None]:
-            sets = []
-            for own in sets_of(common.byte_values(batch.column(0)), words) if batch is not None else ():
-                if can_link(len(own), percent) and (node := node_of(own)) not in seen:
-                    seen.add(node)
-                    sets.append(own)
-                    nodes.append(node)
-            if sets:
-                for own, mask in zip(sets, np.split(often.mask(np.concatenate(sets)), np.cumsum([len(x) for x in sets])[:-1]), strict=True):
-                    held.append(entries(own, mask, percent) >> np.uint64(16))
-                    size += len(held[-1])
-            if held and (batch is None or size > _HELD):
-                values = np.concatenate(held)
-                owner = np.repeat(np.array(nodes, np.int64), [len(x) for x in held])
-                order = np.argsort(values, kind="stable")
-                if len(order):
-                    yield _shard_batch(list(_dealt(values[order], owner[order], 48, n, False)))
-                held, nodes, size = [], [], 0
+def _lists(arrays: list[np.ndarray]) -> pa.Array:
+    ends = np.cumsum([0, *map(len, arrays)])
+    return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(arrays).view(np.int64)))
 
-    return run
 
+def _opened(words: int, percent: int, classes):
+    """The sets that have index entries, each once a task."""
 
-def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(entry, node) of entries that two nodes or more share; entries with the same nodes are one."""
-    values, nodes = [], []
-    for batch in batches:
-        for v, o in zip(batch.column("values").to_pylist(), batch.column("other").to_pylist(), strict=True):
-            values.append(_values(v))
-            nodes.append(np.frombuffer(o, np.int64))
-    if not values:
-        return
-    value, node = np.concatenate(values), np.concatenate(nodes)
-    order = np.lexsort((node, value))
-    value, node = value[order], node[order]
-    keep = np.r_[True, (value[1:] != value[:-1]) | (node[1:] != node[:-1])]
-    value, node = value[keep], node[keep]
-    start = np.flatnonzero(np.r_[True, value[1:] != value[:-1]])
-    size = np.diff(np.r_[start, len(value)])
-    name = np.add.reduceat(common.mixed(node.view(np.uint64)), start)  # of the nodes together
-    name = common.mixed(name + size.astype(np.uint64))
-    _, one = np.unique(name, return_index=True)
-    chosen = np.zeros(len(start), bool)
-    chosen[one] = True
-    rows = np.repeat(chosen & (size > 1), size)
-    entry, node = np.repeat(name, size)[rows].view(np.int64), node[rows]
-    for i in range(0, len(node), 200_000):
-        yield pa.record_batch([pa.array(entry[i : i + 200_000]), pa.array(node[i : i + 200_000])], ["entry", "node"])
-
-
-def _nodes(words: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in common.slices(batches, 1):
-            sets = sets_of(common.byte_values(batch.column(1)), words)
-            yield pa.record_batch([batch.column(0), pa.array([len(x) for x in sets], pa.int64()), pa.array([node_of(x) if len(x) else None for x in sets], pa.int64())], ["id", "n_shingles", "node"])
-
-    return run
-
-
-def _wanted(words: int, percent: int, chosen):
-    """The sets of chosen nodes (None: all)."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        nodes, seen = chosen.value if chosen else None, set()
+        by, seen = classes.value, set()
         for batch in common.slices(batches, 0):
             found = {}
             for own in sets_of(common.byte_values(batch.column(0)), words):
                 if can_link(len(own), percent) and (node := node_of(own)) not in seen:
-                    at = 0 if nodes is None else int(np.searchsorted(nodes, node))
-                    if nodes is None or at < len(nodes) and nodes[at] == node:
-                        seen.add(node)
-                        found[node] = own
-            if found:
-                sets = found.values()
-                yield pa.record_batch([pa.array(list(found), pa.int64()), pa.array([len(x) for x in sets], pa.int64()), pa.array([x.tobytes() for x in sets], pa.binary())], ["node", "n", "shingles"])
+                    seen.add(node)
+                    found[node] = own
+            if not found:
+                continue
+            sets = list(found.values())
+            kinds = np.split(by.of(np.concatenate(sets)), np.cumsum([len(x) for x in sets])[:-1])
+            made = [(node, own, index) for node, own, kind in zip(found, sets, kinds, strict=True) if len(index := entries(own, kind, percent))]
+            if made:
+                nodes, sets, indexes = zip(*made, strict=True)
+                yield pa.record_batch([pa.array(nodes, pa.int64()), _lists(sets), _lists(indexes)], ["node", "shingles", "entries"])
 
     return run
 
 
-def joining_links(sets: list[np.ndarray], side: np.ndarray, percent: int = PERCENT) -> list[tuple[int, int]]:
-    """Links (i, j) that join the components of similar sets. side: 0 and 1; where both occur, only sets of different sides
-    are compared (the others are compared elsewhere)."""
+def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Those of the pairs (a, b) whose sets (node, shingles) are similar."""
+    left, right = sets.select(F.col("node").alias("a"), F.col("shingles").alias("x")), sets.select(F.col("node").alias("b"), F.col("shingles").alias("y"))
+    both = F.size(F.array_intersect("x", "y"))
+    n, m = F.size("x"), F.size("y")
+    near = (100 * F.least(n, m) >= percent * F.greatest(n, m)) & (100 * both >= percent * (n + m - both))
+    return pairs.join(right, "b").join(left, "a").filter(near).select("a", "b")
+
+
+def joining_links(sets: list[np.ndarray], side: np.ndarray, root: np.ndarray, owned: list[np.ndarray], percent: int = PERCENT) -> list[tuple[int, int]]:
+    """Links (i, j) that join the components of similar sets which share an entry. owned: the entries of each; root: the
+    component that each is known to be in. side: 0 and 1; where both occur, only sets of different sides are compared."""
     sizes = np.array([len(x) for x in sets])
     order = np.argsort(sizes, kind="stable")
     wide = 1 << int(np.clip(math.ceil(math.log2(4 * max(1, int(np.median(sizes))))), 8, 14))
@@ -322,15 +298,25 @@ def joining_links(sets: list[np.ndarray], side: np.ndarray, percent: int = PERCE
     bits = np.packbits(marks, axis=1).view(np.uint64)
     del marks
     ordered, side, both_sides = sizes[order], side[order], len(np.unique(side)) > 1
-    root, found = np.arange(len(sets)), []
+    root = np.unique(root, return_inverse=True)[1][order]
+    # rows by entry, and where the entries of each row are
+    entry = np.unique(np.concatenate([owned[i] for i in order]), return_inverse=True)[1]
+    row = np.repeat(np.arange(len(sets)), [len(owned[i]) for i in order])
+    by_entry = np.argsort(entry, kind="stable")
+    begin, ends = np.searchsorted(entry[by_entry], np.arange(entry.max(initial=-1) + 2)), np.searchsorted(row, np.arange(len(sets) + 1))
+    rows, shares, found = row[by_entry], np.zeros(len(sets), bool), []
     for x in range(len(sets)):
         n = int(ordered[x])
-        y = np.arange(x + 1, int(np.searchsorted(ordered, 100 * n // percent, "right")))  # none larger can be similar
-        y = y[root[y] != root[x]]
+        last = int(np.searchsorted(ordered, 100 * n // percent, "right"))  # none larger can be similar
+        open_rows = root[x + 1 : last] != root[x]
         if both_sides:
-            y = y[side[y] != side[x]]
-        if not len(y):
+            open_rows &= side[x + 1 : last] != side[x]
+        if not open_rows.any():
             continue
+        for e in entry[ends[x] : ends[x + 1]].tolist():
+            shares[rows[begin[e] : begin[e + 1]]] = True
+        y = x + 1 + np.flatnonzero(open_rows & shares[x + 1 : last])
+        shares[:] = False
         most = (n + ordered[y] - np.bitwise_count(bits[y] ^ bits[x]).sum(1, dtype=np.int64)) // 2
         y = y[100 * most >= percent * (n + ordered[y] - most)]
         own = sets[order[x]]
@@ -345,58 +331,72 @@ def joining_links(sets: list[np.ndarray], side: np.ndarray, percent: int = PERCE
     return found
 
 
-def _joined(percent: int):
+def _arrays(column: pa.ChunkedArray) -> list[np.ndarray]:
+    return [x.values.to_numpy().view(np.uint64) for x in column]
+
+
+def _met(percent: int):
     def run(table: pa.Table) -> pa.Table:
         nodes = table["node"].to_numpy()
-        sets = [np.frombuffer(x, np.uint64) for x in table["shingles"].to_pylist()]
-        links = joining_links(sets, table["side"].to_numpy(), percent)
+        links = joining_links(_arrays(table["shingles"]), table["side"].to_numpy(), table["root"].to_numpy(), _arrays(table["entries"]), percent)
         at = np.array(links, np.int64).reshape(-1, 2)
         return pa.table({"a": nodes[at[:, 0]], "b": nodes[at[:, 1]]})
 
     return run
 
 
-def cluster_links(clusters: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Links (a, b) that join the components within each cluster (node, root).
+def block_links(left: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Links (a, b) that join components of sets which share an entry, for entries (entry, node, root) with several.
 
-    Blocks are size classes, cut further by hash where a class is large; a block meets those of its own class and of the
-    next, since sets further apart in size can't be similar."""
-    size_class = F.floor(F.log("n") / math.log(100 / percent) + 1e-9).cast("int")
-    own = sets.join(clusters.select("node", F.col("root").alias("cluster")), "node").withColumn("class", size_class)
-    own = common.stored(own, "clusters")
-    sums = own.groupBy("cluster", "class").agg(F.count("*").alias("m"), F.sum("n").alias("total"))
+    Blocks of a chain are size classes, cut further by hash where a class is large; a block meets those of its own class
+    and of the next, since sets further apart in size can't be similar."""
+    hubs = common.stored(left.groupBy("entry").agg(F.min("node").alias("a")), "chain_hubs")
+    chains = components(left.join(hubs, "entry").select("a", F.col("node").alias("b")))
+    owned = left.groupBy("node").agg(F.min("root").alias("root"), F.collect_list("entry").alias("entries"))  # a set's own entries
+    size_class = F.floor(F.log(F.size("shingles")) / math.log(100 / percent) + 1e-9).cast("int")
+    own = sets.join(owned, "node").join(chains.select("node", F.col("root").alias("chain")), "node").withColumn("class", size_class)
+    own = common.stored(own, "chains")
+    sums = own.groupBy("chain", "class").agg(F.count("*").alias("m"), F.sum(F.size("shingles")).alias("total"))
     blocks = F.greatest(F.ceil(F.col("m") / BLOCK_SETS), F.ceil(F.col("total") / BLOCK_SHINGLES)).cast("int")
-    counts = common.stored(sums.select("cluster", "class", blocks.alias("k")), "sizes")
-    around = counts.select("cluster", F.explode(F.array(F.col("class") - 1, F.col("class"), F.col("class") + 1)).alias("class"), F.struct(F.col("class").alias("of"), "k").alias("there"))
-    around = around.groupBy("cluster", "class").agg(F.collect_list("there").alias("there"))  # three at most
-    dealt = own.join(counts, ["cluster", "class"]).withColumn("block", F.pmod(F.xxhash64("node"), F.col("k")).cast("int")).join(around, ["cluster", "class"])
+    counts = common.stored(sums.select("chain", "class", blocks.alias("k")), "sizes")
+    around = counts.select("chain", F.explode(F.array(F.col("class") - 1, F.col("class"), F.col("class") + 1)).alias("class"), F.struct(F.col("class").alias("of"), "k").alias("there"))
+    around = around.groupBy("chain", "class").agg(F.collect_list("there").alias("there"))  # three at most
+    plan = common.stored(counts.join(around, ["chain", "class"]), "blocks")
+    dealt = own.join(plan, ["chain", "class"]).withColumn("block", F.pmod(F.xxhash64("node"), F.col("k")).cast("int"))
     copies = dealt.withColumn("there", F.explode("there")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("there.k") - 1)))
     mine, theirs = F.struct(F.col("class").alias("c"), F.col("block").alias("b")), F.struct(F.col("there.of").alias("c"), F.col("other").alias("b"))
-    pairs = copies.select("cluster", F.least(mine, theirs).alias("low"), F.greatest(mine, theirs).alias("high"), mine.alias("mine"), "node", "shingles")
+    pairs = copies.select("chain", F.least(mine, theirs).alias("low"), F.greatest(mine, theirs).alias("high"), mine.alias("mine"), "node", "root", "entries", "shingles")
     pairs = pairs.withColumn("side", (F.col("mine") == F.col("high")).cast("int")).drop("mine")
-    return pairs.groupBy("cluster", "low", "high").applyInArrow(_joined(percent), "a long, b long")
+    return pairs.groupBy("chain", "low", "high").applyInArrow(_met(percent), "a long, b long")
 
 
-def linked(docs: DataFrame, key: str = "doc_id", text: str = "text", words: int = WORDS, percent: int = PERCENT, frequent_at: int = FREQUENT_AT, broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
+def joined(index: DataFrame, sets: DataFrame, percent: int = PERCENT) -> DataFrame:
+    """(node, root) of all nodes that links join to others. index: (entry, node); sets: (node, shingles)."""
+    names = index.groupBy("entry").agg(F.min("node").alias("low"), F.max("node").alias("high"), F.count("*").alias("n"), F.bit_xor(F.xxhash64("node")).alias("nodes")).filter("low <> high")
+    hubs = names.groupBy("low", "high", "n", "nodes").agg(F.min("entry").alias("entry"))  # entries with the same nodes are one
+    hubs = common.stored(hubs.select("entry", F.col("low").alias("a")), "hubs")
+    groups = common.stored(index.join(hubs, "entry").filter("node <> a"), "groups")
+    links = common.stored(verified(groups.select("a", F.col("node").alias("b")).distinct(), sets, percent), "links")
+    roots = common.stored(components(links), "roots")
+    # the hub has met all others, so it is left out; which of them are still apart?
+    left = common.stored(groups.select("entry", "node").join(roots, "node", "left").select("entry", "node", F.coalesce("root", "node").alias("root")), "left")
+    apart = left.groupBy("entry").agg(F.min("root").alias("low"), F.max("root").alias("high")).filter("low <> high").select("entry")
+    more = block_links(common.stored(left.join(common.stored(apart, "apart"), "entry"), "open"), sets, percent)
+    return components(more.unionByName(roots.select(F.col("node").alias("a"), F.col("root").alias("b"))))
+
+
+def linked(docs: DataFrame, key: str = "doc_id", text: str = "text", words: int = WORDS, percent: int = PERCENT, frequent_at: int = FREQUENT_AT, bitmap_bytes: int = BITMAP_BYTES) -> DataFrame:
     """(key, n_shingles, component_id) of each row: the smallest key that a row reaches by links, itself included."""
     spark, n = docs.sparkSession, common.shards(docs.sparkSession)
     kind = docs.schema[key].dataType.simpleString()
-    texts = docs.select(F.col(text).alias("text"))
-    members = common.stored(docs.select(F.col(key), F.col(text)).mapInArrow(_nodes(words), f"id {kind}, n_shingles long, node long"), "members")
-    often = spark.sparkContext.broadcast(frequent_shingles(texts, words, percent, frequent_at, broadcast_bytes))
-    sent = texts.mapInArrow(_indexed(n, words, percent, often), _SHARD_SCHEMA)
-    shared = common.stored(sent.repartitionById(n, F.col("shard")).mapInArrow(_shared, "entry long, node long").distinct(), "shared")
-    chosen = shared.select("node").distinct()
-    held = None
-    if chosen.count() * 8 <= broadcast_bytes:
-        held = spark.sparkContext.broadcast(np.sort(chosen.toArrow()["node"].to_numpy()))
-    # copies of a set in several tasks are one row again
-    sets = common.stored(texts.mapInArrow(_wanted(words, percent, held), "node long, n long, shingles binary").groupBy("node").agg(*(F.first(c).alias(c) for c in ("n", "shingles"))), "sets")
-    least = shared.groupBy("entry").agg(F.min("node").alias("a"))
-    star = shared.join(least, "entry").filter("node <> a").select("a", F.col("node").alias("b"))
-    links = common.stored(cluster_links(components(star), sets, percent), "links")
-    roots = common.stored(components(links), "roots")
-    joined = members.join(roots, "node", "left").select("id", "n_shingles", F.coalesce("root", "node").alias("root"))
-    joined = common.stored(joined, "joined")
-    least_key = joined.filter("root IS NOT NULL").groupBy("root").agg(F.min("id").alias("least"), F.count("*").alias("n")).filter("n > 1").drop("n")
-    return joined.join(least_key, "root", "left").select(F.col("id").alias(key), "n_shingles", F.coalesce("least", "id").alias("component_id"))
+    survey = docs.select(F.col(key), F.col(text)).mapInArrow(_surveyed(n, words, percent, kind), f"id {kind}, n_shingles long, node long, shard int, values binary, other binary")
+    survey = common.stored(survey, "survey")
+    members = survey.filter("shard IS NULL").select("id", "n_shingles", "node")
+    classes = spark.sparkContext.broadcast(Classes(survey.filter("shard IS NOT NULL").select(*_CENSUS), frequent_at, bitmap_bytes))
+    opened = docs.select(F.col(text)).mapInArrow(_opened(words, percent, classes), "node long, shingles array<long>, entries array<long>")
+    opened = common.stored(opened.dropDuplicates(["node"]), "opened")  # copies of a set in several tasks are one row again
+    roots = joined(opened.select(F.explode("entries").alias("entry"), "node"), opened.select("node", "shingles"), percent)
+    rooted = common.stored(members.join(roots, "node", "left").select("id", "n_shingles", F.coalesce("root", "node").alias("root")), "rooted")
+    least = rooted.filter("root IS NOT NULL").groupBy("root").agg(F.min("id").alias("least"), F.count("*").alias("n")).filter("n > 1").drop("n")
+    least = common.stored(least, "least")  # apart from the join, so that it can split a root with many rows
+    return rooted.join(least, "root", "left").select(F.col("id").alias(key), "n_shingles", F.coalesce("least", "id").alias("component_id"))

@@ -98,17 +98,31 @@ def corpus(seed):
     return [*enumerate(rows), (None, rows[0]), (None, "alone without any id at all"), (3, rows[3])]
 
 
-@pytest.mark.parametrize(("seed", "at", "most"), [(1, 2, jaccard.BROADCAST_BYTES), (2, 2, 8), (3, 6, jaccard.BROADCAST_BYTES), (4, 10**9, jaccard.BROADCAST_BYTES)])
+@pytest.mark.parametrize(("seed", "at", "most"), [(1, 2, jaccard.BITMAP_BYTES), (2, 8, 8), (3, 6, jaccard.BITMAP_BYTES), (4, 10**9, jaccard.BITMAP_BYTES)])
 def test_jaccard(spark, seed, at, most):
     rows = corpus(seed)
     docs = spark.createDataFrame([(*r, 0, 1) for r in rows], "doc_id long, text string, node int, root int").repartition(3)
-    assert sorted(map(tuple, jaccard.linked(docs, frequent_at=at, broadcast_bytes=most).collect()), key=repr) == slow_components(rows)
+    assert sorted(map(tuple, jaccard.linked(docs, frequent_at=at, bitmap_bytes=most).collect()), key=repr) == slow_components(rows)
 
 
-def test_jaccard_by_blocks(spark, monkeypatch):
-    monkeypatch.setattr(jaccard, "BLOCK_SETS", 5)
-    rows = corpus(5)
-    assert sorted(map(tuple, jaccard.linked(spark.createDataFrame(rows, "doc_id long, text string")).collect()), key=repr) == slow_components(rows)
+@pytest.mark.parametrize("blocks", [5, 10**6])
+def test_jaccard_of_many_alike(spark, monkeypatch, blocks):
+    """Groups whose sets are about as far apart as the bound, over several blocks and in one."""
+    monkeypatch.setattr(jaccard, "BLOCK_SETS", blocks)
+    rng, rows = random.Random(17), corpus(5)
+    for size, changes in ((40, 2), (120, 3), (160, 5)):
+        base = ["".join(rng.choice("abcdefgh") for _ in range(5)) for _ in range(size)]
+        for _ in range(40):
+            own = list(base)
+            for _ in range(rng.randrange(2 * changes)):
+                own[rng.randrange(size)] = "x" * rng.randrange(1, 9)
+            rows.append((len(rows) + 1000, " ".join(own[: size - rng.randrange(size // 8)])))
+    assert sorted(map(tuple, jaccard.linked(spark.createDataFrame(rows, "doc_id long, text string").repartition(4)).collect()), key=repr) == slow_components(rows)
+
+
+def classes_of(docs, at=jaccard.FREQUENT_AT):
+    survey = docs.select("doc_id", "text").mapInArrow(jaccard._surveyed(4, jaccard.WORDS, jaccard.PERCENT, "long"), "id long, n_shingles long, node long, shard int, values binary, other binary")
+    return jaccard.Classes(survey.filter("shard IS NOT NULL").select("shard", "values", "other"), at, jaccard.BITMAP_BYTES)
 
 
 def test_jaccard_of_frequent_shingles(spark):
@@ -116,15 +130,35 @@ def test_jaccard_of_frequent_shingles(spark):
     base = ["".join(rng.choice("abcdefgh") for _ in range(6)) for _ in range(150)]
     rows = [(i, " ".join([*base[:i], "changed", *base[i + 1 :]] if i % 2 else base)) for i in range(40, 60)]
     docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
-    frequent = jaccard.frequent_shingles(docs.select("text"), jaccard.WORDS, jaccard.PERCENT, 2, jaccard.BROADCAST_BYTES)
+    classes = classes_of(docs)
     whole, changed = jaccard.sets_of([rows[0][1].encode(), rows[11][1].encode()])
-    found = [jaccard.entries(x, frequent.mask(x)) for x in (whole, changed)]
-    assert frequent.mask(whole).all() and len(whole) > 100
-    assert not np.isin(found[0], whole).any()  # pairs only
+    assert (classes.of(whole) == jaccard.FREQUENT).mean() > 0.9 and len(whole) > 100
+    assert (classes.of(np.setdiff1d(changed, whole)) == jaccard.LONE).all()
+    found = [jaccard.entries(x, classes.of(x)) for x in (whole, changed)]
+    assert not np.isin(found[0], whole[classes.of(whole) == jaccard.FREQUENT]).any()  # frequent ones in pairs only
     assert len(np.intersect1d(*found))
     assert sorted(map(tuple, jaccard.linked(docs).collect()), key=repr) == slow_components(rows)
 
 
+def test_which_entries_the_test_tables_get(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet").select("doc_id", "text").repartition(8)
+    classes, how = classes_of(docs), Counter()
+    for own in jaccard.sets_of([(r.text or "").encode() for r in docs.collect()]):
+        kind, need = classes.of(own) if len(own) else np.zeros(0, int), jaccard.slack(len(own)) + 1
+        found, single = jaccard.entries(own, kind), int((kind != jaccard.FREQUENT).sum())
+        if not jaccard.can_link(len(own)) or (kind == jaccard.LONE).sum() >= need:
+            how["none"] += 1
+            assert not len(found)
+        elif single >= need:
+            how["single"] += 1
+            assert np.isin(found, own[kind == jaccard.RARE]).all() and len(found) == need - (kind == jaccard.LONE).sum()
+        else:
+            how["pairs"] += 1
+            assert len(np.setdiff1d(found, own))  # every set whose prefix reaches the frequent ones is indexed by pairs of them
+            assert not np.isin(found, own[kind == jaccard.FREQUENT]).any()
+    assert how["pairs"] > 100 and how["single"] > 100 and how["none"] > 5000, how
+
+
 def test_jaccard_of_nothing(spark):
     assert jaccard.linked(spark.createDataFrame([], "doc_id long, text string")).count() == 0
     assert [tuple(r) for r in jaccard.linked(spark.createDataFrame([(1, None)], "doc_id long, text string")).collect()] == [(1, 0, 1)]
@@ -137,11 +171,15 @@ def test_similar_sets_share_an_entry(n, out, more, share, seed):
     a = np.unique(rng.integers(0, 1 << 62, n).astype(np.uint64))
     b = np.unique(np.r_[rng.permutation(a)[min(out, n - 1) :], rng.integers(0, 1 << 62, more).astype(np.uint64)])
     both = len(np.intersect1d(a, b))
-    frequent = lambda x: (x >> np.uint64(3)) % np.uint64(1000) < np.uint64(int(1000 * share))
-    if 100 * both >= 75 * (len(a) + len(b) - both) and len(a) + len(b) > 2 * both:
-        assert len(np.intersect1d(jaccard.entries(a, frequent(a)), jaccard.entries(b, frequent(b))))
+    # lone: what only one has; of the rest a share is frequent
+    kind = lambda x, y: np.where(np.isin(x, y) | (x % np.uint64(2) > 0), 1 + ((x >> np.uint64(3)) % np.uint64(1000) < np.uint64(int(1000 * share))), 0)
+    one, two = jaccard.entries(a, kind(a, b)), jaccard.entries(b, kind(b, a))
     similar = 100 * both >= 75 * (len(a) + len(b) - both)
-    assert len(jaccard.joining_links([a, b], np.zeros(2, int))) == similar == len(jaccard.joining_links([a, b], np.arange(2)))
+    if similar and len(a) + len(b) > 2 * both:
+        assert len(np.intersect1d(one, two))
+    share, alone = [np.zeros(1, np.uint64)] * 2, [np.zeros(1, np.uint64), np.ones(1, np.uint64)]
+    assert len(jaccard.joining_links([a, b], np.zeros(2, int), np.arange(2), share)) == similar == len(jaccard.joining_links([a, b], np.arange(2), np.arange(2), share))
+    assert not jaccard.joining_links([a, b], np.zeros(2, int), np.arange(2), alone) and not jaccard.joining_links([a, b], np.zeros(2, int), np.zeros(2, int), share)
 
 
 def test_components(spark):
