@@ -1,32 +1,35 @@
 """Token counts by pre-token: every distinct pre-token is cut into pieces once, its count is joined to the documents'
 pre-token frequencies, and the sums never see an id.
 
-A tokenizer file (``tokenizers`` JSON) is a parameter. Special strings inside a text count as the library's default
-has it: one token each. Null text is empty (0 tokens). Repeated rows give repeated results; an empty table an empty one.
+The texts are read once. Each task numbers the pre-tokens that it meets and writes every document's frequencies by number,
+and, for each shard, the pre-tokens that belong there by hash. The shards count the pieces, each distinct pre-token once,
+and answer with counts in the order asked; a part's counts then meet its documents' frequencies. Nothing is broadcast, a
+frequent pre-token costs a part one line, and the path is the same at every size.
+
+A tokenizer file (``tokenizers`` JSON) is a parameter: byte-level BPE without a normalizer or a prefix space; another kind
+is refused. Special strings inside a text count as the library's default has it: one token each. Null text is empty (0
+tokens). Repeated rows give repeated results; an empty table an empty one. Other columns of docs don't matter.
 """
 
 from __future__ import annotations
 
 import functools
+import json
 import re
+import uuid
 import zlib
-from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute  # noqa: F401  loads pa.compute
-import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import common
 
-#: A cache of cut stretches is dropped at this many entries, a task's set of pre-tokens sent on.
-CACHE = 400_000
-#: Bytes of (hash, count) pairs that may be broadcast; a larger vocabulary is joined by a shuffle.
-BROADCAST_BYTES = 64 << 20
-_SEED = 42
+#: A part of a task ends at so many stretches or pre-tokens, or bytes of text.
+CACHE, PART_BYTES = 400_000, 64 << 20
 
 
 class PreTokens:
@@ -40,7 +43,12 @@ class PreTokens:
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(path)
-        specials = sorted((t.content for t in self.library.get_added_tokens_decoder().values()), key=len, reverse=True)
+        said = json.loads(self.library.to_str())
+        way = said["pre_tokenizer"] or {}
+        plain = not said["normalizer"] and way.get("type") == "ByteLevel" and way.get("use_regex") and not way.get("add_prefix_space")
+        if not plain or said["model"]["type"] != "BPE" or any(t["lstrip"] or t["rstrip"] or t["single_word"] for t in said["added_tokens"]):
+            raise ValueError(f"not a plain byte-level BPE tokenizer: {path}")
+        specials = sorted((t["content"] for t in said["added_tokens"]), key=len, reverse=True)
         self.special = re.compile("|".join(map(re.escape, specials))).split if specials else None
         self.cut = re.compile(r"(?<=\S) (?=\S)").split
 
@@ -55,8 +63,15 @@ class PreTokens:
                 found += [" " + x for x in rest]
         return found, len(parts) - 1
 
-    def of(self, stretch: str) -> list[str]:
-        return [piece for piece, _ in self.library.pre_tokenizer.pre_tokenize_str(stretch)]
+    def of(self, stretches: list[str]) -> list[list[str]]:
+        """The pre-tokens of each stretch. Those with a space before are cut together, since the space parts them."""
+        after = [x for x in stretches if x[0] == " " and x[1:2].strip() and x[-1].strip()]
+        ends = np.cumsum([0, *map(len, after)])
+        found = self.library.pre_tokenizer.pre_tokenize_str("".join(after)) if after else []
+        at = np.searchsorted([start for _, (start, _) in found], ends)
+        words = [piece for piece, _ in found]
+        together = {x: words[i:j] for x, i, j in zip(after, at[:-1].tolist(), at[1:].tolist(), strict=True)}
+        return [together[x] if x in together else [piece for piece, _ in self.library.pre_tokenizer.pre_tokenize_str(x)] for x in stretches]
 
     def pieces(self, pre_token: str) -> int:
         return len(self.library.model.tokenize(pre_token))
@@ -67,122 +82,133 @@ def pre_tokens(path: str) -> PreTokens:
     return PreTokens(path)
 
 
-def _distinct(path: str, n_shards: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        by, seen, own = pre_tokens(path), set(), set()
-
-        def sent() -> Iterator[pa.RecordBatch]:
-            dealt: dict[int, list[bytes]] = {}
-            for word in own:
-                raw = word.encode()
-                dealt.setdefault(zlib.crc32(raw) % n_shards, []).append(raw)
-            if dealt:
-                yield pa.record_batch([pa.array(list(dealt), pa.int32()), pa.array([zlib.compress(b"\n".join(sorted(x)), 1) for x in dealt.values()], pa.binary())], ["shard", "words"])
-            own.clear()
-
-        for batch in common.slices(batches, 0):
-            for text in batch.column(0).to_pylist():
-                new = set(by.stretches(text or "")[0]).difference(seen)
-                for stretch in new:
-                    own.update(by.of(stretch))
-                seen |= new
-            if len(seen) > CACHE or len(own) > CACHE:
-                yield from sent()
-                seen.clear()
-        yield from sent()
+_SENT = ["part", "shard", "ids", "sizes", "special", "ends", "numbers", "times", "words"]
 
-    return run
 
+class _Part:
+    """The pre-tokens that a task has met since the part began, by number."""
 
-def _counted(path: str):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        by, words = pre_tokens(path), set()
-        for batch in batches:
-            for blob in batch.column("words").to_pylist():
-                words.update(zlib.decompress(blob).split(b"\n"))
-        for own in (sorted(words)[i : i + 50_000] for i in range(0, len(words), 50_000)):
-            yield pa.record_batch(
-                [pa.array([x.decode() for x in own], pa.string()), pa.array([xxhash.xxh64_intdigest(x, _SEED) for x in own], pa.uint64()).view(pa.int64()), pa.array([by.pieces(x.decode()) for x in own], pa.int32())],
-                ["pre_token", "hash", "pieces"],
-            )
+    def __init__(self, by: PreTokens):
+        self.by, self.name, self.bytes = by, uuid.uuid4().hex, 0
+        self.number: dict[str, int] = {}
+        self.place: dict[str, int] = {}  # of stretches
+        self.owned: list[list[int]] = []  # the pre-tokens of each stretch
 
-    return run
+    def frequencies(self, docs: list[list[str]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(ends, numbers, times): how often each document has which pre-token."""
+        known, put = len(self.place), self.place.setdefault
+        at = np.array([put(x, len(self.place)) for found in docs for x in found], np.int64)
+        new = list(self.place)[known:] if len(self.place) > known else []
+        count = self.number.setdefault
+        for i in range(0, len(new), 20_000):
+            self.owned += [[count(w, len(self.number)) for w in own] for own in self.by.of(new[i : i + 20_000])]
+        some, at = np.unique(at, return_inverse=True)
+        lists = [self.owned[i] for i in some.tolist()]
+        size = np.array([len(x) for x in lists], np.int64)
+        begin, flat = np.cumsum(size) - size, np.array([w for x in lists for w in x], np.int64)
+        owner = np.repeat(np.arange(len(docs)), [len(x) for x in docs])
+        each = size[at]
+        total = int(each.sum())
+        within = np.arange(total) - np.repeat(np.cumsum(each) - each, each)
+        wide = max(1, len(self.number))
+        key, times = np.unique(np.repeat(owner, each) * wide + (flat[np.repeat(begin[at], each) + within] if total else 0), return_counts=True)
+        return np.searchsorted(key, np.arange(1, len(docs) + 1) * wide), key % wide, times
 
+    def by_shard(self, n: int) -> Iterator[tuple[int, list[int], list[str]]]:
+        dealt: dict[int, tuple[list[int], list[str]]] = {}
+        for word, number in self.number.items():
+            numbers, words = dealt.setdefault(zlib.crc32(word.encode()) % n, ([], []))
+            numbers.append(number)
+            words.append(word)
+        for shard, (numbers, words) in dealt.items():
+            yield shard, numbers, words
 
-def piece_table(docs: DataFrame, tokenizer: str, text: str = "text") -> DataFrame:
-    """(pre_token, hash, pieces): one row per distinct pre-token of the texts, written to the shared folder.
 
-    Tasks send their distinct pre-tokens, packed by shard, so a frequent one costs a few bytes a task."""
-    n = common.shards(docs.sparkSession)
-    sent = docs.select(F.col(text)).mapInArrow(_distinct(tokenizer, n), "shard int, words binary")
-    return common.stored(sent.repartitionById(n, F.col("shard")).mapInArrow(_counted(tokenizer), "pre_token string, hash long, pieces int"), "pieces")
+def _packed(array: np.ndarray, kind: str) -> bytes:
+    return zlib.compress(array.astype(kind).tobytes(), 1)
 
 
-def _summed(path: str, table):
-    """Broadcast form: look the pieces of new stretches up, then sum by document."""
+def _unpacked(raw: bytes, kind: str) -> np.ndarray:
+    return np.frombuffer(zlib.decompress(raw), kind).astype(np.int64)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        by, (keys, pieces), known = pre_tokens(path), table.value, {}
-        for batch in common.slices(batches, 1):
-            texts = batch.column(1).to_pylist()
-            docs = [by.stretches(x or "") for x in texts]
-            new = list({s for found, _ in docs for s in found if s not in known})
-            if new:
-                if len(known) > CACHE:
-                    known.clear()
-                    new = list({s for found, _ in docs for s in found})
-                words = [by.of(s) for s in new]
-                at = np.searchsorted(keys, np.array([xxhash.xxh64_intdigest(w.encode(), _SEED) for own in words for w in own], np.uint64))
-                ends = np.cumsum([len(own) for own in words])
-                total = np.r_[0, np.cumsum(pieces[at], dtype=np.int64)]
-                known.update(zip(new, (total[ends] - total[np.r_[0, ends[:-1]]]).tolist(), strict=True))
-            n_tokens = [sum(map(known.__getitem__, found)) + special for found, special in docs]
-            yield pa.record_batch([batch.column(0), pa.array([len((x or "").encode()) for x in texts], pa.int64()), pa.array(n_tokens, pa.int64())], ["id", "n_bytes", "n_tokens"])
 
-    return run
+def _row(part: str, shard: int, ids: pa.Array, *blobs: bytes | None) -> pa.RecordBatch:
+    whole = pa.ListArray.from_arrays(pa.array([0, len(ids)], pa.int32()), ids)
+    return pa.record_batch([pa.array([part]), pa.array([shard], pa.int32()), whole, *(pa.array([x], pa.binary()) for x in blobs)], _SENT)
 
 
-def _frequencies(path: str):
+def _frequencies(path: str, n: int):
+    """A row for some documents (shard -1), with their frequencies; at a part's end a row for each shard, with its words."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         by = pre_tokens(path)
-        for batch in common.slices(batches, 1, 1 << 20):
-            keys, words, counts = [], [], []
-            for key, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                found, special = by.stretches(text or "")
-                own: Counter = Counter()
-                for stretch, times in Counter(found).items():
-                    for word in by.of(stretch):
-                        own[word] += times
-                if special:
-                    own[""] = special
-                keys += [key] * len(own)
-                words += own
-                counts += own.values()
-            yield pa.record_batch([pa.array(keys, pa.string()), pa.array(words, pa.string()), pa.array(counts, pa.int64())], ["key", "pre_token", "times"])
+        part, none = _Part(by), None
+        for batch in _and_none(common.slices(batches, 1, 4 << 20)):
+            if batch is not None:
+                none = batch.column(0).slice(0, 0)
+                texts = batch.column(1).to_pylist()
+                cut = [by.stretches(x or "") for x in texts]
+                ends, numbers, times = part.frequencies([x for x, _ in cut])
+                sizes, special = np.array([len((x or "").encode()) for x in texts]), np.array([s for _, s in cut])
+                part.bytes += int(sizes.sum())
+                yield _row(part.name, -1, batch.column(0), _packed(sizes, "<i8"), _packed(special, "<i8"), _packed(ends, "<i8"), _packed(numbers, "<u4"), _packed(times, "<u4"), None)
+            if part.bytes and (batch is None or part.bytes > PART_BYTES or max(len(part.place), len(part.number)) > CACHE):
+                for shard, asked, words in part.by_shard(n):
+                    yield _row(part.name, shard, none, None, None, None, _packed(np.array(asked), "<u4"), None, zlib.compress("\n".join(words).encode(), 1))
+                part = _Part(by)
 
     return run
 
 
-def token_counts(docs: DataFrame, tokenizer: str, key: str = "doc_id", text: str = "text", broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
-    """(key, n_bytes, n_tokens) for each row of docs.
+def _and_none(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch | None]:
+    yield from batches
+    yield None
 
-    The piece table is broadcast as (hash, count) arrays only if its measured size is within broadcast_bytes and no two
-    pre-tokens share a hash; otherwise the documents' pre-token frequencies are shuffled to it. Both give equal results.
-    """
-    spark = docs.sparkSession
-    table = piece_table(docs, tokenizer, text)
-    rows = table.count()
+
+def _counted(path: str):
+    """The pieces of the pre-tokens asked for, in their order; each distinct one is cut once a shard."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        by, known = pre_tokens(path), {}
+        for batch in batches:
+            for row in batch.to_pylist():
+                words = zlib.decompress(row["words"]).decode().split("\n")
+                for word in words:
+                    if word not in known:
+                        known[word] = by.pieces(word)
+                pieces = np.array([known[w] for w in words])
+                yield pa.record_batch([pa.array([row["part"]]), pa.array([row["shard"]], pa.int32()), pa.array([row["numbers"]], pa.binary()), pa.array([_packed(pieces, "<u4")], pa.binary())], ["part", "shard", "numbers", "times"])
+
+    return run
+
+
+def _summed(table: pa.Table) -> pa.Table:
+    """One part: the pieces of its pre-tokens by number, then the sum of each document."""
+    shard = table["shard"].to_numpy()
+    answers, texts = table.filter(pa.array(shard >= 0)), table.filter(pa.array(shard < 0))
+    numbers = [_unpacked(x, "<u4") for x in answers["numbers"].to_pylist()]
+    pieces = np.zeros(1 + max((int(x.max()) for x in numbers), default=0), np.int64)
+    for own, found in zip(numbers, answers["times"].to_pylist(), strict=True):
+        pieces[own] = _unpacked(found, "<u4")
+    ids, sizes, sums = [], [], []
+    for row in range(texts.num_rows):
+        raw = {c: texts[c][row].as_py() for c in ("sizes", "special", "ends", "numbers", "times")}
+        total = np.r_[0, np.cumsum(pieces[_unpacked(raw["numbers"], "<u4")] * _unpacked(raw["times"], "<u4"))]
+        ends = _unpacked(raw["ends"], "<i8")
+        sums.append(total[ends] - total[np.r_[0, ends[:-1]]] + _unpacked(raw["special"], "<i8"))
+        sizes.append(_unpacked(raw["sizes"], "<i8"))
+        ids.append(texts["ids"][row].values)
+    return pa.table({"id": pa.chunked_array(ids, table["ids"].type.value_type), "n_bytes": np.concatenate(sizes or [np.zeros(0, np.int64)]), "n_tokens": np.concatenate(sums or [np.zeros(0, np.int64)])})
+
+
+def token_counts(docs: DataFrame, tokenizer: str, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """(key, n_bytes, n_tokens) for each row of docs."""
+    n = common.shards(docs.sparkSession)
     kind = docs.schema[key].dataType.simpleString()
-    if rows * 12 <= broadcast_bytes:
-        pairs = table.select("hash", "pieces").toArrow()
-        keys, pieces = pairs["hash"].to_numpy().view(np.uint64), pairs["pieces"].to_numpy()
-        order = np.argsort(keys)
-        keys, pieces = keys[order], pieces[order]
-        if not (keys[1:] == keys[:-1]).any():
-            return docs.select(F.col(key), F.col(text)).mapInArrow(_summed(tokenizer, spark.sparkContext.broadcast((keys, pieces))), f"id {kind}, n_bytes long, n_tokens long").withColumnRenamed("id", key)
-    full = F.coalesce(F.col(text), F.lit(""))
-    keyed = docs.select(F.col(key).alias("id"), full.alias("body"), F.concat(F.md5(full), F.octet_length(full)).alias("key"))
-    # equal texts have equal frequencies: max() makes one row of their copies
-    parts = keyed.select("key", "body").mapInArrow(_frequencies(tokenizer), "key string, pre_token string, times long").groupBy("key", "pre_token").agg(F.max("times").alias("times"))
-    sums = parts.join(table.select("pre_token", "pieces"), "pre_token", "left").groupBy("key").agg(F.sum(F.col("times") * F.coalesce("pieces", F.lit(1))).alias("n_tokens"))
-    return keyed.select("id", "key", F.octet_length("body").cast("long").alias("n_bytes")).join(sums, "key", "left").select(F.col("id").alias(key), "n_bytes", F.coalesce("n_tokens", F.lit(0)).cast("long").alias("n_tokens"))
+    schema = f"part string, shard int, ids array<{kind}>, sizes binary, special binary, ends binary, numbers binary, times binary, words binary"
+    # parts have random names, so they are stored before they are read twice
+    sent = common.stored(docs.select(F.col(key), F.col(text)).mapInArrow(_frequencies(tokenizer, n), schema), "frequencies")
+    asked = sent.filter("shard >= 0").select("part", "shard", "numbers", "words").repartitionById(n, F.col("shard"))
+    answers = asked.mapInArrow(_counted(tokenizer), "part string, shard int, numbers binary, times binary")
+    texts = sent.filter("shard < 0").drop("words")
+    return texts.unionByName(answers, allowMissingColumns=True).groupBy("part").applyInArrow(_summed, f"id {kind}, n_bytes long, n_tokens long").withColumnRenamed("id", key)

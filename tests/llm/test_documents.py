@@ -32,12 +32,21 @@ def empty(df):
     return df.filter("false")
 
 
-@pytest.mark.parametrize("most", [tokens.BROADCAST_BYTES, 0])
-def test_token_counts(spark, odd, most):
+@pytest.mark.parametrize("most", [tokens.CACHE, 3])
+def test_token_counts(spark, odd, monkeypatch, most):
+    monkeypatch.setattr(tokens, "CACHE", most)
     library = Tokenizer.from_file(BYTES)
-    want = sorted(((i, len((t or "").encode()), len(library.encode(t or "", add_special_tokens=False).ids)) for i, t in ODD), key=repr)
-    assert sorted(map(tuple, tokens.token_counts(odd, BYTES, broadcast_bytes=most).collect()), key=repr) == want
-    assert tokens.token_counts(empty(odd), BYTES, broadcast_bytes=most).count() == 0
+    texts = [*ODD, *((20 + i, " ".join(f"word{i * k % 7}, it's\n" for k in range(40 * i))) for i in range(30))]
+    want = sorted(((i, len((t or "").encode()), len(library.encode(t or "", add_special_tokens=False).ids)) for i, t in texts), key=repr)
+    docs = spark.createDataFrame([(*t, "x", 1) for t in texts], "doc_id long, text string, part string, shard int").repartition(3)
+    assert sorted(map(tuple, tokens.token_counts(docs, BYTES).collect()), key=repr) == want
+    assert tokens.token_counts(empty(odd), BYTES).count() == 0
+    assert [tuple(r) for r in tokens.token_counts(odd.filter("doc_id = 1").drop("length"), BYTES).collect()] == [(1, 0, 0)] * 2
+
+
+def test_other_tokenizers_are_refused():
+    with pytest.raises(ValueError):
+        tokens.PreTokens(WORDS)
 
 
 @settings(max_examples=200, deadline=None)
@@ -45,7 +54,7 @@ def test_token_counts(spark, odd, most):
 def test_stretches_and_words_are_the_library(text):
     by = tokens.pre_tokens(BYTES)
     found, special = by.stretches(text)
-    assert sum(by.pieces(p) for s in found for p in by.of(s)) + special == len(by.library.encode(text, add_special_tokens=False).ids)
+    assert sum(by.pieces(p) for own in by.of(found) for p in own) + special == len(by.library.encode(text, add_special_tokens=False).ids)
     ids = packing._ids(WORDS)
     assert ids.all([text.encode()])[0] == np.array(ids.library.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
