@@ -126,7 +126,7 @@ class Filter:
             return found
         own = shard_of(keys, self.n)
         mask, begin, left, level = self.mask[own], self.begin[own], np.arange(len(keys)), 1
-        while len(left):
+        while len(left) and level < len(ESTIMATES):  # a slice without a miss ends there, too
             start, step = _starts(keys, level)
             for i in range(PROBES):
                 at = ((start + np.uint64(i) * step) & mask) + begin
@@ -137,16 +137,6 @@ class Filter:
         return found
 
 
-def fold(raw: bytes, times: int) -> bytes:
-    """A slice at 1/2^times of its size (64 bits at least): the same members, more false ones."""
-    own = np.frombuffer(raw, np.uint8)
-    for _ in range(times):
-        if len(own) <= 8:
-            break
-        own = own[: len(own) // 2] | own[len(own) // 2 :]
-    return own.tobytes()
-
-
 def _gathered(n: int):
     names = ["shard", "words", "times", "pairs", "pair_times"]
 
