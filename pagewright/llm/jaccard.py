@@ -50,8 +50,9 @@ PERCENT = 75
 FREQUENT_AT = 4
 #: Bytes of each of the two bitmaps of shingles at most.
 BITMAP_BYTES = 32 << 20
-#: A block of a chain: so many sets and shingles at most, about.
-BLOCK_SETS, BLOCK_SHINGLES = 4096, 4_000_000
+#: A block of a chain: so many sets and shingles at most, about; and ROOT_SETS times the root of its class's sets, so that
+#: the pairs of blocks are dealt to many tasks before a block is full.
+BLOCK_SETS, BLOCK_SHINGLES, ROOT_SETS = 4096, 4_000_000, 5
 _HELD = 2_000_000
 _SEED = 11
 _ODD = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3, 0x589965CC75374CC3], np.uint64)
@@ -357,7 +358,7 @@ def block_links(left: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     own = sets.join(owned, "node").join(chains.select("node", F.col("root").alias("chain")), "node").withColumn("class", size_class)
     own = common.stored(own, "chains")
     sums = own.groupBy("chain", "class").agg(F.count("*").alias("m"), F.sum(F.size("shingles")).alias("total"))
-    blocks = F.greatest(F.ceil(F.col("m") / BLOCK_SETS), F.ceil(F.col("total") / BLOCK_SHINGLES)).cast("int")
+    blocks = F.greatest(F.floor(F.sqrt("m") / ROOT_SETS), F.ceil(F.col("m") / BLOCK_SETS), F.ceil(F.col("total") / BLOCK_SHINGLES)).cast("int")
     counts = common.stored(sums.select("chain", "class", blocks.alias("k")), "sizes")
     around = counts.select("chain", F.explode(F.array(F.col("class") - 1, F.col("class"), F.col("class") + 1)).alias("class"), F.struct(F.col("class").alias("of"), "k").alias("there"))
     around = around.groupBy("chain", "class").agg(F.collect_list("there").alias("there"))  # three at most
