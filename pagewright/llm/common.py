@@ -21,8 +21,13 @@ def _own_dir() -> str:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all machines see: spark.checkpoint.dir, or one of our own where that is unset (tests)."""
-    return spark.conf.get("spark.checkpoint.dir", None) or _own_dir()
+    """The folder that all machines see: spark.checkpoint.dir, or one of our own where that is unset and all run on one."""
+    if found := spark.conf.get("spark.checkpoint.dir", None):
+        return found
+    master = spark.conf.get("spark.master", "")
+    if master != "local" and not master.startswith("local["):
+        raise RuntimeError(f"spark.checkpoint.dir has to name a folder that all machines of {master} see")
+    return _own_dir()
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
