@@ -122,25 +122,26 @@ def _predicted(model, dim: int):
         for batch in common.slices(batches, 1, 1 << 20, 64):
             distinct, owner, at = grams.of(batch.column(1).to_pylist())
             n = batch.num_rows
-            pred, score = [UNKNOWN] * n, np.zeros(n)
+            pred, score, n_grams = [UNKNOWN] * n, np.zeros(n), np.zeros(n, np.int64)
             if len(distinct) and langs:
                 vectors = _counts(owner, at, n, len(distinct)).astype(np.float32) @ _vectors(distinct, dim)
                 size = np.linalg.norm(vectors, axis=1)
                 cosine = vectors @ unit.T / np.maximum(size, 1e-9)[:, None]
-                some = np.bincount(owner, minlength=n) > 0
+                n_grams = np.bincount(owner, minlength=n).astype(np.int64)
+                some = n_grams > 0
                 best = cosine.argmax(1)
                 pred = [langs[b] if s else UNKNOWN for b, s in zip(best, some, strict=True)]
                 score = np.where(some, np.clip(cosine.max(1), 0, 1), 0).astype(np.float64)
-            yield pa.record_batch([batch.column(0), pa.array(pred, pa.string()), pa.array(score)], ["id", "lang_pred", "score"])
+            yield pa.record_batch([batch.column(0), pa.array(pred, pa.string()), pa.array(score), pa.array(n_grams)], ["id", "lang_pred", "score", "n_grams"])
 
     return run
 
 
 def predict(docs: DataFrame, model: tuple[list[str], np.ndarray], key: str = "doc_id", text: str = "text") -> DataFrame:
-    """(key, lang_pred, score) of each row; key may be a struct that carries other columns along."""
+    """(key, lang_pred, score, n_grams) of each row; n_grams is how many trigrams the score stands on. key may be a struct that carries other columns along."""
     kind = docs.schema[key].dataType.simpleString()
     held = docs.sparkSession.sparkContext.broadcast(model)
-    return docs.select(F.col(key), F.col(text)).mapInArrow(_predicted(held, model[1].shape[1]), f"id {kind}, lang_pred string, score double").withColumnRenamed("id", key)
+    return docs.select(F.col(key), F.col(text)).mapInArrow(_predicted(held, model[1].shape[1]), f"id {kind}, lang_pred string, score double, n_grams long").withColumnRenamed("id", key)
 
 
 def remainder(key: str, modulus: int):

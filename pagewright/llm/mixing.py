@@ -110,7 +110,8 @@ def plan(rows: DataFrame, weigh: Callable[[list], dict], share: float = 1.5, mos
 
 
 def with_copies(rows: DataFrame, shares: list[Share], source: str = "source", hash_column: str = "hash") -> DataFrame:
-    """rows plus source_size, target and copies (how often the mix takes a row)."""
+    """rows plus source_size, target and copies (how often the mix takes a row); columns of these names are replaced."""
+    rows = rows.drop("source_size", "target", "copies")
     schema = "__of string, source_size long, target double, __passes long, __threshold long"
     table = rows.sparkSession.createDataFrame([(s.source, s.size, s.target, s.passes, s.threshold) for s in shares], schema)
     copies = F.col("__passes") + (F.col(hash_column) < F.col("__threshold")).cast("long")

@@ -64,7 +64,7 @@ def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _documents(spark, sf_dir, "doc_id", "text", "lang")
     model = language.learn(docs.filter(language.remainder("doc_id", 4) != 2))
     kept = docs.select(F.struct("doc_id", (language.remainder("doc_id", 4) == 2).alias("held_out")).alias("row"), "text")
-    return language.predict(kept, model, "row").select("row.*", "lang_pred", "score")
+    return language.predict(kept, model, "row").select("row.*", "lang_pred", "score", "n_grams")
 
 
 @_query
