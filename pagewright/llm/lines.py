@@ -2,8 +2,7 @@
 
 A line occurrence goes if an earlier occurrence, by (key, line number), has the same line or one within one edit (a
 character put in, left out or changed), whatever became of that earlier one; the earliest stays. Lines are what stands
-between \\n. Lines without a visible character always stay; lines shorter than ``least_chars`` characters go only for equal
-ones, since one edit there is another word.
+between \\n, of any length; those without a visible character always stay.
 
 Near lines: of two lines within one edit let L be the length of the shorter (or equal) one, cut into segments; the edit
 lies in one segment, and the lines agree before and after it. So every line emits, for each segment of its own length and
@@ -14,7 +13,8 @@ verified. Segments are at most
 2048 characters, so the neighbourhood of a long line stays in proportion to it.
 
 Keys are 64-bit hashes that only propose; equality of lines is decided by a 128-bit digest, nearness by levenshtein. Null
-text stays null, with no lines. A null key comes last. Repeated rows share the same places and all stay or go alike.
+text stays null, with no lines. A null key comes last. Repeated rows share the same places and all stay or go alike. An
+empty table gives an empty one. Other columns stay; only n_lines and n_dropped replace columns of these names.
 """
 
 from __future__ import annotations
@@ -24,7 +24,6 @@ from pyspark.sql import functions as F
 
 from . import common
 
-LEAST_CHARS = 20
 SEGMENTS = 3
 SEGMENT_CHARS = 2048
 #: Counted bytes of a table that may be broadcast; a larger one is joined by a shuffle.
@@ -103,21 +102,20 @@ def near_earliest(lines: DataFrame, broadcast_bytes: int = BROADCAST_BYTES) -> D
     return said.filter(F.levenshtein("left", "right", 1) == 1).groupBy("id").agg(F.min("other").alias("other"))
 
 
-def dropped(docs: DataFrame, key: str = "doc_id", text: str = "text", least_chars: int = LEAST_CHARS, broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
+def dropped(docs: DataFrame, key: str = "doc_id", text: str = "text", broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
     """(key, text, gone): line numbers that go, for each document (by key and text hash) that loses any."""
     split = _split(docs, key, text).filter(F.col("line").rlike(VISIBLE)).withColumn("id", F.unhex(F.md5("line")))
     twice = split.groupBy("id").agg(F.min("place").alias("first"), F.max("place").alias("last")).filter(F.col("first") < F.col("last")).select("id", "first")
-    long_ones = split.withColumn("length", F.char_length("line")).filter(F.col("length") >= least_chars)
-    other = near_earliest(long_ones, broadcast_bytes)
+    other = near_earliest(split.withColumn("length", F.char_length("line")), broadcast_bytes)
     # lines that occur twice or have a near line, and the earliest place of either
     bounds = common.stored(twice.join(other, "id", "full_outer").select("id", F.least("first", "other").alias("earliest")), "bounds")
     gone = split.select("id", "place").join(_bounded(bounds, 100, broadcast_bytes), "id").filter(F.col("earliest") < F.col("place"))
     return gone.groupBy("place.none", "place.key", "place.text").agg(F.array_sort(F.collect_set("place.at")).alias("gone")).drop("none")
 
 
-def deduplicated(docs: DataFrame, key: str = "doc_id", text: str = "text", least_chars: int = LEAST_CHARS, broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
+def deduplicated(docs: DataFrame, key: str = "doc_id", text: str = "text", broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
     """docs with the text's remaining lines, and n_lines and n_dropped."""
-    gone = dropped(docs.select(key, text), key, text, least_chars, broadcast_bytes)
+    gone = dropped(docs.select(key, text), key, text, broadcast_bytes)
     gone = common.stored(gone.select(F.col("key").alias("__key"), F.col("text").alias("__text"), F.col("gone").alias("__gone")), "gone")
     numbers = gone.agg(F.sum(F.size("__gone") + 16)).first()[0] or 0
     small = F.broadcast(gone) if numbers * 4 <= broadcast_bytes else gone

@@ -143,11 +143,10 @@ WITH split AS (
   WHERE text IS NOT NULL),
 seen AS (SELECT * FROM split WHERE regexp_matches(line, '[^\\x00-\\x20\\x7f]')),
 uniq AS (SELECT line, length(line) AS n, min(row(doc_id, pos)) AS first FROM seen GROUP BY line),
-cand AS (SELECT * FROM uniq WHERE n >= 20),
 keys AS (
-  SELECT line, n, first, m, 0 AS side, left(line, (m // 2)::BIGINT) AS k FROM cand, LATERAL (SELECT unnest([n, n - 1]) AS m) x
+  SELECT line, n, first, m, 0 AS side, left(line, (m // 2)::BIGINT) AS k FROM uniq, LATERAL (SELECT unnest([n, n - 1]) AS m) x
   UNION ALL
-  SELECT line, n, first, m, 1 AS side, right(line, (m - m // 2)::BIGINT) AS k FROM cand, LATERAL (SELECT unnest([n, n - 1]) AS m) x),
+  SELECT line, n, first, m, 1 AS side, right(line, (m - m // 2)::BIGINT) AS k FROM uniq, LATERAL (SELECT unnest([n, n - 1]) AS m) x),
 pairs AS (
   SELECT DISTINCT a.line AS a, b.line AS b, a.first AS fa, b.first AS fb, a.n AS na, b.n AS nb
   FROM keys a JOIN keys b ON a.m = b.m AND a.side = b.side AND a.k = b.k AND a.line <> b.line AND b.first < a.first AND abs(a.n - b.n) <= 1),

@@ -213,7 +213,7 @@ def near(a, b):
     return any(b[:i] + b[i + 1 :] == a for i in range(len(b)))
 
 
-def slow_dedup(rows, least=20):
+def slow_dedup(rows):
     every = [((k is None, k or 0), n, line) for k, t in rows if t is not None for n, line in enumerate(t.split("\n"))]
     out = []
     for k, t in rows:
@@ -223,7 +223,7 @@ def slow_dedup(rows, least=20):
         own, kept = t.split("\n"), []
         for n, line in enumerate(own):
             here = ((k is None, k or 0), n)
-            same = lambda x: x == line or (min(len(x), len(line)) >= least and near(x, line))  # noqa: B023, E731
+            same = lambda x: near(x, line)  # noqa: B023, E731
             if not any(c > " " and c != "\x7f" for c in line) or not any((p, m) < here and same(x) for p, m, x in every):
                 kept.append(line)
         out.append((k, "\n".join(kept), len(own), len(own) - len(kept)))
@@ -233,15 +233,16 @@ def slow_dedup(rows, least=20):
 @pytest.mark.parametrize("most", [lines.BROADCAST_BYTES, 0])
 def test_lines(spark, most):
     rng = random.Random(11)
-    base = ["".join(rng.choice("abé 🙂") for _ in range(rng.choice([5, 19, 20, 21, 33, 60, 7000]))) for _ in range(14)]
+    base = ["".join(rng.choice("abé 🙂") for _ in range(size)) for size in (1, 1, 2, 2, 3, 4, 5, 7, 9, 12, 15, 19, 20, 21, 33, 60, 2047, 2049, 7000)]
 
     def changed(line):
         i, kind = rng.randrange(len(line)), rng.randrange(4)
         return [line, line[:i] + line[i + 1 :], line[:i] + "z" + line[i:], line[:i] + "z" + line[i + 1 :]][kind]
 
     rows = [(i, "\n".join(changed(rng.choice(base)) for _ in range(rng.randrange(1, 6)))) for i in range(45)]
+    rows += [(50 + i, "\n".join("".join(rng.choice("abcé") for _ in range(rng.randrange(1, 8))) for _ in range(4))) for i in range(12)]
     rows += [(100, None), (101, ""), (102, "\n \n"), (103, base[3]), (103, base[3]), (None, base[3] + "\nnew line without a number here")]
-    docs = spark.createDataFrame([(*r, "x", 1) for r in rows], "doc_id long, text string, line string, id int").repartition(3)
+    docs = spark.createDataFrame([(*r, "x", 1, "y") for r in rows], "doc_id long, text string, line string, id int, n_lines string").repartition(3)
     got = lines.deduplicated(docs, broadcast_bytes=most)
     assert {"line", "id"} <= set(got.columns)
     assert sorted(map(tuple, got.select("doc_id", "text", "n_lines", "n_dropped").collect()), key=repr) == slow_dedup(rows)
