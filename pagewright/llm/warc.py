@@ -2,12 +2,16 @@
 
 Writing: a gzip member per record. Of records with equal payloads of at least ``least`` bytes the one with the largest key
 is a response, the others are revisits that refer to it. Every task writes archives of its own attempt, so a lost task
-leaves at most a file that nothing names. Index: a line per record, sorted by reversed-host URL key, in compressed blocks;
-a sparse directory has one row per block. Looking up: binary search of the directory, one range read of a block, binary
-search of its lines, one range read of the record.
-
-Null payloads are empty; a null URL has the empty key; a null key is never the largest (if all are null, all records are
-responses). Rows that share the largest key are all responses. An empty table gives empty archives and an empty index.
+leaves at most a file that nothing names. Index: a line per record, sorted by reversed-host URL key over a number of files,
+in compressed blocks; a file ends with its sparse directory, a line per block. The list of files with their first and last
+keys has a row a partition of the sort. Reading, be it some URLs or all: binary search of the files and of a file's
+directory for each key; the blocks found are dealt out, so a key with many records is spread; then a range read of a block,
+binary search of its lines, and a range read of each record.
+
+Keys (``key``) may be of any type that text can be cast back to; "largest" is by that type. Null payloads are empty; a null
+URL has the empty URL key; a null key is never the largest (if all are null, all records are responses). Rows that share the
+largest key are all responses; repeated rows are records each. An empty table gives no archives and an empty index. Other
+columns of pages don't matter.
 """
 
 from __future__ import annotations
@@ -104,7 +108,10 @@ def _own_name(n: int) -> str:
     return f"{context.partitionId():06d}-{context.taskAttemptId()}-{n}"
 
 
-def _written(folder: str, schema: pa.Schema):
+_LINE = pa.schema([("url_key", pa.string()), ("key", pa.string()), ("file", pa.string()), ("at", pa.int64()), ("size", pa.int64())])
+
+
+def _written(folder: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         files, root = _filesystem(folder)
         out, name, at, n = None, "", 0, 0
@@ -122,7 +129,7 @@ def _written(folder: str, schema: pa.Schema):
                     out.write(member)
                     rows.append((url_key(url), page_id, name, at, len(member)))
                     at += len(member)
-                yield pa.record_batch([pa.array(x, f.type) for x, f in zip(zip(*rows, strict=True), schema, strict=True)], schema.names)
+                yield pa.record_batch([pa.array(x, f.type) for x, f in zip(zip(*rows, strict=True), _LINE, strict=True)], _LINE.names)
         finally:
             if out:
                 out.close()
@@ -131,41 +138,49 @@ def _written(folder: str, schema: pa.Schema):
 
 
 def _blocks(folder: str, lines: int):
+    """The index file of a partition: blocks of sorted lines, then the directory (first key, place and size of each)."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         files, root = _filesystem(folder)
-        name, at, out, held, rows = f"index-{_own_name(0)}.gz", 0, None, [], []
+        name, at, out, held, directory, n = f"index-{_own_name(0)}.gz", 0, None, [], [], 0
+        last = ""
 
-        def put() -> None:
+        def put(rows: list[tuple]) -> int:
             nonlocal at, out
             out = out or files.open_output_stream(f"{root}/{name}", compression=None)
-            block = gzip.compress("".join("\t".join(map(str, x)) + "\n" for x in held).encode(), 1, mtime=0)
+            block = gzip.compress("".join("\t".join(map(str, x)) + "\n" for x in rows).encode(), 1, mtime=0)
             out.write(block)
-            rows.append((held[0][0], held[-1][0], name, at, len(block), len(held)))
             at += len(block)
-            held.clear()
+            return len(block)
 
         for batch in batches:
             for row in zip(*(batch.column(i).to_pylist() for i in range(5)), strict=True):
                 held.append(row)
+                last = row[0]
+                n += 1
                 if len(held) == lines:
-                    put()
+                    directory.append((held[0][0], at, put(held)))
+                    held = []
         if held:
-            put()
+            directory.append((held[0][0], at, put(held)))
         if out:
+            end, size = at, put(directory)
             out.close()
-        columns = zip(*rows, strict=True) if rows else [[]] * 6
-        kinds = (pa.string(), pa.string(), pa.string(), pa.int64(), pa.int64(), pa.int64())
-        yield pa.record_batch([pa.array(x, k) for x, k in zip(columns, kinds, strict=True)], ["first_key", "last_key", "file", "at", "size", "lines"])
+            columns = [[directory[0][0]], [last], [name], [end], [size], [len(directory)], [n]]
+        kinds = (pa.string(), pa.string(), pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.int64())
+        yield pa.record_batch([pa.array(x, k) for x, k in zip(columns if out else [[]] * 7, kinds, strict=True)], ["first_key", "last_key", "file", "at", "size", "blocks", "lines"])
 
     return run
 
 
 @dataclass
 class Capture:
-    """Archives and index blocks in a folder, and the directory: a row per block, in order of keys."""
+    """Archives and index files in a folder; files: a row per index file with its keys and where its directory is; lines: what
+    the index holds, unsorted."""
 
     folder: str
-    directory: DataFrame
+    files: DataFrame
+    lines: DataFrame
     key_type: str
 
 
@@ -188,12 +203,11 @@ def write(pages: DataFrame, folder: str | None = None, key: str = "page_id", url
     refers_to = F.when(F.col("response").isNotNull() & ~F.col("key").eqNullSafe(F.col("response")), F.col("response"))
     ready = joined.select("key", "url", "payload", "size", "digest", refers_to.alias("refers_to"))
     ready = ready.withColumn("payload", F.when(F.col("refers_to").isNull(), F.col("payload")))
-    kind = pages.schema[key].dataType.simpleString()
-    line = pa.schema([("url_key", pa.string()), ("key", {"bigint": pa.int64(), "int": pa.int32()}.get(kind, pa.string())), ("file", pa.string()), ("at", pa.int64()), ("size", pa.int64())])
-    lines = common.stored(ready.mapInArrow(_written(folder, line), f"url_key string, key {kind}, file string, at long, size long"), "lines")
+    texts = ready.withColumns({c: F.col(c).cast("string") for c in ("key", "refers_to")})
+    lines = common.stored(texts.mapInArrow(_written(folder), "url_key string, key string, file string, at long, size long"), "lines")
     ordered = lines.repartitionByRange(common.shards(spark), "url_key", "key").sortWithinPartitions("url_key", "key")
-    directory = ordered.mapInArrow(_blocks(folder, block_lines), "first_key string, last_key string, file string, at long, size long, lines long")
-    return Capture(folder, common.stored(directory, "directory"), kind)
+    index = ordered.mapInArrow(_blocks(folder, block_lines), "first_key string, last_key string, file string, at long, size long, blocks long, lines long")
+    return Capture(folder, common.stored(index, "index"), lines, pages.schema[key].dataType.simpleString())
 
 
 class _Reader:
@@ -202,6 +216,7 @@ class _Reader:
     def __init__(self, folder: str):
         self.files, self.root = _filesystem(folder)
         self.open: dict[str, pa.NativeFile] = {}
+        self.last: tuple[tuple, list[list[str]], list[str]] = ((), [], [])
 
     def read(self, name: str, at: int, size: int) -> bytes:
         if name not in self.open:
@@ -210,8 +225,12 @@ class _Reader:
             self.open[name] = self.files.open_input_file(f"{self.root}/{name}")
         return self.open[name].read_at(size, at)
 
-    def lines(self, name: str, at: int, size: int) -> list[list[str]]:
-        return [x.split("\t") for x in gzip.decompress(self.read(name, at, size)).decode().split("\n")[:-1]]
+    def block(self, name: str, at: int, size: int) -> tuple[list[list[str]], list[str]]:
+        """The lines of a block or directory and their keys; the last one is kept."""
+        if self.last[0] != (name, at):
+            found = [x.split("\t") for x in gzip.decompress(self.read(name, at, size)).decode().split("\n")[:-1]]
+            self.last = (name, at), found, [x[0] for x in found]
+        return self.last[1:]
 
 
 _FIELDS = ("url_key", "page_id", "url", "payload_bytes", "payload_digest", "record_type", "refers_to", "payload")
@@ -226,25 +245,48 @@ def _batch(rows: list[tuple]) -> pa.RecordBatch:
     return pa.record_batch([pa.array(x, k) for x, k in zip(zip(*rows, strict=True) if rows else [[]] * len(kinds), kinds, strict=True)], list(_FIELDS))
 
 
-def _records(folder: str, wanted: list[str] | None, payload: bool):
+def _planned(folder: str, files: list[tuple]):
+    """(url_key, file, at, size): the blocks that may hold a key, by binary search of the files, then of their directories."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        reader, last_keys = _Reader(folder), [f[1] for f in files]
+        for batch in batches:
+            rows = []
+            for key in batch.column(0).to_pylist():
+                for i in range(bisect.bisect_left(last_keys, key), len(files)):
+                    first, _, name, at, size = files[i]
+                    if first > key:
+                        break
+                    directory, starts = reader.block(name, at, size)
+                    # from the last block that begins before the key to the last that begins with it
+                    for _, begin, length in directory[max(0, bisect.bisect_left(starts, key) - 1) : bisect.bisect_right(starts, key)]:
+                        rows.append((key, name, int(begin), int(length)))
+            kinds = (pa.string(), pa.string(), pa.int64(), pa.int64())
+            yield pa.record_batch([pa.array(x, k) for x, k in zip(zip(*rows, strict=True) if rows else [[]] * 4, kinds, strict=True)], ["url_key", "file", "at", "size"])
+
+    return run
+
+
+def _records(folder: str, payload: bool):
+    """The records of keys in blocks, in order of blocks."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         reader = _Reader(folder)
+
+        def rows(found: list[list[str]]) -> Iterator[pa.RecordBatch]:
+            found.sort(key=lambda x: (x[2], int(x[3])))  # one way through each archive
+            for i in range(0, len(found), 500):
+                yield _batch([_row(x[0], parse(reader.read(x[2], int(x[3]), int(x[4]))), payload) for x in found[i : i + 500]])
+
+        found: list[list[str]] = []
         for batch in batches:
-            blocks = sorted(zip(*(c.to_pylist() for c in batch.columns[:5]), strict=True))
-            if wanted is not None:
-                first, chosen = [b[0] for b in blocks], set()
-                for key in wanted:  # blocks from the last that begins before the key to the last that begins with it
-                    low, high = max(0, bisect.bisect_left(first, key) - 1), bisect.bisect_right(first, key)
-                    chosen.update(i for i in range(low, high) if blocks[i][0] <= key <= blocks[i][1])
-                blocks = [blocks[i] for i in sorted(chosen)]
-            for _, _, name, at, size in blocks:
-                found = reader.lines(name, at, size)
-                if wanted is not None:
-                    keys = [x[0] for x in found]
-                    found = [x for key in wanted for x in found[bisect.bisect_left(keys, key) : bisect.bisect_right(keys, key)]]
-                found.sort(key=lambda x: (x[2], int(x[3])))  # one way through each archive
-                for i in range(0, len(found), 500):
-                    yield _batch([_row(x[0], parse(reader.read(x[2], int(x[3]), int(x[4]))), payload) for x in found[i : i + 500]])
+            for key, name, at, size in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                lines, keys = reader.block(name, at, size)
+                found += lines[bisect.bisect_left(keys, key) : bisect.bisect_right(keys, key)]
+                if len(found) > 20_000:
+                    yield from rows(found)
+                    found = []
+        yield from rows(found)
 
     return run
 
@@ -252,17 +294,23 @@ def _records(folder: str, wanted: list[str] | None, payload: bool):
 _SCHEMA = "url_key string, page_id string, url string, payload_bytes long, payload_digest string, record_type string, refers_to string, payload binary"
 
 
-def _typed(found: DataFrame, capture: Capture) -> DataFrame:
-    return found.withColumns({c: F.col(c).cast(capture.key_type) for c in ("page_id", "refers_to")})
+def _found(capture: Capture, keys: DataFrame, payload: bool) -> DataFrame:
+    """The records of distinct URL keys, in any order."""
+    spark = keys.sparkSession
+    # as many rows as the sort had partitions
+    files = sorted(tuple(r) for r in capture.files.select("first_key", "last_key", "file", "at", "size").collect())
+    planned = keys.mapInArrow(_planned(capture.folder, files), "url_key string, file string, at long, size long")
+    blocks = planned.repartition(common.shards(spark), "file", "at").sortWithinPartitions("file", "at", "url_key")
+    got = blocks.mapInArrow(_records(capture.folder, payload), _SCHEMA)
+    return got.withColumns({c: F.col(c).cast(capture.key_type) for c in ("page_id", "refers_to")})
 
 
 def read(spark: SparkSession, capture: Capture, payload: bool = False) -> DataFrame:
-    """Every record, by way of the index."""
-    blocks = capture.directory.repartition(common.shards(spark), "file", "at")
-    return _typed(blocks.mapInArrow(_records(capture.folder, None, payload), _SCHEMA), capture)
+    """Every record, by way of the index: the capture's own URL keys are looked up."""
+    keys = capture.lines.select("url_key").distinct()
+    return _found(capture, keys.repartitionByRange(common.shards(spark), "url_key").sortWithinPartitions("url_key"), payload)
 
 
 def lookup(spark: SparkSession, capture: Capture, urls: list[str], payload: bool = True) -> DataFrame:
-    """The records of some URLs: blocks by binary search of the directory, then range reads."""
-    wanted = sorted({url_key(u) for u in urls})
-    return _typed(capture.directory.mapInArrow(_records(capture.folder, wanted, payload), _SCHEMA), capture)
+    """The records of some URLs."""
+    return _found(capture, spark.createDataFrame([(x,) for x in sorted({url_key(u) for u in urls})], "url_key string"), payload)
