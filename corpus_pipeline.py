@@ -12,18 +12,19 @@ from pyspark.sql import functions as F
 
 from pagewright.llm import common, jaccard, language, lines, mixing, packing
 
-#: A text of so many characters that is like no learned language to this cosine at least is rejected.
-LEAST_SCORE, SCORED_CHARS = 0.25, 200
+#: A text that is like no learned language to this cosine at least is rejected. A cosine of few trigrams is lower, by the
+#: root of n / (n + HALF_GRAMS), and uncertain, by 1 / sqrt(dimensions) each way; the bound gives way by DEVIATIONS of that.
+LEAST_SCORE, HALF_GRAMS, DEVIATIONS = 0.36, 60, 4
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Without documents that have no language: null or letterless texts, and longer ones that are like no learned language.
+    """Without documents that have no language: null or letterless texts, and those that are like no learned language.
 
     The languages are learned from the stage's own labelled documents; a text's label has no part in its verdict."""
+    bound = LEAST_SCORE * F.sqrt(F.col("n_grams") / (F.col("n_grams") + HALF_GRAMS)) - DEVIATIONS / language.DIM**0.5
     model = language.learn(docs)
     found = language.predict(docs.select(F.struct(*docs.columns).alias("row"), "text"), model, "row")
-    far = (F.col("score") < LEAST_SCORE) & (F.char_length("row.text") >= SCORED_CHARS)
-    return found.filter((F.col("lang_pred") != language.UNKNOWN) & ~far).select("row.*")
+    return found.filter((F.col("lang_pred") != language.UNKNOWN) & (F.col("score") >= bound)).select("row.*")
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
