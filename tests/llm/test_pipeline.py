@@ -39,6 +39,16 @@ def test_stages(spark, docs):
     assert set(mixed) <= set(near) and max(mixed.values()) <= 2 and set(packed) == set(mixed)
 
 
+def test_what_language_id_rejects(spark, docs):
+    rng = random.Random(3)
+    noise = lambda n: " ".join("".join(rng.choices("qxzjwvykñßþ", k=rng.randrange(4, 9))) for _ in range(n))
+    planted = [(200 + i, noise(12 + 15 * i), None, "s0", 1) for i in range(8)]  # from about 80 letters on
+    short = [(300 + i, text, None, "s0", 1) for i, text in enumerate(("karoabc", "milu", "a", "pfintgab zwackefg", "tena sora lino"))]
+    made = docs.unionByName(spark.createDataFrame(planted + short, docs.schema))
+    kept = {r.doc_id for r in corpus_pipeline.language_id(spark, made, "").collect()}
+    assert not kept & set(range(200, 208)) and set(range(300, 305)) <= kept and set(range(60)) <= kept
+
+
 def test_one_of_equal_rows_stays(spark):
     text, other = "one two three four five six seven", "eight nine ten eleven twelve and more"
     rows = [(None, text, "aa", "s1", 33), (None, text, "aa", "s0", 33), (5, other, "aa", "s0", 37), (5, other, "aa", "s0", 37), (6, "alone " * 9, None, None, 54)]
