@@ -54,7 +54,10 @@ def test_other_tokenizers_are_refused():
 def test_stretches_and_words_are_the_library(text):
     by = tokens.pre_tokens(BYTES)
     found, special = by.stretches(text)
-    assert sum(by.pieces(p) for own in by.of(found) for p in own) + special == len(by.library.encode(text, add_special_tokens=False).ids)
+    words, sizes = by.of(*tokens.sorted_out(found))
+    assert sorted(words) == sorted(p for x in found for p, _ in by.library.pre_tokenizer.pre_tokenize_str(x))
+    assert len(words) == sizes.sum() and len(sizes) == len(found)
+    assert sum(map(by.pieces, words)) + special == len(by.library.encode(text, add_special_tokens=False).ids)
     ids = packing._ids(WORDS)
     assert ids.all([text.encode()])[0] == np.array(ids.library.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
