@@ -34,9 +34,12 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/pagewright/{name}-{uuid.uuid4().hex}"
 
 
-def stored(df: DataFrame, name: str) -> DataFrame:
-    """df written to the shared folder and read back: lineage ends there, so a lost executor costs no recomputation."""
+def stored(df: DataFrame, name: str, light: bool = False) -> DataFrame:
+    """df written to the shared folder and read back: lineage ends there, so a lost executor costs no recomputation.
+
+    light: the rows are short and few beside the corpus, and so are made by a quarter of the shards in as many files."""
     path = scratch_path(df.sparkSession, name)
+    df = df.coalesce(max(1, shards(df.sparkSession) // 4)) if light else df
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 

@@ -14,23 +14,23 @@ from . import common
 def _large(edges: DataFrame) -> DataFrame:
     """Every node links its larger neighbours to the smallest of itself and its neighbours."""
     both = edges.select("u", "v").unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    least = common.stored(both.groupBy("u").agg(F.min("v").alias("m")).withColumn("m", F.least("u", "m")), "least")
+    least = common.stored(both.groupBy("u").agg(F.min("v").alias("m")).withColumn("m", F.least("u", "m")), "least", light=True)
     return both.filter("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
 
 
 def _small(edges: DataFrame) -> DataFrame:
     """Every node links itself and its smaller neighbours to the smallest of these. Edges point from larger to smaller."""
-    least = common.stored(edges.groupBy("u").agg(F.min("v").alias("m")), "least")
+    least = common.stored(edges.groupBy("u").agg(F.min("v").alias("m")), "least", light=True)
     moved = edges.join(least, "u").filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
     return moved.unionByName(least.select("u", F.col("m").alias("v"))).distinct()
 
 
 def components(links: DataFrame) -> DataFrame:
     """(node, root) for every node of links (columns a, b): root is the smallest node that it reaches."""
-    edges = common.stored(links.filter("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "edges")
+    edges = common.stored(links.filter("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "edges", light=True)
     seen = None
     while True:
-        edges = common.stored(_small(common.stored(_large(edges), "edges")), "edges")
+        edges = common.stored(_small(common.stored(_large(edges), "edges", light=True)), "edges", light=True)
         # done when nothing moves: the same edges twice
         now = tuple(edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
         if now == seen or not now[0]:

@@ -351,7 +351,7 @@ def block_links(left: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
     Blocks of a chain are size classes, cut further by hash where a class is large; a block meets those of its own class
     and of the next, since sets further apart in size can't be similar."""
-    hubs = common.stored(left.groupBy("entry").agg(F.min("node").alias("a")), "chain_hubs")
+    hubs = common.stored(left.groupBy("entry").agg(F.min("node").alias("a")), "chain_hubs", light=True)
     chains = components(left.join(hubs, "entry").select("a", F.col("node").alias("b")))
     owned = left.groupBy("node").agg(F.min("root").alias("root"), F.collect_list("entry").alias("entries"))  # a set's own entries
     size_class = F.floor(F.log(F.size("shingles")) / math.log(100 / percent) + 1e-9).cast("int")
@@ -359,10 +359,10 @@ def block_links(left: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     own = common.stored(own, "chains")
     sums = own.groupBy("chain", "class").agg(F.count("*").alias("m"), F.sum(F.size("shingles")).alias("total"))
     blocks = F.greatest(F.floor(F.sqrt("m") / ROOT_SETS), F.ceil(F.col("m") / BLOCK_SETS), F.ceil(F.col("total") / BLOCK_SHINGLES)).cast("int")
-    counts = common.stored(sums.select("chain", "class", blocks.alias("k")), "sizes")
+    counts = common.stored(sums.select("chain", "class", blocks.alias("k")), "sizes", light=True)
     around = counts.select("chain", F.explode(F.array(F.col("class") - 1, F.col("class"), F.col("class") + 1)).alias("class"), F.struct(F.col("class").alias("of"), "k").alias("there"))
     around = around.groupBy("chain", "class").agg(F.collect_list("there").alias("there"))  # three at most
-    plan = common.stored(counts.join(around, ["chain", "class"]), "blocks")
+    plan = common.stored(counts.join(around, ["chain", "class"]), "blocks", light=True)
     dealt = own.join(plan, ["chain", "class"]).withColumn("block", F.pmod(F.xxhash64("node"), F.col("k")).cast("int"))
     copies = dealt.withColumn("there", F.explode("there")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("there.k") - 1)))
     mine, theirs = F.struct(F.col("class").alias("c"), F.col("block").alias("b")), F.struct(F.col("there.of").alias("c"), F.col("other").alias("b"))
@@ -375,14 +375,14 @@ def joined(index: DataFrame, sets: DataFrame, percent: int = PERCENT) -> DataFra
     """(node, root) of all nodes that links join to others. index: (entry, node); sets: (node, shingles)."""
     names = index.groupBy("entry").agg(F.min("node").alias("low"), F.max("node").alias("high"), F.count("*").alias("n"), F.bit_xor(F.xxhash64("node")).alias("nodes")).filter("low <> high")
     hubs = names.groupBy("low", "high", "n", "nodes").agg(F.min("entry").alias("entry"))  # entries with the same nodes are one
-    hubs = common.stored(hubs.select("entry", F.col("low").alias("a")), "hubs")
+    hubs = common.stored(hubs.select("entry", F.col("low").alias("a")), "hubs", light=True)
     groups = common.stored(index.join(hubs, "entry").filter("node <> a"), "groups")
     links = common.stored(verified(groups.select("a", F.col("node").alias("b")).distinct(), sets, percent), "links")
-    roots = common.stored(components(links), "roots")
+    roots = common.stored(components(links), "roots", light=True)
     # the hub has met all others, so it is left out; which of them are still apart?
     left = common.stored(groups.select("entry", "node").join(roots, "node", "left").select("entry", "node", F.coalesce("root", "node").alias("root")), "left")
     apart = left.groupBy("entry").agg(F.min("root").alias("low"), F.max("root").alias("high")).filter("low <> high").select("entry")
-    more = block_links(common.stored(left.join(common.stored(apart, "apart"), "entry"), "open"), sets, percent)
+    more = block_links(common.stored(left.join(common.stored(apart, "apart", light=True), "entry"), "open"), sets, percent)
     return components(more.unionByName(roots.select(F.col("node").alias("a"), F.col("root").alias("b"))))
 
 
@@ -399,5 +399,5 @@ def linked(docs: DataFrame, key: str = "doc_id", text: str = "text", words: int
     roots = joined(opened.select(F.explode("entries").alias("entry"), "node"), opened.select("node", "shingles"), percent)
     rooted = common.stored(members.join(roots, "node", "left").select("id", "n_shingles", F.coalesce("root", "node").alias("root")), "rooted")
     least = rooted.filter("root IS NOT NULL").groupBy("root").agg(F.min("id").alias("least"), F.count("*").alias("n")).filter("n > 1").drop("n")
-    least = common.stored(least, "least")  # apart from the join, so that it can split a root with many rows
+    least = common.stored(least, "least", light=True)  # apart from the join, so that it can split a root with many rows
     return rooted.join(least, "root", "left").select(F.col("id").alias(key), "n_shingles", F.coalesce("least", "id").alias("component_id"))

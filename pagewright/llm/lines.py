@@ -90,7 +90,7 @@ def near_earliest(lines: DataFrame, broadcast_bytes: int = BROADCAST_BYTES) -> D
     variants = common.stored(at.select("id", "place", kind.alias("kind"), F.xxhash64("outside", where, variant).alias("variant")), "variants")
     own = F.struct("place", "id")
     many = variants.groupBy("variant").agg(F.min("id").alias("low"), F.max("id").alias("high")).filter("low <> high").select("variant")
-    variants = common.stored(variants.join(_bounded(common.stored(many, "many"), 8, broadcast_bytes), "variant", "left_semi"), "shared")
+    variants = common.stored(variants.join(_bounded(common.stored(many, "many", light=True), 8, broadcast_bytes), "variant", "left_semi"), "shared")
     groups = variants.groupBy("variant").agg(
         F.min(F.when(F.col("kind") == 1, own)).alias("long"), F.min(F.when(F.col("kind") == 2, own)).alias("short"), F.min(F.when(F.col("kind") == 0, own)).alias("first")
     )

@@ -27,7 +27,7 @@ from . import common
 CAPACITY = 4096
 SHARD_PIECES = 40_000
 #: Entries at which a worker's cache of words or pre-tokens is dropped.
-CACHE = 600_000
+CACHE = 250_000
 
 
 #: Words that need no library to be cut: letters of Latin-1 (composed, lower-cased letter by letter), then marks.

@@ -194,7 +194,7 @@ def write(pages: DataFrame, folder: str | None = None, key: str = "page_id", url
     # equal payloads by SHA-1 and length; partial sums leave a row per task of a large group
     rows = pages.select(F.col(key).alias("key"), F.col(url).cast("string").alias("url"), body.alias("payload"), F.octet_length(body).cast("long").alias("size"), F.sha1(body).alias("digest"))
     groups = rows.filter(F.col("size") >= least).groupBy("digest", "size").agg(F.max("key").alias("response"), F.count("*").alias("n")).filter("n > 1 AND response IS NOT NULL").drop("n")
-    groups = common.stored(groups, "payloads")
+    groups = common.stored(groups, "payloads", light=True)
     if groups.count() <= broadcast_groups:
         joined = rows.join(F.broadcast(groups), ["digest", "size"], "left")
     else:
