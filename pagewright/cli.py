@@ -1,4 +1,4 @@
-"""spark-submit pagewright/cli.py --config FILE [--stages LIST] [--run-id ID] [--force] [--no-resume]"""
+"""spark-submit pagewright/cli.py (or python -m pagewright.cli, which runs locally) --config FILE [--stages LIST] [--run-id ID] [--force] [--no-resume]"""
 
 from __future__ import annotations
 
@@ -21,17 +21,18 @@ def parse(argv: list[str]) -> argparse.Namespace:
 def main(argv: list[str]) -> int:
     from pagewright.operators import evaluate
     from pagewright.plans.pipeline import PagePipeline
-    from pagewright.session import local_session, reach
+    from pagewright.session import reach, session
     from pagewright.sinks import artifacts
     from pagewright.sources import config as C
     from pagewright.sources import pages as S
 
     args = parse(argv)
     run = C.typed(C.load(args.config), run_id=args.run_id, force=args.force, resume=args.resume)
-    spark = local_session()
+    spark = session()
     reach(spark)
-    folder = os.path.abspath(os.path.join(run.results_dir, C.run_id(run.run_id)))
-    C.save(run.raw, os.path.join(folder, "config.effective.yaml"))
+    name = C.run_id(run.run_id)
+    folder = os.path.abspath(os.path.join(run.results_dir, name))
+    C.save({**run.raw, "runner": {**run.raw.get("runner", {}), "run_id": name, "results_dir": run.results_dir, "resume": run.resume, "force": run.force}}, os.path.join(folder, "config.effective.yaml"))
     for warning in run.warnings:
         print(warning, file=sys.stderr)
     done = os.path.join(folder, "tables.json")
@@ -40,15 +41,17 @@ def main(argv: list[str]) -> int:
         import json
 
         tables = json.loads(open(done, encoding="utf-8").read())
-    pipeline = PagePipeline(spark, run, folder, truth=S.read_truth(spark, run.inputs.get("ground_truth")), tables=tables)
+    pipeline = PagePipeline(spark, run, folder, truth=S.read_truth(spark, run.inputs.get("ground_truth")), tables=tables, files=run.files)
+    created = C.utc_now()
     for stage in C.parse_stages(args.stages):
         found = pipeline([stage])[stage]
         artifacts.write_json(pipeline.tables, done)
+        artifacts.write_manifest({"run_id": name, "created_at": created, "config_path": "config.effective.yaml"}, pipeline.manifest(), os.path.join(folder, "manifest.json"))
         if stage == "eval":
             row = found.first().asDict()
-            rates = pipeline.table("metrics")
-            artifacts.write_json(row, os.path.join(folder, "metrics.json"))
-            artifacts.write_text(evaluate.markdown(row, [] if rates is None else [r.asDict() for r in rates.orderBy("page_id").toLocalIterator()]), os.path.join(folder, "metrics.md"))
+            rates = pipeline.metrics()
+            artifacts.write_json(row, os.path.join(folder, "metrics", "metrics.json"))
+            artifacts.write_text(evaluate.markdown(row, [] if rates is None else [r.asDict() for r in rates.orderBy("page_id").toLocalIterator()]), os.path.join(folder, "metrics", "metrics.md"))
     return 0
 
 

@@ -279,7 +279,9 @@ def overlay(image: np.ndarray, of_regions: list[tuple[int, int, int, int]], line
 
 
 def resize(image: np.ndarray, w: int, h: int) -> np.ndarray:
-    """Box average to a smaller size, nearest to a larger one."""
+    """Box average to a smaller size, nearest to a larger one; colours each for itself."""
+    if image.ndim == 3:
+        return np.stack([resize(image[..., i], w, h) for i in range(image.shape[2])], 2)
     ys, xs = np.linspace(0, image.shape[0], h + 1), np.linspace(0, image.shape[1], w + 1)
     y0, x0 = ys[:-1].astype(int), xs[:-1].astype(int)
     y1, x1 = np.maximum(y0 + 1, ys[1:].astype(int)), np.maximum(x0 + 1, xs[1:].astype(int))
@@ -298,46 +300,80 @@ def png(image: np.ndarray) -> bytes:
     return b"\x89PNG\r\n\x1a\n" + chunk(b"IHDR", head) + chunk(b"IDAT", zlib.compress(raw, 6)) + chunk(b"IEND", b"")
 
 
+def _unfiltered(data: np.ndarray, n: int) -> np.ndarray:
+    """Rows of PNG samples without their filters. data: (h, 1 + row), the filter first; n: bytes from a sample to the next
+    one of its kind. Where a sample depends on the one to its left, all rows go on side by side, each a step behind the one
+    above."""
+    kinds, rows = data[:, 0], data[:, 1:].astype(np.int32)
+    h, wide = rows.shape
+    if kinds.max(initial=0) > 4:
+        raise RuntimeError("an unknown PNG filter")
+    out = np.zeros((h + 1, wide + n), np.int32)  # a row above and a sample to the left of zeros
+    if (kinds <= 2).all():
+        for y in range(h):
+            if kinds[y] == 1:
+                out[y + 1, n:] = rows[y].reshape(-1, n).cumsum(0).ravel() & 255
+            else:
+                out[y + 1, n:] = (rows[y] + (out[y, n:] if kinds[y] == 2 else 0)) & 255
+        return out[1:, n:].astype(np.uint8)
+    steps = wide // n
+    part = np.arange(n)
+    for t in range(h + steps - 1):
+        y = np.arange(max(0, t - steps + 1), min(h, t + 1))
+        x = ((t - y) * n)[:, None] + part
+        here = y[:, None]
+        a, b, c = out[here + 1, x], out[here, x + n], out[here, x]
+        da, db, dc = abs(b - c), abs(a - c), abs(a + b - 2 * c)
+        near = np.where((da <= db) & (da <= dc), a, np.where(db <= dc, b, c))
+        guess = np.choose(kinds[y][:, None], (0, a, b, (a + b) // 2, near))
+        out[here + 1, x + n] = (rows[here, x] + guess) & 255
+    return out[1:, n:].astype(np.uint8)
+
+
 def decode_png(raw: bytes) -> np.ndarray:
-    """A non-interlaced 8-bit grey or RGB(A) PNG as grey or BGR."""
+    """A PNG that isn't interlaced as grey or BGR: samples of 1 to 16 bits (of 16 the upper 8), palettes; no transparency."""
     if raw[:8] != b"\x89PNG\r\n\x1a\n":
         raise RuntimeError("not a PNG image")
-    at, body, head = 8, b"", b""
+    at, body, head, palette = 8, [], b"", b""
     while at < len(raw):
         size, kind = int.from_bytes(raw[at : at + 4], "big"), raw[at + 4 : at + 8]
-        if kind == b"IHDR":
-            head = raw[at + 8 : at + 8 + size]
-        elif kind == b"IDAT":
-            body += raw[at + 8 : at + 8 + size]
+        part = raw[at + 8 : at + 8 + size]
+        head, palette = part if kind == b"IHDR" else head, part if kind == b"PLTE" else palette
+        if kind == b"IDAT":
+            body.append(part)
         at += 12 + size
-    w, h, depth, colour = int.from_bytes(head[:4], "big"), int.from_bytes(head[4:8], "big"), head[8], head[9]
-    n = {0: 1, 2: 3, 4: 2, 6: 4}.get(colour)
-    if depth != 8 or n is None or head[12] or w * h > MOST_PIXELS:
+    w, h, depth, colour = int.from_bytes(head[:4], "big"), int.from_bytes(head[4:8], "big"), *head[8:10]
+    n = {0: 1, 2: 3, 3: 1, 4: 2, 6: 4}.get(colour)
+    if n is None or head[12] or w * h > MOST_PIXELS or depth not in ((1, 2, 4, 8) if colour == 3 else (1, 2, 4, 8, 16) if colour == 0 else (8, 16)):
         raise RuntimeError("a PNG image of a kind that isn't read")
-    data = np.frombuffer(zlib.decompress(body), np.uint8).reshape(h, 1 + w * n)
-    out = np.zeros((h + 1, w * n), np.int32)
-    for y in range(h):
-        row, above, kind = data[y, 1:].astype(np.int32), out[y], data[y, 0]
-        if kind == 0:
-            out[y + 1] = row
-        elif kind == 2:
-            out[y + 1] = (row + above) & 255
-        elif kind == 1:
-            out[y + 1] = row.reshape(w, n).cumsum(0).ravel() & 255
-        else:
-            own = out[y + 1]
-            for i in range(w * n):
-                a, b, c = (own[i - n] if i >= n else 0), above[i], (above[i - n] if i >= n else 0)
-                if kind == 3:
-                    guess = (a + b) // 2
-                else:
-                    da, db, dc = abs(b - c), abs(a - c), abs(a + b - 2 * c)
-                    guess = a if da <= db and da <= dc else b if db <= dc else c
-                own[i] = (row[i] + guess) & 255
-    image = out[1:].astype(np.uint8).reshape(h, w, n)
+    wide = -(-w * n * depth // 8)
+    own = _unfiltered(np.frombuffer(zlib.decompress(b"".join(body)), np.uint8).reshape(h, 1 + wide), max(1, n * depth // 8))
+    if depth == 16:
+        own = own[:, ::2]
+    elif depth < 8:
+        bits = np.unpackbits(own, axis=1).reshape(h, -1, depth)[:, :w]
+        own = (bits * (1 << np.arange(depth)[::-1])).sum(2).astype(np.uint8)
+        own = own if colour == 3 else own * np.uint8(255 // ((1 << depth) - 1))
+    if colour == 3:
+        return np.frombuffer(palette, np.uint8).reshape(-1, 3)[own[:, :w]][..., ::-1]
+    image = own.reshape(h, w, n)
     return image[..., 0] if n < 3 else image[..., :3][..., ::-1]
 
 
+def decode(raw: bytes) -> np.ndarray:
+    """An image file as grey or BGR: PNG here, other kinds by an imaging library where one is installed."""
+    if raw[:8] == b"\x89PNG\r\n\x1a\n":
+        return decode_png(raw)
+    try:
+        import io
+
+        from PIL import Image
+    except ImportError as error:
+        raise RuntimeError("only PNG images are read without Pillow") from error
+    found = Image.open(io.BytesIO(raw))
+    return np.asarray(found) if found.mode == "L" else np.asarray(found.convert("RGB"))[..., ::-1]
+
+
 @dataclass(frozen=True)
 class Preprocessing:
     grayscale: bool = True
@@ -352,9 +388,17 @@ class Preprocessing:
 
 
 def preprocess(image: np.ndarray, config: Preprocessing = Preprocessing()) -> np.ndarray:  # noqa: B008  frozen
-    image = to_gray(np.clip(image, 0, 255).astype(np.uint8))
+    """The chain of filters. Without ``grayscale`` a coloured page keeps its colours through denoising, colour by colour;
+    what follows needs grey."""
+    image = np.clip(image, 0, 255).astype(np.uint8)
+    if config.grayscale:
+        image = to_gray(image)
     if config.denoise:
-        image = {"median": median, "bilateral": bilateral}[config.denoise](image, config.denoise_size)
+        if config.denoise not in ("median", "bilateral"):
+            raise ValueError(f"no such denoising: {config.denoise}")
+        kernel = median if config.denoise == "median" else bilateral
+        image = kernel(image, config.denoise_size) if image.ndim == 2 else np.stack([kernel(image[..., i], config.denoise_size) for i in range(image.shape[2])], 2)
+    image = to_gray(image)
     if config.clahe:
         image = clahe(image, config.clip_limit, config.grid)
     if config.binarize == "adaptive":
@@ -408,13 +452,16 @@ def map_numbers(pages: DataFrame, kernel: Callable[[np.ndarray], float | None],
     return pages.select("page_id", "h", "w", "data").mapInPandas(run, f"page_id {pages.schema['page_id'].dataType.simpleString()}, {name} double")
 
 
-def decoded(files: DataFrame) -> DataFrame:
-    """(page_id, h, w, data) of PNG files (page_id, content), in grey."""
+def decoded(files: DataFrame, *carried: str) -> DataFrame:
+    """(page_id, h, w, data) of image files (page_id, content), in grey; with columns to carry along, those and the content."""
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for part in parts:
             for f in part.itertuples(index=False):
-                image = to_gray(decode_png(bytes(f.content)))
-                yield pd.DataFrame({"page_id": [f.page_id], "h": [image.shape[0]], "w": [image.shape[1]], "data": [image.tobytes()]})
+                image = to_gray(decode(bytes(f.content)))
+                rest = {c: [getattr(f, c)] for c in ("content", *carried)} if carried else {}
+                yield pd.DataFrame({"page_id": [f.page_id], "h": [image.shape[0]], "w": [image.shape[1]], "data": [image.tobytes()], **rest})
 
-    return files.select("page_id", "content").mapInPandas(run, f"page_id {files.schema['page_id'].dataType.simpleString()}, h int, w int, data binary")
+    kind = lambda c: f"{c} {files.schema[c].dataType.simpleString()}"
+    rest = "".join(f", {kind(c)}" for c in ("content", *carried)) if carried else ""
+    return files.select("page_id", "content", *carried).mapInPandas(run, f"{kind('page_id')}, h int, w int, data binary{rest}")

@@ -62,8 +62,16 @@ def write_text(text: str, path: str | Path) -> None:
     path.write_text(text, encoding="utf-8")
 
 
-def write_manifest(run: dict, pages: DataFrame, path: str) -> None:
-    """A manifest file: a run's few fields with its pages, as one JSON document made by the engine."""
-    packed = pages.agg(F.array_sort(F.collect_list(F.struct("page_id", "source", "artifacts")), lambda a, b: F.when(a["page_id"] < b["page_id"], -1).when(a["page_id"] > b["page_id"], 1).otherwise(0)).alias("pages"))
-    whole = packed.select(F.to_json(F.struct(*(F.lit(v).alias(k) for k, v in run.items()), "pages")).alias("value"))
-    whole.coalesce(1).write.mode("overwrite").text(path)
+def write_manifest(run: dict, pages: DataFrame, path: str | Path) -> None:
+    """A manifest file: a run's few fields with its pages in order of their ids, as one JSON document. The driver writes it
+    as rows come, a partition at a time, so it never holds all pages."""
+    path = Path(path)
+    path.parent.mkdir(parents=True, exist_ok=True)
+    held = path.with_name(path.name + ".tmp")
+    rows = pages.select("page_id", F.to_json(F.struct("page_id", "source", "artifacts")).alias("value")).orderBy("page_id")
+    with held.open("w", encoding="utf-8") as out:
+        out.write(json.dumps(run, ensure_ascii=False)[:-1] + (", " if run else "") + '"pages": [')
+        for i, row in enumerate(rows.toLocalIterator()):
+            out.write((",\n" if i else "\n") + row.value)
+        out.write("\n]}\n")
+    held.replace(path)

@@ -10,6 +10,8 @@ from pathlib import Path
 
 from pagewright.operators.image import Preprocessing
 from pagewright.operators.models import CorrectionConfig, OcrConfig
+from pagewright.operators.page import Detection
+from pagewright.operators.services import SERVICES
 
 #: The stages in the order in which they run, and words that stand for all.
 STAGES = ("pdf_to_images", "preprocess", "detect", "ocr", "llm", "eval")
@@ -76,13 +78,7 @@ def parse_stages(text: str | None) -> list[str]:
 class Rendering:
     dpi: int = 300
     image_format: str = "png"
-
-
-@dataclass(frozen=True)
-class Detection:
-    reading_order: str = "single_column"
-    min_region_area: int = 5000
-    segment_lines: bool = False
+    poppler_path: str | None = None
 
 
 @dataclass(frozen=True)
@@ -96,7 +92,7 @@ class Normalization:
 class Run:
     """The typed form of a configuration."""
 
-    raw: dict
+    raw: dict = field(default_factory=dict)
     inputs: dict = field(default_factory=dict)
     rendering: Rendering = Rendering()
     preprocessing: Preprocessing = Preprocessing()
@@ -108,6 +104,7 @@ class Run:
     results_dir: str = "results"
     resume: bool = True
     force: bool = False
+    files: bool = True
     warnings: tuple[str, ...] = ()
 
 
@@ -124,21 +121,24 @@ def typed(config: dict, **override) -> Run:
     denoise, clahe, binarize = (_section(p, n) for n in ("denoise", "clahe", "binarize"))
     on = lambda part, default=True: bool(part.get("enabled", default))
     norm = _section(e, "normalization")
-    key = lambda part: next((v for k, v in part.items() if str(k).endswith("api_key") and v and str(k).startswith(str(part.get("backend", "")).split("_")[0])), "")
+    vendor = lambda part: str(part.get("backend", "")).split("_")[0]
+    key = lambda part: SERVICES[vendor(part)].key(part.get(f"{vendor(part)}_api_key") or "") if vendor(part) in SERVICES else ""
     runner = {**r, **{k: v for k, v in override.items() if v is not None}}
     known = {"reading_order", "min_region_area", "line_segmentation"}
     return Run(
         raw={**config, "runner": runner},
         inputs=_section(config, "inputs"),
-        rendering=Rendering(**{k: v for k, v in _section(config, "pdf_to_images").items() if k in ("dpi", "image_format")}),
+        rendering=Rendering(**{k: v for k, v in _section(config, "pdf_to_images").items() if k in ("dpi", "image_format", "poppler_path")}),
         preprocessing=Preprocessing(
             grayscale=bool(p.get("grayscale", True)), denoise=denoise.get("method", "median") if on(denoise) else None, denoise_size=int(denoise.get("ksize", 3)), clahe=on(clahe), clip_limit=float(clahe.get("clip_limit", 2.0)),
             grid=tuple(clahe.get("tile_grid_size", (8, 8))), binarize=binarize.get("method", "adaptive") if on(binarize) else None, deskew=on(_section(p, "deskew"), False),
         ),
         detection=Detection(t.get("reading_order", "single_column"), int(t.get("min_region_area", 5000)), on(_section(t, "line_segmentation"), False)),
-        ocr=OcrConfig(backend=o.get("backend", "stub"), model_name=o.get("model_name", ""), device=o.get("device", "cpu"), batch_size=int(o.get("batch_size", 4)), api_key=key(o)),
-        correction=CorrectionConfig(enabled=on(c, False), backend=c.get("backend", "pass_through"), prompt_version=c.get("prompt_version", "v1"), api_key=key(c), rules=tuple(map(tuple, c.get("rules", ())))),
+        ocr=OcrConfig(backend=o.get("backend", "trocr"), model_name=o.get(f"{vendor(o)}_model") or ("" if vendor(o) in SERVICES else o.get("model_name", "")), device=o.get("device", "cpu"), batch_size=int(o.get("batch_size", 4)), api_key=key(o)),
+        correction=CorrectionConfig(
+            enabled=on(c, False), backend=c.get("backend", "pass_through"), model=c.get(f"{vendor(c)}_model", ""), prompt_version=c.get("prompt_version", "v1"), api_key=key(c), needs_key=vendor(c) in SERVICES, rules=tuple(map(tuple, c.get("rules", ()))),
+        ),
         evaluation=Normalization(on(e, False), bool(norm.get("strip", True)), bool(norm.get("collapse_whitespace", True))),
-        run_id=runner.get("run_id"), results_dir=runner.get("results_dir", "results"), resume=bool(runner.get("resume", True)), force=bool(runner.get("force", False)),
+        run_id=runner.get("run_id"), results_dir=runner.get("results_dir", "results"), resume=bool(runner.get("resume", True)), force=bool(runner.get("force", False)), files=bool(runner.get("files", True)),
         warnings=tuple(f"text_detection.{k} has no effect" for k in t if k not in known),
     )

@@ -62,11 +62,12 @@ def page_counts(files: DataFrame, renderer: str) -> DataFrame:
     return files.select("path", "stem", "content").mapInPandas(run, "path string, stem string, n_pages int")
 
 
-def render(files: DataFrame, renderer: str, pages: list[int] | None = None, ranges: list | None = None, dpi: int = 300) -> DataFrame:
-    """(page_id, path, page, image): chosen pages of each file, one image for each. Pages are chosen before they are
-    rendered; the rows that carry a file are as many as its pages, so keep files of a size that a task can hold."""
+def render(files: DataFrame, renderer: str, pages: list[int] | None = None, ranges: list | None = None, dpi: int = 300, only: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
+    """(page_id, path, page, image): chosen pages of each file, one image for each; only: narrows (page_id, ...) rows down.
+    Pages are chosen before they are rendered; the rows that carry a file are as many as its pages, so keep files of a size that a task can hold."""
     _, draw = _renderer(renderer)
-    chosen = manifest.selected_pages(page_counts(files, renderer), pages, ranges)
+    chosen = manifest.selected_pages(page_counts(files, renderer), pages, ranges).withColumn("page_id", P.page_id(F.col("stem"), F.col("page")))
+    chosen = only(chosen) if only else chosen
     ready = chosen.join(files.select("path", "content"), "path")
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -76,8 +77,7 @@ def render(files: DataFrame, renderer: str, pages: list[int] | None = None, rang
                 raise RuntimeError("a page has no image")
             yield part[["page_id", "path", "page"]].assign(image=images)
 
-    named = ready.select(P.page_id(F.col("stem"), F.col("page")).alias("page_id"), "path", "page", "content")
-    return named.mapInPandas(run, "page_id string, path string, page int, image binary")
+    return ready.select("page_id", "path", "page", "content").mapInPandas(run, "page_id string, path string, page int, image binary")
 
 
 def read_texts(spark: SparkSession, path: str, suffix: str = "") -> DataFrame:

@@ -1,3 +1,5 @@
+import zlib
+
 import numpy as np
 import pytest
 
@@ -111,6 +113,53 @@ def test_rotate_by_nothing():
     assert (I.rotate(page(30, 40), 0.0) == page(30, 40)).all()
 
 
+def paeth(a, b, c):
+    near = sorted((abs(v - (a + b - c)), i, v) for i, v in enumerate((a, b, c)))
+    return near[0][2]
+
+
+@pytest.mark.parametrize(("colour", "depth", "n"), [(0, 8, 1), (2, 8, 3), (6, 8, 4), (4, 8, 2), (0, 16, 1), (2, 16, 3), (0, 1, 1), (0, 2, 1), (0, 4, 1), (3, 8, 1), (3, 4, 1)])
+def test_png_kinds(colour, depth, n):
+    """Every filter, on every row once, undone against the rule one byte after the other."""
+    rng = np.random.default_rng(colour * 100 + depth)
+    h, w = 11, 13
+    wide, step = -(-w * n * depth // 8), max(1, n * depth // 8)
+    plain = rng.integers(0, 256, (h, wide)).astype(int)
+    raw = b""
+    for y in range(h):
+        kind = y % 5
+        left = lambda row, x: int(row[x - step]) if x >= step else 0
+        above = plain[y - 1] if y else np.zeros(wide, int)
+        guess = [(0, left(plain[y], x), int(above[x]), (left(plain[y], x) + int(above[x])) // 2, paeth(left(plain[y], x), int(above[x]), left(above, x)))[kind] for x in range(wide)]
+        raw += bytes([kind]) + bytes(int(v - g) & 255 for v, g in zip(plain[y], guess, strict=True))
+    chunk = lambda name, body: len(body).to_bytes(4, "big") + name + body + zlib.crc32(name + body).to_bytes(4, "big")
+    palette = rng.integers(0, 256, (256, 3)).astype(np.uint8)
+    file = b"\x89PNG\r\n\x1a\n" + chunk(b"IHDR", w.to_bytes(4, "big") + h.to_bytes(4, "big") + bytes((depth, colour, 0, 0, 0)))
+    file += (chunk(b"PLTE", palette.tobytes()) if colour == 3 else b"") + chunk(b"IDAT", zlib.compress(raw)[:20]) + chunk(b"IDAT", zlib.compress(raw)[20:]) + chunk(b"IEND", b"")
+    found = I.decode(file)
+    if depth == 16:
+        want = plain[:, ::2].reshape(h, w, n)
+    elif depth == 8:
+        want = plain.reshape(h, w, n)
+    else:
+        bits = np.unpackbits(plain.astype(np.uint8), axis=1)[:, : w * depth].reshape(h, w, depth)
+        want = (bits @ (1 << np.arange(depth)[::-1]))[..., None] * (1 if colour == 3 else 255 // ((1 << depth) - 1))
+    if colour == 3:
+        want = palette[want[..., 0]]
+    want = want[..., 0] if want.shape[2] < 3 else want[..., 2::-1] if want.shape[2] == 4 else want[..., ::-1]
+    assert found.shape == want.shape and (found == want).all()
+
+
+def test_colour_is_kept_through_denoising():
+    colour = np.stack([page(20, 30, s) for s in range(3)], 2)
+    keep = I.Preprocessing(grayscale=False, clahe=False, binarize=None)
+    want = I.to_gray(np.stack([I.median(colour[..., i]) for i in range(3)], 2))
+    assert (I.preprocess(colour, keep) == want).all()
+    assert not (I.preprocess(colour, I.Preprocessing(clahe=False, binarize=None)) == want).all()
+    with pytest.raises(ValueError):
+        I.preprocess(colour, I.Preprocessing(denoise="none such"))
+
+
 def test_png_round_trip():
     p = page(13, 7)
     assert (I.decode_png(I.png(p)) == p).all()
