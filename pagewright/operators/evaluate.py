@@ -14,17 +14,22 @@ from pyspark.sql import functions as F
 from pagewright.functions import text as T
 
 
-def per_page(truth: DataFrame, raw: DataFrame, corrected: DataFrame | None = None, strip: bool = True, collapse: bool = True, metrics: tuple[str, ...] = ("cer", "wer"), short: bool = False) -> DataFrame:
-    """(page_id, <metric>_raw, <metric>_corrected) of (page_id, text) tables. short: use built-in distances."""
-    rate = {"cer": T.cer_builtin if short else T.cer, "wer": T.wer_builtin if short else T.wer}
-    norm = lambda c: T.normalized(F.col(c), strip, collapse)
-    pages = truth.select("page_id", norm("text").alias("truth")).join(raw.select("page_id", norm("text").alias("raw")), "page_id")
+def rates(pages: DataFrame, strip: bool = True, collapse: bool = True, metrics: tuple[str, ...] = ("cer", "wer")) -> DataFrame:
+    """(page_id, <metric>_raw, <metric>_corrected) of pages (page_id, truth, raw, corrected)."""
+    rate = {"cer": T.cer, "wer": T.wer}
+    clean = pages.select("page_id", *(T.normalized(F.col(c), strip, collapse).alias(c) for c in ("truth", "raw", "corrected")))
+    columns: list[Column] = [rate[m](F.col("truth"), F.col(side)).alias(f"{m}_{side}") for side in ("raw", "corrected") for m in metrics]
+    return clean.select("page_id", *columns)
+
+
+def per_page(truth: DataFrame, raw: DataFrame, corrected: DataFrame | None = None, strip: bool = True, collapse: bool = True, metrics: tuple[str, ...] = ("cer", "wer")) -> DataFrame:
+    """The rates of (page_id, text) tables."""
+    pages = truth.select("page_id", F.col("text").alias("truth")).join(raw.select("page_id", F.col("text").alias("raw")), "page_id")
     if corrected is not None:
-        pages = pages.join(corrected.select("page_id", norm("text").alias("corrected")), "page_id", "left")
+        pages = pages.join(corrected.select("page_id", F.col("text").alias("corrected")), "page_id", "left")
     else:
         pages = pages.withColumn("corrected", F.lit(None).cast("string"))
-    columns: list[Column] = [rate[m](F.col("truth"), F.col(side)).alias(f"{m}_{side}") for side in ("raw", "corrected") for m in metrics]
-    return pages.select("page_id", *columns)
+    return rates(pages, strip, collapse, metrics)
 
 
 def report(pages: DataFrame, raw: DataFrame, digits: int | None = None) -> DataFrame:

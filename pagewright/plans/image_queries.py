@@ -77,6 +77,70 @@ def resize_dims(spark, sf_dir):
     return part.select("p_partkey", wide["w"].alias("wide_w"), wide["h"].alias("wide_h"), box["w"].alias("box_w"), box["h"].alias("box_h"))
 
 
+# --- kernels on small images: every embedding is 8 rows of 8 pixels ----------------------------------------------------
+
+SMALL_SQL = f"{GRAY_SQL}, img AS (SELECT vec_id, i // 8 AS y, i % 8 AS x, v FROM gray WHERE i < 64)"
+NEAR_SQL = "(SELECT unnest([-1, 0, 1]) AS dy) a, (SELECT unnest([-1, 0, 1]) AS dx) b"
+
+
+def small_pages(spark, sf_dir):
+    """(page_id, h, w, data) of the first 64 values of each embedding."""
+    value = lambda e: F.greatest(F.lit(0), F.least(F.lit(255), F.floor((e.cast("double") + 0.5) * 255))).cast("int")
+    cells = F.transform(F.slice("embedding", 1, 64), lambda e: F.lpad(F.hex(value(e).cast("long")), 2, "0"))
+    return read(spark, sf_dir, "embeddings").filter(F.size("embedding") >= 64).select(F.col("vec_id").alias("page_id"), F.lit(8).alias("h"), F.lit(8).alias("w"), F.unhex(F.array_join(cells, "")).alias("data"))
+
+
+def pixels(pages):
+    """(vec_id, y, x, v)."""
+    byte = F.conv(F.hex(F.substring("data", F.col("i") + 1, F.lit(1))), 16, 10).cast("int")
+    rows = pages.select("page_id", "w", "data", F.explode(F.sequence(F.lit(0), F.col("h") * F.col("w") - 1)).alias("i"))
+    return rows.select(F.col("page_id").alias("vec_id"), F.floor(F.col("i") / F.col("w")).alias("y"), (F.col("i") % F.col("w")).cast("long").alias("x"), byte.alias("v"))
+
+
+@query("median_8x8", f"""WITH {SMALL_SQL}
+SELECT g.vec_id, g.y, g.x, quantile_disc(n.v, 0.5) AS v FROM img g, {NEAR_SQL}, img n
+WHERE n.vec_id = g.vec_id AND n.y = greatest(0, least(7, g.y + dy)) AND n.x = greatest(0, least(7, g.x + dx)) GROUP BY ALL""")
+def median_8x8(spark, sf_dir):
+    return pixels(image.map_pages(small_pages(spark, sf_dir), image.median))
+
+
+@query("closing_8x8", f"""WITH {SMALL_SQL},
+wide AS (SELECT g.vec_id, g.y, g.x, max(n.v) AS v FROM img g, {NEAR_SQL}, img n WHERE n.vec_id = g.vec_id AND n.y = g.y + dy AND n.x = g.x + dx GROUP BY ALL)
+SELECT g.vec_id, g.y, g.x, min(n.v) AS v FROM wide g, {NEAR_SQL}, wide n WHERE n.vec_id = g.vec_id AND n.y = g.y + dy AND n.x = g.x + dx GROUP BY ALL""")
+def closing_8x8(spark, sf_dir):
+    """Spread and shrunk again, as regions are found."""
+    return pixels(image.map_pages(small_pages(spark, sf_dir), lambda x: image.erode(image.dilate(x, 3, 3), 3, 3)))
+
+
+@query("adaptive_threshold_8x8", f"""WITH {SMALL_SQL},
+taps AS (SELECT k - 17 AS k, exp(-((k - 17) ** 2) / (2 * (0.3 * (34 * 0.5 - 1) + 0.8)::DOUBLE ** 2)) AS g FROM (SELECT unnest(range(0, 35)) AS k)),
+weights AS (SELECT k, g / sum(g) OVER () AS g FROM taps),
+down AS (SELECT i.vec_id, i.y, i.x, sum(w.g * n.v) AS m FROM img i, weights w, img n WHERE n.vec_id = i.vec_id AND n.x = i.x AND n.y = greatest(0, least(7, i.y + w.k)) GROUP BY ALL),
+mean AS (SELECT i.vec_id, i.y, i.x, sum(w.g * n.m) AS m FROM img i, weights w, down n WHERE n.vec_id = i.vec_id AND n.y = i.y AND n.x = greatest(0, least(7, i.x + w.k)) GROUP BY ALL)
+SELECT i.vec_id, i.y, i.x, CASE WHEN i.v > round_even(m.m, 0) - 11 THEN 255 ELSE 0 END::INT AS v FROM img i JOIN mean m USING (vec_id, y, x)""")
+def adaptive_threshold_8x8(spark, sf_dir):
+    return pixels(image.map_pages(small_pages(spark, sf_dir), image.adaptive_threshold))
+
+
+@query("bilateral_8x8", f"""WITH {SMALL_SQL},
+near AS (SELECT g.vec_id, g.y, g.x, g.v, n.v AS o, dy, dx FROM img g, {NEAR_SQL}, img n WHERE dy * dy + dx * dx <= 1 AND n.vec_id = g.vec_id AND n.y = (7 - abs(7 - abs(g.y + dy))) AND n.x = (7 - abs(7 - abs(g.x + dx)))),
+weighed AS (SELECT *, exp(-(dy * dy + dx * dx) / (2 * 75.0::DOUBLE ** 2)) * exp(-((o - v) ** 2)::DOUBLE / (2 * 75.0::DOUBLE ** 2)) AS g FROM near)
+SELECT vec_id, y, x, round_even(sum(g * o) / sum(g), 0)::INT AS v FROM weighed GROUP BY vec_id, y, x""")
+def bilateral_8x8(spark, sf_dir):
+    return pixels(image.map_pages(small_pages(spark, sf_dir), image.bilateral))
+
+
+@query("components_8x8", f"""WITH RECURSIVE {SMALL_SQL},
+ink AS (SELECT vec_id, y, x, y * 8 + x AS p FROM img WHERE v > 140),
+reach AS (
+  SELECT vec_id, p, p AS q FROM ink
+  UNION SELECT r.vec_id, r.p, n.p FROM reach r, ink n WHERE n.vec_id = r.vec_id AND abs(n.y - r.q // 8) <= 1 AND abs(n.x - r.q % 8) <= 1),
+label AS (SELECT vec_id, p, min(q) AS c FROM reach GROUP BY ALL)
+SELECT vec_id, min(p % 8) AS x, min(p // 8) AS y, max(p % 8) - min(p % 8) + 1 AS w, max(p // 8) - min(p // 8) + 1 AS h FROM label GROUP BY vec_id, c""")
+def components_8x8(spark, sf_dir):
+    return image.map_boxes(small_pages(spark, sf_dir), lambda x: image.components(x > 140, outer_only=False)).withColumnRenamed("page_id", "vec_id")
+
+
 # --- page kernels: rows only --------------------------------------------------------------------------------------
 
 

@@ -9,6 +9,7 @@ from pagewright.functions import pages as P
 from pagewright.functions import text as T
 from pagewright.operators import evaluate, manifest, models
 from pagewright.plans.registry import query
+from pagewright.session import shared_dir
 from pagewright.sources import pages as S
 
 SPACE_SQL = r"[\x09-\x0d\x1c-\x20\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
@@ -35,45 +36,40 @@ def spread(rows: DataFrame, key: str) -> DataFrame:
     return rows.repartition(4 * cores, key) if rows.rdd.getNumPartitions() < cores else rows
 
 
-def predictions(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(truth, raw, corrected) pages: labelled documents are the truth; two of three pages are partly repaired."""
+def predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(page_id, truth, raw, corrected) of every page: labelled documents have a truth; two of three pages are partly repaired."""
     docs = read(spark, sf_dir, "documents").select(F.col("doc_id").alias("page_id"), "text")
-    truth = docs.join(read(spark, sf_dir, "labels").select(F.col("doc_id").alias("page_id")), "page_id", "left_semi")
-    raw = docs.withColumn("text", noisy("text"))
-    corrected = raw.filter("page_id % 3 <> 0").withColumn("text", repaired("text"))
-    return truth, raw, corrected
+    labelled = read(spark, sf_dir, "labels").select(F.col("doc_id").alias("page_id"), F.lit(True).alias("labelled")).distinct()
+    raw = noisy("text")
+    return docs.join(labelled, "page_id", "left").select("page_id", F.when(F.col("labelled"), F.col("text")).alias("truth"), raw.alias("raw"), F.when(F.col("page_id") % 3 != 0, repaired(raw)).alias("corrected"))
 
 
-def whole_lines(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+def by_line(pages: DataFrame) -> DataFrame:
     """The same by line instead of document."""
+    sides = ("truth", "raw", "corrected")
+    own = spread(pages, "page_id").select("page_id", *(F.split(c, "\n", -1).alias(c) for c in sides))
+    rows = own.select("page_id", F.posexplode("raw").alias("n", "raw"), "truth", "corrected")
+    return rows.select(F.format_string("%d_%d", "page_id", "n").alias("page_id"), F.get("truth", F.col("n")).alias("truth"), "raw", F.get("corrected", F.col("n")).alias("corrected"))
 
-    def lines(docs: DataFrame) -> DataFrame:
-        own = spread(docs, "page_id").select("page_id", F.posexplode(F.split("text", "\n", -1)).alias("n", "line"))
-        return own.select(F.format_string("%d_%d", "page_id", "n").alias("page_id"), F.col("line").alias("text"))
 
-    return tuple(map(lines, predictions(spark, sf_dir)))
-
-
-def ascii_lines(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Their ASCII characters only, for queries with a twin: the twin's distance counts bytes."""
-    return tuple(docs.withColumn("text", F.regexp_replace("text", r"[^\x00-\x7F]", "")) for docs in whole_lines(spark, sf_dir))
-
-
-LINES_SQL = r"""
+# The twin's distance counts bytes, so every character beyond ASCII of the table becomes one that no text has (23 of them).
+LINES_SQL = rf"""
 docs AS (SELECT doc_id, text FROM documents WHERE text IS NOT NULL),
+alphabet AS (SELECT coalesce(string_agg(DISTINCT c, '' ORDER BY c), '') AS others FROM (SELECT unnest(string_split(text, '')) AS c FROM docs) WHERE c > chr(127)),
+codes AS (SELECT string_agg(chr(i), '' ORDER BY i) AS codes FROM (SELECT unnest([1, 2, 3, 4, 5, 6, 7, 8, 14, 15, 16, 17, 18, 19, 20, 21, 22, 23, 24, 25, 26, 27, 127]) AS i)),
 lines AS (
-  SELECT doc_id, u.n - 1 AS n, regexp_replace(string_split(text, chr(10))[u.n], '[^\x00-\x7F]', '', 'g') AS line,
-         doc_id IN (SELECT doc_id FROM labels) AS labelled
+  SELECT doc_id, u.n - 1 AS n, string_split(text, chr(10))[u.n] AS line, doc_id IN (SELECT doc_id FROM labels) AS labelled
   FROM docs, LATERAL (SELECT unnest(range(1, len(string_split(text, chr(10))) + 1)) AS n) u),
 folded AS (
-  SELECT doc_id, n, labelled, trim(regexp_replace(line, '[\x09-\x0d\x1c-\x20]+', ' ', 'g')) AS truth,
-         trim(regexp_replace(translate(line, 'eosn', 'c05u'), '[\x09-\x0d\x1c-\x20]+', ' ', 'g')) AS raw,
-         CASE WHEN doc_id % 3 <> 0 THEN trim(regexp_replace(translate(translate(line, 'eosn', 'c05u'), 'c0', 'eo'), '[\x09-\x0d\x1c-\x20]+', ' ', 'g')) END AS corrected
-  FROM lines),
+  SELECT doc_id, n, trim(regexp_replace(line, '{SPACE_SQL}+', ' ', 'g')) AS truth,
+         trim(regexp_replace(translate(line, 'eosn', 'c05u'), '{SPACE_SQL}+', ' ', 'g')) AS raw,
+         CASE WHEN doc_id % 3 <> 0 THEN trim(regexp_replace(translate(translate(line, 'eosn', 'c05u'), 'c0', 'eo'), '{SPACE_SQL}+', ' ', 'g')) END AS corrected
+  FROM lines WHERE labelled),
+coded AS (SELECT doc_id, n, translate(truth, others, codes) AS truth, translate(raw, others, codes) AS raw, translate(corrected, others, codes) AS corrected FROM folded, alphabet, codes),
 rates AS (
   SELECT doc_id, n, CASE WHEN length(truth) > 0 THEN levenshtein(truth, raw)::DOUBLE / length(truth) END AS cer_raw,
          CASE WHEN length(truth) > 0 THEN levenshtein(truth, corrected)::DOUBLE / length(truth) END AS cer_corrected
-  FROM folded WHERE labelled)
+  FROM coded)
 """
 
 
@@ -108,75 +104,53 @@ def split_lines(spark, sf_dir):
     return read(spark, sf_dir, "documents").select("doc_id", F.posexplode(T.split_lines(F.col("text"))).alias("n", "line"))
 
 
-def line_rates(truth: DataFrame, raw: DataFrame, corrected: DataFrame, metric: str) -> DataFrame:
-    pages = evaluate.per_page(truth, raw, corrected, metrics=(metric,))
-    return pages.select("page_id", *(F.round(f"{metric}_{s}", 9).alias(f"{metric}_{s}") for s in ("raw", "corrected")))
+def line_rates(spark: SparkSession, sf_dir: str, *metrics: str) -> DataFrame:
+    return evaluate.rates(by_line(predictions(spark, sf_dir)).filter("truth IS NOT NULL"), metrics=metrics)
 
 
-def line_report(truth: DataFrame, raw: DataFrame, corrected: DataFrame) -> DataFrame:
-    return evaluate.report(evaluate.per_page(truth, raw, corrected, metrics=("cer",)), raw, 9)
-
-
-def line_accuracy(truth: DataFrame, raw: DataFrame, corrected: DataFrame) -> DataFrame:
-    """Mean accuracy of a document's lines."""
-    pages = evaluate.per_page(truth, raw, corrected, metrics=("cer",))
-    doc = F.split_part("page_id", F.lit("_"), F.lit(1)).cast("long").alias("doc_id")
-    return pages.groupBy(doc).agg(*(F.round(F.avg(T.accuracy(F.col(f"cer_{s}"))), 9).alias(f"accuracy_{s}") for s in ("raw", "corrected")))
+def rounded(pages: DataFrame) -> DataFrame:
+    return pages.select("page_id", *(F.round(c, 9).alias(c) for c in pages.columns if c != "page_id"))
 
 
 @query("cer_lines", f"WITH {LINES_SQL} SELECT printf('%d_%d', doc_id, n) AS page_id, round(cer_raw, 9) AS cer_raw, round(cer_corrected, 9) AS cer_corrected FROM rates")
 def cer_lines(spark, sf_dir):
-    return line_rates(*ascii_lines(spark, sf_dir), "cer")
-
-
-@query("cer_lines_whole")
-def cer_lines_whole(spark, sf_dir):
-    return line_rates(*whole_lines(spark, sf_dir), "cer")
+    return rounded(line_rates(spark, sf_dir, "cer"))
 
 
 @query("cer_report_lines", f"""WITH {LINES_SQL}
 SELECT count(*) AS evaluated, (SELECT count(*) FROM lines) AS total_processed, round(avg(cer_raw), 9) AS cer_raw_mean, round(avg(cer_corrected), 9) AS cer_corrected_mean FROM rates""")
 def cer_report_lines(spark, sf_dir):
-    return line_report(*ascii_lines(spark, sf_dir))
-
-
-@query("cer_report_lines_whole")
-def cer_report_lines_whole(spark, sf_dir):
-    return line_report(*whole_lines(spark, sf_dir))
+    lines = predictions(spark, sf_dir).select(F.explode(F.split("raw", "\n", -1)))
+    return evaluate.report(line_rates(spark, sf_dir, "cer"), lines, 9)
 
 
 @query("accuracy_ext", f"WITH {LINES_SQL} SELECT doc_id, round(avg(1 - cer_raw), 9) AS accuracy_raw, round(avg(1 - cer_corrected), 9) AS accuracy_corrected FROM rates GROUP BY doc_id")
 def accuracy_ext(spark, sf_dir):
-    return line_accuracy(*ascii_lines(spark, sf_dir))
-
-
-@query("accuracy_ext_whole")
-def accuracy_ext_whole(spark, sf_dir):
-    return line_accuracy(*whole_lines(spark, sf_dir))
+    """Mean accuracy of a document's lines."""
+    doc = F.split_part("page_id", F.lit("_"), F.lit(1)).cast("long").alias("doc_id")
+    return line_rates(spark, sf_dir, "cer").groupBy(doc).agg(*(F.round(F.avg(T.accuracy(F.col(f"cer_{s}"))), 9).alias(f"accuracy_{s}") for s in ("raw", "corrected")))
 
 
 @query("eval_per_page")
 def eval_per_page(spark, sf_dir):
-    """Character and word error rates of whole documents, by bit-parallel distances."""
-    truth, raw, corrected = predictions(spark, sf_dir)
-    return evaluate.per_page(spread(truth, "page_id"), raw, corrected)
+    """Character and word error rates of whole documents."""
+    return evaluate.rates(spread(predictions(spark, sf_dir).filter("truth IS NOT NULL"), "page_id"))
 
 
 @query("eval_report")
 def eval_report(spark, sf_dir):
     """The flagship: coverage and mean error rates over all documents."""
-    truth, raw, corrected = predictions(spark, sf_dir)
-    return evaluate.report(evaluate.per_page(spread(truth, "page_id"), raw, corrected), raw, 9)
+    return evaluate.report(eval_per_page(spark, sf_dir), read(spark, sf_dir, "documents"), 9)
 
 
 @query("wer_lines")
 def wer_lines(spark, sf_dir):
-    return line_rates(*whole_lines(spark, sf_dir), "wer")
+    return rounded(line_rates(spark, sf_dir, "wer"))
 
 
 @query("eval_no_ground_truth", "SELECT true AS skipped, 'no ground truth' AS reason, 0::BIGINT AS evaluated, count(*) AS total_processed FROM documents")
 def eval_no_ground_truth(spark, sf_dir):
-    return evaluate.evaluate(None, predictions(spark, sf_dir)[1])[1]
+    return evaluate.evaluate(None, predictions(spark, sf_dir).select("page_id", F.col("raw").alias("text")))[1]
 
 
 @query("ground_truth_lines_form", "SELECT conv_id::VARCHAR AS page_id, string_agg(text, chr(10) ORDER BY turn) AS text FROM conversations GROUP BY conv_id")
@@ -284,16 +258,14 @@ def unified_diffs(spark, sf_dir):
     return docs.select("doc_id", T.unified_diff(noisy("text"), repaired(noisy("text"))).alias("diff"))
 
 
-@query("resume_stream_ext")
+@query("resume_stream_ext", "SELECT user_id, max(event_id) AS event_id, arg_max(event_type, event_id) AS event_type FROM events GROUP BY user_id")
 def resume_stream_ext(spark, sf_dir):
     """The latest event of each user by way of a file stream; the same rows as a batch gives."""
-    import tempfile
     import uuid
 
     from pagewright.streaming import resume
 
-    base = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.gettempdir()
-    root = f"{base}/pagewright/stream-{uuid.uuid4().hex}"
+    root = f"{shared_dir(spark)}/pagewright/stream-{uuid.uuid4().hex}"
     like = read(spark, sf_dir, "events").select("user_id", "event_id", "event_type")
     resume.upserting(resume.table_stream(spark, sf_dir, read(spark, sf_dir, "events"), "events.parquet").select(*like.columns, F.col("event_id").alias("order")), f"{root}/table", ["user_id"], "order", f"{root}/state").awaitTermination()
     return resume.latest_version(spark, f"{root}/table", 0).select("user_id", "event_id", "event_type")

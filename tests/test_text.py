@@ -55,6 +55,35 @@ def test_rates(spark):
             assert got == want if want is None else got == pytest.approx(want)
 
 
+@pytest.mark.parametrize("cells", [0, 12, 10**9])
+def test_rates_do_not_depend_on_the_kind_of_distance(spark, monkeypatch, cells):
+    monkeypatch.setattr(T, "BUILT_IN_CELLS", cells)
+    rows = [("abc", "abd"), ("kitten on the mat", "sitting at a mat"), ("", "x"), (None, "x"), ("x", None), ("é", "e"), ("a" * 600, "ab" * 400)]
+    got = spark.createDataFrame(rows, "a string, b string").select("a", "b", T.edits(F.col("a"), F.col("b")).alias("n")).collect()
+    assert [r.n for r in got] == [None if r.a is None or r.b is None else T.edit_distance(r.a, r.b) for r in got]
+
+
+def test_whole_pages(spark, tmp_path):
+    """The flagship against a matrix filled cell by cell."""
+    from pagewright.plans.registry import QUERIES
+
+    texts = {1: "one sea\nnoise é", 2: "no son\n\ncosy", 3: "unlabelled", 6: None}
+    spark.createDataFrame(list(texts.items()), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(i,) for i in (1, 2, 6)], "doc_id long").write.parquet(f"{tmp_path}/labels.parquet")
+    fold, noisy, repaired = lambda t: " ".join(t.split()), str.maketrans("eosn", "c05u"), str.maketrans("c0", "eo")
+    want = {}
+    for i in (1, 2):
+        truth, raw = fold(texts[i]), fold(texts[i].translate(noisy))
+        fixed = fold(texts[i].translate(noisy).translate(repaired))
+        want[i] = [slow_distance(cut(truth), cut(x)) / len(cut(truth)) for x in (raw, fixed) for cut in (str, str.split)]
+    got = {r.page_id: r for r in QUERIES["eval_per_page"](spark, str(tmp_path)).collect()}
+    assert set(got) == set(want)
+    for i, r in got.items():
+        assert [r.cer_raw, r.wer_raw, r.cer_corrected, r.wer_corrected] == pytest.approx(want[i])
+    report = QUERIES["eval_report"](spark, str(tmp_path)).first()
+    assert (report.evaluated, report.total_processed) == (2, 4) and report.wer_raw_mean == pytest.approx((want[1][1] + want[2][1]) / 2)
+
+
 def test_diff():
     assert T.diff_text("a\nb\n", "a\nc\n") == "--- ocr_raw+++ llm_corrected@@ -1,2 +1,2 @@ a\n-b\n+c\n"
     assert T.diff_text("same", "same") == ""
@@ -81,9 +110,9 @@ def test_line_rates_are_of_whole_lines(spark, tmp_path):
                 rates[f"{i}_{n}"] = (found[0], found[1] if i % 3 else None)
     rows = lambda name: {r[0]: pytest.approx(tuple(r)[1:], abs=1e-8) for r in QUERIES[name](spark, str(tmp_path)).collect()}
     mean = lambda values: sum(own) / len(own) if (own := [x for x in values if x is not None]) else None
-    assert cer == rows("cer_lines_whole") and wer == rows("wer_lines")
+    assert cer == rows("cer_lines") and wer == rows("wer_lines")
     own = {i: [v for k, v in cer.items() if k.startswith(f"{i}_")] for i in (1, 2, 3)}
-    assert {i: tuple(mean(None if v[s] is None else 1 - v[s] for v in x) for s in (0, 1)) for i, x in own.items()} == rows("accuracy_ext_whole")
-    report = QUERIES["cer_report_lines_whole"](spark, str(tmp_path)).first()
+    assert {i: tuple(mean(None if v[s] is None else 1 - v[s] for v in x) for s in (0, 1)) for i, x in own.items()} == rows("accuracy_ext")
+    report = QUERIES["cer_report_lines"](spark, str(tmp_path)).first()
     assert (report.evaluated, report.total_processed) == (7, 8)
     assert (report.cer_raw_mean, report.cer_corrected_mean) == pytest.approx(tuple(mean(v[s] for v in cer.values()) for s in (0, 1)), abs=1e-8)
