@@ -51,3 +51,16 @@ def test_entry_without_llm(spark):
 
     assert entry.entry(spark).first().evaluated == 87
     assert set(registry.QUERIES) <= set(entry.queries()) and set(registry.ORACLES) <= set(entry.oracle_sql())
+
+
+def test_only_the_training_part_may_be_missing(tmp_path):
+    """Without it the rest is there; a library that it needs isn't allowed to make it vanish."""
+    import subprocess
+    import sys
+
+    root = Path(__file__).resolve().parent.parent
+    code = "import sys; sys.path[:0] = [{root!r}]; sys.modules[{name!r}] = None; import __spark_entry__ as e; print(len(e.queries()), 'pipeline' in e.queries())"
+    run = lambda name: subprocess.run([sys.executable, "-c", code.format(root=str(root), name=name)], capture_output=True, text=True, cwd=tmp_path)
+    assert run("pagewright.llm").stdout.split() == [str(len(registry.QUERIES)), "False"]
+    if (root / "pagewright/llm").exists():
+        assert run("public_tokenizers").returncode != 0
