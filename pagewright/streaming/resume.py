@@ -23,20 +23,34 @@ def table_stream(spark: SparkSession, folder: str, like: DataFrame, pattern: str
     return spark.readStream.schema(like.schema).option("pathGlobFilter", pattern).parquet(folder)
 
 
-def upserting(stream: DataFrame, table: str, keys: list[str], order: str, checkpoint: str, transform: Callable[[DataFrame], DataFrame] = lambda x: x) -> StreamingQuery:
-    """Keep the latest row of each key in a Parquet table of numbered versions. A batch that runs again writes the same
-    version again, so results are the same after a failure."""
+#: Batches from one snapshot to the next.
+SNAPSHOT_EVERY = 16
+
+
+def upserting(stream: DataFrame, table: str, keys: list[str], order: str, checkpoint: str, transform: Callable[[DataFrame], DataFrame] = lambda x: x, every: int = SNAPSHOT_EVERY) -> StreamingQuery:
+    """Keep the latest row of each key below ``table``. A batch writes its own latest rows (d=N), each ``every``-th the whole
+    table, too (s=N), so a batch costs what it brings, and a reader puts few parts together. A batch that runs again writes
+    the same parts again, so results are the same after a failure. What is older than the last snapshot can go."""
 
     def put(batch: DataFrame, number: int) -> None:
         spark = batch.sparkSession
-        new = manifest.latest(transform(batch), keys, order).drop("position")
-        if number > 0:
-            old = spark.read.parquet(f"{table}/v={number - 1}")
-            new = manifest.latest(old.unionByName(new), keys, order).drop("position")
-        new.write.mode("overwrite").parquet(f"{table}/v={number}")
+        manifest.latest(transform(batch), keys, order).drop("position").write.mode("overwrite").parquet(f"{table}/d={number}")
+        if number % every == every - 1:
+            _merged(spark, table, number, keys, order, every, number - every).write.mode("overwrite").parquet(f"{table}/s={number}")
 
     return stream.writeStream.foreachBatch(put).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
-def latest_version(spark: SparkSession, table: str, number: int) -> DataFrame:
-    return spark.read.parquet(f"{table}/v={number}")
+def _merged(spark: SparkSession, table: str, number: int, keys: list[str], order: str, every: int, snapshot: int) -> DataFrame:
+    parts = [f"{table}/s={snapshot}"] * (snapshot >= 0) + [f"{table}/d={i}" for i in range(max(0, snapshot + 1), number + 1)]
+    if len(parts) == 1:
+        return spark.read.parquet(parts[0])
+    rows = spark.read.parquet(parts[0])
+    for part in parts[1:]:
+        rows = rows.unionByName(spark.read.parquet(part))
+    return manifest.latest(rows, keys, order).drop("position")
+
+
+def latest(spark: SparkSession, table: str, number: int, keys: list[str], order: str, every: int = SNAPSHOT_EVERY) -> DataFrame:
+    """The table after a batch: the last snapshot, and what came after it."""
+    return _merged(spark, table, number, keys, order, every, (number + 1) // every * every - 1)

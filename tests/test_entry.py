@@ -64,3 +64,18 @@ def test_only_the_training_part_may_be_missing(tmp_path):
     assert run("pagewright.llm").stdout.split() == [str(len(registry.QUERIES)), "False"]
     if (root / "pagewright/llm").exists():
         assert run("public_tokenizers").returncode != 0
+
+
+def test_no_machine_local_folder_on_a_cluster(spark, tmp_path):
+    from pagewright.session import shared_dir
+
+    class Session:
+        def __init__(self, **conf):
+            self.conf = {k.replace("__", "."): v for k, v in conf.items()}
+
+    assert shared_dir(Session(spark__checkpoint__dir="hdfs://x", spark__master="yarn")) == "hdfs://x"
+    for master in ("local", "local[4]"):
+        assert shared_dir(Session(spark__master=master)).startswith("file://")
+    for master in ("yarn", "spark://host:7077", "local-cluster[3,2,1024]", ""):
+        with pytest.raises(RuntimeError):
+            shared_dir(Session(spark__master=master))

@@ -334,12 +334,17 @@ def test_command_line(tmp_path, spark, monkeypatch):
     assert (out / "config.effective.yaml").exists() and (out / "images/raw/doc_p0002.png").exists()
 
 
-def test_stream(spark, tmp_path):
+@pytest.mark.parametrize("every", [1, 2, 16])
+def test_stream(spark, tmp_path, every):
     rows = spark.createDataFrame([("a", 1), ("b", 2), ("a", 3)], "k string, at int").coalesce(1)
     rows.write.parquet(str(tmp_path / "in"))
-    stream = lambda: resume.table_stream(spark, str(tmp_path / "in"), rows)
+    stream = lambda: resume.upserting(resume.table_stream(spark, str(tmp_path / "in"), rows), str(tmp_path / "t"), ["k"], "at", str(tmp_path / "s"), every=every).awaitTermination()
+    now = lambda n: sorted(map(tuple, resume.latest(spark, str(tmp_path / "t"), n, ["k"], "at", every).collect()))
     for _ in range(2):  # the second run has nothing new
-        resume.upserting(stream(), str(tmp_path / "t"), ["k"], "at", str(tmp_path / "s")).awaitTermination()
-    spark.createDataFrame([("b", 9)], rows.schema).write.mode("append").parquet(str(tmp_path / "in"))
-    resume.upserting(stream(), str(tmp_path / "t"), ["k"], "at", str(tmp_path / "s")).awaitTermination()
-    assert sorted(map(tuple, resume.latest_version(spark, str(tmp_path / "t"), 1).collect())) == [("a", 3), ("b", 9)]
+        stream()
+    for n, (k, at) in enumerate([("b", 9), ("c", 4), ("a", 2)], 1):
+        spark.createDataFrame([(k, at)], rows.schema).write.mode("append").parquet(str(tmp_path / "in"))
+        stream()
+        assert now(n) == [("a", 3), ("b", 9), *([("c", 4)] * (n > 1))]
+    assert now(0) == [("a", 3), ("b", 2)]
+    assert sorted(p.name for p in (tmp_path / "t").iterdir()) == sorted([f"d={i}" for i in range(4)] + [f"s={i}" for i in range(4) if i % every == every - 1])
