@@ -12,21 +12,34 @@ from pyspark.sql import DataFrame, SparkSession
 from pagewright.session import shared_dir
 
 
-
 def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/pagewright/{name}-{uuid.uuid4().hex}"
 
 
-def stored(df: DataFrame, name: str, light: bool = False) -> DataFrame:
+def stored(df: DataFrame, name: str, light: bool = False, packed: bool = False) -> DataFrame:
     """df written to the shared folder and read back: lineage ends there, so a lost executor costs no recomputation.
 
-    light: the rows are short and few beside the corpus, and so are made by a quarter of the shards in as many files."""
+    light: the rows are short and few beside the corpus, and so are made by few tasks in as many files (a sixteenth of the
+    shards).
+    packed: the rows are hashes or compressed already, and aren't compressed again."""
     path = scratch_path(df.sparkSession, name)
-    df = df.coalesce(max(1, shards(df.sparkSession) // 4)) if light else df
-    df.write.parquet(path)
+    df = df.coalesce(max(4, shards(df.sparkSession) // 16)) if light else df
+    df.write.parquet(path, compression="none" if packed else None)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+#: Rows and bytes of a batch that goes to Python, at most (a longer row is alone). Texts may be of any length.
+BATCH_ROWS, BATCH_BYTES = 2000, 4 << 20
+
+
+def in_arrow(df: DataFrame, f, schema: str) -> DataFrame:
+    """df.mapInArrow with bounded batches; the session keeps the bounds, which count when the job runs."""
+    conf = df.sparkSession.conf
+    conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", min(BATCH_ROWS, int(conf.get("spark.sql.execution.arrow.maxRecordsPerBatch"))))
+    conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
+    return df.mapInArrow(f, schema)
+
+
 def shards(spark: SparkSession) -> int:
     """How many ways keyed state is dealt out: the cluster's own setting for its data size."""
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
@@ -37,7 +50,7 @@ def byte_values(column: pa.Array) -> list[bytes]:
     return [x or b"" for x in column.cast(pa.binary()).to_pylist()]
 
 
-def slices(batches: Iterator[pa.RecordBatch], column: int, most_bytes: int = 8 << 20, most_rows: int = 4000) -> Iterator[pa.RecordBatch]:
+def slices(batches: Iterator[pa.RecordBatch], column: int, most_bytes: int = 4 << 20, most_rows: int = 4000) -> Iterator[pa.RecordBatch]:
     """Batches cut so that a column holds about most_bytes at most (a longer value is alone)."""
     for batch in batches:
         if not batch.num_rows:
@@ -52,6 +65,12 @@ def slices(batches: Iterator[pa.RecordBatch], column: int, most_bytes: int = 8 <
         yield batch.slice(start)
 
 
+def and_none(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch | None]:
+    """The batches, then None for their end."""
+    yield from batches
+    yield None
+
+
 def mixed(h: np.ndarray) -> np.ndarray:
     """A 64-bit finaliser (xor-shift-multiply), elementwise on uint64."""
     h = h ^ (h >> np.uint64(33))

@@ -53,7 +53,9 @@ BITMAP_BYTES = 32 << 20
 #: A block of a chain: so many sets and shingles at most, about; and ROOT_SETS times the root of its class's sets, so that
 #: the pairs of blocks are dealt to many tasks before a block is full.
 BLOCK_SETS, BLOCK_SHINGLES, ROOT_SETS = 4096, 4_000_000, 5
-_HELD = 2_000_000
+_HELD = 1_000_000
+#: Bytes of text whose words are objects at once.
+_TEXT_BYTES = 2 << 20
 _SEED = 11
 _ODD = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3, 0x589965CC75374CC3], np.uint64)
 
@@ -129,7 +131,7 @@ def _surveyed(n: int, words: int, percent: int, kind: str):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, size, seen, id_type = [], 0, set(), None
-        for batch in [*common.slices(batches, 1), None]:
+        for batch in common.and_none(common.slices(batches, 1, _TEXT_BYTES)):
             if batch is not None:
                 sets = sets_of(common.byte_values(batch.column(1)), words)
                 nodes = [node_of(x) if len(x) else None for x in sets]
@@ -193,7 +195,7 @@ class Bitmap:
         total = table.agg(F.sum("n")).first()[0] or 0
         bits = min(max(16, math.ceil(math.log2(10 * total + 1))), int(math.log2(8 * most_bytes)))
         self.shift, self.raw = 48 - bits, np.zeros(1 << max(0, bits - 3), np.uint8)
-        for row in table.mapInArrow(_marked(self.shift), "begin long, bits binary").toLocalIterator():
+        for row in table.transform(common.in_arrow, _marked(self.shift), "begin long, bits binary").toLocalIterator():
             part = np.frombuffer(row.bits, np.uint8)
             self.raw[row.begin : row.begin + len(part)] |= part
 
@@ -212,7 +214,7 @@ class Classes:
     def __init__(self, census: DataFrame, frequent_at: int, most_bytes: int):
         n, least = common.shards(census.sparkSession), (2, max(2, frequent_at))
         sent = census.repartitionById(n, F.col("shard"))
-        table = common.stored(sent.mapInArrow(_often(least), "least long, values binary, n long"), "often")
+        table = common.stored(sent.transform(common.in_arrow, _often(least), "least long, values binary, n long"), "often")
         self.shared, self.frequent = (Bitmap(table.filter(F.col("least") == bound), most_bytes) for bound in least)
 
     def of(self, hashes: np.ndarray) -> np.ndarray:
@@ -260,7 +262,7 @@ def _opened(words: int, percent: int, classes):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         by, seen = classes.value, set()
-        for batch in common.slices(batches, 0):
+        for batch in common.slices(batches, 0, _TEXT_BYTES):
             found = {}
             for own in sets_of(common.byte_values(batch.column(0)), words):
                 if can_link(len(own), percent) and (node := node_of(own)) not in seen:
@@ -390,12 +392,12 @@ def linked(docs: DataFrame, key: str = "doc_id", text: str = "text", words: int
     """(key, n_shingles, component_id) of each row: the smallest key that a row reaches by links, itself included."""
     spark, n = docs.sparkSession, common.shards(docs.sparkSession)
     kind = docs.schema[key].dataType.simpleString()
-    survey = docs.select(F.col(key), F.col(text)).mapInArrow(_surveyed(n, words, percent, kind), f"id {kind}, n_shingles long, node long, shard int, values binary, other binary")
-    survey = common.stored(survey, "survey")
+    survey = docs.select(F.col(key), F.col(text)).transform(common.in_arrow, _surveyed(n, words, percent, kind), f"id {kind}, n_shingles long, node long, shard int, values binary, other binary")
+    survey = common.stored(survey, "survey", packed=True)
     members = survey.filter("shard IS NULL").select("id", "n_shingles", "node")
     classes = spark.sparkContext.broadcast(Classes(survey.filter("shard IS NOT NULL").select(*_CENSUS), frequent_at, bitmap_bytes))
-    opened = docs.select(F.col(text)).mapInArrow(_opened(words, percent, classes), "node long, shingles array<long>, entries array<long>")
-    opened = common.stored(opened.dropDuplicates(["node"]), "opened")  # copies of a set in several tasks are one row again
+    opened = docs.select(F.col(text)).transform(common.in_arrow, _opened(words, percent, classes), "node long, shingles array<long>, entries array<long>")
+    opened = common.stored(opened.dropDuplicates(["node"]), "opened", packed=True)  # copies of a set in several tasks are one row again
     roots = joined(opened.select(F.explode("entries").alias("entry"), "node"), opened.select("node", "shingles"), percent)
     rooted = common.stored(members.join(roots, "node", "left").select("id", "n_shingles", F.coalesce("root", "node").alias("root")), "rooted")
     least = rooted.filter("root IS NOT NULL").groupBy("root").agg(F.min("id").alias("least"), F.count("*").alias("n")).filter("n > 1").drop("n")

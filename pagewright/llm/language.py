@@ -104,7 +104,7 @@ def _bundles(dim: int):
 def learn(docs: DataFrame, lang: str = "lang", text: str = "text", dim: int = DIM) -> tuple[list[str], np.ndarray]:
     """(languages, prototypes): each task sends one vector per language, summed by (language, dimension)."""
     taught = docs.filter(F.col(lang).isNotNull() & F.col(text).isNotNull()).select(F.col(lang).cast("string"), F.col(text))
-    cells = taught.mapInArrow(_bundles(dim), "lang string, bundle array<long>").select("lang", F.posexplode("bundle").alias("at", "value")).groupBy("lang", "at").agg(F.sum("value").alias("value"))
+    cells = taught.transform(common.in_arrow, _bundles(dim), "lang string, bundle array<long>").select("lang", F.posexplode("bundle").alias("at", "value")).groupBy("lang", "at").agg(F.sum("value").alias("value"))
     rows = cells.groupBy("lang").agg(F.array_sort(F.collect_list(F.struct("at", "value"))).alias("cells")).select("lang", F.col("cells.value").alias("vector"))
     rows = common.stored(rows, "prototypes")
     if (n := rows.count()) * dim * 4 > MODEL_BYTES:
@@ -141,7 +141,7 @@ def predict(docs: DataFrame, model: tuple[list[str], np.ndarray], key: str = "do
     """(key, lang_pred, score, n_grams) of each row; n_grams is how many trigrams the score stands on. key may be a struct that carries other columns along."""
     kind = docs.schema[key].dataType.simpleString()
     held = docs.sparkSession.sparkContext.broadcast(model)
-    return docs.select(F.col(key), F.col(text)).mapInArrow(_predicted(held, model[1].shape[1]), f"id {kind}, lang_pred string, score double, n_grams long").withColumnRenamed("id", key)
+    return docs.select(F.col(key), F.col(text)).transform(common.in_arrow, _predicted(held, model[1].shape[1]), f"id {kind}, lang_pred string, score double, n_grams long").withColumnRenamed("id", key)
 
 
 def remainder(key: str, modulus: int):

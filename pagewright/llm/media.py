@@ -349,7 +349,7 @@ def media_features(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
     """Store each text as JPEG, read the stored bytes back, and give sizes, digests and the thumbnail's hash."""
     kind = docs.schema[key].dataType.simpleString()
     schema = f"id {kind}, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
-    return docs.select(F.col(key), F.col(text)).mapInArrow(_features, schema).withColumnRenamed("id", key)
+    return docs.select(F.col(key), F.col(text)).transform(common.in_arrow, _features, schema).withColumnRenamed("id", key)
 
 
 def _stored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -359,7 +359,7 @@ def _stored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def media_column(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(key, media): the stored form of each text, as a binary column to write where one likes."""
-    return docs.select(F.col(key), F.col(text)).mapInArrow(_stored, f"id {docs.schema[key].dataType.simpleString()}, media binary").withColumnRenamed("id", key)
+    return docs.select(F.col(key), F.col(text)).transform(common.in_arrow, _stored, f"id {docs.schema[key].dataType.simpleString()}, media binary").withColumnRenamed("id", key)
 
 
 def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -379,4 +379,4 @@ def read_media(media: DataFrame, key: str = "doc_id", column: str = "media") ->
     """(key, image, width, height, thumbnail, hash): a row per image of each stored form; width and height in whole
     blocks; a null or empty value has none."""
     kind = media.schema[key].dataType.simpleString()
-    return media.select(F.col(key), F.col(column)).mapInArrow(_read, f"id {kind}, image int, width int, height int, thumbnail binary, hash string").withColumnRenamed("id", key)
+    return media.select(F.col(key), F.col(column)).transform(common.in_arrow, _read, f"id {kind}, image int, width int, height int, thumbnail binary, hash string").withColumnRenamed("id", key)

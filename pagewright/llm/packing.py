@@ -141,7 +141,7 @@ def _packed(capacity: int):
 def cut_documents(docs: DataFrame, tokenizer: str, end_id: int = 1, capacity: int = CAPACITY, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(key, piece, start, length, ids_crc32): the pieces of each document's ids."""
     kind = docs.schema[key].dataType.simpleString()
-    return docs.select(F.col(key), F.col(text)).mapInArrow(_pieces(tokenizer, end_id, capacity), f"id {kind}, piece int, start long, length long, ids_crc32 long").withColumnRenamed("id", key)
+    return docs.select(F.col(key), F.col(text)).transform(common.in_arrow, _pieces(tokenizer, end_id, capacity), f"id {kind}, piece int, start long, length long, ids_crc32 long").withColumnRenamed("id", key)
 
 
 def pack(pieces: DataFrame, capacity: int = CAPACITY, shard_pieces: int = SHARD_PIECES) -> DataFrame:

@@ -214,8 +214,8 @@ class Model:
     def __init__(self, docs: DataFrame, text: str = "text", filter_bytes: int = FILTER_BYTES):
         spark = docs.sparkSession
         n = common.shards(spark)
-        sent = docs.select(F.col(text)).mapInArrow(_gathered(n), "shard int, words binary, times binary, pairs binary, pair_times binary")
-        made = common.stored(sent.repartitionById(n, F.col("shard")).mapInArrow(_merged, "word string, hash long, times long, shard int, bits binary"), "model")
+        sent = docs.select(F.col(text)).transform(common.in_arrow, _gathered(n), "shard int, words binary, times binary, pairs binary, pair_times binary")
+        made = common.stored(sent.repartitionById(n, F.col("shard")).transform(common.in_arrow, _merged, "word string, hash long, times long, shard int, bits binary"), "model", packed=True)
         self.words = made.filter(F.col("word").isNotNull()).select("word", "hash", "times")
         size, self.total, self.distinct = made.agg(F.sum(F.octet_length("bits")), F.sum("times"), F.count("word")).first()
         self.total = self.total or 0
@@ -321,13 +321,13 @@ def _put_together(held):
 def model_scores(rows: DataFrame, model: Model, kind: str, held) -> DataFrame:
     """(id, n_tokens, score, n_known, base_score) of rows (id, text)."""
     if model.filter is not None:
-        return rows.mapInArrow(_scored(held), f"id {kind}, {_SCORE_SCHEMA}")
+        return rows.transform(common.in_arrow, _scored(held), f"id {kind}, {_SCORE_SCHEMA}")
     # parts have random names, so they are stored before they are read twice
-    asked = common.stored(rows.mapInArrow(_asked(model.n), f"part string, shard int, ids array<{kind}>, sizes binary, at binary, hashes binary, keys binary"), "asked")
+    asked = common.stored(rows.transform(common.in_arrow, _asked(model.n), f"part string, shard int, ids array<{kind}>, sizes binary, at binary, hashes binary, keys binary"), "asked", packed=True)
     sent = asked.filter("shard >= 0").select("shard", "part", "keys", F.lit(None).cast("binary").alias("bits"))
     slices = model.slices.select("shard", F.lit(None).cast("string").alias("part"), F.lit(None).cast("binary").alias("keys"), "bits")
     met = sent.unionByName(slices).repartitionById(model.n, F.col("shard")).sortWithinPartitions(F.col("part").asc_nulls_first())
-    found = met.mapInArrow(_answered, "part string, shard int, levels binary")
+    found = met.transform(common.in_arrow, _answered, "part string, shard int, levels binary")
     tokens = asked.filter("shard = -1").select("part", "shard", "ids", "sizes", "at", "hashes")
     parts = tokens.unionByName(found, allowMissingColumns=True)
     return parts.groupBy("part").applyInArrow(_put_together(held), f"id {kind}, {_SCORE_SCHEMA}")
@@ -361,7 +361,7 @@ def scores(docs: DataFrame, model: Model, key: str = "doc_id", text: str = "text
         row = F.struct(F.col(key).alias("id"), F.concat(F.md5(full), F.octet_length(full)).alias("text_key"))
         keyed = docs.select(row.alias("row"), full.alias("body"))
         first = model_scores(keyed, model, f"struct<id: {kind}, text_key: string>", held).select("id.*", "n_tokens", "score")
-        parts = keyed.select("row.text_key", "body").mapInArrow(_frequencies, "key string, word string, tf long").groupBy("key", "word").agg(F.max("tf").alias("tf"))
+        parts = keyed.select("row.text_key", "body").transform(common.in_arrow, _frequencies, "key string, word string, tf long").groupBy("key", "word").agg(F.max("tf").alias("tf"))
         floor = model.total + 0.5 * (model.distinct + 1)
         joined = parts.join(model.words.select("word", "times"), "word", "left")
         sums = joined.groupBy("key").agg(F.sum(F.when(F.col("times").isNotNull(), F.col("tf")).otherwise(0)).alias("n_known"), F.sum(F.col("tf") * F.log10((F.coalesce("times", F.lit(0)) + 0.5) / F.lit(floor))).alias("base_score"))

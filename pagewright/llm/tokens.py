@@ -176,7 +176,7 @@ def _frequencies(path: str, n: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         by = pre_tokens(path)
         part, none = _Part(by), None
-        for batch in _and_none(common.slices(batches, 1, 4 << 20)):
+        for batch in common.and_none(common.slices(batches, 1, 4 << 20)):
             if batch is not None:
                 none = batch.column(0).slice(0, 0)
                 texts = batch.column(1).to_pylist()
@@ -193,11 +193,6 @@ def _frequencies(path: str, n: int):
     return run
 
 
-def _and_none(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch | None]:
-    yield from batches
-    yield None
-
-
 def _counted(path: str):
     """The pieces of the pre-tokens asked for, in their order; each distinct one is cut once a shard."""
 
@@ -240,8 +235,8 @@ def token_counts(docs: DataFrame, tokenizer: str, key: str = "doc_id", text: str
     kind = docs.schema[key].dataType.simpleString()
     schema = f"part string, shard int, ids array<{kind}>, sizes binary, special binary, ends binary, numbers binary, times binary, words binary"
     # parts have random names, so they are stored before they are read twice
-    sent = common.stored(docs.select(F.col(key), F.col(text)).mapInArrow(_frequencies(tokenizer, n), schema), "frequencies")
+    sent = common.stored(docs.select(F.col(key), F.col(text)).transform(common.in_arrow, _frequencies(tokenizer, n), schema), "frequencies", packed=True)
     asked = sent.filter("shard >= 0").select("part", "shard", "numbers", "words").repartitionById(n, F.col("shard"))
-    answers = asked.mapInArrow(_counted(tokenizer), "part string, shard int, numbers binary, times binary")
+    answers = asked.transform(common.in_arrow, _counted(tokenizer), "part string, shard int, numbers binary, times binary")
     texts = sent.filter("shard < 0").drop("words")
     return texts.unionByName(answers, allowMissingColumns=True).groupBy("part").applyInArrow(_summed, f"id {kind}, n_bytes long, n_tokens long").withColumnRenamed("id", key)

@@ -204,9 +204,9 @@ def write(pages: DataFrame, folder: str | None = None, key: str = "page_id", url
     ready = joined.select("key", "url", "payload", "size", "digest", refers_to.alias("refers_to"))
     ready = ready.withColumn("payload", F.when(F.col("refers_to").isNull(), F.col("payload")))
     texts = ready.withColumns({c: F.col(c).cast("string") for c in ("key", "refers_to")})
-    lines = common.stored(texts.mapInArrow(_written(folder), "url_key string, key string, file string, at long, size long"), "lines")
+    lines = common.stored(texts.transform(common.in_arrow, _written(folder), "url_key string, key string, file string, at long, size long"), "lines")
     ordered = lines.repartitionByRange(common.shards(spark), "url_key", "key").sortWithinPartitions("url_key", "key")
-    index = ordered.mapInArrow(_blocks(folder, block_lines), "first_key string, last_key string, file string, at long, size long, blocks long, lines long")
+    index = ordered.transform(common.in_arrow, _blocks(folder, block_lines), "first_key string, last_key string, file string, at long, size long, blocks long, lines long")
     return Capture(folder, common.stored(index, "index"), lines, pages.schema[key].dataType.simpleString())
 
 
@@ -299,9 +299,9 @@ def _found(capture: Capture, keys: DataFrame, payload: bool) -> DataFrame:
     spark = keys.sparkSession
     # as many rows as the sort had partitions
     files = sorted(tuple(r) for r in capture.files.select("first_key", "last_key", "file", "at", "size").collect())
-    planned = keys.mapInArrow(_planned(capture.folder, files), "url_key string, file string, at long, size long")
+    planned = keys.transform(common.in_arrow, _planned(capture.folder, files), "url_key string, file string, at long, size long")
     blocks = planned.repartition(common.shards(spark), "file", "at").sortWithinPartitions("file", "at", "url_key")
-    got = blocks.mapInArrow(_records(capture.folder, payload), _SCHEMA)
+    got = blocks.transform(common.in_arrow, _records(capture.folder, payload), _SCHEMA)
     return got.withColumns({c: F.col(c).cast(capture.key_type) for c in ("page_id", "refers_to")})
 
 
