@@ -15,6 +15,7 @@ nothing learned every token is unknown (N = V = 0).
 
 from __future__ import annotations
 
+import math
 import uuid
 import zlib
 from collections import Counter
@@ -334,11 +335,11 @@ def model_scores(rows: DataFrame, model: Model, kind: str, held) -> DataFrame:
 
 
 def _frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """How often each text has which word; its one end is counted apart."""
     for batch in common.slices(batches, 1, 1 << 20):
         keys, words, times = [], [], []
         for key, raw in zip(batch.column(0).to_pylist(), common.byte_values(batch.column(1)), strict=True):
             own = Counter(raw.lower().split())
-            own[END] = 1
             keys += [key] * len(own)
             words += [w.decode() for w in own]
             times += own.values()
@@ -363,7 +364,10 @@ def scores(docs: DataFrame, model: Model, key: str = "doc_id", text: str = "text
         first = model_scores(keyed, model, f"struct<id: {kind}, text_key: string>", held).select("id.*", "n_tokens", "score")
         parts = keyed.select("row.text_key", "body").transform(common.in_arrow, _frequencies, "key string, word string, tf long").groupBy("key", "word").agg(F.max("tf").alias("tf"))
         floor = model.total + 0.5 * (model.distinct + 1)
+        # a frequent word's rows are split by adaptive skew joins; the end, which every text has, needs no join
         joined = parts.join(model.words.select("word", "times"), "word", "left")
+        end = (model.words.filter(F.col("word") == END.decode()).select("times").first() or [0])[0]
         sums = joined.groupBy("key").agg(F.sum(F.when(F.col("times").isNotNull(), F.col("tf")).otherwise(0)).alias("n_known"), F.sum(F.col("tf") * F.log10((F.coalesce("times", F.lit(0)) + 0.5) / F.lit(floor))).alias("base_score"))
-        found = first.join(sums.withColumnRenamed("key", "text_key"), "text_key")
+        known, base = F.coalesce("n_known", F.lit(0)) + int(end > 0), F.coalesce("base_score", F.lit(0.0)) + math.log10((end + 0.5) / floor)
+        found = first.join(sums.withColumnRenamed("key", "text_key"), "text_key", "left").withColumns({"n_known": known, "base_score": base})
     return found.select(F.col("id").alias(key), "n_tokens", "n_known", F.lit(model.total).cast("long").alias("train_tokens"), "base_score", "score")
