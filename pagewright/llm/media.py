@@ -133,62 +133,90 @@ def _need(ok: bool, what: str) -> None:
         raise ValueError(f"not a baseline JPEG that can be read: {what}")
 
 
+def _entropy_coded(data: bytes, at: int) -> tuple[np.ndarray, np.ndarray, int]:
+    """A scan without stuffing and markers, where its restart intervals begin in it, and where the next marker is."""
+    rest = np.frombuffer(data, np.uint8, offset=at)
+    full = np.flatnonzero(rest[:-1] == 0xFF)
+    after = rest[full + 1]
+    restart = (after & 0xF8) == 0xD0
+    ends = full[(after != 0) & ~restart & (after != 0xFF)]
+    _need(len(ends) > 0, "no end of image")
+    end = int(ends[0])
+    full, after, restart = full[full < end], after[full < end], restart[full < end]
+    keep = np.ones(end, bool)
+    keep[full[after == 0] + 1] = False
+    marks = full[restart]
+    keep[marks] = keep[marks + 1] = False
+    kept = np.cumsum(keep)
+    return rest[:end][keep], np.r_[0, kept[marks + 1]], at + end
+
+
 def parse(data: bytes, at: int = 0) -> tuple[Frame, int]:
-    """The image that begins at a position, and where it ends."""
+    """The image that begins at a position, and where it ends. Of several scans the one with the first component (luminance)
+    counts; it holds all components or this one alone. What can't be read is a ValueError."""
+    try:
+        return _parsed(data, at)
+    except (IndexError, KeyError) as error:
+        raise ValueError("not a baseline JPEG that can be read: a segment is too short") from error
+
+
+def _parsed(data: bytes, at: int) -> tuple[Frame, int]:
     _need(data[at : at + 2] == b"\xff\xd8", "no start of image")
     frame, at = Frame(), at + 2
     while True:
-        _need(at + 4 <= len(data) and data[at] == 0xFF, "a marker is missing")
+        _need(at + 2 <= len(data) and data[at] == 0xFF, "a marker is missing")
         code = data[at + 1]
         if code == 0xFF:
             at += 1
             continue
+        if code == 0xD9:
+            _need(frame.scan is not None, "no scan with luminance")
+            return frame, at + 2
         size = int.from_bytes(data[at + 2 : at + 4], "big")
         body = data[at + 4 : at + 2 + size]
-        _need(len(body) == size - 2, "a segment is cut off")
+        _need(size >= 2 and len(body) == size - 2, "a segment is cut off")
         at += 2 + size
-        if code == 0xDB:
+        done = frame.scan is not None  # later tables are for later scans
+        if code == 0xDB and not done:
             while body:
                 wide = 1 + (body[0] >> 4)
+                _need(len(body) >= 1 + 64 * wide, "a quantiser is cut off")
                 frame.quantisers[body[0] & 15] = int.from_bytes(body[1 : 1 + wide], "big")
                 body = body[1 + 64 * wide :]
-        elif code == 0xC4:
+        elif code == 0xC4 and not done:
             while body:
                 n = sum(body[1:17])
+                _need(len(body) >= 17 + n and sum(c << (15 - i) for i, c in enumerate(body[1:17])) <= 1 << 16, "a table of codes")
                 frame.tables[body[0]] = body[1 : 17 + n]
                 body = body[17 + n :]
         elif code == 0xC0:
-            _need(body[0] == 8, "samples aren't of 8 bits")
+            _need(body[0] == 8 and not frame.parts, "samples aren't of 8 bits, or two frames")
             frame.height, frame.width = int.from_bytes(body[1:3], "big"), int.from_bytes(body[3:5], "big")
             _need(frame.height > 0 and frame.width > 0 and 1 <= body[5] <= 3, "size or components")
             frame.parts = [[body[i], body[i + 1] >> 4, body[i + 1] & 15, body[i + 2], 0, 0] for i in range(6, 6 + 3 * body[5], 3)]
-        elif 0xC1 <= code <= 0xCF and code != 0xC8:
+            _need(all(1 <= p[1] <= 4 and 1 <= p[2] <= 4 for p in frame.parts), "sampling factors")
+        elif 0xC1 <= code <= 0xCF and code not in (0xC4, 0xC8):
             _need(False, "another coding process")
-        elif code == 0xDD:
+        elif code == 0xDD and not done:
+            _need(len(body) == 2, "a restart interval")
             frame.interval = int.from_bytes(body, "big")
         elif code == 0xDA:
-            _need(bool(frame.parts) and body[0] == len(frame.parts), "more than one scan")
-            for i in range(body[0]):
-                part = next((p for p in frame.parts if p[0] == body[1 + 2 * i]), None)
-                _need(part is not None, "an unknown component")
-                part[4], part[5] = body[2 + 2 * i] >> 4, 16 + (body[2 + 2 * i] & 15)
-            break
-    rest = np.frombuffer(data, np.uint8, offset=at)
-    full = np.flatnonzero(rest[:-1] == 0xFF)
-    after = rest[full + 1]
-    restart = (after & 0xF8) == 0xD0
-    ends = full[(after != 0) & ~restart & (after != 0xFF)]
-    _need(len(ends) > 0, "no end of image")
-    end = int(ends[0])
-    full, after, restart = full[full < end], after[full < end], restart[full < end]
-    keep = np.ones(end, bool)
-    keep[full[after == 0] + 1] = False
-    marks = full[restart]
-    keep[marks] = keep[marks + 1] = False
-    kept = np.cumsum(keep)
-    frame.scan, frame.starts = rest[:end][keep], np.r_[0, kept[marks + 1]]
-    _need(rest[end + 1] == 0xD9, "something stands between scan and end of image")
-    return frame, at + end + 2
+            _need(bool(frame.parts), "a scan before its frame")
+            named = {body[1 + 2 * i]: body[2 + 2 * i] for i in range(body[0])}
+            scan, starts, at = _entropy_coded(data, at)
+            if done or frame.parts[0][0] not in named:
+                continue
+            _need(len(named) == 1 or list(named) == [p[0] for p in frame.parts], "a scan with some of the components")
+            if len(named) == 1 and len(frame.parts) > 1:  # blocks of this component alone, row by row
+                top_h, top_v = max(p[1] for p in frame.parts), max(p[2] for p in frame.parts)
+                part = frame.parts[0]
+                frame.width, frame.height = -(-frame.width * part[1] // top_h), -(-frame.height * part[2] // top_v)
+                frame.parts = [part]
+            for part in frame.parts:
+                part[4], part[5] = named[part[0]] >> 4, 16 + (named[part[0]] & 15)
+                _need(part[4] in frame.tables and part[5] in frame.tables, "a table of codes is missing")
+            _need(frame.parts[0][3] in frame.quantisers, "a quantiser is missing")
+            frame.scan, frame.starts = scan, starts
 
 
 @functools.lru_cache(64)
@@ -303,8 +331,11 @@ def thumbnails(media: list[bytes], most_samples: int = 1 << 18) -> list[list[np.
         held = 0
         for k in [*own, None]:
             if pool and (k is None or held > most_samples):
-                for j, dc in zip(pool, _decode([frames[j] for j in pool]), strict=True):
-                    made[j] = _raster(frames[j], dc)
+                try:
+                    found = _decode([frames[j] for j in pool])
+                except IndexError as error:  # of a window behind the last byte
+                    raise ValueError("not a baseline JPEG that can be read: a scan is too short") from error
+                made.update((j, _raster(frames[j], dc)) for j, dc in zip(pool, found, strict=True))
                 pool, held = [], 0
             if k is not None:
                 pool.append(k)
@@ -362,21 +393,35 @@ def media_column(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Da
     return docs.select(F.col(key), F.col(text)).transform(common.in_arrow, _stored, f"id {docs.schema[key].dataType.simpleString()}, media binary").withColumnRenamed("id", key)
 
 
+def _thumbnails_or_fault(data: bytes) -> tuple[list[np.ndarray], str | None]:
+    try:
+        return thumbnails([data])[0], None
+    except ValueError as error:
+        return [], str(error)
+
+
 def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in common.slices(batches, 1, 4 << 20):
         at, rows = [], []
         values = common.byte_values(batch.column(1))
-        for i, thumbs in enumerate(thumbnails(values)):
+        try:
+            found = [(thumbs, None) for thumbs in thumbnails(values)]
+        except ValueError:  # one of them can't be read: each for itself
+            found = [_thumbnails_or_fault(x) for x in values]
+        for i, (thumbs, fault) in enumerate(found):
+            if fault:
+                at.append(i)
+                rows.append((None, None, None, None, None, fault))
             for image, t in enumerate(thumbs):
                 at.append(i)
-                rows.append((image, 8 * t.shape[1], 8 * t.shape[0], t.tobytes(), average_hash(t)))
-        cols = list(zip(*rows, strict=True)) if rows else [[]] * 5
-        kinds = (pa.int32(), pa.int32(), pa.int32(), pa.binary(), pa.string())
-        yield pa.record_batch([batch.column(0).take(pa.array(at, pa.int32())), *(pa.array(x, k) for x, k in zip(cols, kinds, strict=True))], ["id", "image", "width", "height", "thumbnail", "hash"])
+                rows.append((image, 8 * t.shape[1], 8 * t.shape[0], t.tobytes(), average_hash(t), None))
+        cols = list(zip(*rows, strict=True)) if rows else [[]] * 6
+        kinds = (pa.int32(), pa.int32(), pa.int32(), pa.binary(), pa.string(), pa.string())
+        yield pa.record_batch([batch.column(0).take(pa.array(at, pa.int32())), *(pa.array(x, k) for x, k in zip(cols, kinds, strict=True))], ["id", "image", "width", "height", "thumbnail", "hash", "error"])
 
 
 def read_media(media: DataFrame, key: str = "doc_id", column: str = "media") -> DataFrame:
-    """(key, image, width, height, thumbnail, hash): a row per image of each stored form; width and height in whole
-    blocks; a null or empty value has none."""
+    """(key, image, width, height, thumbnail, hash, error): a row per image of each stored form; width and height in whole
+    blocks; a null or empty value has none. A value that can't be read has one row, with an error and nothing else."""
     kind = media.schema[key].dataType.simpleString()
-    return media.select(F.col(key), F.col(column)).transform(common.in_arrow, _read, f"id {kind}, image int, width int, height int, thumbnail binary, hash string").withColumnRenamed("id", key)
+    return media.select(F.col(key), F.col(column)).transform(common.in_arrow, _read, f"id {kind}, image int, width int, height int, thumbnail binary, hash string, error string").withColumnRenamed("id", key)

@@ -5,7 +5,7 @@ lies below a threshold, so a larger budget always takes a superset. The threshol
 summed by source and hash bucket (4096 buckets), the first bucket that goes over the budget is the boundary, and only that
 bucket is refined, 12 bits at a time, until one row is left in it; it is taken if that comes nearer to the budget.
 
-The list of sources with their weights is the caller's configuration and lies on the driver; rows never do. Null text has
+The list of sources with their weights is the caller's configuration and lies on the driver; rows never do; more than MOST_SOURCES are an error. Null text has
 size 0; null is a source of its own. Rows that agree in key (and, where the key is null, in text) share a hash and are
 taken together. An empty table gives an empty one.
 """
@@ -22,6 +22,8 @@ from pyspark.sql import functions as F
 from . import common
 
 BITS, LEVELS = 12, 5
+#: Sources whose shares are held by the driver and broadcast at most (some 10 MB).
+MOST_SOURCES = 100_000
 WORD = r"[^\x20\x09-\x0D]+"
 
 
@@ -100,7 +102,10 @@ def _thresholds(rows: DataFrame, shares: list[Share]) -> None:
 
 def plan(rows: DataFrame, weigh: Callable[[list], dict], share: float = 1.5, most: float = 2.0) -> list[Share]:
     """The share of each source, from rows of ``sized``. weigh: from the list of sources to their weights."""
-    sizes = {r.source: r.size for r in rows.groupBy("source").agg(F.sum("size").alias("size")).collect()}
+    found = rows.groupBy("source").agg(F.sum("size").alias("size")).limit(MOST_SOURCES + 1).collect()
+    if len(found) > MOST_SOURCES:
+        raise ValueError(f"more than {MOST_SOURCES} sources: their shares aren't for a driver and a broadcast")
+    sizes = {r.source: r.size for r in found}
     shares = []
     for source, target in targets(sizes, weigh(list(sizes)), share, most).items():
         passes = math.floor(target / sizes[source]) if sizes[source] else 0

@@ -34,6 +34,10 @@ CACHE = 250_000
 _SIMPLE = re.compile(r"([A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+)([.,;:?!#*$%&|]*)").fullmatch
 
 
+#: Words that tell tokenizers apart: capitals, accents, marks, digits, an apostrophe.
+_PROBES = ("Hello", "naïve,", "ÉTÉ.", "straße!?", "x&|*", "A1b2", "don't", "ÿþ", "plain", "a.b")
+
+
 class _Kept(dict):
     """Values by key, made when first asked for; dropped at CACHE entries."""
 
@@ -60,12 +64,24 @@ class Ids:
         self.specials = [t.content for t in self.library.get_added_tokens_decoder().values()]
         letters = [chr(x) for x in range(0xFF + 1) if chr(x).isalpha()]
         self.byte_level = str.maketrans({x: "".join(p for p, _ in self.library.pre_tokenizer.pre_tokenize_str(x)) for x in letters})
-        self.words = _Kept(self.word)
-        self.part = _Kept(lambda pre_token: np.array([t.id for t in self.library.model.tokenize(pre_token)], "<u4").tobytes()).__getitem__
+        self.words, self.simple = _Kept(self.word), _SIMPLE
+        self.part_cache = _Kept(lambda pre_token: np.array([t.id for t in self.library.model.tokenize(pre_token)], "<u4").tobytes())
+        self.part = self.part_cache.__getitem__
+
+        self._probe()
+
+    def _probe(self) -> None:
+        """Whether this is such a tokenizer: an error if white space counts, the library alone if simple words differ."""
+        whole = lambda x: np.array(self.library.encode(x, add_special_tokens=False).ids, "<u4").tobytes()
+        if any(whole(x + gap + y) != whole(x) + whole(y) for gap in (" ", "\n", " \t ") for x, y in zip(_PROBES, _PROBES[1:], strict=False)):
+            raise ValueError("the tokens of this tokenizer depend on white space")
+        if any(self.word(x.encode()) != whole(x) for x in _PROBES):
+            self.simple = lambda word: None
+            self.part_cache.clear()
 
     def word(self, raw: bytes) -> bytes:
         word = raw.decode()
-        if simple := _SIMPLE(word):
+        if simple := self.simple(word):
             letters, marks = simple.groups()
             own = self.part(letters.lower().translate(self.byte_level))
             return own + self.part(marks) if marks else own

@@ -49,6 +49,16 @@ def test_mixing(spark):
     assert mixing.mix(mixing.sized(empty(docs)), mixing.repeating()).count() == 0
 
 
+def test_too_many_sources(spark, monkeypatch):
+    monkeypatch.setattr(mixing, "MOST_SOURCES", 3)
+    docs = spark.createDataFrame([(i, f"s{i % 4}", "a b", 7, "x") for i in range(8)], "doc_id long, source string, text string, target int, copies string")
+    with pytest.raises(ValueError):
+        mixing.mix(mixing.sized(docs), mixing.repeating())
+    three = docs.filter("doc_id % 4 < 3").withColumn("hash", mixing.hash60("doc_id", "text"))
+    found = mixing.with_copies(three, mixing.plan(mixing.sized(three), mixing.repeating()))
+    assert found.columns.count("target") == found.columns.count("copies") == 1 and found.count() == 6
+
+
 # --- near-duplicates ------------------------------------------------------------------------------------------------
 
 

@@ -1,6 +1,7 @@
 """Operators that look at documents one by one, against brute force, round trips and held-out accuracy."""
 
 import hashlib
+import json
 import math
 import random
 import zlib
@@ -176,6 +177,50 @@ def test_media_reads_other_jpegs(sampling, interval):
     assert (thumb == want).all()
 
 
+def test_media_faults_are_rows(spark):
+    good, rng = media.encode(media.padded(b"some text " * 70)), random.Random(5)
+    for _ in range(600):  # whatever is damaged, it is a ValueError or an image
+        bad = bytearray(good)
+        for _ in range(rng.randrange(1, 4)):
+            bad[rng.randrange(len(bad) if rng.random() < 0.3 else 220)] = rng.randrange(256)
+        try:
+            media.thumbnails([bytes(bad[: rng.choice([len(bad), rng.randrange(len(bad))])])])
+        except ValueError:
+            pass
+    for code in (0xDB, 0xC0, 0xC4, 0xDA, 0xDD):
+        for length in range(2, 12):
+            at = good.index(bytes((0xFF, code))) if bytes((0xFF, code)) in good else 2
+            with pytest.raises(ValueError):
+                media.parse(good[:at] + bytes((0xFF, code)) + length.to_bytes(2, "big") + bytes(length - 2) + b"\xff\xd9")
+    rows = [(1, bytearray(good)), (2, bytearray(b"GIF89a")), (3, None), (4, bytearray()), (5, bytearray(good[:-9]))]
+    found = {r.doc_id: r for r in media.read_media(spark.createDataFrame(rows, "doc_id int, media binary").coalesce(1)).collect()}
+    assert set(found) == {1, 2, 5} and found[1].error is None and found[1].hash and found[2].error and found[2].image is None and found[5].error
+
+
+def test_media_reads_a_scan_a_component():
+    """Luminance in a scan of its own, with another component's scan before and after."""
+    plain = jpeg([[(0, 10 * i, [])] for i in range(12)], [(1, 1)], 0)
+    dqt, sof, rest = plain.index(b"\xff\xdb"), plain.index(b"\xff\xc0"), plain.index(b"\xff\xc4")
+    sos = plain.index(b"\xff\xda")
+    other = plain[sos:-2].replace(b"\x01\x01\x00", b"\x01\x02\x00", 1)  # the same scan, named for component 2
+    frame = media._marker(0xC0, plain[sof + 4 : sof + 9] + b"\x02" + bytes([1, 0x11, 0, 2, 0x11, 0]))
+    whole = plain[:dqt] + plain[dqt:sof] + frame + plain[rest:sos] + other + plain[sos:-2] + other + b"\xff\xd9"
+    (want,), (got,) = media.thumbnails([plain])[0], media.thumbnails([whole])[0]
+    assert (got == want).all()
+
+
+def test_tokenizers_for_packing(tmp_path):
+    with pytest.raises(ValueError):
+        packing.Ids(BYTES)  # its tokens hold white space
+    changed = json.loads(open(WORDS).read())
+    assert packing.Ids(WORDS).simple is packing._SIMPLE
+    changed["normalizer"] = None  # capitals are kept, so simple words aren't what they were
+    (tmp_path / "t.json").write_text(json.dumps(changed))
+    ids = packing.Ids(str(tmp_path / "t.json"))
+    text = "Hello naïve, ÉTÉ don't STRASSE! x&|*"
+    assert ids.simple("Hello") is None and ids.all([text.encode()])[0] == np.array(ids.library.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+
+
 def test_media_query(odd):
     rows = media.media_features(odd).collect()
     assert len(rows) == len(ODD)
