@@ -4,18 +4,20 @@ Tokens are words (A-Z lower-cased; runs of anything but U+0020 and U+0009-000D)
 context of the first word. The filter holds counts of all words and of all word pairs, quantised to level
 1 + floor(log_1.5(count)): every level from 1 up to its own is a member, and probing upwards until the first miss gives
 the level back. It is built in slices by hash, each where its n-grams' counts meet, with 10 to 20 bits a member at every
-size. A filter within filter_bytes is broadcast; beyond, the documents' n-grams are sent to their slices and the levels
-come back, which gives the same scores. The probability of w after v is (count(v, w) + M * p(w)) / (count(v) + M), with
+size. A filter within filter_bytes is broadcast with the words' exact counts, if they are within broadcast_bytes; beyond, the
+documents' n-grams are sent to their slices, and levels and counts come back, which gives the same scores. The probability of w after v is (count(v, w) + M * p(w)) / (count(v) + M), with
 p(w) = (count(w) + 0.5) / (N + 0.5 * (V + 1)), all counts from the filter. The base score has p(w) alone, with exact
 counts.
 
+Words go by 64-bit hashes: two different ones that share a hash count as one word. Among 10^9 words that is expected for one
+pair in some forty models, among 10^10 for three pairs.
+
 Null text is empty: its end token only. Repeated rows are scored each for itself; an empty table gives an empty one; with
 nothing learned every token is unknown (N = V = 0).
 """
 
 from __future__ import annotations
 
-import math
 import uuid
 import zlib
 from collections import Counter
@@ -37,7 +39,7 @@ PROBES = 4
 BITS = 10  # of the filter for each member, before rounding up to a power of two
 #: Bytes of the filter that may be broadcast; the n-grams are sent to the slices of a larger one.
 FILTER_BYTES = 256 << 20
-#: Bytes of exact (hash, count) pairs that may be broadcast; a larger vocabulary is joined by a shuffle.
+#: Bytes of exact (hash, count) pairs that may be broadcast; a larger vocabulary is asked by slices, too.
 BROADCAST_BYTES = 96 << 20
 _PAIRS_HELD = 3_000_000
 _SEED = 7
@@ -180,8 +182,7 @@ def _gathered(n: int):
 
 
 def _merged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """One shard: its words with counts, and its slice of the filter."""
-    names = ["word", "hash", "times", "shard", "bits"]
+    """One shard: its slice of the filter, and its words' sorted keys with exact counts."""
     words: Counter = Counter()
     keys, times, shard = [], [], None
     for batch in batches:
@@ -199,72 +200,66 @@ def _merged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     key, inverse = np.unique(np.concatenate(keys), return_inverse=True)
     total = np.bincount(inverse, weights=np.concatenate(times), minlength=len(key)).astype(np.int64)
     del keys, times, inverse
-    own = list(words)
-    hashes, counts = np.array([xxhash.xxh64_intdigest(w, _SEED) for w in own], np.uint64), np.fromiter(words.values(), np.int64, len(own))
-    bits = slice_bits(np.r_[word_keys(hashes), key], level_of(np.r_[counts, total]))
-    for i in range(0, len(own), 100_000):
-        part = own[i : i + 100_000]
-        yield pa.record_batch([pa.array([w.decode() for w in part], pa.string()), pa.array(hashes[i : i + 100_000]).view(pa.int64()), pa.array(counts[i : i + 100_000]), pa.nulls(len(part), pa.int32()), pa.nulls(len(part), pa.binary())], names)
-    yield pa.record_batch([pa.nulls(1, pa.string()), pa.nulls(1, pa.int64()), pa.nulls(1, pa.int64()), pa.array([shard], pa.int32()), pa.array([bits.tobytes()], pa.binary())], names)
+    known, counts = word_keys(np.array([xxhash.xxh64_intdigest(w, _SEED) for w in words], np.uint64)), np.fromiter(words.values(), np.int64, len(words))
+    known, inverse = np.unique(known, return_inverse=True)
+    counts = np.bincount(inverse, weights=counts, minlength=len(known)).astype(np.int64)
+    bits = slice_bits(np.r_[known, key], level_of(np.r_[counts, total]))
+    yield pa.record_batch([pa.array([shard], pa.int32()), *(pa.array([x], pa.binary()) for x in (bits.tobytes(), known.tobytes(), counts.astype("<i8").tobytes())), pa.array([len(known)]), pa.array([int(counts.sum())])], ["shard", "bits", "known", "counts", "distinct", "total"])
+
+
+class Exact:
+    """Exact counts of words by their sorted keys."""
+
+    def __init__(self, known: np.ndarray, counts: np.ndarray):
+        self.known, self.counts = known, counts
+
+    def of(self, keys: np.ndarray) -> np.ndarray:
+        if not len(self.known):
+            return np.zeros(len(keys), np.int64)
+        place = np.minimum(np.searchsorted(self.known, keys), len(self.known) - 1)
+        return np.where(self.known[place] == keys, self.counts[place], 0)
 
 
 class Model:
-    """words: (word, hash, times) and slices: (shard, bits) of the log-frequency Bloom filter, in the shared folder; filter:
-    the whole of it, or None where it is larger than filter_bytes; N and V."""
+    """slices: a row for each shard with its part of the log-frequency Bloom filter and the exact counts of its words, in the
+    shared folder; filter and exact: all of them together, or None where they are larger than what may be broadcast; total
+    and distinct: N and V."""
 
-    def __init__(self, docs: DataFrame, text: str = "text", filter_bytes: int = FILTER_BYTES):
+    def __init__(self, docs: DataFrame, text: str = "text", filter_bytes: int = FILTER_BYTES, broadcast_bytes: int = BROADCAST_BYTES):
         spark = docs.sparkSession
-        n = common.shards(spark)
+        self.n = n = common.shards(spark)
         sent = docs.select(F.col(text)).transform(common.in_arrow, _gathered(n), "shard int, words binary, times binary, pairs binary, pair_times binary")
-        made = common.stored(sent.repartitionById(n, F.col("shard")).transform(common.in_arrow, _merged, "word string, hash long, times long, shard int, bits binary"), "model", packed=True)
-        self.words = made.filter(F.col("word").isNotNull()).select("word", "hash", "times")
-        size, self.total, self.distinct = made.agg(F.sum(F.octet_length("bits")), F.sum("times"), F.count("word")).first()
-        self.total = self.total or 0
-        self.n, self.slices = n, made.filter(F.col("shard").isNotNull()).select("shard", "bits")
-        self.filter = None
-        if (size or 0) <= filter_bytes:
-            slices: dict[int, bytes] = {r.shard: bytes(r.bits) for r in self.slices.toLocalIterator()}
-            self.filter = Filter([slices.get(i, bytes(8)) for i in range(n)] if slices else [])
-
-    def exact(self, most: int) -> tuple[np.ndarray, np.ndarray] | None:
-        """Sorted hashes and counts of the words, if they fit and no two words share a hash."""
-        if self.distinct * 16 > most:
-            return None
-        pairs = self.words.select("hash", "times").toArrow()
-        hashes, times = pairs["hash"].to_numpy().view(np.uint64), pairs["times"].to_numpy()
-        order = np.argsort(hashes)
-        hashes = hashes[order]
-        return None if (hashes[1:] == hashes[:-1]).any() else (hashes, times[order])
-
-
-_SCORE_SCHEMA = "n_tokens long, score double, n_known long, base_score double"
-
-
-def _measures(ids: pa.Array, sizes: np.ndarray, at: np.ndarray, hashes: np.ndarray, levels, held) -> pa.RecordBatch:
-    """The scores of some texts (as in Flat); levels: of an array of keys."""
-    _, exact, total, distinct = held
+        made = sent.repartitionById(n, F.col("shard")).transform(common.in_arrow, _merged, "shard int, bits binary, known binary, counts binary, distinct long, total long")
+        self.slices = common.stored(made, "model", packed=True)
+        size, self.total, self.distinct = (x or 0 for x in self.slices.agg(F.sum(F.octet_length("bits")), F.sum("total"), F.sum("distinct")).first())
+        self.filter = self.exact = None
+        if size <= filter_bytes and self.distinct * 16 <= broadcast_bytes:
+            rows = {r.shard: r for r in self.slices.toLocalIterator()}
+            self.filter = Filter([bytes(rows[i].bits) if i in rows else bytes(8) for i in range(n)] if rows else [])
+            known, counts = (np.concatenate([np.frombuffer(r[c], kind) for r in rows.values()] or [np.zeros(0, kind)]) for c, kind in (("known", np.uint64), ("counts", np.int64)))
+            order = np.argsort(known)
+            self.exact = Exact(known[order], counts[order])
+
+
+def _measures(ids: pa.Array, sizes: np.ndarray, at: np.ndarray, hashes: np.ndarray, levels, counts, held) -> pa.RecordBatch:
+    """The scores of some texts (as in Flat); levels and counts: of an array of keys."""
+    *_, total, distinct = held
     floor, n = total + 0.5 * (distinct + 1), len(sizes)
-    owner = np.repeat(np.arange(n), sizes)
-    about = ESTIMATES[levels(word_keys(hashes))]
+    owner, own = np.repeat(np.arange(n), sizes), word_keys(hashes)
+    about = ESTIMATES[levels(own)]
     context = about[np.r_[0, at[:-1]]]
     both = np.minimum(ESTIMATES[levels(pairs_of(hashes, at))], context)
     chance = (both + MASS * (about[at] + 0.5) / floor) / (context + MASS)
-    columns = [pa.array(sizes), pa.array(np.bincount(owner, np.log10(chance), n))]
-    if exact is not None:
-        known, times = exact
-        place = np.minimum(np.searchsorted(known, hashes), max(0, len(known) - 1))
-        count = np.where(known[place] == hashes, times[place], 0) if len(known) else np.zeros(len(hashes), np.int64)
-        columns += [pa.array(np.bincount(owner, count[at] > 0, n).astype(np.int64)), pa.array(np.bincount(owner, np.log10((count + 0.5) / floor)[at], n))]
-    else:
-        columns += [pa.nulls(n, pa.int64()), pa.nulls(n, pa.float64())]
-    return pa.record_batch([ids, *columns], ["id", "n_tokens", "score", "n_known", "base_score"])
+    count = counts(own)
+    columns = [np.bincount(owner, np.log10(chance), n), np.bincount(owner, count[at] > 0, n).astype(np.int64), np.bincount(owner, np.log10((count + 0.5) / floor)[at], n)]
+    return pa.record_batch([ids, pa.array(sizes), *map(pa.array, columns)], ["id", "n_tokens", "score", "n_known", "base_score"])
 
 
 def _scored(held):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in common.slices(batches, 1):
             flat = Flat(common.byte_values(batch.column(1)))
-            yield _measures(batch.column(0), flat.sizes, flat.at, flat.hashes, held.value[0].levels, held.value)
+            yield _measures(batch.column(0), flat.sizes, flat.at, flat.hashes, held.value[0].levels, held.value[1].of, held.value)
 
     return run
 
@@ -294,16 +289,17 @@ def _asked(n: int):
 
 
 def _answered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The levels of keys, by their shard's slice, which comes first."""
-    own = {}
+    """The levels of keys, and exact counts of those that are words, by their shard's slice, which comes first."""
+    own: dict[int, tuple[Filter, Exact]] = {}
     for batch in batches:
         for row in batch.to_pylist():
             if row["part"] is None:
-                own = {row["shard"]: Filter([row["bits"]])}
+                own = {row["shard"]: (Filter([row["bits"]]), Exact(np.frombuffer(row["known"], np.uint64), np.frombuffer(row["counts"], "<i8")))}
             else:
-                levels = own.get(row["shard"], Filter([])).levels(np.frombuffer(row["keys"], np.uint64))
-                packed = zlib.compress(levels.astype("<u2").tobytes(), 1)
-                yield pa.record_batch([pa.array([row["part"]]), pa.array([row["shard"]], pa.int32()), pa.array([packed], pa.binary())], ["part", "shard", "levels"])
+                keys = np.frombuffer(row["keys"], np.uint64)
+                levels, exact = own.get(row["shard"]) or (Filter([]), Exact(keys[:0], keys[:0]))
+                packed = (zlib.compress(levels.levels(keys).astype("<u2").tobytes(), 1), zlib.compress(exact.of(keys).astype("<i8").tobytes(), 1))
+                yield pa.record_batch([pa.array([row["part"]]), pa.array([row["shard"]], pa.int32()), *(pa.array([x], pa.binary()) for x in packed)], ["part", "shard", "levels", "counts"])
 
 
 def _put_together(held):
@@ -312,62 +308,30 @@ def _put_together(held):
         sizes, at, hashes = (table[c][0].as_py() for c in ("sizes", "at", "hashes"))
         sizes, at, hashes = np.frombuffer(sizes, "<i8"), np.frombuffer(zlib.decompress(at), "<u4").astype(np.int64), np.frombuffer(hashes, np.uint64)
         keys = _keys_of(hashes, at)
-        found = np.concatenate([np.frombuffer(zlib.decompress(x), "<u2") for x in table["levels"].to_pylist()[1:]]).astype(np.int64)
-        ids = table["ids"].chunk(0)[0].values
-        return pa.Table.from_batches([_measures(ids, sizes, at, hashes, lambda x: found[np.searchsorted(keys, x)], held.value)])
+        levels, counts = (np.concatenate([np.frombuffer(zlib.decompress(x), kind) for x in table[c].to_pylist()[1:]]).astype(np.int64) for c, kind in (("levels", "<u2"), ("counts", "<i8")))
+        ids = table["ids"][0].values
+        return pa.Table.from_batches([_measures(ids, sizes, at, hashes, lambda x: levels[np.searchsorted(keys, x)], lambda x: counts[np.searchsorted(keys, x)], held.value)])
 
     return run
 
 
-def model_scores(rows: DataFrame, model: Model, kind: str, held) -> DataFrame:
-    """(id, n_tokens, score, n_known, base_score) of rows (id, text)."""
-    if model.filter is not None:
-        return rows.transform(common.in_arrow, _scored(held), f"id {kind}, {_SCORE_SCHEMA}")
-    # parts have random names, so they are stored before they are read twice
-    asked = common.stored(rows.transform(common.in_arrow, _asked(model.n), f"part string, shard int, ids array<{kind}>, sizes binary, at binary, hashes binary, keys binary"), "asked", packed=True)
-    sent = asked.filter("shard >= 0").select("shard", "part", "keys", F.lit(None).cast("binary").alias("bits"))
-    slices = model.slices.select("shard", F.lit(None).cast("string").alias("part"), F.lit(None).cast("binary").alias("keys"), "bits")
-    met = sent.unionByName(slices).repartitionById(model.n, F.col("shard")).sortWithinPartitions(F.col("part").asc_nulls_first())
-    found = met.transform(common.in_arrow, _answered, "part string, shard int, levels binary")
-    tokens = asked.filter("shard = -1").select("part", "shard", "ids", "sizes", "at", "hashes")
-    parts = tokens.unionByName(found, allowMissingColumns=True)
-    return parts.groupBy("part").applyInArrow(_put_together(held), f"id {kind}, {_SCORE_SCHEMA}")
-
-
-def _frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """How often each text has which word; its one end is counted apart."""
-    for batch in common.slices(batches, 1, 1 << 20):
-        keys, words, times = [], [], []
-        for key, raw in zip(batch.column(0).to_pylist(), common.byte_values(batch.column(1)), strict=True):
-            own = Counter(raw.lower().split())
-            keys += [key] * len(own)
-            words += [w.decode() for w in own]
-            times += own.values()
-        yield pa.record_batch([pa.array(keys, pa.string()), pa.array(words, pa.string()), pa.array(times, pa.int64())], ["key", "word", "tf"])
-
-
-def scores(docs: DataFrame, model: Model, key: str = "doc_id", text: str = "text", broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
+def scores(docs: DataFrame, model: Model, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(key, n_tokens, n_known, train_tokens, base_score, score) of each row.
 
-    Exact counts are broadcast as (hash, count) arrays if their measured size is within broadcast_bytes; otherwise the
-    documents' word frequencies are shuffled to the model's words. The model's filter is broadcast or asked by slices.
-    All give equal results."""
+    The model is broadcast, or asked by slices where it is too large for that. Both give equal results."""
     kind = docs.schema[key].dataType.simpleString()
-    exact = model.exact(broadcast_bytes)
-    held = docs.sparkSession.sparkContext.broadcast((model.filter, exact, model.total, model.distinct))
-    if exact is not None:
-        found = model_scores(docs.select(F.col(key).alias("id"), F.col(text)), model, kind, held)
+    schema = f"id {kind}, n_tokens long, score double, n_known long, base_score double"
+    held = docs.sparkSession.sparkContext.broadcast((model.filter, model.exact, model.total, model.distinct))
+    rows = docs.select(F.col(key).alias("id"), F.col(text))
+    if model.filter is not None:
+        found = rows.transform(common.in_arrow, _scored(held), schema)
     else:
-        full = F.coalesce(F.col(text), F.lit(""))
-        row = F.struct(F.col(key).alias("id"), F.concat(F.md5(full), F.octet_length(full)).alias("text_key"))
-        keyed = docs.select(row.alias("row"), full.alias("body"))
-        first = model_scores(keyed, model, f"struct<id: {kind}, text_key: string>", held).select("id.*", "n_tokens", "score")
-        parts = keyed.select("row.text_key", "body").transform(common.in_arrow, _frequencies, "key string, word string, tf long").groupBy("key", "word").agg(F.max("tf").alias("tf"))
-        floor = model.total + 0.5 * (model.distinct + 1)
-        # a frequent word's rows are split by adaptive skew joins; the end, which every text has, needs no join
-        joined = parts.join(model.words.select("word", "times"), "word", "left")
-        end = (model.words.filter(F.col("word") == END.decode()).select("times").first() or [0])[0]
-        sums = joined.groupBy("key").agg(F.sum(F.when(F.col("times").isNotNull(), F.col("tf")).otherwise(0)).alias("n_known"), F.sum(F.col("tf") * F.log10((F.coalesce("times", F.lit(0)) + 0.5) / F.lit(floor))).alias("base_score"))
-        known, base = F.coalesce("n_known", F.lit(0)) + int(end > 0), F.coalesce("base_score", F.lit(0.0)) + math.log10((end + 0.5) / floor)
-        found = first.join(sums.withColumnRenamed("key", "text_key"), "text_key", "left").withColumns({"n_known": known, "base_score": base})
+        # parts have random names, so they are stored before they are read twice
+        asked = common.stored(rows.transform(common.in_arrow, _asked(model.n), f"part string, shard int, ids array<{kind}>, sizes binary, at binary, hashes binary, keys binary"), "asked", packed=True)
+        slices = model.slices.select("shard", F.lit(None).cast("string").alias("part"), F.lit(None).cast("binary").alias("keys"), "bits", "known", "counts")
+        met = asked.filter("shard >= 0").select("shard", "part", "keys").unionByName(slices, allowMissingColumns=True)
+        met = met.repartitionById(model.n, F.col("shard")).sortWithinPartitions(F.col("part").asc_nulls_first())
+        answers = met.transform(common.in_arrow, _answered, "part string, shard int, levels binary, counts binary")
+        tokens = asked.filter("shard = -1").select("part", "shard", "ids", "sizes", "at", "hashes")
+        found = tokens.unionByName(answers, allowMissingColumns=True).groupBy("part").applyInArrow(_put_together(held), schema)
     return found.select(F.col("id").alias(key), "n_tokens", "n_known", F.lit(model.total).cast("long").alias("train_tokens"), "base_score", "score")

@@ -300,13 +300,14 @@ def test_quality(spark, odd):
 @pytest.mark.parametrize("most", [scoring.BROADCAST_BYTES, 0])
 def test_scoring(spark, odd, most):
     train = [(i, f"The cat sat on the mat {'again ' * (i % 3)}") for i in range(30)]
-    model = scoring.Model(spark.createDataFrame(train, "doc_id long, text string"))
+    model = scoring.Model(spark.createDataFrame(train, "doc_id long, text string"), broadcast_bytes=most)
+    assert (model.filter is None) == (most == 0)
     of = lambda t: [*(t or "").encode().lower().split(), b"\n"]
     count = Counter(w for _, t in train for w in of(t))
     total, floor = sum(count.values()), sum(count.values()) + 0.5 * (len(count) + 1)
     docs = odd.unionByName(spark.createDataFrame([(50, "the CAT sat"), (51, "sat cat THE")], "doc_id long, text string"), allowMissingColumns=True)
     texts = {**{i: t for i, t in ODD}, 50: "the CAT sat", 51: "sat cat THE"}
-    rows = scoring.scores(docs, model, broadcast_bytes=most).collect()
+    rows = scoring.scores(docs, model).collect()
     assert len(rows) == len(ODD) + 2
     for r in rows:
         options = [t for i, t in [*ODD, (50, texts[50]), (51, texts[51])] if i == r.doc_id]
@@ -315,9 +316,9 @@ def test_scoring(spark, odd, most):
         assert any(r.base_score == pytest.approx(sum(math.log10((count[w] + 0.5) / floor) for w in of(t))) for t in options)
     by = {r.doc_id: r for r in rows}
     assert by[50].base_score == pytest.approx(by[51].base_score) and by[50].score > by[51].score
-    assert scoring.scores(empty(docs), model, broadcast_bytes=most).count() == 0
-    blank = scoring.Model(empty(docs))
-    assert blank.total == 0 and scoring.scores(docs, blank, broadcast_bytes=most).first().n_known == 0
+    assert scoring.scores(empty(docs), model).count() == 0
+    blank = scoring.Model(empty(docs), broadcast_bytes=most, filter_bytes=-1 if most == 0 else scoring.FILTER_BYTES)
+    assert blank.total == 0 and all(r.n_known == 0 for r in scoring.scores(docs, blank).collect())
 
 
 def test_pairs_seen_once_count(spark):
@@ -338,11 +339,11 @@ def test_scores_do_not_depend_on_filter_bytes(spark, odd, most):
     rng = random.Random(9)
     texts = [" ".join(f"w{int(rng.paretovariate(0.7)) % 5000}" for _ in range(rng.randrange(120))) for _ in range(400)]
     docs = odd.select("doc_id", "text").unionByName(spark.createDataFrame([(1000 + i, t) for i, t in enumerate(texts)], "doc_id long, text string")).repartition(3)
-    whole, dealt = (scoring.Model(docs.filter("doc_id % 5 <> 1"), filter_bytes=size) for size in (scoring.FILTER_BYTES, 64))
+    whole, dealt = (scoring.Model(docs.filter("doc_id % 5 <> 1"), **sizes) for sizes in ({}, {"broadcast_bytes": 0} if most == 0 else {"filter_bytes": 64}))
     assert dealt.filter is None and whole.filter is not None
-    got = [sorted(map(tuple, scoring.scores(docs, m, broadcast_bytes=most).select("doc_id", "n_tokens", "n_known", "score").collect()), key=repr) for m in (whole, dealt)]
+    got = [sorted(map(tuple, scoring.scores(docs, m).select("doc_id", "n_tokens", "n_known", "score", "base_score").collect()), key=repr) for m in (whole, dealt)]
     assert len(got[0]) == len(ODD) + len(texts) and got[0] == got[1]
-    assert scoring.scores(empty(docs), dealt, broadcast_bytes=most).count() == 0
+    assert scoring.scores(empty(docs), dealt).count() == 0
 
 
 def test_filter():
