@@ -234,9 +234,12 @@ class Model:
         size, self.total, self.distinct = (x or 0 for x in self.slices.agg(F.sum(F.octet_length("bits")), F.sum("total"), F.sum("distinct")).first())
         self.filter = self.exact = None
         if size <= filter_bytes and self.distinct * 16 <= broadcast_bytes:
-            rows = {r.shard: r for r in self.slices.toLocalIterator()}
-            self.filter = Filter([bytes(rows[i].bits) if i in rows else bytes(8) for i in range(n)] if rows else [])
-            known, counts = (np.concatenate([np.frombuffer(r[c], kind) for r in rows.values()] or [np.zeros(0, kind)]) for c, kind in (("known", np.uint64), ("counts", np.int64)))
+            bits, held = [bytes(8)] * n, [(np.zeros(0, np.uint64), np.zeros(0, np.int64))]
+            for r in self.slices.toLocalIterator():
+                bits[r.shard] = bytes(r.bits)
+                held.append((np.frombuffer(r.known, np.uint64), np.frombuffer(r.counts, np.int64)))
+            self.filter = Filter(bits if self.total else [])
+            known, counts = map(np.concatenate, zip(*held, strict=True))
             order = np.argsort(known)
             self.exact = Exact(known[order], counts[order])
 
