@@ -90,6 +90,19 @@ def test_spread_and_shrink():
     assert (I.erode(np.full((5, 5), 255, np.uint8), 3, 3) == 255).all()
 
 
+@pytest.mark.parametrize(("kx", "ky"), [(1, 1), (2, 3), (4, 5), (15, 6), (31, 16)])
+def test_spread_is_the_best_of_each_window(kx, ky):
+    p = page(23, 37)
+    for kernel, best, out in ((I.dilate, max, 0), (I.erode, min, 255)):
+        got = kernel(p, kx, ky)
+        held = np.pad(p, ((ky // 2, ky - 1 - ky // 2), (kx // 2, kx - 1 - kx // 2)), constant_values=out)
+        assert got.tolist() == [[int(best(held[y : y + ky, x : x + kx].ravel())) for x in range(37)] for y in range(23)]
+    for size in (1, 3, 5):
+        reach = size // 2
+        assert (I.median(p, size) == np.median(np.lib.stride_tricks.sliding_window_view(np.pad(p, reach, mode="edge"), (size, size)), axis=(2, 3))).all()
+    assert (I.median(p, 5) == np.median(np.lib.stride_tricks.sliding_window_view(np.pad(p, 2, mode="edge"), (5, 5)), axis=(2, 3))).all()
+
+
 def test_regions():
     p = np.full((400, 600), 255, np.uint8)
     p[50:150, 50:300] = 0
