@@ -8,6 +8,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from pagewright.session import shared_dir
 
@@ -45,6 +46,35 @@ def shards(spark: SparkSession) -> int:
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
 
 
+#: A key with more than this share of all rows is hot. So there are at most 2,000 hot keys, whatever the table's size.
+HOT_SHARE = 1 / 2000
+
+
+def joined(rows: DataFrame, table: DataFrame, keys: list[str], n: str, total: int) -> DataFrame:
+    """rows inner joined to table on keys that aren't null. table has one row a key, with the number n of its rows (or more), of total.
+
+    What belongs to hot keys is broadcast, so no task gets all rows of one; the rest meets in a shuffle. Both are read twice:
+    they should be stored tables."""
+    hot = F.broadcast(table.filter(F.col(n) > total * HOT_SHARE).drop(n))
+    rest = rows.join(hot.select(*keys), keys, "left_anti").join(table.filter(F.col(n) <= total * HOT_SHARE).drop(n), keys)
+    return rows.join(hot, keys).unionByName(rest)
+
+
+def named(rows: DataFrame, keys: list[str], name: str) -> DataFrame:
+    """rows with a dense number (0, 1, ...) for every different value of keys (not null), under a name. rows should be stored."""
+    spark, low = rows.sparkSession, (1 << 33) - 1
+    # the number of the task that has the key, and that of the key in it: fixed once they are written
+    found = stored(rows.groupBy(*keys).agg(F.count("*").alias("__n")).withColumn("__at", F.monotonically_increasing_id()), "names")
+    tasks = found.groupBy(F.shiftright("__at", 33).alias("task")).agg(F.count("*"), F.sum("__n")).orderBy("task").collect()
+    before, start = [], 0
+    for task, count, _ in tasks:
+        before.append((task, start))
+        start += count
+    starts = F.broadcast(spark.createDataFrame(before, "__task long, __start long"))
+    numbered = found.join(starts, F.shiftright("__at", 33) == F.col("__task")).select(*keys, "__n", (F.col("__start") + F.col("__at").bitwiseAND(low)).alias(name))
+    return joined(rows, numbered, keys, "__n", sum(x[2] for x in tasks))
+
+
 def byte_values(column: pa.Array) -> list[bytes]:
     """UTF-8 bytes of a string column; null is empty."""
     return [x or b"" for x in column.cast(pa.binary()).to_pylist()]

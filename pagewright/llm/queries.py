@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import jaccard, language, lines, media, mixing, packing, quality, scoring, tokens, warc
+from . import conversations, jaccard, language, lines, media, mixing, packing, quality, scoring, tokens, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -167,3 +167,48 @@ marked AS (
 SELECT doc_id, coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (NOT gone), '') AS text, count(*) AS n_lines, count(*) FILTER (gone) AS n_dropped
 FROM marked GROUP BY doc_id
 """
+
+
+@_query
+def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The trie of all conversations, each begun as the first of its twenty is."""
+    turns = conversations.placed(spark.read.parquet(f"{sf_dir}/conversations.parquet").select("conv_id", "turn", "role", "text"))
+    return conversations.trie(*conversations.rebuilt(turns, 20, 4))
+
+
+# crc32 runs over a list: every byte is followed by seven zeros, and each entry is one bit's step
+ORACLES["op11_prefix_trie"] = r"""
+WITH t AS (
+  SELECT conv_id, sha256(len(coalesce(role, '')) || ':' || coalesce(role, '') || coalesce(text, '')) AS turn_hash, turn,
+         len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS words
+  FROM conversations WHERE conv_id IS NOT NULL),
+placed AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, turn_hash) - 1 AS pos FROM t),
+convs AS (
+  SELECT conv_id, count(*) AS n, conv_id - conv_id % 20 AS base,
+         xor(list_reduce(list_concat([4294967295::BIGINT], flatten(list_transform(string_split(conv_id::VARCHAR, ''), lambda c: [ascii(c)::BIGINT, 0, 0, 0, 0, 0, 0, 0]))),
+             lambda a, b: xor(xor(a, b) >> 1, 3988292384 * (xor(a, b) & 1))), 4294967295) % 4 AS h
+  FROM placed GROUP BY conv_id),
+info AS (SELECT c.*, least(c.h, coalesce(b.n, 0)) AS k FROM convs c LEFT JOIN convs b ON b.conv_id = c.base),
+turns AS (
+  SELECT conv_id, pos - h + k AS pos, turn_hash, words FROM placed JOIN info USING (conv_id) WHERE pos >= h
+  UNION ALL
+  SELECT i.conv_id, p.pos, p.turn_hash, p.words FROM info i JOIN placed p ON p.conv_id = i.base WHERE p.pos < i.h),
+paths AS (
+  SELECT conv_id, pos + 1 AS depth, list(turn_hash) OVER (PARTITION BY conv_id ORDER BY pos) AS path, words FROM turns
+  UNION ALL
+  SELECT conv_id, 0, [], 0 FROM convs),
+ended AS (SELECT *, depth = max(depth) OVER (PARTITION BY conv_id) AS ends FROM paths),
+nodes AS (
+  SELECT depth, path, min(conv_id) AS conv_id, count(*) AS n_convs, max(words) AS words,
+         sha256(coalesce(string_agg(conv_id::VARCHAR, ',' ORDER BY conv_id) FILTER (ends), '')) AS ends_sha256
+  FROM ended GROUP BY depth, path),
+children AS (SELECT depth - 1 AS depth, path[:depth - 1] AS path, count(*) AS n FROM nodes WHERE depth > 0 GROUP BY 1, 2),
+above AS (
+  SELECT a.depth, n.path[:a.depth] AS path, count(*) FILTER (c.n IS NULL) AS n_leaves, sum((n.n_convs - 1) * n.words) AS saved
+  FROM nodes n LEFT JOIN children c ON c.depth = n.depth AND c.path = n.path, LATERAL (SELECT unnest(range(0, n.depth + 1)) AS depth) a
+  GROUP BY 1, 2)
+SELECT n.conv_id, n.depth::BIGINT AS depth, p.conv_id AS parent_conv_id, n.n_convs, coalesce(c.n, 0)::BIGINT AS n_children, a.n_leaves, a.saved::BIGINT AS saved_tokens, n.ends_sha256
+FROM nodes n JOIN above a ON a.depth = n.depth AND a.path = n.path
+LEFT JOIN children c ON c.depth = n.depth AND c.path = n.path
+LEFT JOIN nodes p ON p.depth = n.depth - 1 AND p.path = n.path[:n.depth - 1]
+"""

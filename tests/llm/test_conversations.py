@@ -1,0 +1,90 @@
+"""The prefix trie, against one that is built conversation by conversation."""
+
+import hashlib
+import random
+import zlib
+from collections import defaultdict
+
+import pytest
+
+from pagewright.llm import common, conversations
+
+KIND = "conv_id long, turn long, role string, text string, conv string, name string, `n` int"
+
+
+def brute(rows, group=20, heads=4, as_they_are=False):
+    own = defaultdict(list)
+    for conv, turn, role, text, *_ in rows:
+        if conv is not None:
+            role, text = role or "", text or ""
+            digest = hashlib.sha256(f"{len(role)}:{role}{text}".encode()).digest()
+            own[conv].append(((turn is not None, turn or 0, digest), (role, text)))
+    own = {c: [x for _, x in sorted(t, key=lambda y: y[0])] for c, t in own.items()}
+    made = dict(own)
+    for c in () if as_they_are else own:
+        h, base = zlib.crc32(str(c).encode()) % heads, c - (abs(c) % group) * (1 if c > 0 else -1)
+        made[c] = own.get(base, [])[:h] + own[c][h:]
+    members, parent = defaultdict(list), {}
+    for c, turns in made.items():
+        for d in range(len(turns) + 1):
+            members[tuple(turns[:d])].append(c)
+    below = defaultdict(list)
+    for node in members:
+        if node:
+            below[node[:-1]].append(node)
+    leaves, saved = {}, {}
+    for node in sorted(members, key=len, reverse=True):
+        words = len(node[-1][1].encode().split()) if node else 0
+        leaves[node] = sum(leaves[x] for x in below[node]) or 1
+        saved[node] = (len(members[node]) - 1) * words + sum(saved[x] for x in below[node])
+        parent[node] = min(members[node[:-1]]) if node else None
+    ends = {n: ",".join(str(c) for c in sorted(m) if len(made[c]) == len(n)) for n, m in members.items()}
+    return sorted((min(m), len(n), -1 if parent[n] is None else parent[n], len(m), len(below[n]), leaves[n], saved[n], hashlib.sha256(ends[n].encode()).hexdigest()) for n, m in members.items())
+
+
+def found(df):
+    columns = ["conv_id", "depth", "parent_conv_id", "n_convs", "n_children", "n_leaves", "saved_tokens", "ends_sha256"]
+    return sorted(tuple(-1 if x is None else x for x in r) for r in df.select(*columns).collect())
+
+
+def tables(seed):
+    rng = random.Random(seed)
+    rows = []
+    for c in [*range(60), 5000, 10**12 + 7, -3, -41]:
+        for t in range(rng.choice([1, 1, 2, 3, 4, 5, 7, 8, 9, 17])):
+            rows.append((c, rng.choice([t, t, t, None, 3]), rng.choice(["user", "user", None]), rng.choice(["a b", "a  b", "", None, "c", "ü 1:x"]), "x", "y", 1))
+    rows += [(None, 0, "user", "of no conversation", None, None, None)] * 2 + rows[:9]  # repeated rows are turns of their own
+    rows += [(70, t, "user", "again and again", None, None, None) for t in range(37)] + [(71, t, "user", "again and again", None, None, None) for t in range(35)]
+    rows += [(72, None, None, None, None, None, None)] * 21  # equal places and turns
+    rows += [(80 + i, t, "system", f"turn {t}", None, None, None) for i in range(40) for t in range(6)]  # a group of copies
+    rows.append((200, 0, "user", "word " * 30000, None, None, None))
+    rng.shuffle(rows)
+    return rows
+
+
+@pytest.mark.parametrize(("seed", "share"), [(1, 1 / 2000), (2, 0.2), (3, 2.0)])
+def test_trie(spark, monkeypatch, seed, share):
+    """With all keys hot, with some, and with none; sums and hashes of ends go over several chunks."""
+    monkeypatch.setattr(common, "HOT_SHARE", share)
+    monkeypatch.setattr(conversations, "TURN_BITS", 3)
+    monkeypatch.setattr(conversations, "ID_BITS", 2)
+    rows = tables(seed)
+    turns = conversations.placed(spark.createDataFrame(rows, KIND).repartition(3))
+    assert found(conversations.trie(*conversations.rebuilt(turns))) == brute(rows)
+    if seed == 2:
+        assert found(conversations.trie(*conversations.as_they_are(turns))) == brute(rows, as_they_are=True)
+
+
+def test_turnless_and_empty(spark):
+    lone = next(c for c in range(1, 99) if c % 20 and zlib.crc32(str(c).encode()) % 4 == 3)
+    rows = [(lone, 0, "user", "replaced by nothing", None, None, None)]
+    turns = conversations.placed(spark.createDataFrame(rows, KIND))
+    assert found(conversations.trie(*conversations.rebuilt(turns))) == brute(rows) == [(lone, 0, -1, 1, 0, 1, 0, hashlib.sha256(str(lone).encode()).hexdigest())]
+    none = conversations.placed(spark.createDataFrame(rows, KIND).filter("false"))
+    assert conversations.trie(*conversations.rebuilt(none)).count() == 0
+
+
+def test_names_are_dense(spark):
+    rows = common.stored(spark.range(1000).selectExpr("id % 37 AS a", "id % 2 AS b"), "rows")
+    got = {(r.a, r.b): r.name for r in common.named(rows, ["a", "b"], "name").collect()}
+    assert sorted(got.values()) == list(range(74))
