@@ -7,7 +7,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pagewright.session import shared_dir
@@ -75,6 +75,24 @@ def named(rows: DataFrame, keys: list[str], name: str) -> DataFrame:
     return joined(rows, numbered, keys, "__n", sum(x[2] for x in tasks))
 
 
+def finite(vector: str, dim: int | None = None) -> Column:
+    """Whether a vector has components (dim of them, where given) and none of them is null or non-finite."""
+    plain = F.forall(vector, lambda x: x.isNotNull() & ~F.isnan(x.cast("double")) & (F.abs(x.cast("double")) < float("inf")))
+    size = F.size(vector) == dim if dim is not None else F.size(vector) > 0
+    return F.coalesce(F.col(vector).isNotNull() & size & F.coalesce(plain, F.lit(False)), F.lit(False))
+
+
+def summed(rows: DataFrame, kind: str) -> dict[int, list]:
+    """The sums of arrays (column cells) by number (column name), component by component; the driver gets one array a name.
+
+    Rows are a task's partial sums, as few as it has names; components are added by Spark's aggregation, in a type."""
+    cells = rows.select("name", F.posexplode("cells").alias("at", "value")).groupBy("name", "at").agg(F.sum(F.col("value").cast(kind)).alias("value"))
+    found: dict[int, dict] = {}
+    for name, at, value in cells.collect():
+        found.setdefault(name, {})[at] = value
+    return {name: [x for _, x in sorted(values.items())] for name, values in found.items()}
+
+
 def byte_values(column: pa.Array) -> list[bytes]:
     """UTF-8 bytes of a string column; null is empty."""
     return [x or b"" for x in column.cast(pa.binary()).to_pylist()]

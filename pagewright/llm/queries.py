@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import conversations, jaccard, language, lines, media, mixing, packing, quality, scoring, tokens, warc
+from . import centroids, conversations, jaccard, language, lines, media, mixing, packing, quality, scoring, tokens, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -212,3 +212,39 @@ FROM nodes n JOIN above a ON a.depth = n.depth AND a.path = n.path
 LEFT JOIN children c ON c.depth = n.depth AND c.path = n.path
 LEFT JOIN nodes p ON p.depth = n.depth - 1 AND p.path = n.path[:n.depth - 1]
 """
+
+
+@_query
+def op12_centroid_clustering(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All vectors of 64 components, in 64ths, after three rounds of Lloyd's with 16 centroids."""
+    vectors = spark.read.parquet(f"{sf_dir}/embeddings.parquet").select("vec_id", "embedding")
+    return centroids.cluster(vectors, k=16, rounds=3, dim=64, scale=64.0, seed="1:")
+
+
+_NEAREST = """
+d{i} AS (
+  SELECT v.rid, v.vec_id, v.x, c.number, list_sum(list_transform(list_zip(v.x, c.x), lambda p: (p[1] - p[2]) * (p[1] - p[2])))::BIGINT AS distance FROM kept v, c{i} c),
+a{i} AS (SELECT rid, any_value(vec_id) AS vec_id, any_value(x) AS x, min_by(number, row(distance, number)) AS number, min(distance) AS distance FROM d{i} GROUP BY rid),"""
+
+_MOVED = """
+s{i} AS (SELECT number, u.pos, sum(x[u.pos])::BIGINT AS s, count(*) AS n FROM a{i}, LATERAL (SELECT unnest(range(1, 65)) AS pos) u GROUP BY number, u.pos),
+m{i} AS (SELECT number, list((s - ((s % n) + n) % n) // n ORDER BY pos) AS x FROM s{i} GROUP BY number),
+c{j} AS (SELECT number, coalesce(m.x, c.x) AS x FROM c{i} c LEFT JOIN m{i} m USING (number)),"""
+
+ORACLES["op12_centroid_clustering"] = (
+    """
+WITH kept AS (
+  SELECT vec_id, row_number() OVER () AS rid, list_transform(embedding, lambda y: floor(64 * y::DOUBLE)::BIGINT) AS x FROM embeddings
+  WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda y: y IS NULL OR NOT isfinite(y))) = 0),
+c0 AS (
+  SELECT row_number() OVER (ORDER BY hash) - 1 AS number, x
+  FROM (SELECT x, sha256('1:' || vec_id::VARCHAR) AS hash FROM kept WHERE vec_id IS NOT NULL ORDER BY hash LIMIT 16)),"""
+    + "".join((_NEAREST + _MOVED).format(i=i, j=i + 1) for i in range(3))
+    + _NEAREST.format(i=3)
+    + """
+sums AS (SELECT number, sum(distance)::BIGINT AS cluster_inertia FROM a3 GROUP BY number)
+SELECT a.vec_id, a.number::INTEGER AS cluster, a.distance, s.cluster_inertia, (SELECT sum(cluster_inertia)::BIGINT FROM sums) AS inertia,
+       sha256(array_to_string(c.x, ',')) AS centroid_sha256
+FROM a3 a JOIN sums s USING (number) JOIN c3 c USING (number)
+"""
+)
