@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import centroids, conversations, jaccard, language, lines, media, mixing, packing, quality, scoring, tokens, warc
+from . import centroids, conversations, gridorder, jaccard, language, lines, media, mixing, packing, quality, scoring, tokens, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -248,3 +248,30 @@ SELECT a.vec_id, a.number::INTEGER AS cluster, a.distance, s.cluster_inertia, (S
 FROM a3 a JOIN sums s USING (number) JOIN c3 c USING (number)
 """
 )
+
+
+@_query
+def op13_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Links, component and verdict of all vectors, by label, at a cosine of 0.93 or more."""
+    vectors = spark.read.parquet(f"{sf_dir}/embeddings.parquet").select("vec_id", "embedding", "label")
+    return gridorder.near_duplicates(vectors, least=0.93)
+
+
+ORACLES["op13_embedding_near_dedup"] = """
+WITH RECURSIVE v AS (
+  SELECT row_number() OVER () AS rid, vec_id, label, embedding::DOUBLE[] AS x,
+         label IS NOT NULL AND embedding IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, lambda y: y IS NULL OR NOT isfinite(y))) = 0
+         AND len(list_filter(embedding, lambda y: y <> 0)) > 0 AS counts
+  FROM embeddings),
+links AS (
+  SELECT a.rid AS a, b.rid AS b FROM v a JOIN v b ON a.label = b.label AND len(a.x) = len(b.x) AND a.rid <> b.rid
+  WHERE a.counts AND b.counts AND list_cosine_similarity(a.x, b.x) >= 0.93),
+reached(rid, seen) AS (
+  SELECT rid, rid FROM v
+  UNION
+  SELECT r.rid, l.b FROM reached r JOIN links l ON l.a = r.seen),
+least AS (SELECT r.rid, min(v.vec_id) AS component_id FROM reached r JOIN v ON v.rid = r.seen GROUP BY r.rid),
+counted AS (SELECT a AS rid, count(*) AS n FROM links GROUP BY a)
+SELECT v.vec_id, coalesce(c.n, 0) AS n_links, l.component_id, v.vec_id IS NOT DISTINCT FROM l.component_id AS kept
+FROM v JOIN least l USING (rid) LEFT JOIN counted c USING (rid)
+"""
