@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import argparse
-import os
 import sys
 
 
@@ -24,6 +23,7 @@ def main(argv: list[str]) -> int:
     from pagewright.session import reach, session
     from pagewright.sinks import artifacts
     from pagewright.sources import config as C
+    from pagewright.sources import files
     from pagewright.sources import pages as S
 
     args = parse(argv)
@@ -31,27 +31,20 @@ def main(argv: list[str]) -> int:
     spark = session()
     reach(spark)
     name = C.run_id(run.run_id)
-    folder = os.path.abspath(os.path.join(run.results_dir, name))
-    C.save({**run.raw, "runner": {**run.raw.get("runner", {}), "run_id": name, "results_dir": run.results_dir, "resume": run.resume, "force": run.force}}, os.path.join(folder, "config.effective.yaml"))
+    folder = files.joined(files.shared(spark, run.results_dir), name)
+    C.save({**run.raw, "runner": {**run.raw.get("runner", {}), "run_id": name, "results_dir": run.results_dir, "resume": run.resume, "force": run.force}}, files.joined(folder, "config.effective.yaml"))
     for warning in run.warnings:
         print(warning, file=sys.stderr)
-    done = os.path.join(folder, "tables.json")
-    tables = {}
-    if os.path.exists(done):
-        import json
-
-        tables = json.loads(open(done, encoding="utf-8").read())
-    pipeline = PagePipeline(spark, run, folder, truth=S.read_truth(spark, run.inputs.get("ground_truth")), tables=tables, files=run.files)
+    pipeline = PagePipeline(spark, run, folder, truth=S.read_truth(spark, run.inputs.get("ground_truth")), files=run.files)
     created = C.utc_now()
     for stage in C.parse_stages(args.stages):
         found = pipeline([stage])[stage]
-        artifacts.write_json(pipeline.tables, done)
-        artifacts.write_manifest({"run_id": name, "created_at": created, "config_path": "config.effective.yaml"}, pipeline.manifest(), os.path.join(folder, "manifest.json"))
+        artifacts.write_manifest({"run_id": name, "created_at": created, "config_path": "config.effective.yaml"}, pipeline.manifest(), files.joined(folder, "manifest.json"))
         if stage == "eval":
             row = found.first().asDict()
             rates = pipeline.metrics()
-            artifacts.write_json(row, os.path.join(folder, "metrics", "metrics.json"))
-            artifacts.write_text(evaluate.markdown(row, [] if rates is None else [r.asDict() for r in rates.orderBy("page_id").toLocalIterator()]), os.path.join(folder, "metrics", "metrics.md"))
+            artifacts.write_json(row, files.joined(folder, "metrics", "metrics.json"))
+            artifacts.write_text(evaluate.markdown(row, [] if rates is None else [r.asDict() for r in rates.orderBy("page_id").toLocalIterator()]), files.joined(folder, "metrics", "metrics.md"))
     return 0
 
 

@@ -12,6 +12,7 @@ from pagewright.operators.image import Preprocessing
 from pagewright.operators.models import CorrectionConfig, OcrConfig
 from pagewright.operators.page import Detection
 from pagewright.operators.services import SERVICES
+from pagewright.sources import files
 
 #: The stages in the order in which they run, and words that stand for all.
 STAGES = ("pdf_to_images", "preprocess", "detect", "ocr", "llm", "eval")
@@ -39,7 +40,7 @@ def redact(value):
 def load(path: str | Path) -> dict:
     import yaml
 
-    found = yaml.safe_load(Path(path).read_text(encoding="utf-8"))
+    found = yaml.safe_load(files.read(str(path)).decode())
     if found is None:
         return {}
     if not isinstance(found, dict):
@@ -50,8 +51,7 @@ def load(path: str | Path) -> dict:
 def save(config: dict, path: str | Path) -> None:
     import yaml
 
-    Path(path).parent.mkdir(parents=True, exist_ok=True)
-    Path(path).write_text(yaml.safe_dump(redact(config), sort_keys=False, allow_unicode=True), encoding="utf-8")
+    files.write(str(path), yaml.safe_dump(redact(config), sort_keys=False, allow_unicode=True).encode())
 
 
 def utc_now() -> str:
@@ -105,6 +105,7 @@ class Run:
     resume: bool = True
     force: bool = False
     files: bool = True
+    part_pages: int = 50_000
     warnings: tuple[str, ...] = ()
 
 
@@ -139,6 +140,6 @@ def typed(config: dict, **override) -> Run:
             enabled=on(c, False), backend=c.get("backend", "pass_through"), model=c.get(f"{vendor(c)}_model", ""), prompt_version=c.get("prompt_version", "v1"), api_key=key(c), needs_key=vendor(c) in SERVICES, rules=tuple(map(tuple, c.get("rules", ()))),
         ),
         evaluation=Normalization(on(e, False), bool(norm.get("strip", True)), bool(norm.get("collapse_whitespace", True))),
-        run_id=runner.get("run_id"), results_dir=runner.get("results_dir", "results"), resume=bool(runner.get("resume", True)), force=bool(runner.get("force", False)), files=bool(runner.get("files", True)),
+        run_id=runner.get("run_id"), results_dir=runner.get("results_dir", "results"), resume=bool(runner.get("resume", True)), force=bool(runner.get("force", False)), files=bool(runner.get("files", True)), part_pages=int(runner.get("part_pages", 50_000)),
         warnings=tuple(f"text_detection.{k} has no effect" for k in t if k not in known),
     )

@@ -2,19 +2,22 @@
 
 from __future__ import annotations
 
-import glob
-import os
+import re
 from collections.abc import Callable, Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pagewright.functions import pages as P
 from pagewright.operators import manifest
+from pagewright.sources import files as X
 
-#: Pages of a PDF: a function from bytes to a count, and one from (bytes, page, dpi) to PNG bytes.
-RENDERERS: dict[str, tuple[Callable[[bytes], int], Callable[[bytes, int, int], bytes]]] = {}
+#: Pages of a PDF: a function from a local path to a count, and one from (path, page, dpi) to PNG bytes.
+RENDERERS: dict[str, tuple[Callable[[str], int], Callable[[str, int, int], bytes]]] = {}
+#: Pages of a file that one task renders at most.
+RANGE = 16
 
 
 def register_renderer(name: str, count: Callable, render: Callable) -> None:
@@ -22,16 +25,17 @@ def register_renderer(name: str, count: Callable, render: Callable) -> None:
 
 
 def list_inputs(inputs: dict, base: str = ".") -> list[str]:
-    """Paths of a configuration's inputs: a list of files goes before a folder, whose files are taken by name."""
+    """Paths of a configuration's inputs: a list of files goes before a folder, whose files are taken by name. Paths may be URIs."""
+    placed = lambda p: p if X.scheme(p) else X.joined(str(base), p) if not p.startswith("/") else p
     if inputs.get("pdfs"):
-        found = [os.path.join(base, p) for p in inputs["pdfs"]]
-        if absent := [p for p in found if not os.path.isfile(p)]:
+        found = [placed(p) for p in inputs["pdfs"]]
+        if absent := [p for p in found if not X.exists(p)]:
             raise FileNotFoundError(", ".join(absent))
         return found
     if not inputs.get("pdf_dir"):
         raise ValueError("inputs need pdfs or pdf_dir")
-    folder = os.path.join(base, inputs["pdf_dir"])
-    found = sorted(glob.glob(os.path.join(glob.escape(folder), "*.pdf")))
+    folder = placed(inputs["pdf_dir"])
+    found = X.listed(folder, ".pdf")
     if not found:
         raise FileNotFoundError(f"no PDF files in {folder}")
     return found
@@ -42,6 +46,8 @@ def binary_files(spark: SparkSession, paths: str | list[str], pattern: str | Non
     reader = spark.read.format("binaryFile")
     if pattern:
         reader = reader.option("pathGlobFilter", pattern)
+    if not isinstance(paths, str):  # names are taken as they are, not as patterns
+        paths = [re.sub(r"([\\[\]{}*?])", r"\\\1", p) for p in paths]
     return reader.load(paths).select("path", P.stem(F.col("path")).alias("stem"), "content")
 
 
@@ -52,32 +58,58 @@ def _renderer(name: str):
 
 
 def page_counts(files: DataFrame, renderer: str) -> DataFrame:
-    """files (path, stem, content) with n_pages in place of content."""
+    """(path, stem, n_pages) of files (path, stem, ...). Tasks open the files themselves; their bytes are no column."""
     count, _ = _renderer(renderer)
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for part in parts:
-            yield part.drop(columns="content").assign(n_pages=[count(bytes(x)) for x in part["content"]])
+            found = []
+            for path in part["path"]:
+                with X.local(path) as own:
+                    found.append(count(own))
+            yield part.assign(n_pages=found)
 
-    return files.select("path", "stem", "content").mapInPandas(run, "path string, stem string, n_pages int")
+    return files.select("path", "stem").mapInPandas(run, "path string, stem string, n_pages int")
 
 
-def render(files: DataFrame, renderer: str, pages: list[int] | None = None, ranges: list | None = None, dpi: int = 300, only: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
-    """(page_id, path, page, image): chosen pages of each file, one image for each; only: narrows (page_id, ...) rows down.
-    Pages are chosen before they are rendered; the rows that carry a file are as many as its pages, so keep files of a size that a task can hold."""
+def _drawn(draw: Callable, dpi: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """A range of a file after the other, a page at a time: a batch holds one image."""
+        for batch in batches:
+            for path, pages in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                with X.local(path) as own:
+                    for page in pages:
+                        made = draw(own, page["page"], dpi)
+                        if not made:
+                            raise RuntimeError("a page has no image")
+                        yield pa.record_batch([pa.array([page["page_id"]]), pa.array([path]), pa.array([page["page"]], pa.int32()), pa.array([made], pa.binary())], ["page_id", "path", "page", "image"])
+
+    return run
+
+
+def chosen_pages(files: DataFrame, renderer: str, pages: list[int] | None = None, ranges: list | None = None) -> DataFrame:
+    """(page_id, path, page): the pages of each file that are asked for."""
+    found = manifest.selected_pages(page_counts(files, renderer), pages, ranges)
+    return found.select(P.page_id(F.col("stem"), F.col("page")).alias("page_id"), "path", "page")
+
+
+def render_pages(chosen: DataFrame, renderer: str, dpi: int = 300) -> DataFrame:
+    """(page_id, path, page, image) of pages (page_id, path, page).
+
+    Pages of a file are dealt out in ranges of RANGE, and a task opens the file of a range once: what is shuffled is the list of
+    pages, a file's bytes are never a column, and a task holds one image."""
     _, draw = _renderer(renderer)
-    chosen = manifest.selected_pages(page_counts(files, renderer), pages, ranges).withColumn("page_id", P.page_id(F.col("stem"), F.col("page")))
-    chosen = only(chosen) if only else chosen
-    ready = chosen.join(files.select("path", "content"), "path")
+    held = F.array_sort(F.collect_list(F.struct("page", "page_id"))).alias("pages")
+    parts = max(1, int(chosen.sparkSession.conf.get("spark.sql.shuffle.partitions")))  # named, or the few bytes of a list become one task
+    ranged = chosen.withColumn("range", F.floor((F.col("page") - 1) / RANGE)).repartition(parts, "path", "range").groupBy("path", "range").agg(held)
+    return ranged.select("path", "pages").mapInArrow(_drawn(draw, dpi), "page_id string, path string, page int, image binary")
 
-    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for part in parts:
-            images = [draw(bytes(c), int(p), dpi) for c, p in zip(part["content"], part["page"], strict=True)]
-            if not all(images):
-                raise RuntimeError("a page has no image")
-            yield part[["page_id", "path", "page"]].assign(image=images)
 
-    return ready.select("page_id", "path", "page", "content").mapInPandas(run, "page_id string, path string, page int, image binary")
+def render(files: DataFrame, renderer: str, pages: list[int] | None = None, ranges: list | None = None, dpi: int = 300, only: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
+    """(page_id, path, page, image): chosen pages of each file, one image for each; only: narrows (page_id, path, page) rows down, before
+    they are rendered."""
+    chosen = chosen_pages(files, renderer, pages, ranges)
+    return render_pages(only(chosen) if only else chosen, renderer, dpi)
 
 
 def read_texts(spark: SparkSession, path: str, suffix: str = "") -> DataFrame:

@@ -24,24 +24,19 @@ def _run(command: list[str], what: str) -> bytes:
     return done.stdout
 
 
-def poppler(folder: str | None = None) -> tuple[Callable[[bytes], int], Callable[[bytes, int, int], bytes]]:
-    """(count, render) for ``pages.register_renderer``. A file is written to the task's own temporary folder for the call."""
+def poppler(folder: str | None = None) -> tuple[Callable[[str], int], Callable[[str, int, int], bytes]]:
+    """(count, render) for ``pages.register_renderer``: of a local file. A page is written to the task's own temporary
+    folder for the call."""
 
-    def count(raw: bytes) -> int:
-        program = _program("pdfinfo", folder)
-        with tempfile.TemporaryDirectory() as own:
-            with open(path := os.path.join(own, "in.pdf"), "wb") as out:
-                out.write(raw)
-            said = _run([program, path], "a PDF file can't be read")
+    def count(path: str) -> int:
+        said = _run([_program("pdfinfo", folder), path], "a PDF file can't be read")
         if not (found := re.search(rb"^Pages:\s+(\d+)", said, re.M)):
             raise RuntimeError("a PDF file doesn't say how many pages it has")
         return int(found[1])
 
-    def render(raw: bytes, page: int, dpi: int) -> bytes:
+    def render(path: str, page: int, dpi: int) -> bytes:
         program = _program("pdftocairo", folder)
         with tempfile.TemporaryDirectory() as own:
-            with open(path := os.path.join(own, "in.pdf"), "wb") as out:
-                out.write(raw)
             _run([program, "-png", "-r", str(dpi), "-f", str(page), "-l", str(page), "-singlefile", path, os.path.join(own, "page")], f"page {page} can't be rendered")
             with open(os.path.join(own, "page.png"), "rb") as made:
                 return made.read()

@@ -1,0 +1,195 @@
+"""Large files and pages: page ranges, bounded batches, parts that outlive a killed run, folders by URI."""
+
+import json
+import tracemalloc
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.parquet as pq
+import pytest
+from pyspark.sql import functions as F
+
+from pagewright import batches
+from pagewright.operators import image, models
+from pagewright.plans.pipeline import PagePipeline
+from pagewright.sinks import artifacts
+from pagewright.sources import config as C
+from pagewright.sources import files
+from pagewright.sources import pages as S
+
+
+def toy(mark):
+    """A renderer whose files say how many pages they have; every call leaves a mark."""
+
+    def count(path):
+        return int(open(path).read())
+
+    def draw(path, page, dpi):
+        with open(mark, "a") as out:
+            out.write(f"{path} {page}\n")
+        return image.png(np.full((4, 5), page % 256, np.uint8))
+
+    return count, draw
+
+
+def test_a_large_file_is_dealt_out_in_ranges(spark, tmp_path):
+    (tmp_path / "a [1].pdf").write_text("500")
+    (tmp_path / "b.pdf").write_text("3")
+    S.register_renderer("toy500", *toy(f"{tmp_path}/mark"))
+    found = S.binary_files(spark, S.list_inputs({"pdf_dir": str(tmp_path)}))
+    made = S.render(found, "toy500", None, [[2, 500]], only=lambda chosen: chosen.filter("page <> 7"))
+    assert "content" not in made._jdf.queryExecution().executedPlan().toString()  # no file's bytes in a row
+    rows = made.withColumn("task", F.spark_partition_id()).collect()
+    assert len(rows) == 500 and {r.page_id for r in rows if r.path.endswith("b.pdf")} == {"b_p0002", "b_p0003"} and "a [1]_p0500" in {r.page_id for r in rows}
+    assert len({r.task for r in rows}) > 1
+    assert all((image.decode_png(bytes(r.image)) == r.page % 256).all() for r in rows)
+    assert len((tmp_path / "mark").read_text().splitlines()) == 500
+
+
+def test_a_task_holds_one_page(tmp_path):
+    """500 pages of a megabyte from one file."""
+    (tmp_path / "a.pdf").write_bytes(b"x" * 5_000_000)
+    run = S._drawn(lambda path, page, dpi: bytes(1_000_000), 300)
+    ranges = pa.record_batch([pa.array([f"file:{tmp_path}/a.pdf"] * 32), pa.array([[{"page": 16 * i + k, "page_id": f"p{16 * i + k}"} for k in range(1, 17)] for i in range(32)])], ["path", "pages"])
+    tracemalloc.start()
+    sizes = [sum(map(len, b.column(3).to_pylist())) for b in run(iter([ranges]))]
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert len(sizes) == 512 and set(sizes) == {1_000_000} and peak < 8_000_000
+
+
+def test_batches_are_bounded(spark, tmp_path):
+    """A stage holds a few large pages at once, whatever the number of rows of a batch; the session is as it was."""
+    pages = spark.range(12).repartition(1).select(F.col("id").cast("string").alias("page_id"), F.lit(1500).alias("h"), F.lit(2000).alias("w"), F.expr("cast(rpad('', 3000000, cast(id as string)) as binary)").alias("data"))
+
+    def run(parts):
+        for part in parts:
+            yield part[["page_id"]].assign(held=len(part), h=part["h"], w=part["w"], data=[np.random.default_rng(int(i)).bytes(3_000_000) for i in part["page_id"]])
+
+    before = spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch")
+    made = artifacts.write_table(pages.mapInPandas(run, "page_id string, held int, h int, w int, data binary"), str(tmp_path / "t"))
+    assert spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch") == before
+    assert 1 <= made.agg(F.max("held")).first()[0] <= batches.BATCH_BYTES // 3_000_000 + 1
+    # a reader holds a row group's images
+    groups = [g for path in (tmp_path / "t").glob("*.parquet") for m in [pq.ParquetFile(path).metadata] for g in (m.row_group(i).total_byte_size for i in range(m.num_row_groups))]
+    assert sum(groups) > 30_000_000 and max(groups) <= batches.GROUP_BYTES + 10 * 3_000_000
+
+
+def test_pages_are_dealt_by_pixels(spark):
+    rows = [(str(i), 100 if i % 10 else 1000, 100) for i in range(200)]
+    pages = spark.createDataFrame(rows, "page_id string, h int, w int").coalesce(1)
+    total = sum(h * w for _, h, w in rows)
+    dealt = batches.dealt(pages, total // 8)
+    by = {r.task: r.pixels for r in dealt.groupBy(F.spark_partition_id().alias("task")).agg(F.sum(F.col("h") * F.col("w")).alias("pixels")).collect()}
+    assert 6 <= len(by) <= 9 and max(by.values()) < 2.5 * total / 8 and sum(by.values()) == total
+    assert sorted(map(tuple, dealt.collect())) == sorted(rows)
+    assert batches.dealt(pages, total) is pages and batches.dealt(pages.limit(0)).count() == 0
+
+
+CONFIG = {
+    "preprocessing": {"denoise": {"enabled": False}, "clahe": {"enabled": False}, "binarize": {"method": "otsu"}}, "text_detection": {"min_region_area": 1000}, "ocr": {"backend": "stub"},
+    "runner": {"part_pages": 2},
+}
+
+
+def scan(n):
+    p = np.full((240, 400), 240, np.uint8)
+    p[40 + n : 90, 30:300] = 10
+    return p
+
+
+def flaky(mark, good):
+    def lines(config):
+        def read(crops):
+            with open(mark, "a") as out:
+                out.write("x" * len(crops))
+            if not good and len(open(mark).read()) > 4:
+                raise RuntimeError("killed")
+            return [("seen", 1.0) for _ in crops]
+
+        return read
+
+    return lines
+
+
+def test_a_killed_run_keeps_its_parts(spark, tmp_path):
+    """Six pages in parts of two; the reader dies at the third part, the next run reads the pages that are left."""
+    pages = spark.createDataFrame([(f"d_p000{i}", 240, 400, bytearray(scan(i).tobytes())) for i in range(6)], "page_id string, h int, w int, data binary")
+    folder, mark = str(tmp_path / "run"), tmp_path / "mark"
+    config = C.typed({**CONFIG, "ocr": {"backend": "dies"}})
+    for i in range(3):  # pages arrive in parts
+        PagePipeline(spark, config, folder, pages=pages.filter(F.col("page_id").isin(f"d_p000{2 * i}", f"d_p000{2 * i + 1}")))(["pdf_to_images"])
+    PagePipeline(spark, config, folder, pages=pages)(["preprocess", "detect"])
+    assert [p.rows for p in artifacts.committed(folder) if p.stage == "detect"] == [2, 2, 2]
+    models.register_ocr("dies", "line", flaky(str(mark), False))
+    with pytest.raises(Exception, match="killed"):
+        PagePipeline(spark, config, folder, pages=pages)(["ocr"])
+    kept = [p for p in artifacts.committed(folder) if p.stage == "ocr"]
+    assert sum(p.rows for p in kept) == 4
+    mark.write_text("")
+    models.register_ocr("dies", "line", flaky(str(mark), True))
+    again = PagePipeline(spark, config, folder, pages=pages, files=True)
+    assert sorted(r.page_id for r in again(["ocr"])["ocr"].collect()) == [f"d_p000{i}" for i in range(6)]
+    assert mark.read_text() == "xx"  # two pages with one region each
+    assert [p for p in artifacts.committed(folder) if p.stage == "ocr"][:2] == kept
+    assert (tmp_path / "run/ocr/pages/d_p0005.txt").exists() and again.manifest().count() == 6
+
+
+def test_page_services_in_parts(spark, tmp_path):
+    pages = spark.createDataFrame([(f"d_p000{i}", 240, 400, bytearray(scan(i).tobytes())) for i in range(3)], "page_id string, h int, w int, data binary")
+    config = C.typed({**CONFIG, "ocr": {"backend": "stub_page"}, "runner": {"part_pages": 1, "files": False}})
+    for i in range(3):
+        PagePipeline(spark, config, str(tmp_path / "run"), pages=pages.filter(F.col("page_id") == f"d_p000{i}"))(["pdf_to_images"])
+    out = PagePipeline(spark, config, str(tmp_path / "run"), pages=pages)(["preprocess", "detect", "ocr"])["ocr"].collect()
+    assert len(out) == 3 and all(r.text.count("\n") == 3 and len(r.items) == 3 for r in out)
+
+
+def test_rendering_in_parts(spark, tmp_path):
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in/a.pdf").write_text("40")
+    S.register_renderer("toy40", *toy(f"{tmp_path}/mark"))
+    config = C.typed({**CONFIG, "inputs": {"pdf_dir": str(tmp_path / "in")}, "runner": {"part_pages": 16, "files": False}})
+    made = PagePipeline(spark, config, str(tmp_path / "run"), renderer="toy40")(["pdf_to_images"])["pdf_to_images"]
+    assert made.count() == 40 == sum(p.rows for p in artifacts.committed(str(tmp_path / "run")))
+    assert len((tmp_path / "mark").read_text().splitlines()) == 40
+
+
+def test_commits_are_ordered_and_whole(tmp_path):
+    folder = f"file://{tmp_path}/run"
+    assert artifacts.committed(folder) == []
+    parts = [artifacts.Part("ocr", f"{folder}/ocr/{i}", i) for i in range(12)]
+    for part in parts:
+        artifacts.commit(folder, part)
+    (tmp_path / "run/commits/00000099-ocr-x.json.0a1b").write_text('{"stage": "o')  # a writer died
+    assert artifacts.committed(folder) == parts
+
+
+def test_files_by_uri(tmp_path):
+    for folder in (str(tmp_path / "a b"), f"file:{tmp_path}/c", f"file://{tmp_path}/d/e"):
+        path = files.joined(folder, "x", "ä.json")
+        assert not files.exists(path) and files.listed(files.joined(folder, "x"), ".json") == []
+        files.write(path, json.dumps({"ä": 1}).encode())
+        assert files.exists(path) and json.loads(files.read(path)) == {"ä": 1} and files.listed(files.joined(folder, "x"), ".json") == [path]
+        with files.local(path) as own:
+            assert open(own, "rb").read() == files.read(path)
+    with pytest.raises(RuntimeError), files.written(str(tmp_path / "never")) as out:
+        out.write(b"half")
+        raise RuntimeError
+    assert not files.exists(str(tmp_path / "never"))
+
+
+class Session:
+    """A session's settings."""
+
+    def __init__(self, master):
+        self.conf = {"spark.master": master}
+
+
+def test_shared_folders():
+    for uri in ("hdfs://h:1/x", "s3a://bucket/x", "file:///mnt/all"):
+        assert files.shared(Session("yarn"), uri) == uri == files.shared(Session("local[4]"), uri)
+        assert files.joined(files.shared(Session("yarn"), uri), "run", "manifest.json") == f"{uri}/run/manifest.json"
+    assert files.shared(Session("local[*]"), "/x") == "/x" and files.shared(Session("local"), "results").endswith("/results")
+    for master in ("yarn", "spark://h:7077", "local-cluster[2,1,1024]", "k8s://x"):
+        with pytest.raises(RuntimeError, match="URI"):
+            files.shared(Session(master), "results")

@@ -57,7 +57,7 @@ def test_inputs(tmp_path):
 
 def test_rendering(spark, tmp_path):
     (tmp_path / "doc.pdf").write_bytes(b"3")
-    S.register_renderer("toy", lambda raw: int(raw), lambda raw, page, dpi: image.png(np.full((4, page), dpi % 256, np.uint8)))
+    S.register_renderer("toy", lambda path: int(open(path).read()), lambda path, page, dpi: image.png(np.full((4, page), dpi % 256, np.uint8)))
     files = S.binary_files(spark, str(tmp_path), "*.pdf")
     made = S.render(files, "toy", [1, 3, 9], None, 150).orderBy("page_id").collect()
     assert [r.page_id for r in made] == ["doc_p0001", "doc_p0003"] and image.decode_png(bytes(made[1].image)).shape == (4, 3)
@@ -298,16 +298,18 @@ def test_correction_services(spark):
 def test_poppler(spark, tmp_path):
     """The programs are called as they should be (stand-ins here)."""
     with pytest.raises(RuntimeError, match="isn't installed"):
-        pdf.poppler(str(tmp_path))[0](b"x")
+        pdf.poppler(str(tmp_path))[0]("x")
     (tmp_path / "one.png").write_bytes(image.png(np.full((3, 4), 7, np.uint8)))
     for name, script in (("pdfinfo", 'grep -q broken "$1" && { echo bad >&2; exit 1; }; echo "Title: x"; echo "Pages:          3"'), ("pdftocairo", f'for last; do :; done; echo "$@" > {tmp_path}/asked; cp {tmp_path}/one.png "$last.png"')):
         (tmp_path / name).write_text(f"#!/bin/bash\n{script}\n")
         (tmp_path / name).chmod(0o755)
     count, render = pdf.poppler(f"{tmp_path}:/usr/bin:/bin")
-    assert count(b"fine") == 3
+    (tmp_path / "fine").write_bytes(b"fine")
+    (tmp_path / "broken").write_bytes(b"broken")
+    assert count(f"{tmp_path}/fine") == 3
     with pytest.raises(RuntimeError, match="bad"):
-        count(b"broken")
-    assert image.decode_png(render(b"fine", 2, 150)).shape == (3, 4)
+        count(f"{tmp_path}/broken")
+    assert image.decode_png(render(f"{tmp_path}/fine", 2, 150)).shape == (3, 4)
     assert (tmp_path / "asked").read_text().startswith("-png -r 150 -f 2 -l 2 -singlefile ")
     (tmp_path / "in").mkdir()
     (tmp_path / "in" / "doc.pdf").write_bytes(b"fine")
