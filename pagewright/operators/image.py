@@ -5,6 +5,9 @@ Definitions, since several libraries differ: a border is replicated for median,
 without its edge for bilateral and CLAHE; out-of-image pixels never win in dilation and erosion; components are 8-connected;
 the skew angle is that of the smallest rectangle around the ink, folded to within 45 degrees. A page that can't hold
 h * w * channels bytes is an error; an empty table gives an empty one.
+
+Kernels that need wide numbers work in strips of STRIP_PIXELS with as many rows around them as they look at, so beside the page
+and its result they hold as much for a long page as for a short one; the result is that of one strip, bit by bit.
 """
 
 from __future__ import annotations
@@ -22,6 +25,8 @@ from pagewright.operators.histogram import odd
 
 #: Pages of more pixels than this are refused.
 MOST_PIXELS = 400_000_000
+#: Pixels that a kernel works on at once.
+STRIP_PIXELS = 1 << 19
 
 
 def to_gray(image: np.ndarray) -> np.ndarray:
@@ -33,36 +38,110 @@ def to_gray(image: np.ndarray) -> np.ndarray:
     return ((r * 299 + g * 587 + b * 114 + 500) // 1000).astype(np.uint8)
 
 
-def _windows(image: np.ndarray, size: int, mode: str) -> np.ndarray:
-    reach = size // 2
-    return np.lib.stride_tricks.sliding_window_view(np.pad(image, reach, mode=mode), (size, size))
-
-
 def _middle(a: np.ndarray, b: np.ndarray, c: np.ndarray) -> np.ndarray:
     return np.maximum(np.minimum(a, b), np.minimum(np.maximum(a, b), c))
 
 
+def _strips(h: int, w: int, part: Callable[[int, int], np.ndarray]) -> np.ndarray:
+    """An image of h x w of what part(first, end) makes of its rows."""
+    out = np.empty((h, w), np.uint8)
+    step = max(1, STRIP_PIXELS // max(1, w))
+    for y in range(0, h, step):
+        out[y : y + step] = part(y, min(h, y + step))
+    return out
+
+
+def _mirrored(at: np.ndarray, n: int) -> np.ndarray:
+    """Places beyond 0 to n - 1 mirrored without the edge (in turns, where they are far beyond)."""
+    at = np.abs(at) % max(1, 2 * (n - 1))
+    return np.where(at < n, at, 2 * (n - 1) - at)
+
+
+def _doubled(at: np.ndarray, n: int) -> np.ndarray:
+    """Places beyond 0 to n - 1 mirrored with the edge."""
+    at = at % (2 * n)
+    return np.where(at < n, at, 2 * n - 1 - at)
+
+
 def median(image: np.ndarray, size: int = 3) -> np.ndarray:
+    """The middle value of each window of size x size."""
     size = odd(size)
-    if size != 3:
-        return np.median(_windows(image, size, "edge"), axis=(2, 3)).astype(np.uint8)
+    if size == 1 or not image.size:
+        return image.copy()
+    return _strips(*image.shape, lambda y, end: _median_3(image, y, end)) if size == 3 else _median_sliding(image, size)
+
+
+def _median_3(image: np.ndarray, y: int, end: int) -> np.ndarray:
     # the middle of 9: of the columns' least the greatest, of their middles the middle, of their greatest the least; of these
     # three the middle
-    held = np.pad(image, 1, mode="edge")
+    held = np.pad(image[np.clip(np.arange(y - 1, end + 1), 0, len(image) - 1)], ((0, 0), (1, 1)), mode="edge")
     columns = held[:-2], held[1:-1], held[2:]
     least, most = np.minimum.reduce(columns), np.maximum.reduce(columns)
     across = lambda x: (x[:, :-2], x[:, 1:-1], x[:, 2:])
     return _middle(np.maximum.reduce(across(least)), _middle(*across(_middle(*columns))), np.minimum.reduce(across(most)))
 
 
+def _median_sliding(image: np.ndarray, size: int) -> np.ndarray:
+    """By histograms of columns that slide down, a row in and a row out, in 16 coarse bins of 16 fine ones. Sums along the row give
+    the histogram of each window; the coarse bin that holds the middle is found first, then the value in it. Work and memory
+    don't depend on the size of the window."""
+    h, w = image.shape
+    reach, wide = size // 2, w + size - 1
+    columns, every = np.clip(np.arange(-reach, w + reach), 0, w - 1), np.arange(wide)
+    fine, sums = np.zeros((256, wide), np.int32), np.zeros((256, wide + 1), np.int32)
+    coarse, across = np.zeros((16, wide), np.int32), np.zeros((16, wide + 1), np.int32)
+    middle, out, x = size * size // 2, np.empty_like(image), np.arange(w)
+
+    def slide(row: int, by: int) -> None:
+        values = image[min(max(row, 0), h - 1)][columns]
+        fine[values, every] += by
+        coarse[values >> 4, every] += by
+
+    for row in range(-reach, reach):
+        slide(row, 1)
+    for y in range(h):
+        slide(y + reach, 1)
+        np.cumsum(coarse, axis=1, out=across[:, 1:])
+        upto = np.cumsum(across[:, size:] - across[:, :-size], axis=0)
+        bin_ = (upto <= middle).sum(0)
+        rest = middle - np.where(bin_ > 0, upto[np.maximum(bin_ - 1, 0), x], 0)
+        for k in np.unique(bin_):  # of the fine bins only those of a coarse one that holds a middle
+            np.cumsum(fine[16 * k : 16 * k + 16], axis=1, out=sums[16 * k : 16 * k + 16, 1:])
+        upto = np.zeros(w, np.int32)
+        value = bin_ * 16
+        cell = bin_ * (16 * (wide + 1)) + x
+        flat = sums.ravel()
+        for _ in range(15):
+            upto += flat[cell + size] - flat[cell]
+            cell += wide + 1
+            value += upto <= rest
+        out[y] = value
+        slide(y - reach, -1)
+    return out
+
+
 def bilateral(image: np.ndarray, size: int = 3, sigma_value: float = 75.0, sigma_place: float = 75.0) -> np.ndarray:
+    """Means of round windows, weighed by distance and by difference."""
     size = odd(size)
     reach = size // 2
-    dy, dx = np.mgrid[-reach : reach + 1, -reach : reach + 1]
-    near = np.where(dy**2 + dx**2 <= reach**2, np.exp(-(dy**2 + dx**2) / (2 * sigma_place**2)), 0)
-    around = _windows(image.astype(np.float64), size, "reflect" if min(image.shape) > reach else "symmetric")
-    weight = near * np.exp(-((around - image[..., None, None]) ** 2) / (2 * sigma_value**2))
-    return np.rint((weight * around).sum((2, 3)) / weight.sum((2, 3))).astype(np.uint8)
+    h, w = image.shape
+    beyond = _mirrored if min(image.shape) > reach else _doubled
+    columns = beyond(np.arange(-reach, w + reach), w)
+    alike = np.exp(-(np.arange(256.0) ** 2) / (2 * sigma_value**2))
+    near = [(dy, dx, math.exp(-(dy**2 + dx**2) / (2 * sigma_place**2))) for dy in range(-reach, reach + 1) for dx in range(-reach, reach + 1) if dy**2 + dx**2 <= reach**2]
+
+    def part(y: int, end: int) -> np.ndarray:
+        held = image[beyond(np.arange(y - reach, end + reach), h)][:, columns].astype(np.int16)
+        centre = held[reach : reach + end - y, reach : reach + w]
+        total, weights = np.zeros(centre.shape), np.zeros(centre.shape)
+        for dy, dx, g in near:
+            other = held[reach + dy : reach + dy + end - y, reach + dx : reach + dx + w]
+            weight = g * alike[np.abs(other - centre)]
+            total += weight * other
+            weights += weight
+        return np.rint(total / weights).astype(np.uint8)
+
+    return _strips(h, w, part)
 
 
 def clahe(image: np.ndarray, clip: float = 2.0, grid: tuple[int, int] = (8, 8)) -> np.ndarray:
@@ -89,10 +168,14 @@ def clahe(image: np.ndarray, clip: float = 2.0, grid: tuple[int, int] = (8, 8))
 
     y0, y1, fy = corners(h, th, down)
     x0, x1, fx = corners(w, tw, across)
-    at = lambda ys, xs: tables[ys[:, None], xs[None, :], image]
-    top = at(y0, x0) * (1 - fx) + at(y0, x1) * fx
-    low = at(y1, x0) * (1 - fx) + at(y1, x1) * fx
-    return np.clip(np.rint(top * (1 - fy)[:, None] + low * fy[:, None]), 0, 255).astype(np.uint8)
+
+    def part(y: int, end: int) -> np.ndarray:
+        at = lambda ys, xs: tables[ys[y:end, None], xs[None, :], image[y:end]]
+        top = at(y0, x0) * (1 - fx) + at(y0, x1) * fx
+        low = at(y1, x0) * (1 - fx) + at(y1, x1) * fx
+        return np.clip(np.rint(top * (1 - fy)[y:end, None] + low * fy[y:end, None]), 0, 255).astype(np.uint8)
+
+    return _strips(h, w, part)
 
 
 def adaptive_threshold(image: np.ndarray, block: int = 35, offset: float = 11.0) -> np.ndarray:
@@ -100,10 +183,17 @@ def adaptive_threshold(image: np.ndarray, block: int = 35, offset: float = 11.0)
     sigma = 0.3 * ((block - 1) * 0.5 - 1) + 0.8
     weight = np.exp(-((np.arange(block) - block // 2) ** 2) / (2 * sigma**2))
     weight /= weight.sum()
-    mean = np.pad(image.astype(np.float64), block // 2, mode="edge")
-    mean = sum(k * mean[i : i + image.shape[0]] for i, k in enumerate(weight))
-    mean = sum(k * mean[:, i : i + image.shape[1]] for i, k in enumerate(weight))
-    return np.where(image > np.rint(mean) - offset, 255, 0).astype(np.uint8)
+    h, w = image.shape
+    reach = block // 2
+
+    def part(y: int, end: int) -> np.ndarray:
+        held = image[np.clip(np.arange(y - reach, end + reach), 0, h - 1)]
+        mean = np.pad(held.astype(np.float64), ((0, 0), (reach, reach)), mode="edge")
+        mean = sum(k * mean[i : i + end - y] for i, k in enumerate(weight))
+        mean = sum(k * mean[:, i : i + w] for i, k in enumerate(weight))
+        return np.where(image[y:end] > np.rint(mean) - offset, 255, 0).astype(np.uint8)
+
+    return _strips(h, w, part)
 
 
 def otsu(image: np.ndarray) -> int:
@@ -165,10 +255,6 @@ def rotate(image: np.ndarray, degrees: float) -> np.ndarray:
     """Rotated about (w // 2, h // 2), counter-clockwise positive; cubic interpolation (a = -0.75)."""
     h, w = image.shape
     c, s = math.cos(math.radians(degrees)), math.sin(math.radians(degrees))
-    y, x = np.mgrid[:h, :w].astype(float)
-    y, x = y - h // 2, x - w // 2
-    sx, sy = c * x - s * y + w // 2, s * x + c * y + h // 2
-    x0, y0 = np.floor(sx).astype(int), np.floor(sy).astype(int)
 
     def weights(f):
         a = -0.75
@@ -176,12 +262,19 @@ def rotate(image: np.ndarray, degrees: float) -> np.ndarray:
         far = lambda d: ((a * d - 5 * a) * d + 8 * a) * d - 4 * a
         return far(f + 1), near(f), near(1 - f), far(2 - f)
 
-    wx, wy = weights(sx - x0), weights(sy - y0)
-    out = np.zeros((h, w))
-    for j in range(4):
-        row = np.clip(y0 + j - 1, 0, h - 1)
-        out += wy[j] * sum(wx[i] * image[row, np.clip(x0 + i - 1, 0, w - 1)] for i in range(4))
-    return np.clip(np.rint(out), 0, 255).astype(np.uint8)
+    def part(first: int, end: int) -> np.ndarray:
+        y, x = np.mgrid[first:end, :w].astype(float)
+        y, x = y - h // 2, x - w // 2
+        sx, sy = c * x - s * y + w // 2, s * x + c * y + h // 2
+        x0, y0 = np.floor(sx).astype(int), np.floor(sy).astype(int)
+        wx, wy = weights(sx - x0), weights(sy - y0)
+        out = np.zeros(sx.shape)
+        for j in range(4):
+            row = np.clip(y0 + j - 1, 0, h - 1)
+            out += wy[j] * sum(wx[i] * image[row, np.clip(x0 + i - 1, 0, w - 1)] for i in range(4))
+        return np.clip(np.rint(out), 0, 255).astype(np.uint8)
+
+    return _strips(h, w, part)
 
 
 def deskew(image: np.ndarray, least_angle: float = 0.1) -> np.ndarray:
@@ -213,59 +306,73 @@ def erode(image: np.ndarray, kx: int, ky: int, times: int = 1) -> np.ndarray:
     return image
 
 
-def _runs_labelled(mask: np.ndarray, diagonal: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(row, first, last, label) of the runs of a mask, joined with those they touch in the row above."""
+@dataclass(frozen=True)
+class Runs:
+    """The runs of a mask, row by row: row, first and last column, and the piece that each belongs to, by the number of the
+    piece's first run."""
+
+    row: np.ndarray
+    first: np.ndarray
+    last: np.ndarray
+    piece: np.ndarray
+
+    def before(self, row: np.ndarray, column: np.ndarray, wide: int) -> np.ndarray:
+        """The pieces whose runs end just before places (there have to be such)."""
+        return self.piece[np.searchsorted(self.row * wide + self.last, row * wide + column - 1)]
+
+
+def _runs(mask: np.ndarray, diagonal: bool) -> Runs:
+    """Runs, joined with those that they touch in the row above: sorted runs, so what touches one is a range of others; pieces are made one
+    link after the other for all runs at once, the later root pointing to the earlier."""
+    wide = mask.shape[1] + 2
     edge = np.diff(np.pad(mask.astype(np.int8), ((0, 0), (1, 1))), axis=1)
     row, first = np.nonzero(edge == 1)
     last = np.nonzero(edge == -1)[1] - 1
-    parent = np.arange(len(row))
-
-    def root(i: int) -> int:
-        while parent[i] != i:
-            parent[i] = parent[parent[i]]
-            i = parent[i]
-        return i
-
-    starts = np.searchsorted(row, np.arange(mask.shape[0] + 1))
-    reach = 1 if diagonal else 0
-    for y in range(1, mask.shape[0]):
-        i, j = starts[y - 1], starts[y]
-        while i < starts[y] and j < starts[y + 1]:
-            if first[i] <= last[j] + reach and first[j] <= last[i] + reach:
-                a, b = root(i), root(j)
-                parent[max(a, b)] = min(a, b)
-            if last[i] < last[j]:
-                i += 1
-            else:
-                j += 1
-    return row, first, last, np.array([root(i) for i in range(len(row))], int)
+    reach, above = (1 if diagonal else 0), (row - 1) * wide
+    low = np.searchsorted(row * wide + last, above + np.maximum(first - reach, 0))
+    high = np.searchsorted(row * wide + first, above + np.minimum(last + reach, wide - 2), "right")
+    n = np.maximum(high - low, 0)
+    mine = np.repeat(np.arange(len(row)), n)
+    theirs = np.arange(len(mine)) - np.repeat(np.cumsum(n) - n, n) + np.repeat(low, n)
+    root = np.arange(len(row))
+    while len(mine):
+        a, b = root[mine], root[theirs]
+        apart = a != b
+        mine, theirs, a, b = mine[apart], theirs[apart], a[apart], b[apart]
+        np.minimum.at(root, np.maximum(a, b), np.minimum(a, b))
+        while (root[root] != root).any():
+            root = root[root]
+    return Runs(row, first, last, root)
+
+
+def contours(mask: np.ndarray) -> list[tuple[tuple[int, int, int, int], int | None]]:
+    """(box, parent) of 8-connected components, by first pixel. parent: the place of the component in whose hole one lies, None
+    outside of all.
+
+    Ground (4-connected, with a border around) to the left of a component's first pixel is what the component lies in; the component
+    to the left of that ground's first pixel is what the ground lies in."""
+    if not mask.any():
+        return []
+    held = np.pad(mask, 1)
+    wide = held.shape[1] + 2
+    ink, ground = _runs(held, True), _runs(~held, False)
+    pieces, at = np.unique(ink.piece, return_inverse=True)
+    order = np.argsort(at, kind="stable")
+    start = np.r_[0, np.flatnonzero(np.diff(at[order])) + 1]
+    of = lambda f, values: f.reduceat(values[order], start)
+    x, y = of(np.minimum, ink.first), ink.row[pieces]
+    w, h = of(np.maximum, ink.last) - x + 1, of(np.maximum, ink.row) - y + 1
+    hole = ground.before(ink.row[pieces], ink.first[pieces], wide)
+    inside = hole != ground.piece[0]
+    parent = np.full(len(pieces), -1)
+    parent[inside] = np.searchsorted(pieces, ink.before(ground.row[hole[inside]], ground.first[hole[inside]], wide))
+    boxes = np.stack([x - 1, y - 1, w, h], 1).tolist()
+    return [(tuple(b), None if p < 0 else p) for b, p in zip(boxes, parent.tolist(), strict=True)]
 
 
 def components(mask: np.ndarray, outer_only: bool = True) -> list[tuple[int, int, int, int]]:
     """Boxes (x, y, w, h) of 8-connected components, by first pixel; without those inside another's hole."""
-    row, first, last, label = _runs_labelled(mask, True)
-    inside = set()
-    if outer_only and len(row):
-        # ground that the border can't reach is a hole; what is bounded by holes only lies inside
-        held = np.pad(~mask, 1, constant_values=True)
-        ground_row, ground_first, ground_last, ground = _runs_labelled(held, False)
-        outside = ground[0]
-        open_ground = np.zeros(held.shape, bool)
-        for y, a, b, k in zip(ground_row, ground_first, ground_last, ground, strict=True):
-            if k == outside:
-                open_ground[y, a : b + 1] = True
-        touches: dict[int, bool] = {}
-        for y, a, b, k in zip(row, first, last, label, strict=True):
-            near = open_ground[y : y + 3, a : b + 3].any()  # one around, in padded coordinates
-            touches[k] = touches.get(k, False) or bool(near)
-        inside = {k for k, yes in touches.items() if not yes}
-    boxes = []
-    for k in np.unique(label):
-        if k not in inside:
-            own = label == k
-            x, y = int(first[own].min()), int(row[own].min())
-            boxes.append((x, y, int(last[own].max()) - x + 1, int(row[own].max()) - y + 1))
-    return boxes
+    return [box for box, parent in contours(mask) if parent is None or not outer_only]
 
 
 def regions(image: np.ndarray, least_area: int = 5000, least_side: int = 30) -> list[tuple[int, int, int, int]]:

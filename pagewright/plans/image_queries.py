@@ -83,10 +83,10 @@ SMALL_SQL = f"{GRAY_SQL}, img AS (SELECT vec_id, i // 8 AS y, i % 8 AS x, v FROM
 NEAR_SQL = "(SELECT unnest([-1, 0, 1]) AS dy) a, (SELECT unnest([-1, 0, 1]) AS dx) b"
 
 
-def small_pages(spark, sf_dir):
-    """(page_id, h, w, data) of the first 64 values of each embedding."""
+def small_pages(spark, sf_dir, change=lambda v, i: v):
+    """(page_id, h, w, data) of the first 64 values of each embedding; change: what becomes of a value at a place."""
     value = lambda e: F.greatest(F.lit(0), F.least(F.lit(255), F.floor((e.cast("double") + 0.5) * 255))).cast("int")
-    cells = F.transform(F.slice("embedding", 1, 64), lambda e: F.lpad(F.hex(value(e).cast("long")), 2, "0"))
+    cells = F.transform(F.slice("embedding", 1, 64), lambda e, i: F.lpad(F.hex(change(value(e), i).cast("long")), 2, "0"))
     return read(spark, sf_dir, "embeddings").filter(F.size("embedding") >= 64).select(F.col("vec_id").alias("page_id"), F.lit(8).alias("h"), F.lit(8).alias("w"), F.unhex(F.array_join(cells, "")).alias("data"))
 
 
@@ -104,6 +104,13 @@ def median_8x8(spark, sf_dir):
     return pixels(image.map_pages(small_pages(spark, sf_dir), image.median))
 
 
+@query("median_5_8x8", f"""WITH {SMALL_SQL}, steps AS (SELECT unnest([-2, -1, 0, 1, 2]) AS k)
+SELECT g.vec_id, g.y, g.x, quantile_disc(n.v, 0.5) AS v FROM img g, steps a, steps b, img n
+WHERE n.vec_id = g.vec_id AND n.y = greatest(0, least(7, g.y + a.k)) AND n.x = greatest(0, least(7, g.x + b.k)) GROUP BY ALL""")
+def median_5_8x8(spark, sf_dir):
+    return pixels(image.map_pages(small_pages(spark, sf_dir), lambda x: image.median(x, 5)))
+
+
 @query("closing_8x8", f"""WITH {SMALL_SQL},
 wide AS (SELECT g.vec_id, g.y, g.x, max(n.v) AS v FROM img g, {NEAR_SQL}, img n WHERE n.vec_id = g.vec_id AND n.y = g.y + dy AND n.x = g.x + dx GROUP BY ALL)
 SELECT g.vec_id, g.y, g.x, min(n.v) AS v FROM wide g, {NEAR_SQL}, wide n WHERE n.vec_id = g.vec_id AND n.y = g.y + dy AND n.x = g.x + dx GROUP BY ALL""")
@@ -141,6 +148,35 @@ def components_8x8(spark, sf_dir):
     return image.map_boxes(small_pages(spark, sf_dir), lambda x: image.components(x > 140, outer_only=False)).withColumnRenamed("page_id", "vec_id")
 
 
+# Of three images one has a frame with ground within, one such a frame with a gap in it, and one is as it is.
+@query("contours_8x8", f"""WITH RECURSIVE {SMALL_SQL},
+framed AS (
+  SELECT vec_id, y, x, CASE WHEN vec_id % 3 = 2 THEN v > 140 WHEN y IN (0, 7) OR x IN (0, 7) THEN vec_id % 3 = 0 OR y <> 0 OR x <> 3 WHEN y IN (1, 6) OR x IN (1, 6) THEN false ELSE v > 140 END AS ink
+  FROM img),
+ink AS (SELECT vec_id, y, x, y * 8 + x AS p FROM framed WHERE ink),
+reach AS (
+  SELECT vec_id, p, p AS q FROM ink
+  UNION SELECT r.vec_id, r.p, n.p FROM reach r, ink n WHERE n.vec_id = r.vec_id AND abs(n.y - r.q // 8) <= 1 AND abs(n.x - r.q % 8) <= 1),
+label AS (SELECT vec_id, p, min(q) AS c FROM reach GROUP BY ALL),
+ground AS (
+  SELECT i.vec_id, a.y, b.x FROM (SELECT DISTINCT vec_id FROM img) i, (SELECT unnest(range(-1, 9)) AS y) a, (SELECT unnest(range(-1, 9)) AS x) b
+  LEFT JOIN ink k ON k.vec_id = i.vec_id AND k.y = a.y AND k.x = b.x WHERE k.p IS NULL),
+outside AS (
+  SELECT DISTINCT vec_id, -1 AS y, -1 AS x FROM img
+  UNION SELECT g.vec_id, g.y, g.x FROM outside o, ground g WHERE g.vec_id = o.vec_id AND abs(g.y - o.y) + abs(g.x - o.x) = 1),
+outer_ AS (SELECT DISTINCT l.vec_id, l.c FROM label l, outside o WHERE o.vec_id = l.vec_id AND abs(l.p // 8 - o.y) + abs(l.p % 8 - o.x) = 1)
+SELECT vec_id, min(p % 8) AS x, min(p // 8) AS y, max(p % 8) - min(p % 8) + 1 AS w, max(p // 8) - min(p // 8) + 1 AS h FROM label JOIN outer_ USING (vec_id, c) GROUP BY vec_id, c""")
+def contours_8x8(spark, sf_dir):
+    """Outermost components only."""
+    y, x, of = (lambda i: F.floor(i / 8)), (lambda i: i % 8), F.col("vec_id") % 3
+
+    def framed(v, i):
+        edge, next_ = y(i).isin(0, 7) | x(i).isin(0, 7), y(i).isin(1, 6) | x(i).isin(1, 6)
+        return F.when(of == 2, v).when(edge, F.when((of == 0) | (i != 3), 255).otherwise(0)).when(next_, 0).otherwise(v)
+
+    return image.map_boxes(small_pages(spark, sf_dir, framed), lambda p: image.components(p > 140)).withColumnRenamed("page_id", "vec_id")
+
+
 # --- page kernels: rows only --------------------------------------------------------------------------------------
 
 

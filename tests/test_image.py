@@ -1,3 +1,5 @@
+import time
+import tracemalloc
 import zlib
 
 import numpy as np
@@ -83,6 +85,111 @@ def test_components_in_holes():
     assert I.components(np.zeros((3, 3), bool)) == []
 
 
+def flooded(mask, diagonal):
+    """Pieces by flood fill: a number for each pixel of the mask, from 1."""
+    out, n = np.zeros(mask.shape, int), 0
+    steps = [(a, b) for a in (-1, 0, 1) for b in (-1, 0, 1) if (a or b) and (diagonal or not (a and b))]
+    for y, x in zip(*np.nonzero(mask), strict=True):
+        if out[y, x]:
+            continue
+        n += 1
+        todo = [(y, x)]
+        out[y, x] = n
+        while todo:
+            a, b = todo.pop()
+            for c, d in ((a + i, b + j) for i, j in steps):
+                if 0 <= c < mask.shape[0] and 0 <= d < mask.shape[1] and mask[c, d] and not out[c, d]:
+                    out[c, d] = n
+                    todo.append((c, d))
+    return out
+
+
+@pytest.mark.parametrize("seed", range(12))
+def test_contours_know_what_they_lie_in(seed):
+    rng = np.random.default_rng(seed)
+    mask = rng.random((int(rng.integers(1, 40)), int(rng.integers(1, 40)))) < (0.3, 0.5, 0.7)[seed % 3]
+    if seed > 5:  # frames within frames
+        mask = np.zeros((40, 50), bool)
+        for k in range(0, 18, 3):
+            mask[k : 40 - k, k : 50 - k] = k % 2 == 0 or rng.random((40 - 2 * k, 50 - 2 * k)) < 0.4
+            mask[k + 1 : 39 - k, k + 1 : 49 - k] = False
+    held = np.pad(mask, 1)
+    ink, ground = flooded(held, True), flooded(~held, False)
+    first = {k: next(zip(*np.nonzero(ink == k), strict=True)) for k in range(1, ink.max() + 1)}
+    want = []
+    for k in sorted(first, key=first.get):
+        around = {ground[y + a, x + b] for y, x in zip(*np.nonzero(ink == k), strict=True) for a, b in ((0, 1), (1, 0), (0, -1), (-1, 0)) if ground[y + a, x + b]}
+        # the ground that reaches furthest around is the one it lies in
+        lies = 1 if 1 in around else min(around, key=lambda g: next(zip(*np.nonzero(ground == g), strict=True)))
+        ys, xs = np.nonzero(ink == k)
+        box = (xs.min() - 1, ys.min() - 1, np.ptp(xs) + 1, np.ptp(ys) + 1)
+        if lies == 1:
+            want.append((box, None))
+        else:
+            touching = {ink[y + a, x + b] for y, x in zip(*np.nonzero(ground == lies), strict=True) for a, b in ((0, 1), (1, 0), (0, -1), (-1, 0)) if ink[y + a, x + b]}
+            want.append((box, min(touching, key=first.get)))
+    number = {k: i for i, k in enumerate(sorted(first, key=first.get))}
+    assert I.contours(mask) == [(tuple(map(int, b)), None if p is None else number[p]) for b, p in want]
+
+
+def test_many_components_take_linear_time():
+    mask, times = np.zeros((1200, 1200), bool), []
+    mask[::3, ::3] = True
+    for part in (mask[:150], mask):  # eight times as many
+        began = time.process_time()
+        found = I.components(part)
+        times.append(time.process_time() - began)
+    assert len(found) == 160_000 and times[1] < 1.5 and times[1] < 40 * max(times[0], 0.01)
+
+
+KERNELS = {
+    "median": I.median, "median 7": lambda p: I.median(p, 7), "bilateral": I.bilateral, "bilateral 5": lambda p: I.bilateral(p, 5, 20.0, 2.0), "clahe": I.clahe, "adaptive": I.adaptive_threshold,
+    "rotate": lambda p: I.rotate(p, 3.0), "preprocess": lambda p: I.preprocess(p, I.Preprocessing(deskew=True)),
+}
+
+
+@pytest.mark.parametrize("name", sorted(KERNELS))
+@pytest.mark.parametrize("shape", [(67, 41), (3, 90), (40, 2), (1, 1)])
+def test_strips_make_no_difference(name, shape, monkeypatch):
+    p = page(*shape)
+    whole = KERNELS[name](p)
+    for pixels in (1, 100, 1000):
+        monkeypatch.setattr(I, "STRIP_PIXELS", pixels)
+        assert (KERNELS[name](p) == whole).all()
+
+
+@pytest.mark.parametrize("name", sorted(set(KERNELS) - {"preprocess", "median 7"}))
+def test_memory_does_not_grow_with_the_height(name, monkeypatch):
+    monkeypatch.setattr(I, "STRIP_PIXELS", 1 << 14)
+    peaks = []
+    for h in (400, 3200):
+        p = page(h, 300)
+        tracemalloc.start()
+        KERNELS[name](p)
+        peaks.append(tracemalloc.get_traced_memory()[1] - 4 * h * 300)  # but for some bytes a pixel
+        tracemalloc.stop()
+    assert peaks[1] < 1.5 * max(peaks[0], 1_000_000)
+
+
+@pytest.mark.parametrize("size", [5, 7, 9, 15, 31])
+@pytest.mark.parametrize("shape", [(23, 37), (1, 40), (50, 3)])
+def test_median_of_any_size(size, shape):
+    for p in (page(*shape), np.where(page(*shape) > 90, 250, 3).astype(np.uint8)):
+        reach = size // 2
+        assert (I.median(p, size) == np.median(np.lib.stride_tricks.sliding_window_view(np.pad(p, reach, mode="edge"), (size, size)), axis=(2, 3))).all()
+
+
+def test_bilateral_is_the_weighted_mean():
+    p, reach = page(12, 15), 2
+    got = I.bilateral(p, 5, 40.0, 2.0)
+    held = np.pad(p.astype(float), reach, mode="reflect")
+    for y in range(12):
+        for x in range(15):
+            cells = [(held[y + reach + a, x + reach + b], a * a + b * b) for a in range(-2, 3) for b in range(-2, 3) if a * a + b * b <= 4]
+            weights = [np.exp(-d / (2 * 2.0**2) - (v - p[y, x]) ** 2 / (2 * 40.0**2)) for v, d in cells]
+            assert abs(got[y, x] - sum(w * v for w, (v, _) in zip(weights, cells, strict=True)) / sum(weights)) <= 0.5 + 1e-9
+
+
 def test_spread_and_shrink():
     dot = np.zeros((9, 9), np.uint8)
     dot[4, 4] = 255
