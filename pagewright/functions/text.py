@@ -6,13 +6,16 @@ Null text gives null. A reference without characters (or words) has no rate: nul
 from __future__ import annotations
 
 import difflib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StringType
 
+from pagewright.functions import distance
+
 # The code points that str.split() and str.strip() take as white space, as a character class.
 PY_SPACE = r"[\x09-\x0d\x1c-\x20\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
 # Where str.splitlines() ends a line.
@@ -60,56 +63,38 @@ def cer_builtin(reference: Column, hypothesis: Column) -> Column:
     return _rate(edits, F.char_length(reference))
 
 
-def _distance(a: list, b: list) -> int:
-    """Levenshtein distance of two sequences, a column of the matrix at once in the bits of an integer (Myers 1999, in
-    the form of Hyyro 2003)."""
-    low = 0
-    while low < len(a) and low < len(b) and a[low] == b[low]:
-        low += 1
-    a, b = a[low:], b[low:]
-    while a and b and a[-1] == b[-1]:
-        a, b = a[:-1], b[:-1]
-    if not a or not b:
-        return len(a) + len(b)
-    if len(a) > len(b):
-        a, b = b, a
-    at: dict = {}
-    for i, x in enumerate(a):
-        at[x] = at.get(x, 0) | 1 << i
-    full, top, edits = (1 << len(a)) - 1, 1 << (len(a) - 1), len(a)
-    up, down = full, 0  # vertical differences of +1 and -1
-    for x in b:
-        match = at.get(x, 0)
-        diagonal = (((match & up) + up) ^ up) | match | down
-        plus, minus = down | ~(diagonal | up) & full, up & diagonal
-        edits += bool(plus & top) - bool(minus & top)
-        plus, minus = (plus << 1 | 1) & full, minus << 1 & full
-        up, down = minus | ~(diagonal | plus) & full, plus & diagonal
-    return edits
-
-
 def edit_distance(a: str, b: str) -> int:
-    return 0 if a == b else _distance(list(a), list(b))
+    return 0 if a == b else distance.single(list(a), list(b))
 
 
 def word_distance(a: str, b: str) -> int:
-    return 0 if a == b else _distance([w for w in a.split(" ") if w], [w for w in b.split(" ") if w])
+    return 0 if a == b else distance.single([w for w in a.split(" ") if w], [w for w in b.split(" ") if w])
+
+
+def _batched(of: Callable, a: pd.Series, b: pd.Series) -> pd.Series:
+    """A distance of the pairs of a batch that have two different texts; equal ones are 0 apart, null ones have none."""
+    there = (a.notna() & b.notna()).to_numpy()
+    out, differ = pd.Series(np.zeros(len(a), np.int64)).astype("Int64"), there & (a != b).to_numpy()
+    out[~there] = pd.NA
+    if differ.any():
+        out[differ] = of(a[differ].tolist(), b[differ].tolist())
+    return out
 
 
 @F.pandas_udf(LongType())
 def edit_distance_udf(parts: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
     for a, b in parts:
-        yield pd.Series([None if x is None or y is None else edit_distance(x, y) for x, y in zip(a, b, strict=True)], dtype="Int64")
+        yield _batched(distance.of_texts, a, b)
 
 
 @F.pandas_udf(LongType())
 def word_distance_udf(parts: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
     for a, b in parts:
-        yield pd.Series([None if x is None or y is None else word_distance(x, y) for x, y in zip(a, b, strict=True)], dtype="Int64")
+        yield _batched(distance.of_words, a, b)
 
 
 #: Product of two lengths up to which the built-in distance is used; its cost is that product.
-BUILT_IN_CELLS = 250_000
+BUILT_IN_CELLS = 16_000
 
 
 def edits(reference: Column, hypothesis: Column) -> Column:

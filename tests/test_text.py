@@ -5,7 +5,9 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
+from pagewright.functions import distance
 from pagewright.functions import text as T
+from pagewright.plans import text_queries  # noqa: F401  registers its queries
 
 
 def slow_distance(a, b):
@@ -31,6 +33,29 @@ def test_distance_of_long_texts():
     assert T.edit_distance(a, b) == slow_distance(a, b)
 
 
+@pytest.mark.parametrize(("words", "few", "long"), [(1, 1, 10**6), (64, 1, 10**6), (4096, 12, 2500), (4096, 10**6, 0)])
+def test_distances_of_many_pairs(monkeypatch, words, few, long):
+    """Groups of one pair, of some, of all, and none; lengths around the words' borders."""
+    monkeypatch.setattr(distance, "WORDS", words)
+    monkeypatch.setattr(distance, "FEW", few)
+    monkeypatch.setattr(distance, "LONG", long)
+    rng = random.Random(words)
+    made = lambda n: "".join(rng.choice("abé 日\U0001f600") for _ in range(n))
+    a = [made(rng.choice([0, 1, 2, 30, 63, 64, 65, 127, 128, 129, 200])) for _ in range(60)]
+    b = [rng.choice([made(rng.randrange(150)), x, x[3:], "".join(c for c in x if rng.random() > 0.1), ""]) for x in a]
+    assert distance.of_texts(a, b).tolist() == [slow_distance(x, y) for x, y in zip(a, b, strict=True)]
+    cut = lambda t: [w for w in t.split(" ") if w]
+    assert distance.of_words(a, b).tolist() == [slow_distance(cut(x), cut(y)) for x, y in zip(a, b, strict=True)]
+    assert distance.of_texts([], []).tolist() == [] and distance.of_texts([""], ["xyz"]).tolist() == [3]
+
+
+@settings(max_examples=100, deadline=None)
+@given(st.lists(st.tuples(st.text("ab", max_size=140), st.text("ab", max_size=140)), max_size=30))
+def test_distances_of_pairs_are_those_of_each(pairs):
+    a, b = [x for x, _ in pairs], [y for _, y in pairs]
+    assert distance.of_texts(a, b).tolist() == [distance.single(list(x), list(y)) for x, y in pairs]
+
+
 def test_normalized_as_python_does(spark):
     spaces = "".join(chr(i) for i in range(0x3001) if chr(i).isspace())
     rows = [("\n a \tb \n",), (spaces + "x" + spaces + "y" + spaces,), ("",), (None,), ("  ",), ("nospace",)]
