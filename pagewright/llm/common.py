@@ -9,6 +9,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from pagewright.session import shared_dir
 
@@ -41,6 +42,25 @@ def in_arrow(df: DataFrame, f, schema: str) -> DataFrame:
     return df.mapInArrow(f, schema)
 
 
+def columns(df: DataFrame) -> list[Column]:
+    """The columns of df, whatever their names hold."""
+    return [F.col("`" + c.replace("`", "``") + "`") for c in df.columns]
+
+
+def row(df: DataFrame) -> Column:
+    """All columns of df as one: so they go along under names of their own, whatever columns are made beside them."""
+    return F.struct(*columns(df))
+
+
+def ddl(kind: T.DataType) -> str:
+    """A type as a schema string has it, names quoted."""
+    if isinstance(kind, T.StructType):
+        return "struct<" + ", ".join("`{}`: {}".format(f.name.replace("`", "``"), ddl(f.dataType)) for f in kind) + ">"
+    if isinstance(kind, T.ArrayType):
+        return f"array<{ddl(kind.elementType)}>"
+    return f"map<{ddl(kind.keyType)}, {ddl(kind.valueType)}>" if isinstance(kind, T.MapType) else kind.simpleString()
+
+
 def shards(spark: SparkSession) -> int:
     """How many ways keyed state is dealt out: the cluster's own setting for its data size."""
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))

@@ -391,7 +391,7 @@ def joined(index: DataFrame, sets: DataFrame, percent: int = PERCENT) -> DataFra
 def linked(docs: DataFrame, key: str = "doc_id", text: str = "text", words: int = WORDS, percent: int = PERCENT, frequent_at: int = FREQUENT_AT, bitmap_bytes: int = BITMAP_BYTES) -> DataFrame:
     """(key, n_shingles, component_id) of each row: the smallest key that a row reaches by links, itself included."""
     spark, n = docs.sparkSession, common.shards(docs.sparkSession)
-    kind = docs.schema[key].dataType.simpleString()
+    kind = common.ddl(docs.schema[key].dataType)
     survey = docs.select(F.col(key), F.col(text)).transform(common.in_arrow, _surveyed(n, words, percent, kind), f"id {kind}, n_shingles long, node long, shard int, values binary, other binary")
     survey = common.stored(survey, "survey", packed=True)
     members = survey.filter("shard IS NULL").select("id", "n_shingles", "node")

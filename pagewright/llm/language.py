@@ -139,7 +139,7 @@ def _predicted(model, dim: int):
 
 def predict(docs: DataFrame, model: tuple[list[str], np.ndarray], key: str = "doc_id", text: str = "text") -> DataFrame:
     """(key, lang_pred, score, n_grams) of each row; n_grams is how many trigrams the score stands on. key may be a struct that carries other columns along."""
-    kind = docs.schema[key].dataType.simpleString()
+    kind = common.ddl(docs.schema[key].dataType)
     held = docs.sparkSession.sparkContext.broadcast(model)
     return docs.select(F.col(key), F.col(text)).transform(common.in_arrow, _predicted(held, model[1].shape[1]), f"id {kind}, lang_pred string, score double, n_grams long").withColumnRenamed("id", key)
 

@@ -119,8 +119,9 @@ def deduplicated(docs: DataFrame, key: str = "doc_id", text: str = "text", broad
     gone = common.stored(gone.select(F.col("key").alias("__key"), F.col("text").alias("__text"), F.col("gone").alias("__gone")), "gone")
     numbers = gone.agg(F.sum(F.size("__gone") + 16)).first()[0] or 0
     small = F.broadcast(gone) if numbers * 4 <= broadcast_bytes else gone
-    joined = docs.join(small, F.col(key).eqNullSafe(F.col("__key")) & (F.xxhash64(text) == F.col("__text")), "left")
-    lines = F.split(F.col(text), "\n", -1)
-    left = F.when(F.col("__gone").isNull(), F.col(text)).otherwise(F.array_join(F.filter(lines, lambda x, i: ~F.array_contains(F.col("__gone"), i)), "\n"))
-    out = joined.withColumn("__left", left).withColumn("n_lines", F.coalesce(F.size(lines), F.lit(0)).cast("long")).withColumn("n_dropped", F.coalesce(F.size("__gone"), F.lit(0)).cast("long"))
-    return out.drop(text, "__key", "__text", "__gone").withColumnRenamed("__left", text)
+    own = docs.select(common.row(docs).alias("row"), F.col(key).alias("key"), F.col(text).alias("text"))
+    joined = own.join(small, F.col("key").eqNullSafe(F.col("__key")) & (F.xxhash64("text") == F.col("__text")), "left")
+    lines = F.split("text", "\n", -1)
+    left = F.when(F.col("__gone").isNull(), F.col("text")).otherwise(F.array_join(F.filter(lines, lambda x, i: ~F.array_contains(F.col("__gone"), i)), "\n"))
+    rest = [(left if c == text else F.col("row").getField(c)).alias(c) for c in docs.columns if c not in ("n_lines", "n_dropped")]
+    return joined.select(*rest, F.coalesce(F.size(lines), F.lit(0)).cast("long").alias("n_lines"), F.coalesce(F.size("__gone"), F.lit(0)).cast("long").alias("n_dropped"))

@@ -378,7 +378,7 @@ def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def media_features(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """Store each text as JPEG, read the stored bytes back, and give sizes, digests and the thumbnail's hash."""
-    kind = docs.schema[key].dataType.simpleString()
+    kind = common.ddl(docs.schema[key].dataType)
     schema = f"id {kind}, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
     return docs.select(F.col(key), F.col(text)).transform(common.in_arrow, _features, schema).withColumnRenamed("id", key)
 
@@ -390,7 +390,7 @@ def _stored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def media_column(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(key, media): the stored form of each text, as a binary column to write where one likes."""
-    return docs.select(F.col(key), F.col(text)).transform(common.in_arrow, _stored, f"id {docs.schema[key].dataType.simpleString()}, media binary").withColumnRenamed("id", key)
+    return docs.select(F.col(key), F.col(text)).transform(common.in_arrow, _stored, f"id {common.ddl(docs.schema[key].dataType)}, media binary").withColumnRenamed("id", key)
 
 
 def _thumbnails_or_fault(data: bytes) -> tuple[list[np.ndarray], str | None]:
@@ -423,5 +423,5 @@ def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def read_media(media: DataFrame, key: str = "doc_id", column: str = "media") -> DataFrame:
     """(key, image, width, height, thumbnail, hash, error): a row per image of each stored form; width and height in whole
     blocks; a null or empty value has none. A value that can't be read has one row, with an error and nothing else."""
-    kind = media.schema[key].dataType.simpleString()
+    kind = common.ddl(media.schema[key].dataType)
     return media.select(F.col(key), F.col(column)).transform(common.in_arrow, _read, f"id {kind}, image int, width int, height int, thumbnail binary, hash string, error string").withColumnRenamed("id", key)

@@ -156,7 +156,7 @@ def _packed(capacity: int):
 
 def cut_documents(docs: DataFrame, tokenizer: str, end_id: int = 1, capacity: int = CAPACITY, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(key, piece, start, length, ids_crc32): the pieces of each document's ids."""
-    kind = docs.schema[key].dataType.simpleString()
+    kind = common.ddl(docs.schema[key].dataType)
     return docs.select(F.col(key), F.col(text)).transform(common.in_arrow, _pieces(tokenizer, end_id, capacity), f"id {kind}, piece int, start long, length long, ids_crc32 long").withColumnRenamed("id", key)
 
 
@@ -166,7 +166,7 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY, shard_pieces: int = SHARD_
     rests = pieces.filter(F.col("length") < capacity)
     n = max(1, round(rests.count() / shard_pieces))
     dealt = rests.withColumn("shard", F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(n)))
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in pieces.schema)
+    fields = ", ".join("`{}` {}".format(f.name.replace("`", "``"), common.ddl(f.dataType)) for f in pieces.schema)
     packed = dealt.groupBy("shard").applyInArrow(_packed(capacity), f"{fields}, sequence_id long, offset long")
     whole = pieces.filter(F.col("length") >= capacity).withColumns({"sequence_id": -1 - F.monotonically_increasing_id(), "offset": F.lit(0).cast("long")})
     return packed.unionByName(whole)

@@ -84,7 +84,7 @@ def _measured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def features(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(key, FEATURES) of each row."""
-    kind = docs.schema[key].dataType.simpleString()
+    kind = common.ddl(docs.schema[key].dataType)
     return docs.select(F.col(key), F.col(text)).transform(common.in_arrow, _measured, f"id {kind}, " + ", ".join(f"{x} long" for x in FEATURES)).withColumnRenamed("id", key)
 
 

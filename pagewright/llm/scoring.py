@@ -322,7 +322,7 @@ def scores(docs: DataFrame, model: Model, key: str = "doc_id", text: str = "text
     """(key, n_tokens, n_known, train_tokens, base_score, score) of each row.
 
     The model is broadcast, or asked by slices where it is too large for that. Both give equal results."""
-    kind = docs.schema[key].dataType.simpleString()
+    kind = common.ddl(docs.schema[key].dataType)
     schema = f"id {kind}, n_tokens long, score double, n_known long, base_score double"
     held = docs.sparkSession.sparkContext.broadcast((model.filter, model.exact, model.total, model.distinct))
     rows = docs.select(F.col(key).alias("id"), F.col(text))

@@ -232,7 +232,7 @@ def _summed(table: pa.Table) -> pa.Table:
 def token_counts(docs: DataFrame, tokenizer: str, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(key, n_bytes, n_tokens) for each row of docs."""
     n = common.shards(docs.sparkSession)
-    kind = docs.schema[key].dataType.simpleString()
+    kind = common.ddl(docs.schema[key].dataType)
     schema = f"part string, shard int, ids array<{kind}>, sizes binary, special binary, ends binary, numbers binary, times binary, words binary"
     # parts have random names, so they are stored before they are read twice
     sent = common.stored(docs.select(F.col(key), F.col(text)).transform(common.in_arrow, _frequencies(tokenizer, n), schema), "frequencies", packed=True)

@@ -207,7 +207,7 @@ def write(pages: DataFrame, folder: str | None = None, key: str = "page_id", url
     lines = common.stored(texts.transform(common.in_arrow, _written(folder), "url_key string, key string, file string, at long, size long"), "lines")
     ordered = lines.repartitionByRange(common.shards(spark), "url_key", "key").sortWithinPartitions("url_key", "key")
     index = ordered.transform(common.in_arrow, _blocks(folder, block_lines), "first_key string, last_key string, file string, at long, size long, blocks long, lines long")
-    return Capture(folder, common.stored(index, "index"), lines, pages.schema[key].dataType.simpleString())
+    return Capture(folder, common.stored(index, "index"), lines, common.ddl(pages.schema[key].dataType))
 
 
 class _Reader:

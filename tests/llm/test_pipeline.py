@@ -56,6 +56,25 @@ def test_one_of_equal_rows_stays(spark):
     assert found.columns == COLUMNS and sorted(map(tuple, found.collect()), key=repr) == sorted([rows[1], rows[2], rows[4]], key=repr)
 
 
+def test_columns_of_any_name(spark, docs):
+    """Names that stages use themselves, names that have to be quoted, and a map go through all of them."""
+    from pyspark.sql import functions as F
+
+    names = ["key", "rest", "row", "hash", "copies", "copy", "target", "source_size", "__key", "__text", "n_lines", "n_dropped", "id", "lang_pred", "score", "n_grams", "my col", "a.b", "tick`s"]
+    more = docs.select("*", *(F.concat(F.lit(f"{i} "), F.coalesce(F.col("doc_id").cast("string"), F.lit("none"))).alias(n) for i, n in enumerate(names)), F.create_map(F.lit("k"), "source").alias("m"), F.struct("lang").alias("deep one"))
+    more = common.stored(more, "docs")
+    now, plain = more, docs
+    for name, stage in corpus_pipeline.STAGES:
+        now, plain = common.stored(stage(spark, now, ""), name), common.stored(stage(spark, plain, ""), name)
+        if name == "pack":
+            continue
+        assert now.columns == more.columns and now.schema == more.schema
+        assert Counter(map(tuple, now.select(COLUMNS).collect())) == Counter(map(tuple, plain.collect()))
+        for r in now.collect():
+            assert [r[n] for n in names] == [f"{i} {'none' if r.doc_id is None else r.doc_id}" for i in range(len(names))] and r.m == {"k": r.source} and r["deep one"].lang == r.lang
+    assert now.count() == plain.count()
+
+
 def test_empty(spark, docs):
     now = docs.filter("false")
     for name, stage in corpus_pipeline.STAGES:
@@ -65,4 +84,4 @@ def test_empty(spark, docs):
 
 def test_queries_are_registered():
     names = sorted(queries.QUERIES, key=lambda n: int(n[2:].split("_")[0]))
-    assert [int(n[2:].split("_")[0]) for n in names] == list(range(1, 11))
+    assert [int(n[2:].split("_")[0]) for n in names] == list(range(1, 14))
