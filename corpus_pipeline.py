@@ -23,32 +23,33 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     The languages are learned from the stage's own labelled documents; a text's label has no part in its verdict."""
     bound = LEAST_SCORE * F.sqrt(F.col("n_grams") / (F.col("n_grams") + HALF_GRAMS)) - DEVIATIONS / language.DIM**0.5
     model = language.learn(docs)
-    found = language.predict(docs.select(F.struct(*docs.columns).alias("row"), "text"), model, "row")
+    found = language.predict(docs.select(common.row(docs).alias("row"), "text"), model, "row")
     return found.filter((F.col("lang_pred") != language.UNKNOWN) & (F.col("score") >= bound)).select("row.*")
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Without lines that have an earlier equal or near one, and without documents that have no line left."""
-    found = lines.deduplicated(docs).filter(F.col("text").rlike(lines.VISIBLE))
-    return found.withColumn("n_chars", F.char_length("text").cast("long")).select(*docs.columns)
+    found = lines.deduplicated(docs.select(common.row(docs).alias("row"), "doc_id", "text")).filter(F.col("text").rlike(lines.VISIBLE))
+    new = {"text": F.col("text"), "n_chars": F.char_length("text").cast("long")}
+    return found.select(*(new.get(c, F.col("row").getField(c)).alias(c) for c in docs.columns))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near-duplicates the document with the smallest id; of rows equal in id and text, one."""
     key = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"), F.xxhash64("text").alias("text"))
-    keyed = docs.select("*", key.alias("key"))
-    kept = jaccard.linked(keyed, "key").filter("key = component_id").select("key").distinct()
-    rest = F.struct(*(c for c in docs.columns if c not in ("doc_id", "text")))
-    one = keyed.join(kept, "key", "left_semi").groupBy("doc_id", "text").agg(F.min(rest).alias("rest"))
-    return one.select("doc_id", "text", "rest.*").select(*docs.columns)
+    kept = jaccard.linked(docs.select(key.alias("key"), "text"), "key").filter("key = component_id").select("key").distinct()
+    others = common.columns(docs.drop("doc_id", "text"))
+    first = F.to_json(F.struct(*others)) if others else F.lit("")
+    one = docs.select(common.row(docs).alias("row"), key.alias("key"), first.alias("others")).join(kept, "key", "left_semi").groupBy("key").agg(F.min_by("row", "others").alias("row"))
+    return one.select("row.*")
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents as often as the mix takes them: 150% of all words, sources weighted 3, 1, 2 in turn, twice at most."""
     shares = mixing.plan(mixing.sized(docs), mixing.repeating((3, 1, 2)), 1.5, 2.0)
-    taken = mixing.with_copies(docs.withColumn("hash", mixing.hash60("doc_id", "text")), shares)
+    taken = mixing.with_copies(docs.select(common.row(docs).alias("row"), "source", mixing.hash60("doc_id", "text").alias("hash")), shares)
     copies = F.array_repeat(F.lit(0), F.col("copies").cast("int"))
-    return taken.withColumn("copy", F.explode(copies)).select(*docs.columns)
+    return taken.select("row", F.explode(copies)).select("row.*")
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
