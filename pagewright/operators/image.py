@@ -540,16 +540,18 @@ def pixels_of(h: int, w: int, data: bytes, channels: int = 1) -> np.ndarray:
     return image.reshape(h, w) if channels == 1 else image.reshape(h, w, channels)
 
 
-def map_pages(pages: DataFrame, kernel: Callable[[np.ndarray], np.ndarray]) -> DataFrame:
-    """pages (page_id, h, w, data) through a kernel: the whole chain in one pass, an image at a time."""
+def map_pages(pages: DataFrame, kernel: Callable[[np.ndarray], np.ndarray], file: str | None = None) -> DataFrame:
+    """pages (page_id, h, w, data) through a kernel: the whole chain in one pass, an image at a time. file: a column of image files
+    that are taken, in their colours, in place of the pixels where there is one."""
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for part in parts:
             for page in part.itertuples(index=False):
-                image = kernel(pixels_of(page.h, page.w, page.data))
+                own = getattr(page, file) if file else None
+                image = kernel(pixels_of(page.h, page.w, page.data) if own is None else decode(bytes(own)))
                 yield pd.DataFrame({"page_id": [page.page_id], "h": [image.shape[0]], "w": [image.shape[1]], "data": [image.tobytes()]})
 
-    return pages.select("page_id", "h", "w", "data").mapInPandas(run, f"page_id {pages.schema['page_id'].dataType.simpleString()}, h int, w int, data binary")
+    return pages.select("page_id", "h", "w", "data", *filter(None, [file])).mapInPandas(run, f"page_id {pages.schema['page_id'].dataType.simpleString()}, h int, w int, data binary")
 
 
 def map_boxes(pages: DataFrame, kernel: Callable[[np.ndarray], list[tuple[int, int, int, int]]]) -> DataFrame:

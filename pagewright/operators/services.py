@@ -9,6 +9,7 @@ service's usual variable in the environment; without one a page backend is an er
 from __future__ import annotations
 
 import base64
+import functools
 import os
 import time
 from collections.abc import Callable
@@ -17,6 +18,7 @@ from dataclasses import dataclass
 import numpy as np
 
 from pagewright.operators import image, models
+from pagewright.operators.ledger import Ledger
 
 #: Models used where none is named, and what a call may answer at most.
 TROCR_MODEL = "microsoft/trocr-base-printed"
@@ -110,8 +112,9 @@ class Service:
     def key(self, given: str) -> str:
         return given or os.environ.get(self.variable, "")
 
-    def answer(self, client, model: str, prompt: str, picture: bytes | None = None, sleep: Callable[[float], None] = time.sleep) -> str | None:
-        return models.with_retries(lambda: self.ask(client, model, prompt, picture), self.name, 3, self.wait, sleep)
+    def answer(self, client, model: str, prompt: str, picture: bytes | None = None, sleep: Callable[[float], None] = time.sleep, ledger: Ledger = Ledger()) -> str | None:  # noqa: B008  frozen
+        """The service's answer, out of the ledger where it is kept there; None where its calls fail."""
+        return ledger.answer(self.name, model, prompt, picture, lambda: models.with_retries(lambda: self.ask(client, model, prompt, picture), self.name, 3, self.wait, sleep))
 
 
 #: The services' default models, and seconds of the first pause.
@@ -136,7 +139,7 @@ def page_reader(name: str, connect: Callable | None = None, sleep: Callable[[flo
         client, model = (connect or service.connect)(key), config.model_name or service.page_model
 
         def read(pages: list[bytes]) -> list[list[str]]:
-            return [(service.answer(client, model, models.PAGE_PROMPT, fitted(x, service.fit), sleep) or "").splitlines() for x in pages]
+            return [(service.answer(client, model, models.PAGE_PROMPT, fitted(x, service.fit), sleep, Ledger(config.ledger)) or "").splitlines() for x in pages]
 
         return read
 
@@ -152,23 +155,31 @@ def corrector(name: str, connect: Callable | None = None, sleep: Callable[[float
 
         def correct(texts: list[str]) -> list[str | None]:
             prompts = (models.correction_prompt(x, config.prompt_version) for x in texts)
-            return [(service.answer(client, model, p, None, sleep) or "").strip() or None for p in prompts]
+            return [(service.answer(client, model, p, None, sleep, Ledger(config.ledger)) or "").strip() or None for p in prompts]
 
         return correct
 
     return factory
 
 
-def line_reader(config: models.OcrConfig):
-    """TrOCR: from line crops to (text, confidence); the confidence is the geometric mean of the chosen tokens' chances."""
+@functools.lru_cache(maxsize=1)
+def _trocr(name: str, asked: str):
+    """(processor, model, device), loaded once a worker process: it runs one task after the other."""
     import torch
     from transformers import TrOCRProcessor, VisionEncoderDecoderModel
 
-    device = torch.device(config.device if torch.cuda.is_available() else "cpu")
-    name = config.model_name or TROCR_MODEL
-    processor, model = TrOCRProcessor.from_pretrained(name), VisionEncoderDecoderModel.from_pretrained(name).to(device).eval()
+    device = torch.device(asked if torch.cuda.is_available() else "cpu")
+    return TrOCRProcessor.from_pretrained(name), VisionEncoderDecoderModel.from_pretrained(name).to(device).eval(), device
+
+
+def line_reader(config: models.OcrConfig):
+    """TrOCR: from line crops to (text, confidence); the confidence is the geometric mean of the chosen tokens' chances."""
+    processor, model, device = _trocr(config.model_name or TROCR_MODEL, config.device)
+    import torch
 
     def read(crops: list[bytes]) -> list[tuple[str, float | None]]:
+        if not crops:
+            return []
         pictures = [image.decode(x) for x in crops]
         colour = [np.repeat(p[..., None], 3, 2) if p.ndim == 2 else p[..., ::-1] for p in pictures]
         with torch.inference_mode():

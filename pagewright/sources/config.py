@@ -135,9 +135,9 @@ def typed(config: dict, **override) -> Run:
             grid=tuple(clahe.get("tile_grid_size", (8, 8))), binarize=binarize.get("method", "adaptive") if on(binarize) else None, deskew=on(_section(p, "deskew"), False),
         ),
         detection=Detection(t.get("reading_order", "single_column"), int(t.get("min_region_area", 5000)), on(_section(t, "line_segmentation"), False)),
-        ocr=OcrConfig(backend=o.get("backend", "trocr"), model_name=o.get(f"{vendor(o)}_model") or ("" if vendor(o) in SERVICES else o.get("model_name", "")), device=o.get("device", "cpu"), batch_size=int(o.get("batch_size", 4)), api_key=key(o)),
+        ocr=OcrConfig(backend=o.get("backend", "trocr"), model_name=o.get(f"{vendor(o)}_model") or ("" if vendor(o) in SERVICES else o.get("model_name", "")), device=o.get("device", "cpu"), batch_size=int(o.get("batch_size", 4)), api_key=key(o), calls=int(o.get("calls", 0))),
         correction=CorrectionConfig(
-            enabled=on(c, False), backend=c.get("backend", "pass_through"), model=c.get(f"{vendor(c)}_model", ""), prompt_version=c.get("prompt_version", "v1"), api_key=key(c), needs_key=vendor(c) in SERVICES, rules=tuple(map(tuple, c.get("rules", ()))),
+            enabled=on(c, False), backend=c.get("backend", "pass_through"), model=c.get(f"{vendor(c)}_model", ""), prompt_version=c.get("prompt_version", "v1"), api_key=key(c), needs_key=vendor(c) in SERVICES, rules=tuple(map(tuple, c.get("rules", ()))), calls=int(c.get("calls", 0)),
         ),
         evaluation=Normalization(on(e, False), bool(norm.get("strip", True)), bool(norm.get("collapse_whitespace", True))),
         run_id=runner.get("run_id"), results_dir=runner.get("results_dir", "results"), resume=bool(runner.get("resume", True)), force=bool(runner.get("force", False)), files=bool(runner.get("files", True)), part_pages=int(runner.get("part_pages", 50_000)),
