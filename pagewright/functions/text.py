@@ -5,16 +5,15 @@ Null text gives null. A reference without characters (or words) has no rate: nul
 
 from __future__ import annotations
 
-import difflib
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql.types import LongType, StringType
+from pyspark.sql.types import ArrayType, IntegerType, LongType, StringType, StructField, StructType
 
-from pagewright.functions import distance
+from pagewright.functions import diffs, distance
 
 # The code points that str.split() and str.strip() take as white space, as a character class.
 PY_SPACE = r"[\x09-\x0d\x1c-\x20\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
@@ -133,12 +132,29 @@ def accuracy(error_rate: Column) -> Column:
     return 1 - error_rate
 
 
-def diff_text(before: str, after: str, names: tuple[str, str] = ("ocr_raw", "llm_corrected")) -> str:
+#: What a diff calls the two texts.
+DIFF_NAMES = ("ocr_raw", "llm_corrected")
+
+
+def _headed(hunks: list[str], names: tuple[str, str] = DIFF_NAMES) -> str:
+    return f"--- {names[0]}+++ {names[1]}" + "".join(hunks) if hunks else ""
+
+
+def diff_text(before: str, after: str, names: tuple[str, str] = DIFF_NAMES) -> str:
     """A unified diff with three lines of context; empty for equal texts. Header lines have no line ends of their own."""
-    lines = difflib.unified_diff(before.splitlines(keepends=True), after.splitlines(keepends=True), *names, lineterm="")
-    return "".join(lines)
+    return _headed([h["text"] for h in diffs.hunks(before, after)], names)
+
+
+_HUNK = StructType([*(StructField(c, IntegerType()) for c in ("old_start", "old_lines", "new_start", "new_lines")), StructField("text", StringType())])
+
+
+@F.pandas_udf(ArrayType(_HUNK))
+def hunks(before: pd.Series, after: pd.Series) -> pd.Series:
+    """The hunks of a line diff (starts count from 0); none for equal texts."""
+    return pd.Series([None if a is None or b is None else diffs.hunks(a, b) for a, b in zip(before, after, strict=True)])
 
 
-@F.pandas_udf(StringType())
-def unified_diff(before: pd.Series, after: pd.Series) -> pd.Series:
-    return pd.Series([None if a is None or b is None else diff_text(a, b) for a, b in zip(before, after, strict=True)])
+def unified_diff(before: Column, after: Column) -> Column:
+    """The hunks of two texts under a header; empty for equal texts."""
+    whole = F.concat(F.lit(_headed([""])), F.array_join(hunks(before, after)["text"], ""))
+    return F.when(before == after, "").when(before.isNotNull() & after.isNotNull(), whole)

@@ -252,7 +252,35 @@ def rate_limited(spark, sf_dir):
     return read(spark, sf_dir, "events").select("event_id", models.is_rate_limit(F.col("props")).alias("openai"), models.is_rate_limit(F.col("props"), "gemini").alias("gemini"))
 
 
-@query("unified_diffs")
+# No line of a repaired text with a change is a line of the text before, so the lines that stay are those that are alike in place.
+END_SQL = r"\n\r\x0b\x0c\x1c-\x1e\x{85}\x{2028}\x{2029}"
+DIFF_SQL = rf"""
+cut AS (
+  SELECT doc_id, regexp_extract_all(translate(text, 'eosn', 'c05u'), '[^{END_SQL}]*(?:\r\n|[{END_SQL}])|[^{END_SQL}]+') AS p FROM documents WHERE text IS NOT NULL),
+rows_ AS (SELECT doc_id, u.i, p[u.i] AS a, translate(p[u.i], 'c0', 'eo') AS b, len(p) AS n FROM cut, LATERAL (SELECT unnest(range(1, len(p) + 1)) AS i) u),
+changed AS (SELECT *, i - lag(i) OVER (PARTITION BY doc_id ORDER BY i) AS step FROM rows_ WHERE a <> b),
+numbered AS (SELECT *, count(*) FILTER (step > 7) OVER w AS hunk, i - row_number() OVER w AS run FROM changed WINDOW w AS (PARTITION BY doc_id ORDER BY i)),
+runs AS (SELECT doc_id, i, min(i) OVER (PARTITION BY doc_id, run) AS first FROM numbered),
+spans AS (SELECT doc_id, hunk, greatest(1, min(i) - 3) AS low, least(max(n), max(i) + 3) AS high FROM numbered GROUP BY doc_id, hunk),
+said AS (
+  SELECT s.doc_id, s.hunk, s.low, s.high, coalesce(c.first, r.i) AS run, k.k, r.i, CASE WHEN c.first IS NULL THEN ' ' || r.a WHEN k.k = 0 THEN '-' || r.a ELSE '+' || r.b END AS line
+  FROM spans s JOIN rows_ r ON r.doc_id = s.doc_id AND r.i BETWEEN s.low AND s.high LEFT JOIN runs c ON c.doc_id = r.doc_id AND c.i = r.i, (SELECT unnest([0, 1]) AS k) k
+  WHERE k.k = 0 OR c.first IS NOT NULL),
+marked AS (SELECT *, CASE WHEN low = high THEN low::VARCHAR ELSE low || ',' || (high - low + 1) END AS span FROM said),
+hunks AS (
+  SELECT doc_id, hunk, low - 1 AS old_start, high - low + 1 AS old_lines, '@@ -' || any_value(span) || ' +' || any_value(span) || ' @@' || string_agg(line, '' ORDER BY run, k, i) AS text
+  FROM marked GROUP BY doc_id, hunk, low, high)
+"""
+
+
+@query("diff_hunks", f"WITH {DIFF_SQL} SELECT doc_id, hunk, old_start, old_lines, old_start AS new_start, old_lines AS new_lines, text FROM hunks")
+def diff_hunks(spark, sf_dir):
+    docs = spread(read(spark, sf_dir, "documents"), "doc_id")
+    return docs.select("doc_id", F.posexplode(T.hunks(noisy("text"), repaired(noisy("text")))).alias("hunk", "h")).select("doc_id", "hunk", "h.*")
+
+
+@query("unified_diffs", f"""WITH {DIFF_SQL}, whole AS (SELECT doc_id, '--- ocr_raw+++ llm_corrected' || string_agg(text, '' ORDER BY hunk) AS diff FROM hunks GROUP BY doc_id)
+SELECT d.doc_id, CASE WHEN d.text IS NOT NULL THEN coalesce(w.diff, '') END AS diff FROM documents d LEFT JOIN whole w USING (doc_id)""")
 def unified_diffs(spark, sf_dir):
     docs = spread(read(spark, sf_dir, "documents"), "doc_id")
     return docs.select("doc_id", T.unified_diff(noisy("text"), repaired(noisy("text"))).alias("diff"))

@@ -1,3 +1,4 @@
+import difflib
 import random
 
 import pytest
@@ -5,7 +6,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from pagewright.functions import distance
+from pagewright.functions import diffs, distance
 from pagewright.functions import text as T
 from pagewright.plans import text_queries  # noqa: F401  registers its queries
 
@@ -114,6 +115,69 @@ def test_diff():
     assert T.diff_text("same", "same") == ""
 
 
+def applied(before, found):
+    """What hunks make of a text."""
+    lines, out, at = before.splitlines(keepends=True), [], 0
+    for h in found:
+        out += lines[at : h["old_start"]]
+        body = h["text"][h["text"].index(" @@") + 3 :].splitlines(keepends=True)
+        at = h["old_start"] + h["old_lines"]
+        assert len(out) == h["new_start"]
+        new = [x[1:] for x in body if x[0] in " +"]
+        assert [x[1:] for x in body if x[0] in " -"] == lines[h["old_start"] : at] and len(new) == h["new_lines"]
+        out += new
+    return "".join(out + lines[at:])
+
+
+def longest_common(a, b):
+    row = [0] * (len(b) + 1)
+    for x in a:
+        before = 0
+        for j, y in enumerate(b, 1):
+            before, row[j] = row[j], before + 1 if x == y else max(row[j], row[j - 1])
+    return row[-1]
+
+
+@settings(max_examples=400, deadline=None)
+@given(st.lists(st.sampled_from("abcd"), max_size=40), st.lists(st.sampled_from("abce"), max_size=40))
+def test_scripts_are_shortest(a, b):
+    kept = diffs.kept(a, b)
+    assert all(a[i] == b[j] for i, j in kept) and len(kept) == longest_common(a, b)
+    assert all(i < x and j < y for (i, j), (x, y) in zip(kept, kept[1:], strict=False))
+    before, after = "".join(x + "\n" for x in a), "".join(x + "\n" for x in b)
+    found = diffs.hunks(before, after)
+    assert applied(before, found) == after and applied(after, diffs.hunks(after, before)) == before
+    assert all(y["old_start"] - x["old_start"] - x["old_lines"] > 0 for x, y in zip(found, found[1:], strict=False))
+
+
+def test_diffs_have_the_usual_form():
+    """Where the script is plain, as the standard library writes it."""
+    rng = random.Random(5)
+    for _ in range(200):
+        a = [f"line {i}\n" for i in range(rng.randrange(40))]
+        b = [f"new {x}" if rng.random() < 0.1 else x for x in a if rng.random() > 0.05]
+        b = [y for x in b for y in ([x, f"more after {x}"] if rng.random() < 0.05 else [x])]
+        want = "".join(difflib.unified_diff(a, b, *T.DIFF_NAMES, lineterm=""))
+        assert T.diff_text("".join(a), "".join(b)) == want
+    assert T.diff_text("", "x") == "--- ocr_raw+++ llm_corrected@@ -0,0 +1 @@+x" and T.diff_text("a\r\nb", "a\r\n") == "--- ocr_raw+++ llm_corrected@@ -1,2 +1 @@ a\r\n-b"
+
+
+def test_long_diffs():
+    a = [f"{i} c\n" for i in range(30_000)]
+    b = [x.replace("c", "e") if i % 3 else x for i, x in enumerate(a)]
+    assert len(diffs.kept(a, b)) == 10_000  # lines without a partner are set aside
+    moved = a[5000:5200] + a[:5000] + a[5200:]
+    assert len(diffs.kept(a, moved)) == 29_800
+
+
+def test_diff_columns(spark):
+    rows = [("a\nb\n", "a\nc\n"), ("same", "same"), (None, "x"), ("x", None), ("", "y"), ("a\n" * 30 + "z\n" + "a\n" * 30, "b\n" + "a\n" * 59 + "c")]
+    df = spark.createDataFrame(rows, "a string, b string").select("a", "b", T.unified_diff(F.col("a"), F.col("b")).alias("d"), F.size(T.hunks(F.col("a"), F.col("b"))).alias("n"))
+    for r in df.collect():
+        assert r.d == (None if r.a is None or r.b is None else T.diff_text(r.a, r.b))
+        assert r.n == (None if r.a is None or r.b is None else len(diffs.hunks(r.a, r.b)))
+
+
 def test_page_end(spark):
     assert spark.createDataFrame([("  x \n\n",)], "t string").select(T.page_terminated(F.col("t"))).first()[0] == "x\n"
 
