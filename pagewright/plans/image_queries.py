@@ -148,6 +148,25 @@ def components_8x8(spark, sf_dir):
     return image.map_boxes(small_pages(spark, sf_dir), lambda x: image.components(x > 140, outer_only=False)).withColumnRenamed("page_id", "vec_id")
 
 
+# Two by two tiles of 16 pixels: a bin holds one at most, what is cut off goes to bins in even steps.
+@query("clahe_8x8", f"""WITH {SMALL_SQL},
+cells AS (SELECT vec_id, y // 4 AS ty, x // 4 AS tx, v, count(*) AS n FROM img GROUP BY ALL),
+cut AS (SELECT vec_id, ty, tx, (sum(n - 1))::INT AS excess FROM cells GROUP BY ALL),
+bins AS (SELECT vec_id, ty, tx, excess, b.v FROM cut, (SELECT unnest(range(0, 256)) AS v) b),
+filled AS (
+  SELECT b.vec_id, b.ty, b.tx, b.v, CASE WHEN c.n IS NULL THEN 0 ELSE 1 END + CASE WHEN excess > 0 AND b.v % (256 // excess) = 0 AND b.v // (256 // excess) < excess THEN 1 ELSE 0 END AS n
+  FROM bins b LEFT JOIN cells c ON c.vec_id = b.vec_id AND c.ty = b.ty AND c.tx = b.tx AND c.v = b.v),
+tables AS (SELECT vec_id, ty, tx, v, least(255, round_even((sum(n) OVER (PARTITION BY vec_id, ty, tx ORDER BY v))::DOUBLE * (255.0::DOUBLE / 16), 0)) AS t FROM filled),
+places AS (SELECT k, greatest(0, least(1, floor((k + 0.5::DOUBLE) / 4 - 0.5)))::INT AS low, greatest(0, least(1, floor((k + 0.5::DOUBLE) / 4 - 0.5) + 1))::INT AS high, (k + 0.5::DOUBLE) / 4 - 0.5 - floor((k + 0.5::DOUBLE) / 4 - 0.5) AS f
+  FROM (SELECT unnest(range(0, 8)) AS k))
+SELECT i.vec_id, i.y, i.x, greatest(0, least(255, round_even((a.t * (1 - p.f) + b.t * p.f) * (1 - q.f) + (c.t * (1 - p.f) + d.t * p.f) * q.f, 0)))::INT AS v
+FROM img i JOIN places p ON p.k = i.x JOIN places q ON q.k = i.y
+JOIN tables a ON a.vec_id = i.vec_id AND a.v = i.v AND a.ty = q.low AND a.tx = p.low JOIN tables b ON b.vec_id = i.vec_id AND b.v = i.v AND b.ty = q.low AND b.tx = p.high
+JOIN tables c ON c.vec_id = i.vec_id AND c.v = i.v AND c.ty = q.high AND c.tx = p.low JOIN tables d ON d.vec_id = i.vec_id AND d.v = i.v AND d.ty = q.high AND d.tx = p.high""")
+def clahe_8x8(spark, sf_dir):
+    return pixels(image.map_pages(small_pages(spark, sf_dir), lambda x: image.clahe(x, 2.0, (2, 2))))
+
+
 # Of three images one has a frame with ground within, one such a frame with a gap in it, and one is as it is.
 @query("contours_8x8", f"""WITH RECURSIVE {SMALL_SQL},
 framed AS (
