@@ -117,6 +117,7 @@ class Frame:
     quantisers: dict[int, int] = field(default_factory=dict)  # of the DC coefficient
     tables: dict[int, bytes] = field(default_factory=dict)
     interval: int = 0
+    size: tuple[int, int] = (0, 0)  # width and height as the frame says them
     scan: np.ndarray | None = None  # without stuffing and markers
     starts: np.ndarray | None = None  # of the restart intervals in it
 
@@ -192,6 +193,7 @@ def _parsed(data: bytes, at: int) -> tuple[Frame, int]:
         elif code == 0xC0:
             _need(body[0] == 8 and not frame.parts, "samples aren't of 8 bits, or two frames")
             frame.height, frame.width = int.from_bytes(body[1:3], "big"), int.from_bytes(body[3:5], "big")
+            frame.size = frame.width, frame.height
             _need(frame.height > 0 and frame.width > 0 and 1 <= body[5] <= 3, "size or components")
             frame.parts = [[body[i], body[i + 1] >> 4, body[i + 1] & 15, body[i + 2], 0, 0] for i in range(6, 6 + 3 * body[5], 3)]
             _need(all(1 <= p[1] <= 4 and 1 <= p[2] <= 4 for p in frame.parts), "sampling factors")
@@ -311,13 +313,14 @@ def _raster(f: Frame, dc: np.ndarray) -> np.ndarray:
     return np.clip((grid + 4) // 8 + 128, 0, 255).astype(np.uint8)
 
 
-def thumbnails(media: list[bytes], most_samples: int = 1 << 18) -> list[list[np.ndarray]]:
-    """For each stored form the DC-only luminance thumbnails of its images."""
+def images(media: list[bytes], most_samples: int = 1 << 18) -> list[list[tuple[np.ndarray, int, int]]]:
+    """For each stored form its images: DC-only luminance thumbnail, width and height. Images follow each other; what follows the last
+    one and doesn't begin another is passed over."""
     frames: list[Frame] = []
     owner: list[int] = []
     for i, data in enumerate(media):
         at = 0
-        while at < len(data):
+        while at < len(data) and (not at or data[at : at + 2] == b"\xff\xd8"):
             frame, at = parse(data, at)
             frames.append(frame)
             owner.append(i)
@@ -327,25 +330,32 @@ def thumbnails(media: list[bytes], most_samples: int = 1 << 18) -> list[list[np.
         alike.setdefault(kind, []).append(k)
     made: dict[int, np.ndarray] = {}
     for own in alike.values():
+        # lanes of a pool are laid out as wide as the longest, so those of a length go together
+        longest = {k: min(frames[k].interval or 1 << 40, frames[k].mcus[0] * frames[k].mcus[1]) for k in own}
         pool: list[int] = []
-        held = 0
-        for k in [*own, None]:
-            if pool and (k is None or held > most_samples):
+        lanes = 0
+        for k in [*sorted(own, key=longest.get), None]:
+            if pool and (k is None or longest[k] * (lanes + len(frames[k].starts)) > most_samples):
                 try:
                     found = _decode([frames[j] for j in pool])
                 except IndexError as error:  # of a window behind the last byte
                     raise ValueError("not a baseline JPEG that can be read: a scan is too short") from error
                 made.update((j, _raster(frames[j], dc)) for j, dc in zip(pool, found, strict=True))
-                pool, held = [], 0
+                pool, lanes = [], 0
             if k is not None:
                 pool.append(k)
-                held += frames[k].mcus[0] * frames[k].mcus[1]
-    out: list[list[np.ndarray]] = [[] for _ in media]
+                lanes += len(frames[k].starts)
+    out: list[list[tuple[np.ndarray, int, int]]] = [[] for _ in media]
     for k, i in enumerate(owner):
-        out[i].append(made[k])
+        out[i].append((made[k], *frames[k].size))
     return out
 
 
+def thumbnails(media: list[bytes], most_samples: int = 1 << 18) -> list[list[np.ndarray]]:
+    """The thumbnails of images()."""
+    return [[thumb for thumb, _, _ in found] for found in images(media, most_samples)]
+
+
 def average_hash(thumb: np.ndarray) -> str:
     """64 bits: which cells of an 8x8 grid over the thumbnail are brighter than their mean."""
     down, across = thumb.shape
@@ -393,9 +403,9 @@ def media_column(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Da
     return docs.select(F.col(key), F.col(text)).transform(common.in_arrow, _stored, f"id {common.ddl(docs.schema[key].dataType)}, media binary").withColumnRenamed("id", key)
 
 
-def _thumbnails_or_fault(data: bytes) -> tuple[list[np.ndarray], str | None]:
+def _images_or_fault(data: bytes) -> tuple[list[tuple[np.ndarray, int, int]], str | None]:
     try:
-        return thumbnails([data])[0], None
+        return images([data])[0], None
     except ValueError as error:
         return [], str(error)
 
@@ -405,23 +415,23 @@ def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at, rows = [], []
         values = common.byte_values(batch.column(1))
         try:
-            found = [(thumbs, None) for thumbs in thumbnails(values)]
+            found = [(own, None) for own in images(values)]
         except ValueError:  # one of them can't be read: each for itself
-            found = [_thumbnails_or_fault(x) for x in values]
-        for i, (thumbs, fault) in enumerate(found):
+            found = [_images_or_fault(x) for x in values]
+        for i, (own, fault) in enumerate(found):
             if fault:
                 at.append(i)
                 rows.append((None, None, None, None, None, fault))
-            for image, t in enumerate(thumbs):
+            for image, (t, width, height) in enumerate(own):
                 at.append(i)
-                rows.append((image, 8 * t.shape[1], 8 * t.shape[0], t.tobytes(), average_hash(t), None))
+                rows.append((image, width, height, t.tobytes(), average_hash(t), None))
         cols = list(zip(*rows, strict=True)) if rows else [[]] * 6
         kinds = (pa.int32(), pa.int32(), pa.int32(), pa.binary(), pa.string(), pa.string())
         yield pa.record_batch([batch.column(0).take(pa.array(at, pa.int32())), *(pa.array(x, k) for x, k in zip(cols, kinds, strict=True))], ["id", "image", "width", "height", "thumbnail", "hash", "error"])
 
 
 def read_media(media: DataFrame, key: str = "doc_id", column: str = "media") -> DataFrame:
-    """(key, image, width, height, thumbnail, hash, error): a row per image of each stored form; width and height in whole
-    blocks; a null or empty value has none. A value that can't be read has one row, with an error and nothing else."""
+    """(key, image, width, height, thumbnail, hash, error): a row per image of each stored form, with the size that its
+    frame says (the thumbnail has a sample per block of 8 x 8, begun ones included); a null or empty value has none. A value that can't be read has one row, with an error and nothing else."""
     kind = common.ddl(media.schema[key].dataType)
     return media.select(F.col(key), F.col(column)).transform(common.in_arrow, _read, f"id {kind}, image int, width int, height int, thumbnail binary, hash string, error string").withColumnRenamed("id", key)

@@ -197,6 +197,22 @@ def test_media_faults_are_rows(spark):
     assert set(found) == {1, 2, 5} and found[1].error is None and found[1].hash and found[2].error and found[2].image is None and found[5].error
 
 
+def test_media_sizes_are_the_frames(spark):
+    """Sizes that aren't whole blocks, bytes behind the last image, images of very different sizes in one batch."""
+    good = media.encode(media.padded(b"some text " * 70))
+    sof = good.index(b"\xff\xc0")
+    h, w = int.from_bytes(good[sof + 5 : sof + 7], "big"), int.from_bytes(good[sof + 7 : sof + 9], "big")
+    odd = good[: sof + 5] + (h - 3).to_bytes(2, "big") + (w - 7).to_bytes(2, "big") + good[sof + 9 :]
+    rows = [(1, good), (2, odd), (3, good + b"\0\0"), (4, odd + b"trailing \xff\xd8"[:9]), (5, media.encode(media.padded(bytes(200_000)))), (6, good + odd)]
+    found = {}
+    for r in media.read_media(spark.createDataFrame([(i, bytearray(m)) for i, m in rows], "doc_id int, media binary").coalesce(1)).collect():
+        found.setdefault(r.doc_id, []).append((r.width, r.height, bytes(r.thumbnail)))
+    thumb = found[1][0][2]
+    assert found[1] == [(w, h, thumb)] and found[2] == [(w - 7, h - 3, thumb)] and found[3] == found[1] and found[4] == found[2] and found[6] == found[1] + found[2]
+    assert b"".join(t for _, _, t in found[5]) == media.padded(bytes(200_000))
+    assert [[t.tobytes() for t in own] for own in media.thumbnails([m for _, m in rows], 1)] == [[t for _, _, t in found[i]] for i, _ in rows]
+
+
 def test_media_reads_a_scan_a_component():
     """Luminance in a scan of its own, with another component's scan before and after."""
     plain = jpeg([[(0, 10 * i, [])] for i in range(12)], [(1, 1)], 0)
