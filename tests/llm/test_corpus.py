@@ -286,7 +286,9 @@ def test_archives(spark, groups):
     assert sorted(r.page_id for r in found) == [1, 101]
     for i, u, _ in rows[:60]:
         assert i in [r.page_id for r in warc.lookup(spark, capture, [u], payload=False).collect()] or i % 20
-    assert sum(r.blocks for r in capture.files.collect()) >= 7 and sum(r.lines for r in capture.files.collect()) == len(rows)
+    assert sum(f[5] for f in capture.files) >= 7 and sum(f[6] for f in capture.files) == len(rows)
+    again = warc.read(spark, warc.opened(capture.folder), payload=True)  # in another session
+    assert again.dtypes == warc.read(spark, capture).dtypes and sorted(map(tuple, again.collect()), key=repr) == sorted(map(tuple, got), key=repr)
     assert warc.read(spark, warc.write(empty(pages))).count() == 0
 
 
@@ -300,6 +302,63 @@ def test_archives_of_one_url(spark):
     assert warc.lookup(spark, capture, ["http://one.example.com/"]).count() == 150
 
 
+def test_keys_of_any_text(spark):
+    """Keys and URLs with what ends a field, a column or an escape; empty and null keys; repeated rows."""
+    import gzip
+
+    keys = ["a\r\nX: y", "tab\there", "100%41", "", None, "<urn>", "ü \u2028", " ends ", "a", "a"]
+    pages = spark.createDataFrame([(k, f"http://h/{i}\r\nWARC-Type: x\tz", f"<p>{i}") for i, k in enumerate(keys)], "page_id string, url string, html string")
+    capture = warc.write(pages.coalesce(1), least=1, block_lines=2)
+    got = warc.read(spark, capture, payload=True).collect()
+    assert Counter(r.page_id for r in got) == Counter(keys) and {(r.page_id, bytes(r.payload)) for r in got} == {(k, f"<p>{i}".encode()) for i, k in enumerate(keys)}
+    files, root = warc._filesystem(capture.folder)
+    from pyarrow import fs
+
+    ids = []
+    for f in files.get_file_info(fs.FileSelector(root)):
+        if f.base_name.endswith(".warc.gz"):
+            plain = gzip.decompress(files.open_input_stream(f.path, compression=None).read()).decode()
+            assert plain.startswith("WARC/1.1\r\nWARC-Type: warcinfo\r\n")
+            ids += [line for line in plain.split("\r\n") if line.startswith("WARC-Record-ID: ")]
+    assert len(ids) == len(set(ids)) == len(keys) + 1
+
+
+def foreign(kind, url, body, version="WARC/1.0", http=True, **more):
+    import gzip
+
+    body = b"HTTP/1.1 200 OK\r\nServer: x\r\n\r\n" + body if http else body
+    fields = {"warc-type": kind, "WARC-Record-ID": "<urn:uuid:1>", "WARC-Target-URI": url, "Content-Type": "application/http; msgtype=response" if http else "text/plain", "Content-Length": str(len(body)), **{k.replace("_", "-"): v for k, v in more.items()}}
+    head = "\r\n".join([version, *(f"{k}:{v}" if k == "warc-type" else f"{k}: {v}" for k, v in fields.items() if v is not None)])
+    return gzip.compress(head.encode() + b"\r\n\r\n" + body + b"\r\n\r\n")
+
+
+def test_archives_of_other_tools(spark, tmp_path):
+    import base64
+
+    page = b"<html>" + b"z" * 300_000
+    digest = "sha1:" + base64.b32encode(hashlib.sha1(page).digest()).decode()
+    (tmp_path / "one.warc.gz").write_bytes(
+        foreign("warcinfo", None, b"software: other", http=False) + foreign("request", "http://a.org/", b"") + foreign("response", "<http://a.org/>", page, WARC_Payload_Digest=digest) + foreign("metadata", "http://a.org/", b"x", http=False)
+        + foreign("revisit", "http://b.org/again", b"", "WARC/1.1", WARC_Payload_Digest=digest, WARC_Profile="a\r\n b")
+    )
+    (tmp_path / "two.warc.gz").write_bytes(foreign("resource", "http://c.org/f.txt", b"plain\r\n\r\ntext", http=False) + foreign("response", "http://d.org/", b"no digest", WARC_Payload_Digest="sha256:00"))
+    (tmp_path / "empty.warc.gz").write_bytes(b"")
+    capture = warc.indexed(spark, f"file://{tmp_path}", block_lines=2)
+    plain = hashlib.sha1(page).hexdigest()
+    want = {
+        ("http://a.org/", len(page), plain, "response"), ("http://b.org/again", None, plain, "revisit"), ("http://c.org/f.txt", 13, hashlib.sha1(b"plain\r\n\r\ntext").hexdigest(), "resource"), ("http://d.org/", 9, "sha256:00", "response"),
+    }
+    for found in (capture, warc.opened(f"file://{tmp_path}")):
+        rows = warc.read(spark, found, payload=True).collect()
+        assert {(r.url, r.payload_bytes, r.payload_digest, r.record_type) for r in rows} == want and len(rows) == 4 and all(r.page_id is None for r in rows)
+        assert [bytes(r.payload) for r in warc.lookup(spark, found, ["http://c.org/f.txt", "http://nowhere/"]).collect()] == [b"plain\r\n\r\ntext"]
+    (tmp_path / "three.warc.gz").write_bytes((tmp_path / "two.warc.gz").read_bytes()[:-9])
+    with pytest.raises(Exception, match="ends within a record"):
+        warc.indexed(spark, f"file://{tmp_path}", ["three.warc.gz"])
+    with pytest.raises(ValueError, match="isn't what was written"):
+        warc.parse(foreign("response", "http://a.org/", b"other", WARC_Payload_Digest=digest))
+
+
 def test_url_keys():
     assert warc.url_key("http://www.A.example.com:80/x?y#z") == "com,example,a)/x?y"
     assert warc.url_key("https://a.b:8443") == "b,a:8443)/" and warc.url_key(None) == ""
