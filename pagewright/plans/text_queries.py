@@ -296,4 +296,4 @@ def resume_stream_ext(spark, sf_dir):
     root = f"{shared_dir(spark)}/pagewright/stream-{uuid.uuid4().hex}"
     like = read(spark, sf_dir, "events").select("user_id", "event_id", "event_type")
     resume.upserting(resume.table_stream(spark, sf_dir, read(spark, sf_dir, "events"), "events.parquet").select(*like.columns, F.col("event_id").alias("order")), f"{root}/table", ["user_id"], "order", f"{root}/state").awaitTermination()
-    return resume.latest(spark, f"{root}/table", 0, ["user_id"], "order").select("user_id", "event_id", "event_type")
+    return resume.latest(spark, f"{root}/table", None, ["user_id"], "order").select("user_id", "event_id", "event_type")

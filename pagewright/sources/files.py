@@ -57,6 +57,14 @@ def listed(folder: str, suffix: str) -> list[str]:
     return [joined(folder, x.base_name) for x in sorted(found, key=lambda x: x.base_name) if x.type == fs.FileType.File and x.base_name.endswith(suffix)]
 
 
+def folders(folder: str) -> list[str]:
+    """Names of a folder's folders; none where there is no such folder."""
+    from pyarrow import fs
+
+    system, plain = _system(folder)
+    return sorted(x.base_name for x in system.get_file_info(fs.FileSelector(plain, allow_not_found=True)) if x.type == fs.FileType.Directory)
+
+
 def read(path: str) -> bytes:
     system, plain = _system(path)
     with system.open_input_stream(plain) as file:

@@ -5,11 +5,12 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from pagewright.functions import pages as P
 from pagewright.operators import manifest
-from pyspark.sql import functions as F
+from pagewright.sources import files
 
 
 def file_stream(spark: SparkSession, folder: str, pattern: str = "*.pdf", per_batch: int = 100) -> DataFrame:
@@ -51,6 +52,12 @@ def _merged(spark: SparkSession, table: str, number: int, keys: list[str], order
     return manifest.latest(rows, keys, order).drop("position")
 
 
-def latest(spark: SparkSession, table: str, number: int, keys: list[str], order: str, every: int = SNAPSHOT_EVERY) -> DataFrame:
-    """The table after a batch: the last snapshot, and what came after it."""
-    return _merged(spark, table, number, keys, order, every, (number + 1) // every * every - 1)
+def latest(spark: SparkSession, table: str, number: int | None, keys: list[str], order: str, every: int = SNAPSHOT_EVERY) -> DataFrame:
+    """The table after a batch: the last snapshot, and what came after it. number: of the batch; None: the last that is written whole."""
+    if number is not None:
+        return _merged(spark, table, number, keys, order, every, (number + 1) // every * every - 1)
+    whole = [x for x in files.folders(table) if files.exists(files.joined(table, x, "_SUCCESS"))]
+    batches, snapshots = ([int(x[2:]) for x in whole if x.startswith(kind)] for kind in ("d=", "s="))
+    if not batches:
+        raise FileNotFoundError(f"no batch is written below {table}")
+    return _merged(spark, table, max(batches), keys, order, every, max((n for n in snapshots if n <= max(batches)), default=-1))

@@ -347,6 +347,11 @@ def test_stream(spark, tmp_path, every):
     for n, (k, at) in enumerate([("b", 9), ("c", 4), ("a", 2)], 1):
         spark.createDataFrame([(k, at)], rows.schema).write.mode("append").parquet(str(tmp_path / "in"))
         stream()
-        assert now(n) == [("a", 3), ("b", 9), *([("c", 4)] * (n > 1))]
+        assert now(n) == now(None) == [("a", 3), ("b", 9), *([("c", 4)] * (n > 1))]
     assert now(0) == [("a", 3), ("b", 2)]
+    (tmp_path / "t/d=9").mkdir()  # a batch that was begun
+    assert now(None) == now(3)
+    (tmp_path / "t/d=9").rmdir()
+    with pytest.raises(FileNotFoundError):
+        resume.latest(spark, str(tmp_path / "none"), None, ["k"], "at")
     assert sorted(p.name for p in (tmp_path / "t").iterdir()) == sorted([f"d={i}" for i in range(4)] + [f"s={i}" for i in range(4) if i % every == every - 1])
