@@ -37,11 +37,14 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near-duplicates the document with the smallest id; of rows equal in id and text, one."""
     key = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"), F.xxhash64("text").alias("text"))
-    kept = jaccard.linked(docs.select(key.alias("key"), "text"), "key").filter("key = component_id").select("key").distinct()
-    others = common.columns(docs.drop("doc_id", "text"))
+    found = jaccard.linked(docs.select(key.alias("key"), "text"), "key").filter("key = component_id")
+    kept = common.stored(found.groupBy("key").agg(F.count("*").alias("n")), "kept", light=True)
+    rows = docs.select(common.row(docs).alias("row"), key.alias("key"))
+    # texts are aggregated only where there are equal rows
+    others = [F.col("row").getField(c) for c in docs.columns if c not in ("doc_id", "text")]
     first = F.to_json(F.struct(*others)) if others else F.lit("")
-    one = docs.select(common.row(docs).alias("row"), key.alias("key"), first.alias("others")).join(kept, "key", "left_semi").groupBy("key").agg(F.min_by("row", "others").alias("row"))
-    return one.select("row.*")
+    equal = rows.join(kept.filter("n > 1").select("key"), "key", "left_semi").groupBy("key").agg(F.min_by("row", first).alias("row"))
+    return rows.join(kept.filter("n = 1").select("key"), "key", "left_semi").select("row").unionByName(equal.select("row")).select("row.*")
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
