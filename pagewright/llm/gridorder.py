@@ -300,8 +300,8 @@ def near_duplicates(vectors: DataFrame, key: str = "vec_id", vector: str = "embe
     along = axes(classes)
     kinds = {f.name: f.dataType for f in classes.schema}
     celled = T.StructType([T.StructField("cells", T.ArrayType(T.IntegerType())), *classes.schema.fields])
-    cells = common.stored(classes.transform(common.in_arrow, _celled(along, width), celled), "cells")
-    # equal cells may lie in several ranges
+    # cells are made twice, for the ranges and for the rows, and not written: that would be all vectors once more; equal cells may lie in several ranges
+    cells = classes.transform(common.in_arrow, _celled(along, width), celled)
     ordered = cells.repartitionByRange(common.shards(spark), "label", F.size("vector"), "cells", "digest").sortWithinPartitions("label", F.size("vector"), "cells", "digest")
     shape = T.StructType([T.StructField("label", kinds["label"])])
     for name, kind in (("size", T.IntegerType()), ("part", T.LongType()), ("seq", T.LongType()), ("vectors", T.BinaryType()), ("counts", T.BinaryType()), ("digests", T.ArrayType(T.BinaryType())), ("leasts", T.ArrayType(kinds["least"])), ("low", T.ArrayType(T.DoubleType())), ("high", T.ArrayType(T.DoubleType()))):
