@@ -99,7 +99,7 @@ BUILT_IN_CELLS = 16_000
 def edits(reference: Column, hypothesis: Column) -> Column:
     """Edit distance of texts of any length: short ones by the built-in function, others by the bit-parallel one, which gets
     nulls in place of the short ones."""
-    short = F.char_length(reference) * F.char_length(hypothesis) <= BUILT_IN_CELLS
+    short = F.char_length(reference).cast("long") * F.char_length(hypothesis) <= BUILT_IN_CELLS  # a product of ints overflows
     only = lambda c: F.when(~short, c)
     return F.when(short, F.levenshtein(reference, hypothesis)).otherwise(edit_distance_udf(only(reference), only(hypothesis)))
 

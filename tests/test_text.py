@@ -57,6 +57,34 @@ def test_distances_of_pairs_are_those_of_each(pairs):
     assert distance.of_texts(a, b).tolist() == [distance.single(list(x), list(y)) for x, y in pairs]
 
 
+def test_rates_of_texts_whose_cells_are_beyond_an_int(spark):
+    """Two texts of 50,000 characters have 2.5 * 10^9 cells."""
+    a = "ab cd " * 8_400
+    rows = spark.createDataFrame([(1, a, a[:-6] + "ab ce "), (2, a, a), (3, a, ""), (4, "abc", "abd")], "page_id int, truth string, raw string")
+    found = {r.page_id: r for r in rows.select("page_id", T.edits(F.col("truth"), F.col("raw")).alias("n")).collect()}
+    assert {k: r.n for k, r in found.items()} == {1: 1, 2: 0, 3: len(a), 4: 1}
+
+
+def _long_tables(spark, folder):
+    """documents of which one is a single line of 50,400 characters, every one with a label."""
+    texts = ["one sees no end " * 3_150, "short\nno one", None]
+    spark.createDataFrame(list(enumerate(texts, 1)), "doc_id long, text string").write.parquet(f"{folder}/documents.parquet")
+    spark.createDataFrame([(1,), (2,), (3,)], "doc_id long").write.parquet(f"{folder}/labels.parquet")
+    return str(folder)
+
+
+def _share(line, whole):
+    """Edits a character of a line of letters of which some are changed (``whole``: before they are partly repaired)."""
+    line = " ".join(line.split())
+    return sum(c in ("eosn" if whole else "sn") for c in line) / len(line)
+
+
+def test_eval_per_page_takes_long_documents(spark, tmp_path):
+    found = {r.page_id: r for r in text_queries.eval_per_page(spark, _long_tables(spark, tmp_path)).collect()}
+    line = "one sees no end " * 3_150
+    assert sorted(found) == [1, 2] and found[1].cer_raw == pytest.approx(_share(line, True)) and found[1].wer_raw == 1
+
+
 def test_normalized_as_python_does(spark):
     spaces = "".join(chr(i) for i in range(0x3001) if chr(i).isspace())
     rows = [("\n a \tb \n",), (spaces + "x" + spaces + "y" + spaces,), ("",), (None,), ("  ",), ("nospace",)]
