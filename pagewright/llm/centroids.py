@@ -3,7 +3,8 @@
 Vectors are cut into blocks of at most BLOCK as they come; each block has its cover tree, built once and stored with it. Every
 round builds a cover tree over the centroids, too, and walks the two together: a pair of nodes is dropped if the least distance
 of any vector in the one to any centroid in the other is above a distance within which every vector of the block's node has a
-centroid. Vectors of leaf pairs that are left are compared with their centroids in integers; ties go to the smaller number.
+centroid. Both trees go down to single points (or equal ones), since no pair of wide leaves can be dropped. Vectors of leaf
+pairs that are left are compared with their centroids in integers; ties go to the smaller number.
 Each task adds up its own vectors by centroid, so the sums that meet are one row a task, centroid and component, and what the
 driver holds is the centroids (MOST_BYTES at most; more are an error).
 
@@ -41,7 +42,7 @@ def _blocks(dim: int, scale: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in (whole.slice(i, BLOCK) for whole in batches for i in range(0, whole.num_rows, BLOCK)):
             points = _integers(batch.column(1), dim, scale)
-            tree = covertree.build(points.astype(np.float64))
+            tree = covertree.build(points.astype(np.float64), 1)
             keys = batch.column(0).take(pa.array(tree.order))
             nodes = np.stack([np.argsort(tree.order)[tree.centre], tree.start, tree.stop, tree.first, tree.last]).astype(np.int32)
             yield pa.record_batch(
@@ -121,7 +122,7 @@ def nearest(points: np.ndarray, tree: covertree.Tree, centroids: np.ndarray, ove
 
 def _walked(batches: Iterator[pa.RecordBatch], centroids: np.ndarray) -> Iterator[tuple]:
     """(keys, points, centroid, squared distance) of every block."""
-    over = covertree.build(centroids.astype(np.float64))
+    over = covertree.build(centroids.astype(np.float64), 1)
     ordered = centroids[over.order]
     over.centre = np.argsort(over.order)[over.centre]
     for batch in batches:

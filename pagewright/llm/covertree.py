@@ -55,14 +55,14 @@ def farthest_first(points: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return places, far
 
 
-def build(points: np.ndarray) -> Tree:
-    """The tree of n > 0 points (rows, in double precision)."""
+def build(points: np.ndarray, leaf: int = LEAF) -> Tree:
+    """The tree of n > 0 points (rows, in double precision). leaf: points that a leaf holds at most, unless they are equal."""
     n = len(points)
     places, far = farthest_first(points)
     scale = far[1] if n > 1 else 0.0
     levels = [np.zeros(n, np.int64)]  # of each level: every point's node, as the number of its centre in places
     count = 1
-    while scale > 0 and np.bincount(levels[-1]).max() > LEAF:
+    while scale > 0 and np.bincount(levels[-1]).max() > leaf:
         scale /= BASE
         wide = int((far > scale).sum())
         if wide == count and wide < n:
@@ -89,7 +89,7 @@ def build(points: np.ndarray) -> Tree:
         radius = float(np.sqrt(squared(points[own], points[centre : centre + 1]).max()))
         for column, value in zip(tree, (centre, radius, start, stop, -1, -1), strict=True):
             column.append(value)
-        while level + 1 < len(levels) and stop - start > LEAF:  # levels at which a node has one child say nothing
+        while level + 1 < len(levels) and stop - start > leaf:  # levels at which a node has one child say nothing
             level += 1
             names = levels[level][own]
             cuts = np.flatnonzero(names[1:] != names[:-1]) + 1 + start

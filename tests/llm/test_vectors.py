@@ -5,6 +5,7 @@ import math
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from pagewright.llm import centroids, common, covertree, gridorder
@@ -62,6 +63,18 @@ def test_pairs_are_pruned(monkeypatch):
     assert sum(seen) < len(x) * len(c) / 8
 
 
+def test_few_centroids_are_told_apart_by_the_walk(monkeypatch):
+    """Sixteen centroids fill a leaf at most, as do sixteen vectors; the walk has to leave fewer pairs than all."""
+    x, c = points("plain", 1000, seed=3), points("plain", 16, seed=4)
+    (row,) = centroids._blocks(8, 1.0)(iter([pa.record_batch([pa.array(range(len(x))), pa.array(x.tolist())], ["key", "vector"])]))
+    left, plain = [], np.lexsort
+    monkeypatch.setattr(centroids.np, "lexsort", lambda keys: (len(keys) == 3 and left.append(len(keys[0]))) or plain(keys))
+    ((_, own, number, far),) = centroids._walked(iter([row]), c.astype(np.int64))
+    every = ((own.astype(np.int64)[:, None, :] - c[None]) ** 2).sum(2)
+    assert (far == every.min(1)).all() and (number == every.argmin(1)).all()
+    assert sum(left) < 2 * len(x)  # before: all 16,000
+
+
 def brute(rows, k, rounds, dim=64):
     kept = [(r[0], [math.floor(64 * float(x)) for x in r[1]]) for r in rows if r[1] is not None and len(r[1]) == dim and all(x is not None and math.isfinite(x) for x in r[1])]
     kept = [x for x in kept if max(map(abs, x[1])) <= centroids.LARGEST]
