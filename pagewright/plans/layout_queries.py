@@ -154,7 +154,10 @@ inked AS (SELECT doc_id, y, length(line) AS w, length(line) - length(ltrim(line,
 cut AS (SELECT doc_id, y, greatest(0, first - 4) AS "left", least(w, last + 5) AS "right" FROM inked WHERE w >= 10 AND columns >= 5)
 SELECT * FROM cut WHERE "right" - "left" >= 10""")
 def tight_crop(spark, sf_dir):
-    return layout.tight_crops(raster(spark, sf_dir), "doc_id", "y", width=F.col("w"), height=F.lit(20))
+    """Every line of text is a crop of one row of pixels."""
+    lines = spread(read(spark, sf_dir, "documents").select("doc_id", "text"), "doc_id").select("doc_id", F.posexplode(F.split("text", "\n", -1)).alias("y", "line"))
+    row = F.transform(F.split("line", ""), lambda c: F.when(c == " ", 255).when(c != "", 0))
+    return layout.tight_crops_whole(lines, "doc_id", "y", rows=F.array(row), width=F.char_length("line"), height=F.lit(20))
 
 
 @query("bounding_boxes", f"""WITH {PIXELS_SQL}

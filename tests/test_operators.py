@@ -3,6 +3,7 @@ from pyspark.sql import functions as F
 
 from pagewright.functions import pages as P
 from pagewright.operators import evaluate, histogram, layout, manifest, models
+from pagewright.plans import layout_queries
 
 
 def pages(spark, rows):
@@ -108,6 +109,22 @@ def test_runs_and_gaps(spark):
     assert sorted((r.top, r.bottom) for r in layout.merged(runs, "region").collect()) == [(20, 42), (47, 56)]
 
 
+def test_tight_crops_of_whole_crops(spark):
+    """The same as of a table of pixels, without a shuffle."""
+    images = {"l": [[0 if 10 <= x <= 30 + y else 255 for x in range(40)] for y in range(2)], "few": [[0] * 4 + [255] * 36], "none": [[255] * 40], "all": [[0] * 40]}
+    crops = spark.createDataFrame(list(images.items()), "line string, rows array<array<int>>")
+    pixels = crops.select("line", F.posexplode("rows").alias("y", "row")).select("line", "y", F.posexplode("row").alias("x", "v"))
+    found = layout.tight_crops_whole(crops, "line", rows=F.col("rows"), width=F.lit(40), height=F.lit(25))
+    assert sorted(found.collect()) == sorted(layout.tight_crops(pixels, "line", width=F.lit(40), height=F.lit(25)).collect()) == [("all", 0, 40), ("l", 6, 36)]
+    assert layout.tight_crops_whole(crops, "line", rows=F.col("rows"), width=F.lit(40), height=F.lit(19)).count() == 0
+
+
+def test_tight_crop_shuffles_no_pixels(spark):
+    docs = layout_queries.tight_crop(spark, "/root/testdata/sf0.001")
+    plan = docs._jdf.queryExecution().executedPlan().toString()
+    assert "Aggregate" not in plan and plan.count("Exchange") <= 1  # that which deals documents out
+
+
 def test_tight_crop(spark):
     ink = spark.createDataFrame([("l", y, x, 0 if 10 <= x <= 30 else 255) for y in range(2) for x in range(40)], "line string, y int, x int, v int")
     row = layout.tight_crops(ink, "line", width=F.lit(40), height=F.lit(25)).first()
