@@ -102,6 +102,11 @@ def test_eval_per_page_takes_long_documents(spark, tmp_path):
     assert sorted(found) == [1, 2]  # a null text has no truth
 
 
+def test_eval_report_takes_long_documents(spark, tmp_path):
+    (row,) = text_queries.eval_report(spark, _long_tables(spark, tmp_path)).collect()
+    assert (row.evaluated, row.total_processed) == (2, 3) and 0 < row.cer_corrected_mean < row.cer_raw_mean < 1
+
+
 def test_normalized_as_python_does(spark):
     spaces = "".join(chr(i) for i in range(0x3001) if chr(i).isspace())
     rows = [("\n a \tb \n",), (spaces + "x" + spaces + "y" + spaces,), ("",), (None,), ("  ",), ("nospace",)]
