@@ -107,6 +107,11 @@ def test_eval_report_takes_long_documents(spark, tmp_path):
     assert (row.evaluated, row.total_processed) == (2, 3) and 0 < row.cer_corrected_mean < row.cer_raw_mean < 1
 
 
+def test_accuracy_ext_takes_long_lines(spark, tmp_path):
+    found = {r.doc_id: r for r in text_queries.accuracy_ext(spark, _long_tables(spark, tmp_path)).collect()}
+    assert found[1].accuracy_raw == pytest.approx(1 - LONG_RATES[0]) and found[1].accuracy_corrected == pytest.approx(1 - LONG_RATES[1])
+
+
 def test_normalized_as_python_does(spark):
     spaces = "".join(chr(i) for i in range(0x3001) if chr(i).isspace())
     rows = [("\n a \tb \n",), (spaces + "x" + spaces + "y" + spaces,), ("",), (None,), ("  ",), ("nospace",)]
