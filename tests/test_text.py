@@ -112,6 +112,11 @@ def test_accuracy_ext_takes_long_lines(spark, tmp_path):
     assert found[1].accuracy_raw == pytest.approx(1 - LONG_RATES[0]) and found[1].accuracy_corrected == pytest.approx(1 - LONG_RATES[1])
 
 
+def test_cer_lines_takes_long_lines(spark, tmp_path):
+    found = {r.page_id: r for r in text_queries.cer_lines(spark, _long_tables(spark, tmp_path)).collect()}
+    assert sorted(found) == ["1_0", "2_0", "2_1"] and (found["1_0"].cer_raw, found["1_0"].cer_corrected) == pytest.approx(LONG_RATES)
+
+
 def test_normalized_as_python_does(spark):
     spaces = "".join(chr(i) for i in range(0x3001) if chr(i).isspace())
     rows = [("\n a \tb \n",), (spaces + "x" + spaces + "y" + spaces,), ("",), (None,), ("  ",), ("nospace",)]
