@@ -117,6 +117,11 @@ def test_cer_lines_takes_long_lines(spark, tmp_path):
     assert sorted(found) == ["1_0", "2_0", "2_1"] and (found["1_0"].cer_raw, found["1_0"].cer_corrected) == pytest.approx(LONG_RATES)
 
 
+def test_cer_report_lines_takes_long_lines(spark, tmp_path):
+    (row,) = text_queries.cer_report_lines(spark, _long_tables(spark, tmp_path)).collect()
+    assert (row.evaluated, row.total_processed) == (3, 3) and 0 < row.cer_corrected_mean < row.cer_raw_mean < 1
+
+
 def test_normalized_as_python_does(spark):
     spaces = "".join(chr(i) for i in range(0x3001) if chr(i).isspace())
     rows = [("\n a \tb \n",), (spaces + "x" + spaces + "y" + spaces,), ("",), (None,), ("  ",), ("nospace",)]
