@@ -1,3 +1,4 @@
+import math
 import os
 import random
 import subprocess
@@ -238,6 +239,75 @@ def test_rotate_by_nothing():
     assert (I.rotate(page(30, 40), 0.0) == page(30, 40)).all()
 
 
+def looked_up(image, degrees):
+    """The plain way: sixteen pixels looked up for each, in double precision."""
+    (h, w), (c, s) = image.shape, (np.cos(np.radians(degrees)), np.sin(np.radians(degrees)))
+    x, y = np.arange(w, dtype=float) - w // 2, np.arange(h, dtype=float)[:, None] - h // 2
+    sx, sy = c * x - s * y + w // 2, s * x + c * y + h // 2
+    x0, y0 = np.floor(sx), np.floor(sy)
+
+    def weights(f):
+        far = lambda d: ((-0.75 * d + 3.75) * d - 6.0) * d + 3.0
+        near = lambda d: (1.25 * d - 2.25) * d * d + 1
+        return far(f + 1), near(f), near(1 - f), far(2 - f)
+
+    wx, wy = weights(sx - x0), weights(sy - y0)
+    at = lambda i, j: image[np.clip(y0 + j, 0, h - 1).astype(int), np.clip(x0 + i, 0, w - 1).astype(int)]
+    sums = sum(wy[j] * sum(wx[i] * at(i - 1, j - 1) for i in range(4)) for j in range(4))
+    return np.clip(np.rint(sums), 0, 255).astype(np.uint8)
+
+
+@pytest.mark.parametrize("degrees", [0.0, 1e-6, 0.1, -0.3, 1.0, 2.0, -2.0, 4.5, 8.5, -9.0, 30.0])
+@pytest.mark.parametrize("shape", [(1, 1), (7, 3), (40, 272), (700, 272), (90, 2500), (3000, 31)])
+def test_turned_tiles_are_what_looking_up_gives(shape, degrees):
+    p = page(*shape)
+    for image in (p, np.where(p > 128, 255, 0).astype(np.uint8), np.repeat(p[:, :1], shape[1], 1)):
+        assert (I.rotate(image, degrees) == looked_up(image, degrees)).all()
+
+
+def test_deskew_takes_less_than_turning_by_looking_up():
+    p = np.full((6000, 272), 230, np.uint8)
+    for y in range(8, 5980, 12):  # lines of uneven length
+        p[y : y + 8, 8 : 40 + y * 7 % 220] = page(1, 32 + y * 7 % 220) % 90
+    p = I.rotate(p, 2.0)
+    angle, took = I.skew((p > I.otsu(p)) * np.uint8(255)), {}
+    for name, kernel in (("deskew", I.deskew), ("looked up", lambda x: looked_up(x, angle))) * 3:
+        began = time.process_time()
+        found = kernel(p)
+        took[name] = min(took.get(name, math.inf), time.process_time() - began)
+    assert abs(angle) > 0.1 and (found == I.deskew(p)).all() and took["deskew"] < 0.11 * took["looked up"]
+
+
+def every_edge(image, least_ink=500):
+    """The skew by the rectangles along all edges of the hull of all ends of rows."""
+    ink = image < 255
+    rows = np.flatnonzero(ink.any(1))
+    if np.count_nonzero(ink) < least_ink:
+        return None
+    ends = np.unique([(x, y) for y in rows for x in np.flatnonzero(ink[y])[[0, -1]]], axis=0)
+    hull = I._hull(ends)
+    if len(hull) < 3:
+        return 0.0 if len(rows) == 1 else None
+    angles = [math.atan2(*(b - a)[::-1]) for a, b in zip(hull, np.roll(hull, -1, 0), strict=True)]
+    areas = [np.ptp(hull @ (math.cos(a), math.sin(a))) * np.ptp(hull @ (-math.sin(a), math.cos(a))) for a in angles]
+    degrees = math.degrees(min(zip(areas, angles, strict=True))[1]) % 90
+    return degrees - 90 if degrees > 45 else degrees
+
+
+@pytest.mark.parametrize("seed", range(12))
+def test_skew_is_that_of_all_ends_and_edges(seed):
+    rng = np.random.default_rng(seed)
+    h, w = rng.integers(1, 150, 2)
+    dots, full, disc = (np.full((h, w), 255, np.uint8) for _ in range(3))
+    dots[rng.integers(0, h, 60), rng.integers(0, w, 60)] = 0
+    full[h // 4 : h - h // 4, w // 4 : w - w // 4] = 0
+    y, x = np.mgrid[:h, :w]
+    disc[(y - h / 2) ** 2 + (x - w / 2) ** 2 < min(h, w) ** 2 / 4] = 0
+    for p in (dots, full, np.where(I.rotate(full, 7.0) > 128, 255, 0).astype(np.uint8), disc):
+        for least in (1, 500):
+            assert I.skew(p, least) == every_edge(p, least)
+
+
 def paeth(a, b, c):
     near = sorted((abs(v - (a + b - c)), i, v) for i, v in enumerate((a, b, c)))
     return near[0][2]
