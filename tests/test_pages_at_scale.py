@@ -193,3 +193,22 @@ def test_shared_folders():
     for master in ("yarn", "spark://h:7077", "local-cluster[2,1,1024]", "k8s://x"):
         with pytest.raises(RuntimeError, match="URI"):
             files.shared(Session(master), "results")
+
+
+@pytest.mark.parametrize("name", ["deskew", "median_2d"])
+def test_pages_are_drawn_in_the_pass_of_their_kernel(spark, name):
+    from pagewright.plans import image_queries as Q
+    from pagewright.plans.registry import QUERIES
+
+    kernel = {"deskew": lambda x: image.deskew(image.rotate(x, 2.0)), "median_2d": image.median}[name]
+    found = QUERIES[name](spark, "/root/testdata/sf0.001")
+    assert found._jdf.queryExecution().executedPlan().toString().count("MapInArrow") == 1
+    assert sorted(found.collect()) == sorted(Q._digest(image.map_pages(Q.text_pages(spark, "/root/testdata/sf0.001"), kernel)).collect())
+
+
+def test_batches_of_pages_are_bounded(monkeypatch):
+    monkeypatch.setattr(image, "OUT_BYTES", 1000)
+    pages = [(k, 1, n, bytes(n)) for k, n in enumerate((400, 500, 300, 5000, 0, 1))]
+    found = list(image.in_batches(iter(pages), pa.int64()))
+    assert [b.num_rows for b in found] == [3, 1, 2] and [tuple(r.values()) for b in found for r in b.to_pylist()] == pages
+    assert list(image.in_batches(iter(()), pa.int64())) == []
