@@ -212,3 +212,12 @@ def test_batches_of_pages_are_bounded(monkeypatch):
     found = list(image.in_batches(iter(pages), pa.int64()))
     assert [b.num_rows for b in found] == [3, 1, 2] and [tuple(r.values()) for b in found for r in b.to_pylist()] == pages
     assert list(image.in_batches(iter(()), pa.int64())) == []
+
+
+def test_texts_are_drawn_in_several_parts_a_core(spark, tmp_path):
+    from pagewright.plans import image_queries as Q
+
+    rows = spark.range(80).select(F.col("id").alias("doc_id"), F.col("id").cast("string").alias("text"))
+    rows.repartition(8).write.parquet(f"{tmp_path}/documents.parquet")
+    texts = Q.texts(spark, str(tmp_path))
+    assert texts.rdd.getNumPartitions() == 16 and sorted(texts.collect()) == sorted(rows.collect())
